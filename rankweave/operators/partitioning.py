@@ -65,8 +65,10 @@ def contiguous_shard(df: DataFrame, n_shards: int, order_by: list[str] | str, *,
     elif rule == "proportional":
         def start(k):
             return F.floor(k.cast("double") / F.lit(float(n_shards)) * total.cast("double"))
-        k0 = F.floor(r * n / total)
-        shard = (k0 + F.when(r >= start(k0 + 1), 1).otherwise(0) - F.when(r < start(k0), 1).otherwise(0))
+        # the last shard whose start is <= r; exact up to one float step, then corrected
+        k0 = F.ceil((r + 1) * n / total) - 1
+        shard = (k0 + F.when((k0 + 1 < n) & (r >= start(k0 + 1)), 1).otherwise(0)
+                 - F.when(r < start(k0), 1).otherwise(0))
     else:
         raise ValueError("rule must be 'balanced' or 'proportional'")
     return idx.withColumn(out_col, shard.cast("int")).drop("_r")

@@ -221,7 +221,8 @@ def _block_top_k(queries: DataFrame, corpus_sel: DataFrame, k: int, metric: str,
     def score_group(cpdf, qpdf):
         import pandas as pd
         if len(cpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"query_id": [], corpus_id: [], "score": []})
+            return pd.DataFrame({"query_id": pd.Series([], dtype=object), corpus_id: pd.Series([], dtype=object),
+                                 "score": pd.Series([], dtype="float64")})
         qids = qpdf["query_id"].to_numpy(dtype=object)
         qmat, qsq = _prepare_queries(np.stack(qpdf["_qvec"].to_numpy()).astype(np.float64), metric)
         ids = cpdf[corpus_id].to_numpy(dtype=object)

@@ -106,6 +106,9 @@ def contains_join(docs: DataFrame, patterns: DataFrame, *, doc_key: str, doc_tex
 
     def group(dpdf, ppdf):
         import pandas as pd
+        if len(dpdf) == 0 or len(ppdf) == 0:
+            return pd.DataFrame({doc_key: pd.Series([], dtype=dpdf["_d"].dtype),
+                                 pat_key: pd.Series([], dtype=ppdf["k"].dtype)})
         auto, plain = _automaton(ppdf["t"].tolist(), ppdf["k"].tolist())
         dk, pk = [], []
         for key, text in zip(dpdf["_d"].tolist(), dpdf["_t"].tolist()):
