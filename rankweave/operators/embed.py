@@ -27,18 +27,27 @@ from rankweave.operators.passages import nest
 Encoder = Callable[[list], np.ndarray]
 
 
-def hashed_encoder(dim: int = 64) -> Encoder:
+def hashed_encoder(dim: int = 64, cache_size: int = 1 << 20) -> Encoder:
     """Factory of a bag-of-words encoder: each token (split on single spaces)
     adds 1 to bucket ``int(md5(token)[:8], 16) mod dim``; the counts are
-    L2-normalised. Null text -> zero vector."""
+    L2-normalised. Null text -> zero vector. Token buckets are cached per
+    encoder instance (one per task), so md5 runs once per distinct token."""
+    cache: dict[str, int] = {}
+
+    def bucket(tok: str) -> int:
+        if len(cache) >= cache_size:
+            cache.clear()
+        b = cache[tok] = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+        return b
 
     def encode(texts: list) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
+        get = cache.get
         for i, t in enumerate(texts):
             if t is None:
                 continue
-            for tok in t.split(" "):
-                out[i, int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
+            ids = [b if (b := get(tok)) is not None else bucket(tok) for tok in t.split(" ")]
+            out[i] = np.bincount(ids, minlength=dim)
         norms = np.sqrt((out * out).sum(axis=1))
         norms[norms == 0] = 1.0
         return (out / norms[:, None]).astype(np.float32)

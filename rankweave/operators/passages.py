@@ -24,17 +24,20 @@ def _title_prefix(title: str) -> Column:
     return F.when(t.isNotNull() & (t != ""), F.concat(t, F.lit(" "))).otherwise(F.lit(""))
 
 
-def passage_bodies(body: Column, passage_size: int, prefix: Column | None = None) -> Column:
-    """ARRAY<STRING> of passages: the body split on single spaces (empty tokens
-    kept), cut into consecutive windows of ``passage_size`` tokens joined by a
-    space, each preceded by ``prefix``. Null body -> empty array; '' -> ['']."""
+def passage_bodies(tokens: Column, passage_size: int, prefix: Column | None = None) -> Column:
+    """ARRAY<STRING> of passages from a token array (the body split on single
+    spaces, empty tokens kept): consecutive windows of ``passage_size`` tokens
+    joined by a space, each preceded by ``prefix``. Null tokens -> empty array.
+
+    ``tokens`` should be a column reference: an inline ``split(...)`` would be
+    evaluated again for every passage inside the lambda.
+    """
     if passage_size < 1:
         raise ValueError("passage_size must be >= 1")
-    toks = F.split(body, " ", -1)
-    starts = F.sequence(F.lit(0), F.size(toks) - 1, F.lit(passage_size))
+    starts = F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(passage_size))
     pref = prefix if prefix is not None else F.lit("")
-    chunks = F.transform(starts, lambda i: F.concat(pref, F.array_join(F.slice(toks, i + 1, passage_size), " ")))
-    return F.when(body.isNull(), F.array().cast("array<string>")).otherwise(chunks)
+    chunks = F.transform(starts, lambda i: F.concat(pref, F.array_join(F.slice(tokens, i + 1, passage_size), " ")))
+    return F.when(tokens.isNull(), F.array().cast("array<string>")).otherwise(chunks)
 
 
 def split_passages(df: DataFrame, passage_size: int = 512, prepend_title: bool = True, *, doc_id: str = "doc_id",
@@ -48,15 +51,17 @@ def split_passages(df: DataFrame, passage_size: int = 512, prepend_title: bool =
     other document columns to carry (default: all but the body).
     """
     keep = [c for c in df.columns if c not in (body, doc_id)] if keep is None else list(keep)
-    prefix = _title_prefix(title) if prepend_title else None
-    arr = passage_bodies(F.col(body), passage_size, prefix)
+    extra = [title] if prepend_title and title not in keep else []
+    toks = df.select(doc_id, *keep, *extra, F.split(F.col(body), " ", -1).alias("_toks"))
+    prefixed = toks.withColumn("_prefix", _title_prefix(title)) if prepend_title else toks
+    arr = passage_bodies(F.col("_toks"), passage_size, F.col("_prefix") if prepend_title else None)
     if nested:
         structs = F.transform(arr, lambda p, i: F.struct(
             i.cast("int").alias("passage_idx"),
             F.concat(F.col(doc_id), F.lit("_"), i.cast("string")).alias("passage_id"),
             p.alias("passage_body")))
-        return df.select(doc_id, *keep, structs.alias("passages"))
-    exploded = df.select(doc_id, *keep, F.posexplode(arr).alias("passage_idx", "passage_body"))
+        return prefixed.select(doc_id, *keep, structs.alias("passages"))
+    exploded = prefixed.select(doc_id, *keep, F.posexplode(arr).alias("passage_idx", "passage_body"))
     return exploded.select(doc_id, *keep, F.col("passage_idx").cast("int").alias("passage_idx"),
                            F.concat(F.col(doc_id), F.lit("_"), F.col("passage_idx").cast("string")).alias("passage_id"),
                            "passage_body")
@@ -91,9 +96,11 @@ def split_token_passages(df: DataFrame, passage_size: int = 512, prepend_title:
     """
     keep = [] if keep is None else list(keep)
     elem = df.schema[body_tokens].dataType.elementType.simpleString()
-    arr = token_passages(F.col(title_tokens), F.col(body_tokens), passage_size, prepend_title, title_cap, margin,
+    empty = F.array().cast(f"array<{elem}>")
+    capped = df.withColumn("_title", F.coalesce(F.slice(F.col(title_tokens), 1, title_cap), empty))
+    arr = token_passages(F.col("_title"), F.col(body_tokens), passage_size, prepend_title, title_cap, margin,
                          elem_type=elem)
-    exploded = df.select(doc_id, *keep, F.posexplode(arr).alias("passage_idx", "passage_tokens"))
+    exploded = capped.select(doc_id, *keep, F.posexplode(arr).alias("passage_idx", "passage_tokens"))
     return exploded.select(doc_id, *keep, F.col("passage_idx").cast("int").alias("passage_idx"),
                            F.concat(F.col(doc_id), F.lit("_"), F.col("passage_idx").cast("string")).alias("passage_id"),
                            "passage_tokens")
