@@ -61,15 +61,21 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
     hits_w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn("_hits", F.sum(is_rel.cast("int")).over(hits_w))
 
-    # judgement side: number of relevant docs and ideal DCG per query
+    # judgement side: number of relevant docs (plain aggregate) and ideal DCG
+    # from the best ``k`` judgements per query (row_number <= k is planned as a
+    # WindowGroupLimit before the shuffle, so a query with many judgements
+    # sends only k rows per task)
+    nrel = q.groupBy("query_id").agg(F.sum((F.col("rel") >= 1).cast("long")).alias("_nrel"))
     ideal_ks = sorted({k for _, fam, k in parsed if fam == "nDCG"})
-    iw = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), F.col("doc_id"))
-    qi = q.withColumn("_ir", F.row_number().over(iw))
-    gain = F.when(F.col("rel") > 0, F.col("rel")).otherwise(F.lit(0)).cast("double")
-    ideal_aggs = [F.sum((F.col("rel") >= 1).cast("long")).alias("_nrel")] + [
-        F.sum(F.when(F.col("_ir") <= k, gain / F.log2(F.col("_ir") + 1)).otherwise(F.lit(0.0))).alias(f"_idcg_{k}")
-        for k in ideal_ks]
-    judged = qi.groupBy("query_id").agg(*ideal_aggs)
+    judged = nrel
+    if ideal_ks:
+        iw = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), F.col("doc_id"))
+        qi = q.withColumn("_ir", F.row_number().over(iw)).where(F.col("_ir") <= max(ideal_ks))
+        gain = F.when(F.col("rel") > 0, F.col("rel")).otherwise(F.lit(0)).cast("double")
+        idcg = qi.groupBy("query_id").agg(*[
+            F.sum(F.when(F.col("_ir") <= k, gain / F.log2(F.col("_ir") + 1)).otherwise(F.lit(0.0))).alias(f"_idcg_{k}")
+            for k in ideal_ks])
+        judged = nrel.join(idcg, "query_id", "left")
 
     run_aggs = []
     for _, fam, k in parsed:

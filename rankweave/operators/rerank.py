@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.vectors import dot, list_column_to_matrix
 from rankweave.operators.passages import split_passage_id
+from rankweave.session import ensure_checkpoint_dir
 
-MAX_CANDIDATE_DOCS = 2_000_000
+MAX_CANDIDATE_DOCS = 500_000  # (doc_id, list of query ids) rows broadcast to filter the passages
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
 AGGREGATIONS = ("sum", "mean")
@@ -57,7 +58,10 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
     spark = run.sparkSession
     r = run if "doc_id" in run.columns else split_passage_id(run, passage_id)
     cand = r.select("query_id", "doc_id").distinct()
-    by_doc = cand.groupBy("doc_id").agg(F.collect_list("query_id").alias("_qids"))
+    # at most Q x k rows; checkpointed (reliable folder) so the run behind it is
+    # computed once for the size check and the join
+    ensure_checkpoint_dir(spark)
+    by_doc = cand.groupBy("doc_id").agg(F.collect_list("query_id").alias("_qids")).checkpoint(eager=True)
     n_docs = by_doc.limit(max_candidate_docs + 1).count()
     side = F.broadcast(by_doc) if n_docs <= max_candidate_docs else by_doc
     p = passages.select("doc_id", F.col(passage_vec).alias("_pvec")).join(side, "doc_id")

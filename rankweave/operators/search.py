@@ -15,6 +15,19 @@ into blocks of bounded size and the corpus into hash blocks; each
 (query block, corpus block) pair is one cogroup scored with NumPy, keeping
 only the per-query top-k. Nothing passes through the driver.
 
+Two exact reductions of the shuffle for large corpora:
+
+* threshold pruning (``prune_fraction``): the k-th best score of a query over
+  any subset of the corpus is a lower bound of its k-th best over the whole
+  corpus. A first top-k over a Bernoulli sample gives one threshold per query;
+  the main pass admits only candidates at or above it, so the shuffle carries
+  about ``k / fraction`` rows per query instead of ``k`` per task and query.
+  On by default when ``Q x k`` is large.
+* tree reduction (``reduce_buckets``): candidates are first reduced per
+  (query, hash bucket of the id), then per query, so no single task merges the
+  candidates of every corpus task for a query. Defaults to one bucket per
+  eight cores of the cluster (1 locally, which skips the level).
+
 Ties are broken by the smaller id; ``rank`` starts at 1; with fewer than k
 corpus rows a query gets all of them. L2 scores are written as ``-d^2`` so
 that larger is always better.
@@ -38,19 +51,24 @@ MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
 MAX_STATE_CANDIDATES = 20_000_000  # k x Q kept per task
 SCORE_CELLS = 4_000_000  # batch rows x query chunk scored at once
+AUTO_PRUNE_CANDIDATES = 1_000_000  # Q x k from which the sample threshold pass is on
+AUTO_PRUNE_FRACTION = 0.01
 
 
 class _TopK:
     """Running top-k per query over (query index, score, id) candidates."""
 
-    def __init__(self, k: int, nq: int):
+    def __init__(self, k: int, nq: int, floor: np.ndarray | None = None):
         self.k = k
         self.nq = nq
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
         self.limit = max(2 * k * nq, 1 << 20)
-        # k-th best score per query once that query holds k candidates; -inf before
-        self.thr = np.full(nq, -np.inf)
+        # admission threshold per query: a known lower bound of its k-th best
+        # score (from a sample pass), raised to the k-th best kept once the
+        # query holds k candidates
+        self.floor = np.full(nq, -np.inf) if floor is None else np.asarray(floor, dtype=np.float64)
+        self.thr = self.floor.copy()
 
     def add(self, qidx: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = scores >= self.thr[qidx]
@@ -81,7 +99,7 @@ class _TopK:
         counts = np.bincount(q, minlength=self.nq)
         last = np.searchsorted(q, np.arange(self.nq), side="right") - 1
         full = counts >= self.k
-        self.thr[full] = s[last[full]]
+        self.thr[full] = np.maximum(self.floor[full], s[last[full]])
         return q, s, ids
 
 
@@ -139,20 +157,32 @@ def _check(k: int, metric: str) -> None:
         raise ValueError("k must be >= 1")
 
 
-def _final_rank(cands: DataFrame, k: int, id_name: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_name).asc())
+def _final_rank(cands: DataFrame, k: int, id_name: str, reduce_buckets: int = 1) -> DataFrame:
+    order = [F.col("score").desc(), F.col(id_name).asc()]
+    if reduce_buckets > 1:
+        bucket = F.pmod(F.xxhash64(F.col(id_name)), F.lit(reduce_buckets))
+        w1 = Window.partitionBy("query_id", "_b").orderBy(*order)
+        cands = (cands.withColumn("_b", bucket).withColumn("_r", F.row_number().over(w1))
+                 .where(F.col("_r") <= k).drop("_b", "_r"))
+    w = Window.partitionBy("query_id").orderBy(*order)
     return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", id_name, F.col("rank").cast("int").alias("rank"), "score"))
 
 
+def _default_buckets(spark) -> int:
+    return max(1, spark.sparkContext.defaultParallelism // 8)
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
           query_id: str = "query_id", query_vec: str = "embedding",
           corpus_id: str = "doc_id", corpus_vec: str = "embedding",
           strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
           max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = 50_000,
-          query_block_rows: int = 2_000) -> DataFrame:
+          query_block_rows: int = 2_000, prune_fraction: float | str | None = "auto",
+          reduce_buckets: int | None = None, seed: int = 17) -> DataFrame:
     """Top-k corpus rows per query: ``(query_id, <corpus_id>, rank INT, score DOUBLE)``."""
     _check(k, metric)
+    buckets = _default_buckets(corpus.sparkSession) if reduce_buckets is None else max(1, reduce_buckets)
     if strategy not in ("auto", "broadcast", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
     spark = corpus.sparkSession
@@ -173,20 +203,38 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
             if table.num_rows == 0:
                 return _final_rank(spark.createDataFrame([], f"query_id string, {corpus_id} string, score double"),
                                    k, corpus_id)
-            return _broadcast_top_k(spark, table, qmat, corpus_sel, k, metric, corpus_id)
+            fraction = prune_fraction
+            if fraction == "auto":
+                fraction = AUTO_PRUNE_FRACTION if table.num_rows * k >= AUTO_PRUNE_CANDIDATES else None
+            floor = None
+            if fraction:
+                floor = _sample_thresholds(spark, table, qmat, corpus_sel, k, metric, corpus_id, float(fraction), seed)
+            return _broadcast_top_k(spark, table, qmat, corpus_sel, k, metric, corpus_id, floor, buckets)
     return _block_top_k(queries.select(F.col(query_id).cast("string").alias("query_id"), F.col(query_vec).alias("_qvec")),
-                        corpus_sel, k, metric, corpus_id, block_rows, query_block_rows)
+                        corpus_sel, k, metric, corpus_id, block_rows, query_block_rows, buckets)
+
+
+def _sample_thresholds(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataFrame, k: int, metric: str,
+                       corpus_id: str, fraction: float, seed: int) -> np.ndarray:
+    """Per query, the k-th best score over a Bernoulli sample of the corpus
+    (-inf when the sample holds fewer than k rows): a lower bound of the k-th
+    best score over the whole corpus, whatever rows the sample holds."""
+    sample = _broadcast_top_k(spark, table, qmat, corpus_sel.sample(fraction=fraction, seed=seed), k, metric,
+                              corpus_id, None, 1)
+    kth = sample.where(F.col("rank") == k).select("query_id", "score").toArrow()
+    by_q = dict(zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist()))
+    return np.array([by_q.get(q, -np.inf) for q in table.column("q").to_pylist()], dtype=np.float64)
 
 
 def _broadcast_top_k(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataFrame, k: int, metric: str,
-                     corpus_id: str) -> DataFrame:
+                     corpus_id: str, floor: np.ndarray | None = None, buckets: int = 1) -> DataFrame:
     qids = np.asarray(table.column("q").to_pylist(), dtype=object)
     qmat, qsq = _prepare_queries(qmat, metric)
-    bc = spark.sparkContext.broadcast((qids, qmat, qsq))
+    bc = spark.sparkContext.broadcast((qids, qmat, qsq, floor))
 
     def score_partition(batches):
-        qids_, qmat_, qsq_ = bc.value
-        state = _TopK(k, len(qids_))
+        qids_, qmat_, qsq_, floor_ = bc.value
+        state = _TopK(k, len(qids_), floor_)
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -198,11 +246,11 @@ def _broadcast_top_k(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataF
         yield from _emit(qids_, state, corpus_id)
 
     cands = corpus_sel.mapInArrow(score_partition, f"query_id string, {corpus_id} string, score double")
-    return _final_rank(cands, k, corpus_id)
+    return _final_rank(cands, k, corpus_id, buckets)
 
 
 def _block_top_k(queries: DataFrame, corpus_sel: DataFrame, k: int, metric: str, corpus_id: str,
-                 block_rows: int, query_block_rows: int) -> DataFrame:
+                 block_rows: int, query_block_rows: int, buckets: int = 1) -> DataFrame:
     """Distributed fallback: cogroup (query block, corpus block) pairs.
 
     Each corpus row is copied once per query block and each query row once
@@ -234,4 +282,4 @@ def _block_top_k(queries: DataFrame, corpus_sel: DataFrame, k: int, metric: str,
 
     cands = c.groupBy("_qb", "_cb").cogroup(q.groupBy("_qb", "_cb")).applyInPandas(
         score_group, f"query_id string, {corpus_id} string, score double")
-    return _final_rank(cands, k, corpus_id)
+    return _final_rank(cands, k, corpus_id, buckets)

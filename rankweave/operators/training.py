@@ -9,7 +9,7 @@ single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.partitioning import dense_index
@@ -82,9 +82,10 @@ def sample_corpus(queries: DataFrame, qrels: DataFrame, docs: DataFrame, n: int
     Returns (queries, docs, qrels)."""
     sampled = queries.orderBy(order_by).limit(n)
     keys = [qrel_order] if isinstance(qrel_order, str) else list(qrel_order)
-    w = Window.partitionBy("query_id").orderBy(*keys)
-    first = (qrels.join(sampled.select("query_id"), "query_id", "left_semi")
-             .withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).select("doc_id").distinct())
+    # first judgement per query as a partially aggregated min_by (no window on a possibly hot query)
+    first = (qrels.join(sampled.select("query_id"), "query_id", "left_semi").groupBy("query_id")
+             .agg(F.min_by("doc_id", F.struct(*[F.col(c) for c in keys])).alias("doc_id"))
+             .select("doc_id").distinct())
     kept_docs = docs.join(first, "doc_id", "left_semi")
     kept_qrels = qrels.join(first, "doc_id", "left_semi")
     return sampled, kept_docs, kept_qrels

@@ -272,6 +272,14 @@ def q_eval_text_maxp_report(s, d):
     return ev.select("metric", r6("value").alias("value"))
 
 
+def q_stream_passages_title(s, d):
+    from rankweave.streaming.passages import run_available_now, stream_passages
+    path = f"{d.rstrip('/')}/documents.parquet"
+    stream = stream_passages(s, path, fx.table(s, d, "documents").schema, passage_size=PASSAGE_SIZE,
+                             view=fx.docs_view)
+    return s.read.parquet(run_available_now(stream)).select("doc_id", "passage_idx", "passage_id", "passage_body")
+
+
 def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "passages_spaces": q_passages_spaces,
@@ -321,6 +329,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "embed_hashed_queries": q_embed_hashed_queries,
         "topk_text_passages": q_topk_text_passages,
         "eval_text_maxp_report": q_eval_text_maxp_report,
+        "stream_passages_title": q_stream_passages_title,
     }
 
 
@@ -564,6 +573,7 @@ FROM (SELECT doc_id, tt, bt, chunk, unnest(range(0, len(bt), chunk)) AS st
                     CASE WHEN title IS NOT NULL AND title <> '' THEN string_split(title, ' ')[1:50] ELSE []::VARCHAR[] END AS tt,
                     string_split(body, ' ') AS bt FROM docs WHERE body IS NOT NULL AND body <> '') a) b) c""", "docs"),
         "passages_nest_roundtrip": _passages_sql(True),
+        "stream_passages_title": _passages_sql(True),
         "passages_capped": sql("SELECT doc_id, passage_idx, passage_id FROM vp WHERE passage_idx < 16", "vp"),
         "pool_mean": _pool_sql("mean"),
         "pool_sum": _pool_sql("sum"),

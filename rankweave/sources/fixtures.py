@@ -25,7 +25,11 @@ def _sid(prefix: str, c) -> F.Column:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs(doc_id, url, title, body): 1/7 of titles null, 1/7 empty; 1/11 of bodies null, 1/11 empty."""
-    d = table(spark, sf_dir, "documents")
+    return docs_view(table(spark, sf_dir, "documents"))
+
+
+def docs_view(d: DataFrame) -> DataFrame:
+    """The docs view over a ``documents`` frame (batch or streaming)."""
     return d.select(
         _sid("D", "doc_id").alias("doc_id"),
         F.concat(F.lit("http://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),

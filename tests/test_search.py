@@ -96,3 +96,24 @@ def test_bad_arguments(spark):
         search.top_k(q, q.withColumnRenamed("query_id", "doc_id"), 0)
     with pytest.raises(ValueError):
         search.top_k(q, q.withColumnRenamed("query_id", "doc_id"), 3, "hamming")
+
+
+def test_pruning_and_tree_reduction_are_exact(spark):
+    rng = np.random.default_rng(3)
+    qs = [(f"q{i}", rng.normal(size=8).tolist()) for i in range(6)]
+    cs = [(f"d{i:04d}", rng.normal(size=8).tolist()) for i in range(3000)] + [("dup", cs_v) for cs_v in []]
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>")
+    c = spark.createDataFrame(cs, "doc_id string, embedding array<double>").repartition(6)
+    base = _rows(search.top_k(q, c, 25, prune_fraction=None, reduce_buckets=1))
+    assert base == _brute(qs, cs, 25, "ip")
+    assert _rows(search.top_k(q, c, 25, prune_fraction=0.2, reduce_buckets=1)) == base
+    assert _rows(search.top_k(q, c, 25, prune_fraction=None, reduce_buckets=5)) == base
+    assert _rows(search.top_k(q, c, 25, "l2", prune_fraction=0.05, reduce_buckets=3)) == _brute(qs, cs, 25, "l2")
+
+
+def test_pruning_keeps_ties(spark):
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    rows = [(f"d{i:03d}", [1.0, 0.0]) for i in range(200)] + [(f"e{i:03d}", [0.5, 0.0]) for i in range(200)]
+    c = spark.createDataFrame(rows, "doc_id string, embedding array<double>").repartition(4)
+    got = _rows(search.top_k(q, c, 10, prune_fraction=0.5, reduce_buckets=2))
+    assert [r[1] for r in got] == [f"d{i:03d}" for i in range(10)]
