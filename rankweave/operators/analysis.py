@@ -2,8 +2,8 @@
 
 Bins run from the minimum to the maximum value (a constant column gets the
 range ``[v - 0.5, v + 0.5]``); the last bin is closed; empty bins are kept.
-Minimum and maximum are scalar subqueries (a partial/final aggregate each),
-so the plan stays lazy and nothing is collected.
+Minimum and maximum come from a scalar subquery over the checkpointed
+per-value counts; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -11,22 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import ensure_checkpoint_dir
+
 
 def position_histogram(df: DataFrame, col: str = "passage_idx", bins: int = 50, *, where=None) -> DataFrame:
-    """Rows (bin INT, lower DOUBLE, upper DOUBLE, count BIGINT), one per bin."""
+    """Rows (bin INT, lower DOUBLE, upper DOUBLE, count BIGINT), one per bin.
+
+    The input is read once: counts per distinct value (a partially aggregated
+    table, as small as the number of distinct values) are checkpointed to the
+    session's reliable checkpoint folder and feed both the range (one scalar
+    subquery for min and max together) and the bins.
+    """
     if bins < 1:
         raise ValueError("bins must be >= 1")
-    src = df.select(F.col(col).cast("double").alias("x"))
-    if where is not None:
-        src = df.where(where).select(F.col(col).cast("double").alias("x"))
-    src = src.where(F.col("x").isNotNull())
-    lo0 = src.select(F.min("x")).scalar()
-    hi0 = src.select(F.max("x")).scalar()
+    src = df.where(where) if where is not None else df
+    vals = (src.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+            .groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    ensure_checkpoint_dir(df.sparkSession)
+    vals = vals.checkpoint(eager=True)
+    rng = vals.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    lo0, hi0 = rng.getField("lo"), rng.getField("hi")
     lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
     hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
     scale = F.lit(float(bins)) / (hi - lo)
     b = F.least(F.floor((F.col("x") - lo) * scale), F.lit(bins - 1)).cast("int")
-    counts = src.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = vals.groupBy(b.alias("bin")).agg(F.sum("n").alias("count"))
     width = (hi - lo) / F.lit(float(bins))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (grid.join(counts, "bin", "left")
