@@ -186,13 +186,15 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     if strategy not in ("auto", "broadcast", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
     spark = corpus.sparkSession
-    corpus_sel = corpus.select(F.col(corpus_id).cast("string").alias(corpus_id), F.col(corpus_vec).alias("_vec"))
+    # rows without a vector cannot be scored: they are not candidates
+    corpus_sel = corpus.select(F.col(corpus_id).cast("string").alias(corpus_id),
+                               F.col(corpus_vec).alias("_vec")).where(F.col("_vec").isNotNull())
     if strategy in ("auto", "broadcast"):
         max_rows = max_broadcast_rows
         if k * max_rows > MAX_STATE_CANDIDATES:
             max_rows = max(1, MAX_STATE_CANDIDATES // k)
         table = (queries.select(F.col(query_id).cast("string").alias("q"), F.col(query_vec).alias("v"))
-                 .limit(max_rows + 1).toArrow())
+                 .where(F.col("v").isNotNull()).limit(max_rows + 1).toArrow())
         fits = table.num_rows <= max_rows
         if fits and table.num_rows:
             qmat = list_column_to_matrix(table.column("v"))
@@ -210,7 +212,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
             if fraction:
                 floor = _sample_thresholds(spark, table, qmat, corpus_sel, k, metric, corpus_id, float(fraction), seed)
             return _broadcast_top_k(spark, table, qmat, corpus_sel, k, metric, corpus_id, floor, buckets)
-    return _block_top_k(queries.select(F.col(query_id).cast("string").alias("query_id"), F.col(query_vec).alias("_qvec")),
+    return _block_top_k(queries.select(F.col(query_id).cast("string").alias("query_id"), F.col(query_vec).alias("_qvec"))
+                        .where(F.col("_qvec").isNotNull()),
                         corpus_sel, k, metric, corpus_id, block_rows, query_block_rows, buckets)
 
 
