@@ -57,21 +57,23 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
     each (query, document) pair of the run."""
     spark = run.sparkSession
     r = run if "doc_id" in run.columns else split_passage_id(run, passage_id)
-    cand = r.select("query_id", "doc_id").distinct()
     # at most Q x k rows; checkpointed (reliable folder) so the run behind it is
-    # computed once for the size check and the join
+    # computed once for the size checks and the joins
     ensure_checkpoint_dir(spark)
-    by_doc = cand.groupBy("doc_id").agg(F.collect_list("query_id").alias("_qids")).checkpoint(eager=True)
-    n_docs = by_doc.limit(max_candidate_docs + 1).count()
-    side = F.broadcast(by_doc) if n_docs <= max_candidate_docs else by_doc
-    p = passages.select("doc_id", F.col(passage_vec).alias("_pvec")).join(side, "doc_id")
+    cand = r.select("query_id", "doc_id").distinct().checkpoint(eager=True)
 
     qt = (queries.select(F.col("query_id").cast("string").alias("q"), F.col(query_vec).alias("v"))
-          .limit(max_broadcast_queries + 1).toArrow())
+          .where(F.col("v").isNotNull()).limit(max_broadcast_queries + 1).toArrow())
     fits = qt.num_rows <= max_broadcast_queries
     qmat = list_column_to_matrix(qt.column("v")) if fits and qt.num_rows else np.zeros((0, 0))
     fits = fits and qmat.nbytes <= max_broadcast_bytes
+    pv = passages.select("doc_id", F.col(passage_vec).alias("_pvec")).where(F.col("_pvec").isNotNull())
     if fits:
+        # one row per candidate document with the (at most Q) queries that retrieved it
+        by_doc = cand.groupBy("doc_id").agg(F.collect_list("query_id").alias("_qids"))
+        n_docs = cand.select("doc_id").distinct().limit(max_candidate_docs + 1).count()
+        side = F.broadcast(by_doc) if n_docs <= max_candidate_docs else by_doc
+        p = pv.join(side, "doc_id")
         qids = qt.column("q").to_pylist()
         bc = spark.sparkContext.broadcast((qids, qmat))
 
@@ -97,8 +99,10 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
 
         scored = p.select("doc_id", "_pvec", "_qids").mapInArrow(score, "query_id string, doc_id string, score double")
     else:
+        # query side too large to broadcast: plain equi-joins on doc_id then
+        # query_id (AQE splits a popular document's partition)
         qv = queries.select("query_id", F.col(query_vec).alias("_qvec"))
-        scored = (p.select("doc_id", "_pvec", F.explode("_qids").alias("query_id")).join(qv, "query_id")
+        scored = (pv.join(cand, "doc_id").join(qv, "query_id")
                   .select("query_id", "doc_id", dot("_qvec", "_pvec").alias("score")))
     return scored.groupBy("query_id", "doc_id").agg(
         F.sum("score").alias("sum_score"), F.avg("score").alias("mean_score"),

@@ -78,10 +78,11 @@ def run_lines(run: DataFrame, name: str | None = None, *, id_col: str = "doc_id"
 
 def write_run(run: DataFrame, path: str, name: str | None = None, *, id_col: str = "doc_id",
               digits: int | None = 6, mode: str = "errorifexists") -> None:
-    """Write a TREC run as text, ordered by query_id then rank (range-partitioned
-    on query_id, sorted within partitions: no single-task sort)."""
+    """Write a TREC run as text, ordered by query_id then rank: range-partitioned
+    on (query_id, rank), so even a query with most of the rows is split over
+    several files, then sorted within partitions (no single-task sort)."""
     lines = run_lines(run, name, id_col=id_col, digits=digits)
-    (lines.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank").select("line")
+    (lines.repartitionByRange("query_id", "rank").sortWithinPartitions("query_id", "rank").select("line")
      .write.mode(mode).text(path))
 
 
