@@ -280,6 +280,56 @@ def q_stream_passages_title(s, d):
     return s.read.parquet(run_available_now(stream)).select("doc_id", "passage_idx", "passage_id", "passage_body")
 
 
+def _scratch(s) -> str:
+    import uuid
+    from rankweave.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(s).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+
+
+def q_run_file_roundtrip(s, d):
+    run = search.top_k(fx.vec_queries(s, d), _sum_pooled(s, d), K_DOCS, "ip", corpus_id="doc_id",
+                       corpus_vec="doc_embedding")
+    path = _scratch(s)
+    files.write_run(run, path, RUN_NAME)
+    back = files.read_run(s, path)
+    return back.select("query_id", "doc_id", "rank", r6("score").alias("score"), "name")
+
+
+def q_qrels_file_roundtrip(s, d):
+    path = _scratch(s)
+    q = fx.vec_doc_qrels(s, d)
+    q.select(F.concat_ws(" ", "query_id", F.lit("0"), "doc_id", F.col("relevance").cast("string"))).write.text(path)
+    return files.read_qrels(s, path).select("query_id", "iter", "doc_id", "relevance")
+
+
+def q_topk_normalized_l2(s, d):
+    docs = pooling.l2_normalize(_sum_pooled(s, d))
+    queries = pooling.l2_normalize(fx.vec_queries(s, d), "embedding", "norm_embedding")
+    run = search.top_k(queries, docs, K_DOCS, "l2", query_vec="norm_embedding", corpus_id="doc_id",
+                       corpus_vec="norm_embedding")
+    return ranked(run)
+
+
+def _agg_run(how):
+    def run(s, d):
+        return rerank.score_aggregate(_passage_run(s, d, K_PASSAGES), fx.vec_passages(s, d), fx.vec_queries(s, d), how)
+    return run
+
+
+def q_rerank_max_first5(s, d):
+    mp = rerank.max_p(_passage_run(s, d, K_PASSAGES), max_queries=5)
+    return mp.select("query_id", "doc_id", "passage_idx", "passage_rank", "rank", r6("score").alias("score"))
+
+
+def q_rolled_negatives_no_positives(s, d):
+    return training.rolled_negatives(_clean_qrels(s, d), N_NEGATIVES, exclude_positives=True)
+
+
+def q_triplets_cycle_epoch60(s, d):
+    return training.triplets(_negatives(s, d), training.prepare_docs(_docs(s, d)), fx.queries(s, d), 60,
+                             n_negatives=N_NEGATIVES, on_exhaust="cycle")
+
+
 def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "passages_spaces": q_passages_spaces,
@@ -330,6 +380,14 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topk_text_passages": q_topk_text_passages,
         "eval_text_maxp_report": q_eval_text_maxp_report,
         "stream_passages_title": q_stream_passages_title,
+        "run_file_roundtrip": q_run_file_roundtrip,
+        "qrels_file_roundtrip": q_qrels_file_roundtrip,
+        "topk_normalized_l2": q_topk_normalized_l2,
+        "eval_sum_report": _eval(metrics.DEFAULT_METRICS, _agg_run("sum")),
+        "eval_mean_report": _eval(metrics.DEFAULT_METRICS, _agg_run("mean")),
+        "rerank_max_first5": q_rerank_max_first5,
+        "rolled_negatives_no_positives": q_rolled_negatives_no_positives,
+        "triplets_cycle_epoch60": q_triplets_cycle_epoch60,
     }
 
 
@@ -383,6 +441,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY prank)
        avg(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(p.passage_embedding AS DOUBLE[]))) AS mean_score
 FROM (SELECT DISTINCT query_id, doc_id FROM prun) c JOIN vp p ON p.doc_id = c.doc_id JOIN vq q ON q.query_id = c.query_id
 GROUP BY c.query_id, c.doc_id""",
+    "sumrun": "SELECT query_id, doc_id, sum_score AS score FROM cand_scores",
+    "meanrun": "SELECT query_id, doc_id, mean_score AS score FROM cand_scores",
     "docrun": f"""SELECT query_id, doc_id, score FROM (SELECT q.query_id, p.doc_id,
         list_dot_product(CAST(q.embedding AS DOUBLE[]), p.emb) AS score,
         row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), p.emb) DESC,
@@ -428,7 +488,7 @@ DEPS = {
     "vqr": ["vq", "vd"], "vdq": ["vq", "vp"], "pe": ["vp"], "sumpool": ["pe"], "meanpool": ["pe"],
     "removed": ["docs"], "prepared": ["docs"], "cq": ["tqrels", "removed"], "negs": ["cq"],
     "prun": ["vq", "vp"], "maxp": ["prun"], "cand_scores": ["prun", "vp", "vq"], "docrun": ["vq", "meanpool"],
-    "maxprun": ["maxp"], "tqv_tok": ["tq"], "tqv": ["tqv_tok"], "tp": ["docs"], "tpv_tok": ["tp"],
+    "maxprun": ["maxp"], "sumrun": ["cand_scores"], "meanrun": ["cand_scores"], "tqv_tok": ["tq"], "tqv": ["tqv_tok"], "tp": ["docs"], "tpv_tok": ["tp"],
     "tpv": ["tpv_tok"], "tqd": ["tq", "tqv"], "tpd": ["tp", "tpv"], "tprun": ["tqd", "tpd"],
     "lossp": ["vqr", "vq", "vd"], "losslg": ["lossp"],
 }
@@ -574,6 +634,30 @@ FROM (SELECT doc_id, tt, bt, chunk, unnest(range(0, len(bt), chunk)) AS st
                     string_split(body, ' ') AS bt FROM docs WHERE body IS NOT NULL AND body <> '') a) b) c""", "docs"),
         "passages_nest_roundtrip": _passages_sql(True),
         "stream_passages_title": _passages_sql(True),
+        "run_file_roundtrip": sql(f"""SELECT query_id, doc_id, CAST(rk AS INTEGER) AS rank, round(score, 6) AS score,
+       '{RUN_NAME}' AS name
+FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk
+      FROM (SELECT q.query_id, p.doc_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), p.emb) AS score
+            FROM vq q CROSS JOIN sumpool p) s) t WHERE rk <= {K_DOCS}""", "vq", "sumpool"),
+        "qrels_file_roundtrip": sql("SELECT query_id, '0' AS iter, doc_id, relevance FROM vdq", "vdq"),
+        "topk_normalized_l2": sql(f"""SELECT query_id, doc_id, CAST(rk AS INTEGER) AS rank, round(score, 6) AS score
+FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk
+      FROM (SELECT q.query_id, p.doc_id,
+                   -list_sum(list_transform(list_zip(q.nv, p.nv), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS score
+            FROM (SELECT query_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN n = 0 THEN x ELSE x / n END) AS nv
+                  FROM (SELECT query_id, embedding,
+                               sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM vq) a) q
+            CROSS JOIN (SELECT doc_id, list_transform(emb, lambda x: CASE WHEN n = 0 THEN x ELSE x / n END) AS nv
+                  FROM (SELECT doc_id, emb, sqrt(list_sum(list_transform(emb, lambda x: x * x))) AS n FROM sumpool) b) p) s) t
+WHERE rk <= {K_DOCS}""", "vq", "sumpool"),
+        "eval_sum_report": _eval_sql(list(_METRIC_COLS), "sumrun", "vdq", ("sumrun", "vdq")),
+        "eval_mean_report": _eval_sql(list(_METRIC_COLS), "meanrun", "vdq", ("meanrun", "vdq")),
+        "rerank_max_first5": sql("""SELECT query_id, doc_id, passage_idx, passage_rank, rank, round(score, 6) AS score FROM maxp
+WHERE query_id IN (SELECT DISTINCT query_id FROM prun ORDER BY query_id LIMIT 5)""", "maxp", "prun"),
+        "rolled_negatives_no_positives": sql("""SELECT n.query_id, n.pos, n.neg_no, n.neg FROM negs n
+WHERE NOT EXISTS (SELECT 1 FROM cq c WHERE c.query_id = n.query_id AND c.doc_id = n.neg)""", "negs", "cq"),
+        "triplets_cycle_epoch60": _triplets_sql(60).replace(f"WHERE n.neg_no = least(60, {N_NEGATIVES})",
+                                                            f"WHERE n.neg_no = ((60 - 1) % {N_NEGATIVES}) + 1"),
         "passages_capped": sql("SELECT doc_id, passage_idx, passage_id FROM vp WHERE passage_idx < 16", "vp"),
         "pool_mean": _pool_sql("mean"),
         "pool_sum": _pool_sql("sum"),
