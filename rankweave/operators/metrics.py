@@ -55,7 +55,8 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
     parsed = [(m, *parse_metric(m)) for m in metrics]
     kmax = max(k for _, _, k in parsed)
     ranked = rank_run(run, order_by=order_by).where(F.col("rank") <= kmax)
-    q = qrels.select("query_id", "doc_id", F.col("relevance").cast("int").alias("rel"))
+    # one judgement per (query, doc): the highest grade (partial aggregate)
+    q = qrels.groupBy("query_id", "doc_id").agg(F.max(F.col("relevance").cast("int")).alias("rel"))
     j = ranked.join(q, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     is_rel = F.col("rel") >= 1
     hits_w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -186,9 +186,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     if strategy not in ("auto", "broadcast", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
     spark = corpus.sparkSession
-    # rows without a vector cannot be scored: they are not candidates
-    corpus_sel = corpus.select(F.col(corpus_id).cast("string").alias(corpus_id),
-                               F.col(corpus_vec).alias("_vec")).where(F.col("_vec").isNotNull())
+    # rows without an id or a vector cannot be ranked: they are not candidates
+    corpus_sel = (corpus.select(F.col(corpus_id).cast("string").alias(corpus_id), F.col(corpus_vec).alias("_vec"))
+                  .where(F.col("_vec").isNotNull() & F.col(corpus_id).isNotNull()))
     if strategy in ("auto", "broadcast"):
         max_rows = max_broadcast_rows
         if k * max_rows > MAX_STATE_CANDIDATES:

@@ -71,3 +71,9 @@ def test_loss_edge(spark):
     df = spark.createDataFrame(rows, "batch long, query_embedding array<float>, doc_embedding array<float>")
     out = metrics.in_batch_loss(df).first()
     assert out.n == 2 and math.isclose(out.loss, math.log(1 + math.exp(-1)), rel_tol=1e-9)
+
+
+def test_duplicate_judgements_count_once(spark):
+    run = [("q", "a", 1, 2.0), ("q", "b", 2, 1.0)]
+    ev = _eval(spark, run, [("q", "a", 1), ("q", "a", 2), ("q", "b", 0)], ["R@1000", "nDCG@10"])
+    assert math.isclose(ev["R@1000"], 1.0) and math.isclose(ev["nDCG@10"], 1.0)
