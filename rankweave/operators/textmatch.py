@@ -15,6 +15,7 @@ cogroup with its own automaton.
 from __future__ import annotations
 
 import math
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,10 @@ MAX_PATTERN_BYTES = 64 << 20
 
 _ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
 
+# automata built in this Python worker, by pattern-set token: reused by every
+# task the worker runs for the same pattern set
+_AUTOMATA: dict[str, tuple] = {}
+
 
 def _automaton(texts, keys):
     try:
@@ -78,12 +83,13 @@ def contains_join(docs: DataFrame, patterns: DataFrame, *, doc_key: str, doc_tex
     d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_t"))
     if small:
         bc = spark.sparkContext.broadcast((tbl.column("t").to_pylist(), tbl.column("k").to_pylist()))
-        cache: dict = {}
+        bc_id = uuid.uuid4().hex
 
         def scan(batches):
-            if "a" not in cache:
-                cache["a"] = _automaton(*bc.value)
-            auto, plain = cache["a"]
+            if bc_id not in _AUTOMATA:
+                _AUTOMATA.clear()
+                _AUTOMATA[bc_id] = _automaton(*bc.value)
+            auto, plain = _AUTOMATA[bc_id]
             for b in batches:
                 dk, pk = [], []
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
