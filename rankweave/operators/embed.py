@@ -26,13 +26,17 @@ from rankweave.operators.passages import nest
 
 Encoder = Callable[[list], np.ndarray]
 
+# token -> bucket caches of the hashed encoder, per dimension, kept by the
+# Python worker process across the tasks it runs
+_BUCKETS: dict[int, dict[str, int]] = {}
+
 
 def hashed_encoder(dim: int = 64, cache_size: int = 1 << 20) -> Encoder:
-    """Factory of a bag-of-words encoder: each token (split on single spaces)
-    adds 1 to bucket ``int(md5(token)[:8], 16) mod dim``; the counts are
-    L2-normalised. Null text -> zero vector. Token buckets are cached per
-    encoder instance (one per task), so md5 runs once per distinct token."""
-    cache: dict[str, int] = {}
+    """Factory of a bag-of-words encoder: each token (split on single spaces,
+    empty tokens kept) adds 1 to bucket ``int(md5(token)[:8], 16) mod dim``;
+    the counts are L2-normalised. Null text -> zero vector. Token buckets are
+    cached per worker process, so md5 runs about once per distinct token."""
+    cache = _BUCKETS.setdefault(dim, {})
 
     def bucket(tok: str) -> int:
         if len(cache) >= cache_size:
@@ -56,10 +60,18 @@ def hashed_encoder(dim: int = 64, cache_size: int = 1 << 20) -> Encoder:
 
 
 def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder], *, out_col: str = "embedding",
-          batch_size: int = 16, dim: int | None = None, drop_text: bool = True) -> DataFrame:
-    """Add ``out_col`` (ARRAY<FLOAT>) = encoder(text) to every row."""
+          batch_size: int = 16, dim: int | None = None, drop_text: bool = True,
+          partitions: int | None = None) -> DataFrame:
+    """Add ``out_col`` (ARRAY<FLOAT>) = encoder(text) to every row.
+
+    ``partitions`` spreads the rows round-robin over that many tasks before
+    encoding (one shuffle of the text), for inputs whose splits are fewer or
+    more uneven than the encoder workers; Spark sorts before a round-robin
+    repartition, so a retried task gets the same rows."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
+    if partitions is not None:
+        df = df.repartition(partitions)
     keep = [f for f in df.schema.fields if not (drop_text and f.name == text_col)]
     out_schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.FloatType()), True)])
     names = [f.name for f in keep]

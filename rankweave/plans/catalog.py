@@ -254,7 +254,7 @@ def q_embed_hashed_queries(s, d):
 def _text_passage_vecs(s, d):
     p = passages.split_passages(passages.drop_empty(_docs(s, d)), PASSAGE_SIZE, True, keep=[])
     return embed.embed(p, "passage_body", lambda: embed.hashed_encoder(EMBED_DIM), out_col="passage_embedding",
-                       dim=EMBED_DIM)
+                       dim=EMBED_DIM, partitions=s.sparkContext.defaultParallelism)
 
 
 def _text_passage_run(s, d):
