@@ -2,8 +2,8 @@
 
 Bins run from the minimum to the maximum value (a constant column gets the
 range ``[v - 0.5, v + 0.5]``); the last bin is closed; empty bins are kept.
-Minimum and maximum come from a scalar subquery over the checkpointed
-per-value counts; nothing is collected to the driver.
+Minimum and maximum are read from the checkpointed per-value counts (two
+numbers); the bins are an aggregate over that table joined to the bin grid.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ def position_histogram(df: DataFrame, col: str = "passage_idx", bins: int = 50,
 
     The input is read once: counts per distinct value (a partially aggregated
     table, as small as the number of distinct values) are checkpointed to the
-    session's reliable checkpoint folder and feed both the range (one scalar
-    subquery for min and max together) and the bins.
+    session's reliable checkpoint folder and feed both the range (its minimum
+    and maximum, two numbers) and the bins.
     """
     if bins < 1:
         raise ValueError("bins must be >= 1")
@@ -29,10 +29,12 @@ def position_histogram(df: DataFrame, col: str = "passage_idx", bins: int = 50,
             .groupBy("x").agg(F.count(F.lit(1)).alias("n")))
     ensure_checkpoint_dir(df.sparkSession)
     vals = vals.checkpoint(eager=True)
-    rng = vals.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    lo0, hi0 = rng.getField("lo"), rng.getField("hi")
-    lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
-    hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
+    # two numbers from the checkpointed table
+    lo0, hi0 = vals.agg(F.min("x"), F.max("x")).first()
+    if lo0 is None:
+        lo0 = hi0 = 0.0
+    lo_v, hi_v = (lo0 - 0.5, hi0 + 0.5) if lo0 == hi0 else (lo0, hi0)
+    lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
     scale = F.lit(float(bins)) / (hi - lo)
     b = F.least(F.floor((F.col("x") - lo) * scale), F.lit(bins - 1)).cast("int")
     counts = vals.groupBy(b.alias("bin")).agg(F.sum("n").alias("count"))

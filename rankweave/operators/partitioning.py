@@ -5,13 +5,14 @@ need an explicit order. ``dense_index`` numbers rows 0..N-1 in that order
 without a single-partition window: the ordered frame gets
 ``monotonically_increasing_id`` (partition id in the high bits), is
 checkpointed to the session's reliable checkpoint folder so that a retried
-task sees the same rows, and each partition's offset comes from a per-partition
-count (one row per partition).
+task sees the same rows, and each partition's offset comes from the
+per-partition counts (one number per partition, collected like
+``zipWithIndex`` does).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.session import ensure_checkpoint_dir
@@ -19,12 +20,15 @@ from rankweave.session import ensure_checkpoint_dir
 _LOW_BITS = (1 << 33) - 1
 
 
-def dense_index(df: DataFrame, order_by: list[str] | str, *, out_col: str = "row_idx",
-                checkpoint: bool = True) -> DataFrame:
-    """Add ``out_col`` = 0-based position of the row in ``order_by`` order (BIGINT).
+def indexed_with_count(df: DataFrame, order_by: list[str] | str, *, out_col: str = "row_idx",
+                       checkpoint: bool = True) -> tuple[DataFrame, int]:
+    """``dense_index`` plus the row count N.
 
-    ``order_by`` should be a total order (unique keys); ties are ordered
-    arbitrarily but consistently once checkpointed.
+    The ordered frame gets ``monotonically_increasing_id`` (partition id in the
+    high bits) and is checkpointed, so a retried task sees the same rows; the
+    per-partition row counts (one number per partition, the same bounded list
+    ``zipWithIndex`` gathers) give each partition's offset, which is joined back
+    as a small broadcast table.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     ordered = df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
@@ -32,14 +36,28 @@ def dense_index(df: DataFrame, order_by: list[str] | str, *, out_col: str = "row
         ensure_checkpoint_dir(df.sparkSession)
         ordered = ordered.checkpoint(eager=True)
     part = F.shiftrightunsigned(F.col("_mid"), 33)
-    counts = ordered.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: the running sum runs in one task over P rows
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (ordered.withColumn("_pid", part)
-            .join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-            .drop("_pid", "_off", "_mid"))
+    counts = sorted((r[0], r[1]) for r in ordered.groupBy(part.alias("_pid")).agg(F.count(F.lit(1))).collect())
+    offsets, total = [], 0
+    for pid, n in counts:
+        offsets.append((pid, total))
+        total += n
+    spark = df.sparkSession
+    off = spark.createDataFrame(offsets or [(0, 0)], "_pid long, _off long")
+    out = (ordered.withColumn("_pid", part)
+           .join(F.broadcast(off), "_pid")
+           .withColumn(out_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+           .drop("_pid", "_off", "_mid"))
+    return out, total
+
+
+def dense_index(df: DataFrame, order_by: list[str] | str, *, out_col: str = "row_idx",
+                checkpoint: bool = True) -> DataFrame:
+    """Add ``out_col`` = 0-based position of the row in ``order_by`` order (BIGINT).
+
+    ``order_by`` should be a total order (unique keys); ties are ordered
+    arbitrarily but consistently once checkpointed.
+    """
+    return indexed_with_count(df, order_by, out_col=out_col, checkpoint=checkpoint)[0]
 
 
 def contiguous_shard(df: DataFrame, n_shards: int, order_by: list[str] | str, *, rule: str = "balanced",
@@ -53,12 +71,12 @@ def contiguous_shard(df: DataFrame, n_shards: int, order_by: list[str] | str, *,
     """
     if n_shards < 1:
         raise ValueError("n_shards must be >= 1")
-    idx = dense_index(df, order_by, out_col="_r")
-    total = idx.select(F.count(F.lit(1))).scalar()
+    idx, n_rows = indexed_with_count(df, order_by, out_col="_r")
+    total = F.lit(n_rows).cast("long")
     r = F.col("_r")
     n = F.lit(n_shards).cast("long")
     if rule == "balanced":
-        div = F.floor(total / n)
+        div = F.floor(total / n)  # 0 when N < n: then every row is before the boundary
         mod = F.pmod(total, n)
         boundary = mod * (div + 1)
         shard = F.when(r < boundary, F.floor(r / (div + 1))).otherwise(mod + F.floor((r - boundary) / div))
@@ -66,7 +84,7 @@ def contiguous_shard(df: DataFrame, n_shards: int, order_by: list[str] | str, *,
         def start(k):
             return F.floor(k.cast("double") / F.lit(float(n_shards)) * total.cast("double"))
         # the last shard whose start is <= r; exact up to one float step, then corrected
-        k0 = F.ceil((r + 1) * n / total) - 1
+        k0 = F.ceil((r + 1) * n / F.greatest(total, F.lit(1))) - 1
         shard = (k0 + F.when((k0 + 1 < n) & (r >= start(k0 + 1)), 1).otherwise(0)
                  - F.when(r < start(k0), 1).otherwise(0))
     else:

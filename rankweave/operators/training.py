@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators.partitioning import dense_index
+from rankweave.operators.partitioning import indexed_with_count
 from rankweave.operators.passages import nest
 
 ON_EXHAUST = ("stick", "cycle")
@@ -102,8 +102,8 @@ def rolled_negatives(qrels: DataFrame, n_negatives: int = 50, *, order_by=("quer
     same query is dropped (the reference keeps them)."""
     if n_negatives < 1:
         raise ValueError("n_negatives must be >= 1")
-    idx = dense_index(qrels.select("query_id", "doc_id"), list(order_by), out_col="_r")
-    total = idx.select(F.count(F.lit(1))).scalar()
+    idx, n_rows = indexed_with_count(qrels.select("query_id", "doc_id"), list(order_by), out_col="_r")
+    total = F.lit(max(n_rows, 1)).cast("long")
     src = idx.select("_r", F.col("doc_id").alias("neg"))
     rows = idx.select("_r", "query_id", F.col("doc_id").alias("pos"),
                       F.explode(F.sequence(F.lit(1), F.lit(n_negatives))).alias("neg_no"))
