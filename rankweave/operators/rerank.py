@@ -28,7 +28,7 @@ from rankweave.functions.vectors import dot, list_column_to_matrix
 from rankweave.operators.passages import split_passage_id
 from rankweave.session import ensure_checkpoint_dir
 
-MAX_CANDIDATE_DOCS = 500_000  # (doc_id, list of query ids) rows broadcast to filter the passages
+MAX_CANDIDATE_PAIRS = 2_000_000  # (query, doc) pairs behind the broadcast (doc_id, query list) table
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
 AGGREGATIONS = ("sum", "mean")
@@ -51,7 +51,7 @@ def max_p(run: DataFrame, *, passage_id: str = "passage_id", max_queries: int |
 
 def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passage_vec: str = "passage_embedding",
                query_vec: str = "embedding", passage_id: str = "passage_id",
-               max_candidate_docs: int = MAX_CANDIDATE_DOCS, max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+               max_candidate_pairs: int = MAX_CANDIDATE_PAIRS, max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
                max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(query_id, doc_id, sum_score, mean_score, n_passages) over all passages of
     each (query, document) pair of the run."""
@@ -71,8 +71,9 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
     if fits:
         # one row per candidate document with the (at most Q) queries that retrieved it
         by_doc = cand.groupBy("doc_id").agg(F.collect_list("query_id").alias("_qids"))
-        n_docs = cand.select("doc_id").distinct().limit(max_candidate_docs + 1).count()
-        side = F.broadcast(by_doc) if n_docs <= max_candidate_docs else by_doc
+        # the broadcast table holds one entry per (query, doc) pair: bound that count
+        n_pairs = cand.limit(max_candidate_pairs + 1).count()
+        side = F.broadcast(by_doc) if n_pairs <= max_candidate_pairs else by_doc
         p = pv.join(side, "doc_id")
         qids = qt.column("q").to_pylist()
         bc = spark.sparkContext.broadcast((qids, qmat))

@@ -42,7 +42,7 @@ def test_sum_mean_brute_force(spark):
         assert math.isclose(m, sum(scores) / len(scores), abs_tol=1e-9)
     # the fallback (query side over the broadcast bound) gives the same table
     ds2 = {(r.query_id, r.doc_id): r.sum_score for r in rerank.doc_scores(run, vp, vq, max_broadcast_queries=2,
-                                                                          max_candidate_docs=1).collect()}
+                                                                          max_candidate_pairs=1).collect()}
     assert ds2.keys() == ds.keys() and all(math.isclose(ds2[k], ds[k][0], abs_tol=1e-9) for k in ds)
 
 
