@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from tests.conftest import SF
 
 TABLES = "documents embeddings benchmark labels pages conversations".split()
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT"}
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,8 @@ def test_query_matches_oracle(spark, con, name):
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     rel = con.sql(entry.oracle_sql()[name])
     assert sorted(rel.columns) == cols
+    types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in df.dtypes} == types
     exp = sorted((tuple(_norm(x) for _, x in sorted(zip(rel.columns, r))) for r in rel.fetchall()), key=repr)
     assert got == exp
 
