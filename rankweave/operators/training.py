@@ -116,6 +116,17 @@ def rolled_negatives(qrels: DataFrame, n_negatives: int = 50, *, order_by=("quer
     return out
 
 
+def wide_negatives(negatives: DataFrame, n_negatives: int) -> DataFrame:
+    """Wide form of the rolled negatives: (query_id, pos, neg_1 .. neg_n), one
+    row per judgement. A pivot with the values given, so no job is run to find
+    them; each (query, pos, neg_no) holds one negative."""
+    if n_negatives < 1:
+        raise ValueError("n_negatives must be >= 1")
+    wide = negatives.groupBy("query_id", "pos").pivot("neg_no", list(range(1, n_negatives + 1))).agg(
+        F.first("neg"))
+    return wide.select("query_id", "pos", *[F.col(str(i)).alias(f"neg_{i}") for i in range(1, n_negatives + 1)])
+
+
 def negative_for_epoch(epoch: int, n_negatives, on_exhaust: str = "stick"):
     """Number of the negative used on the ``epoch``-th visit (1-based) of a row:
     1, 2, ..., n, then n again ("stick") or 1, 2, ... again ("cycle")."""

@@ -330,6 +330,10 @@ def q_triplets_cycle_epoch60(s, d):
                              n_negatives=N_NEGATIVES, on_exhaust="cycle")
 
 
+def q_negatives_wide(s, d):
+    return training.wide_negatives(_negatives(s, d), N_NEGATIVES)
+
+
 def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "passages_spaces": q_passages_spaces,
@@ -388,6 +392,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rerank_max_first5": q_rerank_max_first5,
         "rolled_negatives_no_positives": q_rolled_negatives_no_positives,
         "triplets_cycle_epoch60": q_triplets_cycle_epoch60,
+        "negatives_wide": q_negatives_wide,
     }
 
 
@@ -656,6 +661,9 @@ WHERE rk <= {K_DOCS}""", "vq", "sumpool"),
 WHERE query_id IN (SELECT DISTINCT query_id FROM prun ORDER BY query_id LIMIT 5)""", "maxp", "prun"),
         "rolled_negatives_no_positives": sql("""SELECT n.query_id, n.pos, n.neg_no, n.neg FROM negs n
 WHERE NOT EXISTS (SELECT 1 FROM cq c WHERE c.query_id = n.query_id AND c.doc_id = n.neg)""", "negs", "cq"),
+        "negatives_wide": sql("SELECT query_id, pos, " + ", ".join(
+            f"max(CASE WHEN neg_no = {i} THEN neg END) AS neg_{i}" for i in range(1, N_NEGATIVES + 1))
+            + " FROM negs GROUP BY query_id, pos", "negs"),
         "triplets_cycle_epoch60": _triplets_sql(60).replace(f"WHERE n.neg_no = least(60, {N_NEGATIVES})",
                                                             f"WHERE n.neg_no = ((60 - 1) % {N_NEGATIVES}) + 1"),
         "passages_capped": sql("SELECT doc_id, passage_idx, passage_id FROM vp WHERE passage_idx < 16", "vp"),

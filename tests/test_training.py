@@ -83,3 +83,11 @@ def test_bad_options(spark):
         training.negative_for_epoch(0, 5)
     with pytest.raises(ValueError):
         training.negative_for_epoch(1, 5, "reset")
+
+
+def test_wide_negatives(spark):
+    q = spark.createDataFrame([("q1", "a", 1), ("q2", "b", 1), ("q3", "c", 1)], QR)
+    wide = training.wide_negatives(training.rolled_negatives(q, 2), 2)
+    assert wide.columns == ["query_id", "pos", "neg_1", "neg_2"]
+    got = {r.pos: (r.neg_1, r.neg_2) for r in wide.collect()}
+    assert got == {"a": ("c", "b"), "b": ("a", "c"), "c": ("b", "a")}
