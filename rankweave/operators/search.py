@@ -87,9 +87,13 @@ class _TopK:
         q = np.concatenate([p[0] for p in self.parts])
         s = np.concatenate([p[1] for p in self.parts])
         ids = np.concatenate([p[2] for p in self.parts])
-        _, codes = np.unique(ids, return_inverse=True)
-        order = np.lexsort((codes, -s, q))
-        qs = q[order]
+        order = np.lexsort((-s, q))
+        qs, ss = q[order], s[order]
+        if np.any((qs[1:] == qs[:-1]) & (ss[1:] == ss[:-1])):
+            # exact score ties inside a query: order them by id (string order)
+            _, codes = np.unique(ids, return_inverse=True)
+            order = np.lexsort((codes, -s, q))
+            qs = q[order]
         pos = np.arange(len(order)) - np.searchsorted(qs, qs, side="left")
         keep = order[pos < self.k]
         q, s, ids = q[keep], s[keep], ids[keep]
