@@ -93,7 +93,7 @@ def list_column_to_matrix(col: pa.Array | pa.ChunkedArray, dtype=np.float64) ->
 
 def normalize_rows(m: np.ndarray) -> np.ndarray:
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
-    safe = np.where(norms == 0, 1.0, norms)
+    safe = np.where(norms == 0, 1, norms).astype(m.dtype)
     return m / safe[:, None]
 
 

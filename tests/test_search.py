@@ -117,3 +117,22 @@ def test_pruning_keeps_ties(spark):
     c = spark.createDataFrame(rows, "doc_id string, embedding array<double>").repartition(4)
     got = _rows(search.top_k(q, c, 10, prune_fraction=0.5, reduce_buckets=2))
     assert [r[1] for r in got] == [f"d{i:03d}" for i in range(10)]
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_float32_scoring_same_ranking(spark, metric):
+    vp = fx.vec_passages(spark, SF)
+    q = fx.vec_queries(spark, SF)
+    kw = dict(corpus_id="passage_id", corpus_vec="passage_embedding")
+    a = [(r[0], r[1], r[2]) for r in _rows(search.top_k(q, vp, 10, metric, **kw), "passage_id")]
+    b_rows = _rows(search.top_k(q, vp, 10, metric, compute_dtype="float32", **kw), "passage_id")
+    assert [(r[0], r[1], r[2]) for r in b_rows] == a
+
+
+def test_pruning_float32_is_exact_on_fixture(spark):
+    vp = fx.vec_passages(spark, SF)
+    q = fx.vec_queries(spark, SF)
+    kw = dict(corpus_id="passage_id", corpus_vec="passage_embedding", compute_dtype="float32")
+    a = _rows(search.top_k(q, vp, 20, prune_fraction=None, **kw), "passage_id")
+    b = _rows(search.top_k(q, vp, 20, prune_fraction=0.3, reduce_buckets=3, **kw), "passage_id")
+    assert a == b
