@@ -30,11 +30,15 @@ def pairs(query_embeddings: DataFrame, qrels: DataFrame, passages: DataFrame, *,
     a document with passages:
     (query_id, doc_id, query_embedding, doc_passage_embeddings ARRAY<ARRAY<FLOAT>>)
     with the passage vectors in passage order."""
-    nested = nest(passages.select("doc_id", "passage_idx", passage_vec), fields=["passage_idx", passage_vec],
-                  out_col="_ps", max_passages=max_passages)
+    rel = relevant_pairs(qrels)
+    # only judged documents are nested: the passage table is semi-joined to
+    # their ids first, so the nesting shuffle carries just those passages
+    needed = passages.select("doc_id", "passage_idx", passage_vec).join(
+        rel.select("doc_id").distinct(), "doc_id", "left_semi")
+    nested = nest(needed, fields=["passage_idx", passage_vec], out_col="_ps", max_passages=max_passages)
     docs = nested.select("doc_id", F.transform("_ps", lambda p: p[passage_vec]).alias("doc_passage_embeddings"))
     q = query_embeddings.select("query_id", F.col(query_vec).alias("query_embedding"))
-    return relevant_pairs(qrels).join(q, "query_id").join(docs, "doc_id").select(
+    return rel.join(q, "query_id").join(docs, "doc_id").select(
         "query_id", "doc_id", "query_embedding", "doc_passage_embeddings")
 
 
