@@ -29,6 +29,7 @@ from rankweave.operators.passages import split_passage_id
 from rankweave.session import ensure_checkpoint_dir
 
 MAX_CANDIDATE_PAIRS = 2_000_000  # (query, doc) pairs behind the broadcast (doc_id, query list) table
+MAX_CANDIDATE_DOCS = 5_000_000  # distinct candidate doc ids broadcast as a semi-join filter
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
 AGGREGATIONS = ("sum", "mean")
@@ -51,7 +52,8 @@ def max_p(run: DataFrame, *, passage_id: str = "passage_id", max_queries: int |
 
 def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passage_vec: str = "passage_embedding",
                query_vec: str = "embedding", passage_id: str = "passage_id",
-               max_candidate_pairs: int = MAX_CANDIDATE_PAIRS, max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+               max_candidate_pairs: int = MAX_CANDIDATE_PAIRS, max_candidate_docs: int = MAX_CANDIDATE_DOCS,
+               max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
                max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(query_id, doc_id, sum_score, mean_score, n_passages) over all passages of
     each (query, document) pair of the run."""
@@ -73,8 +75,15 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
         by_doc = cand.groupBy("doc_id").agg(F.collect_list("query_id").alias("_qids"))
         # the broadcast table holds one entry per (query, doc) pair: bound that count
         n_pairs = cand.limit(max_candidate_pairs + 1).count()
-        side = F.broadcast(by_doc) if n_pairs <= max_candidate_pairs else by_doc
-        p = pv.join(side, "doc_id")
+        if n_pairs <= max_candidate_pairs:
+            p = pv.join(F.broadcast(by_doc), "doc_id")
+        else:
+            # too many pairs for the lists: filter the passages in place by the
+            # candidate ids when those fit, then shuffle only what is left
+            docs = cand.select("doc_id").distinct()
+            n_docs = docs.limit(max_candidate_docs + 1).count()
+            kept = pv.join(F.broadcast(docs), "doc_id", "left_semi") if n_docs <= max_candidate_docs else pv
+            p = kept.join(by_doc, "doc_id")
         qids = qt.column("q").to_pylist()
         bc = spark.sparkContext.broadcast((qids, qmat))
 

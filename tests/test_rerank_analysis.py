@@ -44,6 +44,12 @@ def test_sum_mean_brute_force(spark):
     ds2 = {(r.query_id, r.doc_id): r.sum_score for r in rerank.doc_scores(run, vp, vq, max_broadcast_queries=2,
                                                                           max_candidate_pairs=1).collect()}
     assert ds2.keys() == ds.keys() and all(math.isclose(ds2[k], ds[k][0], abs_tol=1e-9) for k in ds)
+    # pairs over the bound, documents under it: broadcast id filter, then a shuffle join
+    ds3 = {(r.query_id, r.doc_id): r.sum_score for r in rerank.doc_scores(run, vp, vq, max_candidate_pairs=1).collect()}
+    assert ds3.keys() == ds.keys() and all(math.isclose(ds3[k], ds[k][0], abs_tol=1e-9) for k in ds)
+    ds4 = {(r.query_id, r.doc_id): r.sum_score for r in rerank.doc_scores(
+        run, vp, vq, max_candidate_pairs=1, max_candidate_docs=1).collect()}
+    assert ds4.keys() == ds.keys()
 
 
 def test_hist_edge(spark):
