@@ -16,6 +16,7 @@ from rankweave.operators.partitioning import indexed_with_count
 from rankweave.operators.passages import nest
 
 ON_EXHAUST = ("stick", "cycle")
+MAX_BROADCAST_IDS = 2_000_000  # document ids broadcast as a semi-join filter
 
 
 # ------------------------------------------------------------------ pairs
@@ -45,8 +46,10 @@ def pairs(query_embeddings: DataFrame, qrels: DataFrame, passages: DataFrame, *,
 def unmatched(query_embeddings: DataFrame, qrels: DataFrame, passages: DataFrame) -> DataFrame:
     """Queries with a vector but no usable pair (no relevant judgement, or only
     documents without passages): (query_id)."""
-    have_docs = passages.select("doc_id").distinct()
-    usable = relevant_pairs(qrels).join(have_docs, "doc_id", "left_semi").select("query_id")
+    rel = relevant_pairs(qrels)
+    # documents with passages, looked up only for judged documents
+    have_docs = passages.select("doc_id").join(rel.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    usable = rel.join(have_docs, "doc_id", "left_semi").select("query_id")
     return query_embeddings.select("query_id").join(usable, "query_id", "left_anti")
 
 
@@ -145,7 +148,8 @@ def negative_for_epoch(epoch: int, n_negatives, on_exhaust: str = "stick"):
 
 
 def triplets(negatives: DataFrame, prepared: DataFrame, queries: DataFrame, epoch: int = 1, *,
-             n_negatives: int | None = None, on_exhaust: str = "stick") -> DataFrame:
+             n_negatives: int | None = None, on_exhaust: str = "stick",
+             max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
     """(query_id, pos, neg, query_text, pos_text, neg_text) for one epoch.
 
     Rows whose query, positive or negative text is unknown are dropped (the
@@ -153,6 +157,13 @@ def triplets(negatives: DataFrame, prepared: DataFrame, queries: DataFrame, epoc
     joined twice; Spark reuses the one exchange of that side."""
     n = n_negatives if n_negatives is not None else negatives.select(F.max("neg_no")).scalar()
     pick = negatives.where(F.col("neg_no") == negative_for_epoch(epoch, n, on_exhaust))
+    # only documents used as a positive or negative are joined: the prepared
+    # texts are filtered by those ids in place (broadcast, size checked)
+    # before the two shuffle joins
+    used = pick.select(F.col("pos").alias("doc_id")).union(pick.select(F.col("neg").alias("doc_id"))).distinct()
+    n_used = used.limit(max_broadcast_ids + 1).count()
+    if n_used <= max_broadcast_ids:
+        prepared = prepared.join(F.broadcast(used), "doc_id", "left_semi")
     qt = queries.select("query_id", F.col("text").alias("query_text"))
     pt = prepared.select(F.col("doc_id").alias("pos"), F.col("text").alias("pos_text"))
     nt = prepared.select(F.col("doc_id").alias("neg"), F.col("text").alias("neg_text"))
