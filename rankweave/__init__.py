@@ -9,3 +9,18 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _pickle_by_value() -> None:
+    """Functions of this package that run inside Spark tasks (mapInArrow,
+    applyInPandas) are serialised by value, so executors need not have the
+    package installed or on their path."""
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover
+        return
+    import sys
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_pickle_by_value()
