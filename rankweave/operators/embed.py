@@ -26,8 +26,8 @@ from rankweave.operators.passages import nest
 
 Encoder = Callable[[list], np.ndarray]
 
-# token -> bucket caches of the hashed encoder, per dimension, kept by the
-# Python worker process across the tasks it runs
+# token -> bucket caches of the hashed encoder, per dimension (one per task:
+# the package is serialised by value with the task function)
 _BUCKETS: dict[int, dict[str, int]] = {}
 
 
@@ -35,7 +35,7 @@ def hashed_encoder(dim: int = 64, cache_size: int = 1 << 20) -> Encoder:
     """Factory of a bag-of-words encoder: each token (split on single spaces,
     empty tokens kept) adds 1 to bucket ``int(md5(token)[:8], 16) mod dim``;
     the counts are L2-normalised. Null text -> zero vector. Token buckets are
-    cached per worker process, so md5 runs about once per distinct token."""
+    cached, so md5 runs about once per distinct token and task."""
     cache = _BUCKETS.setdefault(dim, {})
 
     def bucket(tok: str) -> int:

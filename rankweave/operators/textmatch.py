@@ -26,8 +26,8 @@ MAX_PATTERN_BYTES = 64 << 20
 
 _ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
 
-# automata built in this Python worker, by pattern-set token: reused by every
-# task the worker runs for the same pattern set
+# automaton by pattern-set token, built once per task (the package is
+# serialised by value, so this table travels with the task function)
 _AUTOMATA: dict[str, tuple] = {}
 
 
