@@ -94,6 +94,48 @@ def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder],
     return src.mapInArrow(run, out_schema)
 
 
+def map_column(df: DataFrame, in_col: str, fn_factory: Callable[[], Callable[[list], list]], out_col: str,
+               out_type: str, *, batch_size: int = 256, drop_input: bool = False) -> DataFrame:
+    """Host a user batch function (list of values -> list of values, same
+    length) as a ``mapInArrow`` column: ``fn_factory()`` runs once per task.
+    Used for tokenizers (text -> ids) and detokenizers (ids -> text)."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be >= 1")
+    keep = [f for f in df.schema.fields if not (drop_input and f.name == in_col)]
+    out_field = T.StructField(out_col, T.DataType.fromDDL(out_type), True)
+    out_schema = T.StructType([f for f in keep if f.name != out_col] + [out_field])
+    names = [f.name for f in out_schema.fields[:-1]]
+    src = df.select(*names, *([] if in_col in names else [in_col]))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+        fn = fn_factory()
+        a_type = to_arrow_type(out_field.dataType)
+        for b in batches:
+            values = b.column(in_col).to_pylist()
+            out = []
+            for i in range(0, len(values), batch_size):
+                part = list(fn(values[i:i + batch_size]))
+                if len(part) != len(values[i:i + batch_size]):
+                    raise ValueError("the function must return one value per input")
+                out.extend(part)
+            cols = [b.column(n) for n in names] + [pa.array(out, a_type)]
+            yield pa.RecordBatch.from_arrays(cols, names=names + [out_col])
+
+    return src.mapInArrow(run, out_schema)
+
+
+def tokenize(df: DataFrame, text_col: str, tokenizer_factory, out_col: str, *, id_type: str = "int",
+             batch_size: int = 256) -> DataFrame:
+    """Token ids of a text column from a user tokenizer (list of str -> list of id lists)."""
+    return map_column(df, text_col, tokenizer_factory, out_col, f"array<{id_type}>", batch_size=batch_size)
+
+
+def detokenize(df: DataFrame, ids_col: str, decoder_factory, out_col: str, *, batch_size: int = 256) -> DataFrame:
+    """Text from token ids with a user decoder (list of id lists -> list of str)."""
+    return map_column(df, ids_col, decoder_factory, out_col, "string", batch_size=batch_size)
+
+
 def masked_mean(m: np.ndarray) -> np.ndarray:
     """Mean over the rows that are not all zero (padding); NaN when all are."""
     keep = ~np.all(m == 0, axis=1)

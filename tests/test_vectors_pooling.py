@@ -69,3 +69,22 @@ def test_hashed_encoder_host(spark):
     assert out["q2"] == [0.0] * 8
     with pytest.raises(Exception, match="dimension"):
         embed.embed(df, "text", lambda: embed.hashed_encoder(8), dim=4).collect()
+
+
+def test_tokenizer_host_and_token_split(spark):
+    vocab = {w: i for i, w in enumerate("T a b c d e x y".split())}
+    inv = {i: w for w, i in vocab.items()}
+
+    def tok_factory():
+        return lambda texts: [None if t is None else [vocab[w] for w in t.split(" ") if w] for t in texts]
+
+    def dec_factory():
+        return lambda ids: [" ".join(inv[i] for i in row) for row in ids]
+
+    docs = spark.createDataFrame([("A", "T", "a b c d e"), ("C", None, "x y")], "doc_id string, title string, body string")
+    t = embed.tokenize(embed.tokenize(docs, "title", tok_factory, "title_tokens"), "body", tok_factory, "body_tokens")
+    assert dict(t.dtypes)["body_tokens"] == "array<int>"
+    p = passages.split_token_passages(t, 23, True, margin=20)  # chunk = 23 - 1 - 20 = 2 with a title
+    out = embed.detokenize(p, "passage_tokens", dec_factory, "passage_text")
+    got = sorted((r.doc_id, r.passage_idx, r.passage_text) for r in out.collect())
+    assert got == [("A", 0, "T a b"), ("A", 1, "T c d"), ("A", 2, "T e"), ("C", 0, "x y")]
