@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.defaults import HISTOGRAM_BINS
 from rankweave.session import ensure_checkpoint_dir
 
 
-def position_histogram(df: DataFrame, col: str = "passage_idx", bins: int = 50, *, where=None) -> DataFrame:
+def position_histogram(df: DataFrame, col: str = "passage_idx", bins: int = HISTOGRAM_BINS, *, where=None) -> DataFrame:
     """Rows (bin INT, lower DOUBLE, upper DOUBLE, count BIGINT), one per bin.
 
     The input is read once: counts per distinct value (a partially aggregated

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankweave.defaults import MAX_PASSAGES_PER_DOC, QUERY_ENCODE_BATCH
 from rankweave.functions.vectors import list_column_to_matrix, matrix_to_list_array
 from rankweave.operators.passages import nest
 
@@ -60,7 +61,7 @@ def hashed_encoder(dim: int = 64, cache_size: int = 1 << 20) -> Encoder:
 
 
 def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder], *, out_col: str = "embedding",
-          batch_size: int = 16, dim: int | None = None, drop_text: bool = True,
+          batch_size: int = QUERY_ENCODE_BATCH, dim: int | None = None, drop_text: bool = True,
           partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` (ARRAY<FLOAT>) = encoder(text) to every row.
 
@@ -146,7 +147,7 @@ def masked_mean(m: np.ndarray) -> np.ndarray:
 
 def embed_documents(passages: DataFrame, fn: Callable[[np.ndarray], np.ndarray] = masked_mean, *,
                     vec: str = "passage_embedding", out_col: str = "doc_embedding",
-                    max_passages: int | None = 1024) -> DataFrame:
+                    max_passages: int | None = MAX_PASSAGES_PER_DOC) -> DataFrame:
     """(doc_id, out_col ARRAY<DOUBLE>): ``fn`` applied to each document's
     (passages x dim) matrix in passage order, at most ``max_passages`` rows.
     Documents for which ``fn`` gives NaN have no row."""

@@ -22,7 +22,9 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_METRICS = ("RR@10", "RR@100", "nDCG@10", "R@1000", "AP@100")
+from rankweave.defaults import METRICS, PERCENT_DIGITS, REPORT_DIGITS
+
+DEFAULT_METRICS = METRICS
 
 
 def parse_metric(name: str) -> tuple[str, int]:
@@ -123,8 +125,8 @@ def evaluate(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, order
 def report(evaluation: DataFrame, *, percent: bool = False) -> DataFrame:
     """Rounded report: 4 decimals, or x100 with 2 decimals when ``percent``."""
     if percent:
-        return evaluation.select("metric", F.round(F.col("value") * 100, 2).alias("value"))
-    return evaluation.select("metric", F.round("value", 4).alias("value"))
+        return evaluation.select("metric", F.round(F.col("value") * 100, PERCENT_DIGITS).alias("value"))
+    return evaluation.select("metric", F.round("value", REPORT_DIGITS).alias("value"))
 
 
 def in_batch_loss(pairs: DataFrame, *, query_vec: str = "query_embedding", doc_vec: str = "doc_embedding",

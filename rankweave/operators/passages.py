@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.defaults import MAX_PASSAGES_PER_DOC, PASSAGE_SIZE, TITLE_TOKEN_CAP, TOKEN_MARGIN
+
 
 def drop_empty(df: DataFrame, body: str = "body") -> DataFrame:
     """Keep documents whose body is neither null nor empty."""
@@ -40,7 +42,7 @@ def passage_bodies(tokens: Column, passage_size: int, prefix: Column | None = No
     return F.when(tokens.isNull(), F.array().cast("array<string>")).otherwise(chunks)
 
 
-def split_passages(df: DataFrame, passage_size: int = 512, prepend_title: bool = True, *, doc_id: str = "doc_id",
+def split_passages(df: DataFrame, passage_size: int = PASSAGE_SIZE, prepend_title: bool = True, *, doc_id: str = "doc_id",
                    title: str = "title", body: str = "body", keep: list[str] | None = None,
                    nested: bool = False) -> DataFrame:
     """Split documents into passages by spaces (flat unless ``nested``).
@@ -68,7 +70,7 @@ def split_passages(df: DataFrame, passage_size: int = 512, prepend_title: bool =
 
 
 def token_passages(title_tokens: Column, body_tokens: Column, passage_size: int, prepend_title: bool = True,
-                   title_cap: int = 50, margin: int = 20, elem_type: str = "string") -> Column:
+                   title_cap: int = TITLE_TOKEN_CAP, margin: int = TOKEN_MARGIN, elem_type: str = "string") -> Column:
     """ARRAY<ARRAY<token>>: body tokens in chunks of ``passage_size - len(title) - margin``,
     each preceded by the title tokens (capped to ``title_cap``). A chunk length
     <= 0 raises an error at run time. Empty or null body -> no passage."""
@@ -86,9 +88,9 @@ def token_passages(title_tokens: Column, body_tokens: Column, passage_size: int,
     return F.when(chunk <= 0, error).otherwise(parts)
 
 
-def split_token_passages(df: DataFrame, passage_size: int = 512, prepend_title: bool = True, *,
+def split_token_passages(df: DataFrame, passage_size: int = PASSAGE_SIZE, prepend_title: bool = True, *,
                          doc_id: str = "doc_id", title_tokens: str = "title_tokens",
-                         body_tokens: str = "body_tokens", title_cap: int = 50, margin: int = 20,
+                         body_tokens: str = "body_tokens", title_cap: int = TITLE_TOKEN_CAP, margin: int = TOKEN_MARGIN,
                          keep: list[str] | None = None) -> DataFrame:
     """Token-based split on token arrays produced by a user tokenizer.
 
@@ -130,7 +132,7 @@ def nest(df: DataFrame, *, doc_id: str = "doc_id", order: str = "passage_idx", f
     return src.groupBy(doc_id).agg(agg.alias(out_col))
 
 
-def cap_passages(df: DataFrame, max_passages: int = 1024, *, order: str = "passage_idx") -> DataFrame:
+def cap_passages(df: DataFrame, max_passages: int = MAX_PASSAGES_PER_DOC, *, order: str = "passage_idx") -> DataFrame:
     """Keep at most the first ``max_passages`` passages of each document (flat form)."""
     return df.where(F.col(order) < max_passages)
 

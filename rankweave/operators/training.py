@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.defaults import N_NEGATIVES, PREPARED_MAX_CHARS, SAMPLE_QUERIES
 from rankweave.operators.partitioning import indexed_with_count
 from rankweave.operators.passages import nest
 
@@ -55,7 +56,7 @@ def unmatched(query_embeddings: DataFrame, qrels: DataFrame, passages: DataFrame
 
 # ------------------------------------------------------------------ documents
 
-def prepare_docs(docs: DataFrame, prepend_title: bool = True, max_chars: int = 1000) -> DataFrame:
+def prepare_docs(docs: DataFrame, prepend_title: bool = True, max_chars: int = PREPARED_MAX_CHARS) -> DataFrame:
     """(doc_id, text). With the title: only documents with a non-empty title
     and body; text = title || body (no separator) cut to ``max_chars``
     characters. Without: text = body, uncut, every document."""
@@ -80,7 +81,7 @@ def clean_qrels(qrels: DataFrame, removed: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ sample
 
-def sample_corpus(queries: DataFrame, qrels: DataFrame, docs: DataFrame, n: int = 25, *,
+def sample_corpus(queries: DataFrame, qrels: DataFrame, docs: DataFrame, n: int = SAMPLE_QUERIES, *,
                   order_by: str = "query_id", qrel_order: list[str] | str = "doc_id"):
     """The small development set: the first ``n`` queries (in ``order_by``
     order), the first judged document of each (in ``qrel_order``), the
@@ -100,7 +101,7 @@ def sample_corpus(queries: DataFrame, qrels: DataFrame, docs: DataFrame, n: int
 
 # ------------------------------------------------------------------ negatives
 
-def rolled_negatives(qrels: DataFrame, n_negatives: int = 50, *, order_by=("query_id", "doc_id"),
+def rolled_negatives(qrels: DataFrame, n_negatives: int = N_NEGATIVES, *, order_by=("query_id", "doc_id"),
                      exclude_positives: bool = False) -> DataFrame:
     """Long form (query_id, pos, neg_no INT, neg): with the judgement rows in
     ``order_by`` order, row r's i-th negative is the document of row (r - i) mod N.

@@ -13,6 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.defaults import FIRST_POSITIONS, HISTOGRAM_BINS, LOSS_BATCH, N_NEGATIVES, SAMPLE_QUERIES
 from rankweave.operators import (analysis, embed, metrics, partitioning, passages, pooling, rerank, search,
                                  training)
 from rankweave.sources import files
@@ -23,8 +24,6 @@ K_DOCS = 20          # top-k of the document searches
 K_PASSAGES = 100     # depth of the passage run behind MaxP / Sum / Mean
 PASSAGE_SIZE = 400   # words per passage in the text queries
 TOKEN_PASSAGE_SIZE = 128
-N_NEGATIVES = 50
-LOSS_BATCH = 64
 EMBED_DIM = 64
 RUN_NAME = "rankweave-ip"
 
@@ -200,12 +199,12 @@ def q_clean_qrels(s, d):
 
 
 def q_sample_corpus_docs(s, d):
-    _, kd, _ = training.sample_corpus(fx.queries(s, d), fx.qrels(s, d), _docs(s, d), 25)
+    _, kd, _ = training.sample_corpus(fx.queries(s, d), fx.qrels(s, d), _docs(s, d), SAMPLE_QUERIES)
     return kd.select("doc_id", "url", "title", "body")
 
 
 def q_sample_corpus_qrels(s, d):
-    _, _, kq = training.sample_corpus(fx.queries(s, d), fx.qrels(s, d), _docs(s, d), 25)
+    _, _, kq = training.sample_corpus(fx.queries(s, d), fx.qrels(s, d), _docs(s, d), SAMPLE_QUERIES)
     return kq.select("query_id", "doc_id", "relevance")
 
 
@@ -357,8 +356,8 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rerank_max": q_rerank_max,
         "rerank_sum": _rerank("sum"),
         "rerank_mean": _rerank("mean"),
-        "position_histogram_50": _histogram(50),
-        "position_histogram_first10": _histogram(10, first=10),
+        "position_histogram_50": _histogram(HISTOGRAM_BINS),
+        "position_histogram_first10": _histogram(FIRST_POSITIONS, first=FIRST_POSITIONS),
         "eval_rr10": _eval(["RR@10"]),
         "eval_rr100": _eval(["RR@100"]),
         "eval_ndcg10": _eval(["nDCG@10"]),
@@ -622,9 +621,9 @@ WHERE n.neg_no = least({epoch}, {N_NEGATIVES})""", "negs", "tq", "prepared")
 
 
 def _oracle_sql() -> dict[str, str]:
-    first_docs = """(SELECT DISTINCT doc_id FROM (SELECT r.query_id, r.doc_id,
+    first_docs = f"""(SELECT DISTINCT doc_id FROM (SELECT r.query_id, r.doc_id,
         row_number() OVER (PARTITION BY r.query_id ORDER BY r.doc_id) AS n FROM tqrels r
-        WHERE r.query_id IN (SELECT query_id FROM tq ORDER BY query_id LIMIT 25)) t WHERE n = 1)"""
+        WHERE r.query_id IN (SELECT query_id FROM tq ORDER BY query_id LIMIT {SAMPLE_QUERIES})) t WHERE n = 1)"""
     return {
         "passages_spaces": _passages_sql(False),
         "passages_spaces_title": _passages_sql(True),
@@ -693,8 +692,8 @@ FROM prun WHERE prank <= {K_DOCS}""", "prun"),
         "rerank_mean": sql("""SELECT query_id, doc_id,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY mean_score DESC, doc_id) AS INTEGER) AS rank,
        round(mean_score, 6) AS score FROM cand_scores""", "cand_scores"),
-        "position_histogram_50": _hist_sql(50, None),
-        "position_histogram_first10": _hist_sql(10, 10),
+        "position_histogram_50": _hist_sql(HISTOGRAM_BINS, None),
+        "position_histogram_first10": _hist_sql(FIRST_POSITIONS, FIRST_POSITIONS),
         "eval_rr10": _eval_sql(["RR@10"]),
         "eval_rr100": _eval_sql(["RR@100"]),
         "eval_ndcg10": _eval_sql(["nDCG@10"]),

@@ -10,17 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from rankweave.defaults import (N_NEGATIVES, PASSAGE_SIZE, PREPARED_MAX_CHARS, QUERY_ENCODE_BATCH, TOP_K_DOCS,
+                                TOP_K_PASSAGES)
 from rankweave.operators import embed, metrics, passages, pooling, rerank, search, training
 
 
-def passage_vectors(docs: DataFrame, encoder_factory, *, passage_size: int = 512, prepend_title: bool = True,
-                    batch_size: int = 16) -> DataFrame:
+def passage_vectors(docs: DataFrame, encoder_factory, *, passage_size: int = PASSAGE_SIZE, prepend_title: bool = True,
+                    batch_size: int = QUERY_ENCODE_BATCH) -> DataFrame:
     """(doc_id, passage_idx, passage_id, passage_embedding): one narrow stage, no shuffle."""
     p = passages.split_passages(passages.drop_empty(docs), passage_size, prepend_title, keep=[])
     return embed.embed(p, "passage_body", encoder_factory, out_col="passage_embedding", batch_size=batch_size)
 
 
-def pooled_ranking(passage_vecs: DataFrame, query_vecs: DataFrame, k: int = 1000, *, method: str = "mean",
+def pooled_ranking(passage_vecs: DataFrame, query_vecs: DataFrame, k: int = TOP_K_DOCS, *, method: str = "mean",
                    metric: str = "ip", normalize: bool = False) -> DataFrame:
     """Document run (query_id, doc_id, rank, score) over pooled document vectors."""
     docs = pooling.pool(passage_vecs, method)
@@ -31,7 +33,8 @@ def pooled_ranking(passage_vecs: DataFrame, query_vecs: DataFrame, k: int = 1000
     return search.top_k(query_vecs, docs, k, metric, corpus_id="doc_id", corpus_vec=col)
 
 
-def passage_ranking(passage_vecs: DataFrame, query_vecs: DataFrame, k: int = 1000, *, metric: str = "ip") -> DataFrame:
+def passage_ranking(passage_vecs: DataFrame, query_vecs: DataFrame, k: int = TOP_K_PASSAGES, *,
+                    metric: str = "ip") -> DataFrame:
     """Passage run (query_id, passage_id, rank, score)."""
     return search.top_k(query_vecs, passage_vecs, k, metric, corpus_id="passage_id", corpus_vec="passage_embedding")
 
@@ -47,8 +50,8 @@ def evaluation_report(run: DataFrame, qrels: DataFrame, metrics_=metrics.DEFAULT
     return metrics.evaluate(run, qrels, metrics_)
 
 
-def training_tables(docs: DataFrame, queries: DataFrame, qrels: DataFrame, *, n_negatives: int = 50,
-                    prepend_title: bool = True, max_chars: int = 1000) -> dict:
+def training_tables(docs: DataFrame, queries: DataFrame, qrels: DataFrame, *, n_negatives: int = N_NEGATIVES,
+                    prepend_title: bool = True, max_chars: int = PREPARED_MAX_CHARS) -> dict:
     """Prepared documents, cleaned judgements and rolled negatives."""
     prepared = training.prepare_docs(docs, prepend_title, max_chars)
     cleaned = training.clean_qrels(qrels, training.removed_docs(docs, prepend_title))
