@@ -329,6 +329,17 @@ def q_triplets_cycle_epoch60(s, d):
                              n_negatives=N_NEGATIVES, on_exhaust="cycle")
 
 
+def q_conversation_pool_mean(s, d):
+    """Conversations as documents whose ordered turns are the passages: each
+    turn is encoded by the hosted encoder, turns are mean-pooled per conversation."""
+    turns = fx.table(s, d, "conversations").select(
+        F.concat(F.lit("C"), F.col("conv_id").cast("string")).alias("doc_id"),
+        F.col("turn").cast("int").alias("passage_idx"), "text")
+    vecs = embed.embed(turns, "text", lambda: embed.hashed_encoder(EMBED_DIM), out_col="passage_embedding",
+                       dim=EMBED_DIM)
+    return exploded(pooling.pool(vecs, "mean"), "doc_id", "doc_embedding")
+
+
 def q_negatives_wide(s, d):
     return training.wide_negatives(_negatives(s, d), N_NEGATIVES)
 
@@ -392,6 +403,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rolled_negatives_no_positives": q_rolled_negatives_no_positives,
         "triplets_cycle_epoch60": q_triplets_cycle_epoch60,
         "negatives_wide": q_negatives_wide,
+        "conversation_pool_mean": q_conversation_pool_mean,
     }
 
 
@@ -471,6 +483,9 @@ FROM (SELECT passage_id, CAST(('0x' || left(md5(t), 8))::BIGINT % {EMBED_DIM} AS
       FROM tpv_tok GROUP BY ALL) b
 JOIN (SELECT passage_id, sqrt(sum(c * c)) AS nrm FROM (SELECT passage_id, CAST(('0x' || left(md5(t), 8))::BIGINT % {EMBED_DIM} AS INTEGER) AS dim, count(*) AS c
       FROM tpv_tok GROUP BY ALL) x GROUP BY passage_id) n USING (passage_id)""",
+    "ct": "SELECT concat('C', CAST(conv_id AS VARCHAR)) AS doc_id, turn, text FROM conversations",
+    "cb": f"""SELECT doc_id, turn, CAST(('0x' || left(md5(t), 8))::BIGINT % {EMBED_DIM} AS INTEGER) AS dim, count(*) AS c
+FROM (SELECT doc_id, turn, unnest(string_split(text, ' ')) AS t FROM ct) x GROUP BY doc_id, turn, dim""",
     "tqd": f"""SELECT q.query_id, list(coalesce(v.value, CAST(0 AS DOUBLE)) ORDER BY g.dim) AS emb
 FROM (SELECT DISTINCT query_id FROM tq) q CROSS JOIN (SELECT CAST(range AS INTEGER) AS dim FROM range({EMBED_DIM})) g
 LEFT JOIN tqv v ON v.query_id = q.query_id AND v.dim = g.dim GROUP BY q.query_id""",
@@ -494,7 +509,7 @@ DEPS = {
     "prun": ["vq", "vp"], "maxp": ["prun"], "cand_scores": ["prun", "vp", "vq"], "docrun": ["vq", "meanpool"],
     "maxprun": ["maxp"], "sumrun": ["cand_scores"], "meanrun": ["cand_scores"], "tqv_tok": ["tq"], "tqv": ["tqv_tok"], "tp": ["docs"], "tpv_tok": ["tp"],
     "tpv": ["tpv_tok"], "tqd": ["tq", "tqv"], "tpd": ["tp", "tpv"], "tprun": ["tqd", "tpd"],
-    "lossp": ["vqr", "vq", "vd"], "losslg": ["lossp"],
+    "lossp": ["vqr", "vq", "vd"], "losslg": ["lossp"], "cb": ["ct"],
 }
 
 
@@ -660,6 +675,13 @@ WHERE rk <= {K_DOCS}""", "vq", "sumpool"),
 WHERE query_id IN (SELECT DISTINCT query_id FROM prun ORDER BY query_id LIMIT 5)""", "maxp", "prun"),
         "rolled_negatives_no_positives": sql("""SELECT n.query_id, n.pos, n.neg_no, n.neg FROM negs n
 WHERE NOT EXISTS (SELECT 1 FROM cq c WHERE c.query_id = n.query_id AND c.doc_id = n.neg)""", "negs", "cq"),
+        "conversation_pool_mean": sql(f"""SELECT d.doc_id, r.dim, round(coalesce(v.sv, CAST(0 AS DOUBLE)) / d.nt, 6) AS value
+FROM (SELECT doc_id, count(*) AS nt FROM ct GROUP BY doc_id) d
+CROSS JOIN (SELECT CAST(range AS INTEGER) AS dim FROM range({EMBED_DIM})) r
+LEFT JOIN (SELECT b.doc_id, b.dim, sum(CAST(CAST(b.c / n.nrm AS FLOAT) AS DOUBLE)) AS sv
+           FROM cb b JOIN (SELECT doc_id, turn, sqrt(sum(c * c)) AS nrm FROM cb GROUP BY doc_id, turn) n
+             ON n.doc_id = b.doc_id AND n.turn = b.turn
+           GROUP BY b.doc_id, b.dim) v ON v.doc_id = d.doc_id AND v.dim = r.dim""", "ct", "cb"),
         "negatives_wide": sql("SELECT query_id, pos, " + ", ".join(
             f"max(CASE WHEN neg_no = {i} THEN neg END) AS neg_{i}" for i in range(1, N_NEGATIVES + 1))
             + " FROM negs GROUP BY query_id, pos", "negs"),
