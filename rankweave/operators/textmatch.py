@@ -32,10 +32,13 @@ _AUTOMATA: dict[str, tuple] = {}
 
 
 def _automaton(texts, keys):
+    """(automaton, plain list, keys of empty patterns). An empty pattern is
+    contained in every non-null text; null patterns match nothing."""
+    empty = [k for t, k in zip(texts, keys) if t == ""]
     try:
         import ahocorasick
     except ImportError:  # pragma: no cover - plain scan fallback
-        return None, list(zip(texts, keys))
+        return None, [(t, k) for t, k in zip(texts, keys) if t], empty
     a = ahocorasick.Automaton()
     grouped: dict[str, list] = {}
     for t, k in zip(texts, keys):
@@ -46,18 +49,18 @@ def _automaton(texts, keys):
         a.add_word(t, ks)
     if len(a):
         a.make_automaton()
-    return a, None
+    return a, None, empty
 
 
-def _matches(auto, plain, text):
+def _matches(auto, plain, empty, text):
     """Distinct pattern keys occurring in ``text``."""
     if text is None:
         return set()
+    found = set(empty)
     if auto is None:
-        return {k for t, k in plain if t and t in text}
+        return found | {k for t, k in plain if t in text}
     if not len(auto):
-        return set()
-    found = set()
+        return found
     for _, ks in auto.iter(text):
         found.update(ks)
     return found
@@ -66,10 +69,9 @@ def _matches(auto, plain, text):
 def contains_join(docs: DataFrame, patterns: DataFrame, *, doc_key: str, doc_text: str, pat_key: str,
                   pat_text: str, max_pattern_rows: int = MAX_PATTERN_ROWS,
                   max_pattern_bytes: int = MAX_PATTERN_BYTES, doc_block_rows: int = 100_000) -> DataFrame:
-    """Rows ``(doc_key, pat_key)`` for every document containing the pattern text.
-
-    Empty or null patterns match nothing (as a containment test of ``''``
-    would match everything, callers filter those out beforehand if needed).
+    """Rows ``(doc_key, pat_key)`` for every document containing the pattern
+    text, as SQL ``contains``: an empty pattern is contained in every non-null
+    document, a null pattern or document matches nothing.
     """
     spark = docs.sparkSession
     key_type = dict(patterns.dtypes)[pat_key]
@@ -89,11 +91,11 @@ def contains_join(docs: DataFrame, patterns: DataFrame, *, doc_key: str, doc_tex
             if bc_id not in _AUTOMATA:
                 _AUTOMATA.clear()
                 _AUTOMATA[bc_id] = _automaton(*bc.value)
-            auto, plain = _AUTOMATA[bc_id]
+            auto, plain, empty = _AUTOMATA[bc_id]
             for b in batches:
                 dk, pk = [], []
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for m in _matches(auto, plain, text):
+                    for m in _matches(auto, plain, empty, text):
                         dk.append(key)
                         pk.append(m)
                 yield pa.record_batch([pa.array(dk, b.schema.field(0).type), pa.array(pk, pat_arrow)],
@@ -115,10 +117,10 @@ def contains_join(docs: DataFrame, patterns: DataFrame, *, doc_key: str, doc_tex
         if len(dpdf) == 0 or len(ppdf) == 0:
             return pd.DataFrame({doc_key: pd.Series([], dtype=dpdf["_d"].dtype),
                                  pat_key: pd.Series([], dtype=ppdf["k"].dtype)})
-        auto, plain = _automaton(ppdf["t"].tolist(), ppdf["k"].tolist())
+        auto, plain, empty = _automaton(ppdf["t"].tolist(), ppdf["k"].tolist())
         dk, pk = [], []
         for key, text in zip(dpdf["_d"].tolist(), dpdf["_t"].tolist()):
-            for m in _matches(auto, plain, text):
+            for m in _matches(auto, plain, empty, text):
                 dk.append(key)
                 pk.append(m)
         return pd.DataFrame({doc_key: dk, pat_key: pk})

@@ -17,6 +17,16 @@ def test_contains_join_brute_force(spark):
     assert sorted((r.doc_id, r.item_id) for r in fallback.collect()) == expected
 
 
+def test_empty_and_null_patterns_follow_contains(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "doc_id long, text string")
+    pats = spark.createDataFrame([(10, ""), (11, None), (12, "b")], "item_id long, text string")
+    kw = dict(doc_key="doc_id", doc_text="text", pat_key="item_id", pat_text="text")
+    expected = [(1, 10), (1, 12), (2, 10)]
+    assert sorted((r.doc_id, r.item_id) for r in contains_join(docs, pats, **kw).collect()) == expected
+    fb = contains_join(docs, pats, max_pattern_rows=1, doc_block_rows=1, **kw)
+    assert sorted((r.doc_id, r.item_id) for r in fb.collect()) == expected
+
+
 def test_fixture_sizes(spark):
     # measured sizes from FIXTURES.md
     assert fx.docs(spark, SF01).count() == 1000
