@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from rankweave.defaults import METRICS, PERCENT_DIGITS, REPORT_DIGITS
 
 DEFAULT_METRICS = METRICS
+MAX_BROADCAST_JUDGEMENTS = 2_000_000  # (query, doc, grade) rows broadcast into the run join
 
 
 def parse_metric(name: str) -> tuple[str, int]:
@@ -52,14 +53,20 @@ def rank_run(run: DataFrame, *, query_id: str = "query_id", doc_id: str = "doc_i
                       F.row_number().over(w).cast("int").alias("rank"))
 
 
-def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, order_by: str = "score") -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, order_by: str = "score",
+              max_broadcast_judgements: int = MAX_BROADCAST_JUDGEMENTS) -> DataFrame:
     """One row per judged query: (query_id, <metric columns>) as DOUBLE."""
     parsed = [(m, *parse_metric(m)) for m in metrics]
     kmax = max(k for _, _, k in parsed)
     ranked = rank_run(run, order_by=order_by).where(F.col("rank") <= kmax)
     # one judgement per (query, doc): the highest grade (partial aggregate)
     q = qrels.groupBy("query_id", "doc_id").agg(F.max(F.col("relevance").cast("int")).alias("rel"))
-    j = ranked.join(q, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    # judgements are small next to a corpus: under the checked bound they are
+    # broadcast, so the run keeps its query_id partitioning for the window and
+    # the per-query aggregates below; above it, a shuffle join
+    n_judged = q.limit(max_broadcast_judgements + 1).count()
+    side = F.broadcast(q) if n_judged <= max_broadcast_judgements else q
+    j = ranked.join(side, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     is_rel = F.col("rel") >= 1
     hits_w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn("_hits", F.sum(is_rel.cast("int")).over(hits_w))
@@ -113,9 +120,10 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
     return both.select(*out)
 
 
-def evaluate(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, order_by: str = "score") -> DataFrame:
+def evaluate(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, order_by: str = "score",
+             max_broadcast_judgements: int = MAX_BROADCAST_JUDGEMENTS) -> DataFrame:
     """Mean of each metric over judged queries: rows (metric STRING, value DOUBLE)."""
-    pq = per_query(run, qrels, metrics, order_by=order_by)
+    pq = per_query(run, qrels, metrics, order_by=order_by, max_broadcast_judgements=max_broadcast_judgements)
     means = pq.agg(*[F.avg(column_name(m)).alias(column_name(m)) for m in metrics])
     stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(column_name(m)), F.lit(0.0))
                                            .alias("value")) for m in metrics]))

@@ -77,3 +77,15 @@ def test_duplicate_judgements_count_once(spark):
     run = [("q", "a", 1, 2.0), ("q", "b", 2, 1.0)]
     ev = _eval(spark, run, [("q", "a", 1), ("q", "a", 2), ("q", "b", 0)], ["R@1000", "nDCG@10"])
     assert math.isclose(ev["R@1000"], 1.0) and math.isclose(ev["nDCG@10"], 1.0)
+
+
+def test_join_paths_agree(spark):
+    from rankweave.operators import pooling, search
+    from rankweave.sources import fixtures as fx
+    from tests.conftest import SF
+    run = search.top_k(fx.vec_queries(spark, SF), pooling.pool(fx.vec_passages(spark, SF), "mean"), 50,
+                       corpus_vec="doc_embedding")
+    qrels = fx.vec_doc_qrels(spark, SF)
+    a = {r.metric: r.value for r in metrics.evaluate(run, qrels).collect()}
+    b = {r.metric: r.value for r in metrics.evaluate(run, qrels, max_broadcast_judgements=0).collect()}
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a)
