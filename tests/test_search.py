@@ -136,3 +136,15 @@ def test_pruning_float32_is_exact_on_fixture(spark):
     a = _rows(search.top_k(q, vp, 20, prune_fraction=None, **kw), "passage_id")
     b = _rows(search.top_k(q, vp, 20, prune_fraction=0.3, reduce_buckets=3, **kw), "passage_id")
     assert a == b
+
+
+def test_auto_pruning_trigger(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    qs = [(f"q{i}", rng.normal(size=4).tolist()) for i in range(3)]
+    cs = [(f"d{i:04d}", rng.normal(size=4).tolist()) for i in range(4000)]
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>")
+    c = spark.createDataFrame(cs, "doc_id string, embedding array<double>").repartition(5)
+    base = _rows(search.top_k(q, c, 8, prune_fraction=None))
+    monkeypatch.setattr(search, "AUTO_PRUNE_CANDIDATES", 1)
+    monkeypatch.setattr(search, "AUTO_PRUNE_FRACTION", 0.1)
+    assert _rows(search.top_k(q, c, 8)) == base == _brute(qs, cs, 8, "ip")
