@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.defaults import METRICS, PERCENT_DIGITS, REPORT_DIGITS
+from rankweave.session import ensure_checkpoint_dir
 
 DEFAULT_METRICS = METRICS
 MAX_BROADCAST_JUDGEMENTS = 2_000_000  # (query, doc, grade) rows broadcast into the run join
@@ -64,6 +65,10 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
     # judgements are small next to a corpus: under the checked bound they are
     # broadcast, so the run keeps its query_id partitioning for the window and
     # the per-query aggregates below; above it, a shuffle join
+    # used three times below and counted now: materialised once (reliable
+    # checkpoint folder) so a derived judgement table is not recomputed
+    ensure_checkpoint_dir(run.sparkSession)
+    q = q.checkpoint(eager=True)
     n_judged = q.limit(max_broadcast_judgements + 1).count()
     side = F.broadcast(q) if n_judged <= max_broadcast_judgements else q
     j = ranked.join(side, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
