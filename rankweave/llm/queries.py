@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, shards, url_cascade
+from . import bpe, chat_windows, decontaminate, shards, token_counts, url_cascade
 from .common import table
 
 
@@ -23,36 +23,57 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.format_windows(turns.unionByName(more)))
 
 
+def op5_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_cascade.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_chat_windows, op8_byte_shards, op10_url_cascade)}
-
-
-ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-OP4_SQL = """
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-)
-"""
-
-OP8_SQL = """
-WITH sized AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text FROM documents
-), summed AS (
-  SELECT *, CAST(sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS HUGEINT) AS run,
-         CAST(sum(size) OVER () AS HUGEINT) AS whole FROM sized
+    return {f.__name__: f for f in (op1_byte_bpe, op4_chat_windows, op5_count_viterbi, op8_byte_shards,
+                                    op9_decontaminate, op10_url_cascade)}
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, w[k:k + 12] AS g, least(len(w), 13) AS n
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+), grams AS (
+  SELECT rid, k, n, w[k:k + n - 1] AS g
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM d CROSS JOIN (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)
+), hit AS (
+  SELECT rid, k, grams.n AS n, item_id FROM grams JOIN wins ON grams.g = wins.g AND grams.n = wins.n
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM hit) GROUP BY rid
+), listed AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT rid, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY rid
 )
-SELECT doc_id, size FROM summed
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN listed USING (rid)
 """
 
 OP10_SQL = """
@@ -77,4 +98,4 @@ FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND p.host = fit.host AND p.path
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_cascade": OP10_SQL}
+    return {"op9_decontaminate": OP9_SQL, "op10_url_cascade": OP10_SQL}

@@ -73,7 +73,7 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level * 64 + j)), F.lit(bits).cast("long")) for j in range(hashes)]
 
 
-def _encode(keys: DataFrame, level: int, bits: int, hashes: int) -> Level:
+def encode_bits(keys: DataFrame, level: int, bits: int, hashes: int) -> Level:
     pos = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("p"))
     got = pos.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(
         F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
@@ -83,7 +83,7 @@ def _encode(keys: DataFrame, level: int, bits: int, hashes: int) -> Level:
     return Level(bits, hashes, tuple(words))
 
 
-def _passes(key: Column, level: int, made: Level) -> Column:
+def passes(key: Column, level: int, made: Level) -> Column:
     # a foldable expression: Catalyst turns it into one array literal
     words = F.split(F.lit(",".join(map(str, made.words))), ",").cast("array<bigint>")
     tests = [F.call_function("bit_get", F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1
@@ -102,7 +102,7 @@ class Cascade:
         """Exact for the keys of the universe the cascade was built over."""
         out = F.lit(len(self.levels) % 2 == 1)
         for i in range(len(self.levels) - 1, -1, -1):
-            out = F.when(_passes(key, i, self.levels[i]), out).otherwise(F.lit(i % 2 == 1))
+            out = F.when(passes(key, i, self.levels[i]), out).otherwise(F.lit(i % 2 == 1))
         return out
 
 
@@ -121,9 +121,9 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = 1 << 2
         bits = 64 * math.ceil(1.45 * hashes * n / 64)
         if bits > max_bits:
             raise ValueError(f"{n} keys need {bits} bits, over max_bits={max_bits}")
-        levels.append(_encode(sides[i % 2], i, bits, hashes))
+        levels.append(encode_bits(sides[i % 2], i, bits, hashes))
         # what passes this level wrongly is all the next level has to hold
-        sides[1 - i % 2] = written(sides[1 - i % 2].where(_passes(F.col("key"), i, levels[-1])), "cascade")
+        sides[1 - i % 2] = written(sides[1 - i % 2].where(passes(F.col("key"), i, levels[-1])), "cascade")
         n = sides[1 - i % 2].count()
     return Cascade(tuple(levels))
 
