@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, decontaminate, shards, token_counts, url_cascade
+from . import bpe, chat_windows, decontaminate, jaccard_join, shards, token_counts, url_cascade
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents"), 8)
 
@@ -42,8 +46,8 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_chat_windows, op5_count_viterbi, op8_byte_shards,
-                                    op9_decontaminate, op10_url_cascade)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_chat_windows, op5_count_viterbi, op6_jaccard_tree,
+                                    op8_byte_shards, op9_decontaminate, op10_url_cascade)}
 
 
 OP9_SQL = r"""
