@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, decontaminate, jaccard_join, shards, token_counts, url_cascade
+from . import bpe, chat_windows, decontaminate, jaccard_join, shards, token_counts, toxicity, url_cascade
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -46,7 +51,7 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_chat_windows, op5_count_viterbi, op6_jaccard_tree,
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op4_chat_windows, op5_count_viterbi, op6_jaccard_tree,
                                     op8_byte_shards, op9_decontaminate, op10_url_cascade)}
 
 
