@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, decontaminate, jaccard_join, shards, token_counts, toxicity, url_cascade
+from . import bpe, chat_windows, decontaminate, jaccard_join, page_text, permutation_index, shards
+from . import token_counts, toxicity, url_cascade
 from .common import table
 
 
@@ -20,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -36,6 +41,11 @@ def op6_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = permutation_index.valid_vectors(table(spark, sf_dir, "embeddings"))
+    return permutation_index.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents"), 8)
 
@@ -51,8 +61,9 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op4_chat_windows, op5_count_viterbi, op6_jaccard_tree,
-                                    op8_byte_shards, op9_decontaminate, op10_url_cascade)}
+    return {f.__name__: f for f in (
+        op1_byte_bpe, op2_toxicity, op3_page_differencing, op4_chat_windows, op5_count_viterbi, op6_jaccard_tree,
+        op7_permutation_index, op8_byte_shards, op9_decontaminate, op10_url_cascade)}
 
 
 OP9_SQL = r"""
