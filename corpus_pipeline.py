@@ -8,18 +8,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import bpe
+from rankweave.llm import bpe, decontaminate, jaccard_join, toxicity
 from rankweave.llm.common import table, written
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the toxicity model rejects (score of one half or more) go."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.clean_documents(docs, toxicity.fit(docs, labels))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a shingle Jaccard similarity of 0.8 or more the one
+    with the smallest doc_id stays."""
+    return jaccard_join.first_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark windows go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token count and digests of ids and of the decoded bytes."""
-    return bpe.encode_documents(docs)
+    """doc_id, token count, digests of the ids and of the decoded bytes, and the ids."""
+    return bpe.encode_documents(docs, with_ids=True)
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [("toxicity", without_toxic), ("jaccard_join", one_of_each), ("decontamination", without_benchmark),
+          ("byte_bpe", encoded)]
 
-ORACLE_SQL = None  # the stages are not SQL-expressible; tests/llm holds them against brute force
+ORACLE_SQL = None  # toxicity and byte-level BPE are not SQL; tests/llm holds the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,17 @@
 """Operator 6: n-gram Jaccard join by a count-vector R-tree.
 
-A document is the set of its 3-word shingles (as 64-bit digests). Documents with
+A document is the set of its word shingles (as 64-bit digests). Documents with
 equal sets are one class, and classes are joined:
 
 * Shingles are hashed to groups; the counts of a set's groups are a point, and
   the overlap of two sets is at most the sum of the minima of their coordinates.
-* The tree's top is by equality, so it needs no sampling and every part of it is
-  a shuffle key: two sets of at most N shingles that link differ in at most
-  floor(2N/19) shingles, so if the groups are dealt to one block more than that,
-  the counts of some block's groups are equal. Every set goes to the bucket of
-  each of its blocks (of the scheme for its size class, and for the next class
-  if a partner may be there). An empty block says nothing, so it is paired with
-  all blocks of a second dealing, of which one must be equal too.
+* The tree's top needs no sampling and every part of it is a shuffle key: in any
+  one order of all shingles, two sets that link share one of the first
+  n - ceil(p n / 100) + 1 shingles of each (n its size, p the similarity in per
+  cent), so every set goes to the bucket of each of these. The order puts rare
+  shingles first: it is by the counts of a fixed-size sketch over all documents
+  (``SKETCH`` slots), then by digest, so what many documents repeat opens no
+  bucket for them.
 * In a bucket the first set is compared with all others, which joins the groups
   of copies in linear work. Only buckets that then still hold more than one
   component go on: their points are packed into an R-tree (boxes hold the
@@ -20,8 +20,8 @@ equal sets are one class, and classes are joined:
   come out. Large buckets are cut into blocks, and the blocks meet in pairs.
 * Pairs that pass the bound are verified with the whole sets.
 
-Cases: A-Z are lower-cased, words end at ASCII white space; fewer than three
-words are one shingle; null, empty and wordless texts have an empty set, no
+Cases: A-Z are lower-cased, words end at ASCII white space; fewer words than a
+shingle has are one; null, empty and wordless texts have an empty set, no
 links and their own doc_id as component; rows with one doc_id are joined each by
 its text; a row without doc_id can link others, but names no component (null if
 nothing else does); an empty table gives an empty result; other columns are not
@@ -42,7 +42,7 @@ from .components import components
 
 U = np.uint64
 CACHE_WORDS = 1_000_000
-CLASS_RATIO = 1.5     # sizes of one class
+SKETCH = 1 << 17      # slots of the sketch of shingle counts
 LEAF = 16             # points of a leaf, and leaves of a box above
 TREE_POINTS = 2048    # points of a bucket that meet in one task
 MAX_FILTER_BITS = 1 << 24
@@ -83,42 +83,18 @@ def digest(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
-def size_class(n: int) -> tuple[int, int]:
-    """The class of a size and the largest size in it."""
-    top, k = 13, 0
-    while n > top:
-        top, k = int(top * CLASS_RATIO), k + 1
-    return k, top
+def least_size(percent: int) -> int:
+    """Smaller sets link only with their equals."""
+    return max(1, -(-100 // (100 - percent)) - 1) if percent < 100 else 1 << 62
 
 
-def block_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each block of each scheme the set takes part in."""
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles, of which sets that link share one."""
     n = len(shingles)
-    if n < 9:  # such a set links only with its equals
+    if n < least_size(percent):
         return np.empty(0, U)
-    group = _mix(shingles) & U(0xFFFFFFFF)
-    weight = _mix(group + U(1))  # a block's sum of these stands for its groups' counts
-    out = []
-
-    def dealt(scheme: int, blocks: int, deal: int) -> np.ndarray:
-        at = (_mix(group + U((scheme * 2 + deal + 1) << 32)) % U(blocks)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        sums = np.zeros(blocks, U)
-        sums[at[first]] = np.add.reduceat(weight[order], first)
-        return sums
-
-    for scheme, top in sorted({size_class(n), size_class(10 * n // 9)}):
-        blocks = 2 * top // 19 + 1
-        sums = dealt(scheme, blocks, 0)
-        name = _mix(np.arange(blocks, dtype=U) + U((scheme + 1) << 40))
-        full = sums != 0
-        out.append(_mix(sums[full] + name[full]))
-        if not full.all():
-            second = _mix(dealt(scheme, blocks, 1) + _mix(name))
-            out.extend(_mix(second ^ x) for x in name[~full])
-    return np.concatenate(out)
+    order = np.lexsort((shingles, counts[(shingles & U(SKETCH - 1)).astype(np.int64)]))
+    return shingles[order[:n - -(-percent * n // 100) + 1]]
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -126,7 +102,8 @@ def point(shingles: np.ndarray) -> np.ndarray:
     groups = 16
     while groups * 4 < len(shingles) and groups < 4096:
         groups *= 2
-    return np.bincount((shingles % U(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+    # other bits than the sketch's slots take
+    return np.bincount(((shingles >> U(40)) % U(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
@@ -146,22 +123,44 @@ class CountTree:
             cut = np.arange(0, len(p), LEAF)
             self.levels.append((np.maximum.reduceat(p, cut), np.minimum.reduceat(s, cut)))
 
-    def search(self, q: np.ndarray, size: int) -> np.ndarray:
+    def search(self, q: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Positions of the points whose bound reaches the overlap a link needs."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             p, s = self.levels[depth]
             at = at[at < len(p)]
             bound = np.minimum(p[at], q).sum(axis=1)
-            at = at[19 * bound >= 9 * (s[at] + size)]
+            at = at[(100 + percent) * bound >= percent * (s[at] + size)]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         return self.order[at]
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), keys, point."""
+def _counts(docs: DataFrame, words: int) -> np.ndarray:
+    """The sketch: for each slot the number of (document, shingle) that fall in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                s = shingle_set(text or "", hashes, words)
+                total += np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        slots = np.flatnonzero(total)
+        for at in range(0, len(slots), 10_000):
+            part = slots[at:at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+    found = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(SKETCH, np.int64)
+    for r in found.collect():  # at most a row for each slot
+        counts[r["slot"]] = r["n"]
+    return counts
+
+
+def _documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node (digest of the set), keys (its prefix), point."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(_counts(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -170,11 +169,11 @@ def _documents(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 n, node, keys, points = [], [], [], []
                 for text in batch.column(1).to_pylist():
-                    s = shingle_set(text or "", hashes)
+                    s = shingle_set(text or "", hashes, words)
                     n.append(len(s))
                     node.append(digest(s) if len(s) else None)
-                    keys.append(block_keys(s).view(np.int64))
-                    points.append(point(s) if len(s) >= 9 else np.empty(0, np.int32))
+                    keys.append(prefix(s, shared.value, percent).view(np.int64))
+                    points.append(point(s) if len(keys[-1]) else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                      _lists(keys, np.int64), _lists(points, np.int32)],
@@ -190,7 +189,7 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles of the wanted nodes (and perhaps of a few more). The texts
     are read again and a bitmap of the wanted digests, of at most
     ``MAX_FILTER_BITS``, keeps most others from being shuffled."""
@@ -198,10 +197,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     while bits < 16 * wanted.count() and bits < MAX_FILTER_BITS:
         bits *= 2
     place = F.col("node").bitwiseAND(F.lit(bits - 1).cast("long"))
-    words = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(
+    found = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(
         F.expr(f"bit_or(shiftleft(1L, cast((node & {bits - 1}L) % 64 as int)))").alias("v")).collect()  # <= bits / 64
     table = np.zeros(bits // 64, np.int64)
-    for r in words:
+    for r in found:
         table[r["w"]] = r["v"]
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -210,8 +209,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             found = {}
             for text in batch.column(0).to_pylist():
-                s = shingle_set(text or "", hashes)
-                if len(s) >= 9:
+                s = shingle_set(text or "", hashes, words)
+                if len(s):
                     d = digest(s)
                     if (int(table[(d & (bits - 1)) >> 6]) >> (d & 63)) & 1:
                         found[d] = s.view(np.int64)
@@ -226,7 +225,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose summed minima reach the overlap a link needs."""
     one = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("point").alias("pa"))
     two = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("point").alias("pb"))
@@ -239,26 +238,27 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 p, q = (np.asarray(c[n][i].values) for n in ("pa", "pb"))
                 groups = min(len(p), len(q))
                 bound = int(np.minimum(fold(p, groups), fold(q, groups)).sum())
-                keep.append(19 * bound >= 9 * (c["na"][i].as_py() + c["nb"][i].as_py()))
+                keep.append((100 + percent) * bound >= percent * (c["na"][i].as_py() + c["nb"][i].as_py()))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(
         run, "a bigint, b bigint, na bigint, nb bigint")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by bound and then by their whole sets."""
-    pairs = written(_bounded(pairs, classes), "pairs")
+    pairs = written(_bounded(pairs, classes, percent), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets(docs, written(wanted, "wanted"))
+    sets = _sets(docs, written(wanted, "wanted"), words)
     both = (pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
             .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("common", common).where("100 * common >= 90 * (na + nb - common)")
+    both = both.withColumn("common", common).where(
+        F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common")))
     return written(both.select("a", "b"), "links")
 
 
-def _tree_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of different components that some bucket's R-tree lets through."""
     blocks = F.ceil(F.col("n") / TREE_POINTS)
     home = F.pmod(F.xxhash64("node"), blocks)
@@ -276,7 +276,7 @@ def _tree_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         tree = CountTree(matrix, sizes)
         a, b = [], []
         for k in range(len(nodes)):
-            near = tree.search(matrix[k], int(sizes[k]))
+            near = tree.search(matrix[k], int(sizes[k]), percent)
             near = near[(nodes[near] > nodes[k]) & (roots[near] != roots[k])]
             a.append(np.full(len(near), nodes[k]))
             b.append(nodes[near])
@@ -300,9 +300,10 @@ def _tree_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         run, "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    rows = written(_documents(docs), "shingled")
+def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; documents link
+    when 100 * shared shingles >= percent * all shingles of both."""
+    rows = written(_documents(docs, words, percent), "shingled")
     classes = written(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"),
         F.first("point").alias("point")), "classes")
@@ -313,15 +314,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = written(buckets, "buckets")
     star = buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     points = classes.select("node", "n_shingles", "point")
-    links = _links(star, docs, points)
+    links = _links(star, docs, points, words, percent)
     roots = components(links)
     # buckets of two are done; others are, if all their sets have met by now
     left = buckets.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = left.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)})
     left = left.where("low < high").select("key", "node", "root", "n")
-    more = written(_tree_pairs(left, points).join(star, ["a", "b"], "left_anti"), "pairs")
+    more = written(_tree_pairs(left, points, percent).join(star, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        roots = components(links.unionByName(_links(more, docs, points)))
+        roots = components(links.unionByName(_links(more, docs, points, words, percent)))
     named = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.withColumn("component_id", F.min("least").over(Window.partitionBy("root")))
     out = rows.select("doc_id", "n_shingles", "node").join(named.select("node", "component_id"), "node", "left")
@@ -330,10 +331,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                       .alias("component_id"))
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their component, one for each component; rows
-    without doc_id stay."""
-    found = jaccard_components(docs)
+def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that name their component: one of each, as long as its
+    doc_id is one row's; rows without doc_id stay."""
+    found = jaccard_components(docs, words, percent)
     gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_rw_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_rw_id"), "left_anti")
-    return kept
+    return docs.join(gone, F.col("doc_id") == F.col("_rw_id"), "left_anti")
