@@ -43,9 +43,10 @@ def norm(a) -> Column:
 def l2_normalize(a) -> Column:
     """``v / ||v||``; a zero vector stays zero. Result is ``ARRAY<DOUBLE>``."""
     v = _col(a)
-    n = norm(v)
-    return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(
-        F.transform(v, lambda x: x.cast("double") / n))
+    # the norm is bound once as a one-element array; inside the lambda of a
+    # plain transform it would be computed again for every element
+    n = F.transform(F.array(norm(v)), lambda x: F.when(x == 0, F.lit(1.0)).otherwise(x))
+    return F.element_at(F.transform(n, lambda d: F.transform(v, lambda x: x.cast("double") / d)), 1)
 
 
 def is_zero(a) -> Column:
@@ -53,21 +54,6 @@ def is_zero(a) -> Column:
     return F.forall(_col(a), lambda x: x == 0)
 
 
-def score(a, b, metric: str) -> Column:
-    """Similarity where larger is better: ip, cosine, or l2 (as ``-d^2``)."""
-    if metric == "ip":
-        return dot(a, b)
-    if metric == "cosine":
-        return dot(l2_normalize(a), l2_normalize(b))
-    if metric == "l2":
-        return -sq_l2(a, b)
-    raise ValueError(f"unknown metric {metric!r}; use ip, cosine or l2")
-
-
-def round_vector(a, digits: int = 6) -> Column:
-    return F.transform(_col(a), lambda x: F.round(x.cast("double"), digits))
-
-
 # ---------------------------------------------------------------- NumPy side
 
 def list_column_to_matrix(col: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
@@ -92,7 +78,7 @@ def list_column_to_matrix(col: pa.Array | pa.ChunkedArray, dtype=np.float64) ->
 
 
 def normalize_rows(m: np.ndarray) -> np.ndarray:
-    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
+    norms = np.sqrt((m * m).sum(axis=1))  # each row on its own: no influence of its place in a batch
     safe = np.where(norms == 0, 1, norms).astype(m.dtype)
     return m / safe[:, None]
 

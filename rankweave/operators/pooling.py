@@ -62,8 +62,9 @@ def pool_nested(df: DataFrame, method: str = "mean", *, passages: str = "passage
         else:
             folded = F.aggregate(rest, head, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
         if method in ("mean", "masked_mean"):
-            n = F.size(vecs)
-            folded = F.transform(folded, lambda x: x / n)
+            # the count is bound once, as a one-element array, not once for each element
+            one = F.transform(F.array(F.size(vecs)), lambda n: F.transform(folded, lambda x: x / n))
+            folded = F.element_at(one, 1)
         out = folded
     res = df.withColumn(out_col, out).drop(passages)
     return res.where(F.col(out_col).isNotNull())

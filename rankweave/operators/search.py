@@ -1,6 +1,6 @@
 """Exact top-k nearest-neighbour search (inner product, cosine, L2).
 
-Plan shape (strategy ``"broadcast"``, the default when the query side is small):
+Plan shape:
 
     corpus scan (column-pruned) -> mapInArrow: batch matrix x broadcast query matrix,
     running per-task top-k per query -> Exchange hashpartitioning(query_id)
@@ -10,10 +10,15 @@ The corpus is never shuffled or sorted; the shuffle carries at most
 ``k x Q`` candidate rows per task. The query matrix is collected once with a
 row and byte bound checked before it is broadcast.
 
-Strategy ``"blocks"`` (used automatically beyond the bound): queries are cut
-into blocks of bounded size and the corpus into hash blocks; each
-(query block, corpus block) pair is one cogroup scored with NumPy, keeping
-only the per-query top-k. Nothing passes through the driver.
+A query side beyond the bound is cut into blocks that fit it: each block goes
+the same way over the corpus in place, and its result is written to the shared
+checkpoint folder before the next block starts. The corpus is never copied or
+shuffled, and the rows are those of the single broadcast.
+
+Scores are exact: the matrix product only admits candidates, with a margin
+that bounds its rounding error (that of the expanded L2 distance included);
+those few are scored again in double precision, row by row, so that a score
+depends on the two vectors alone and equal vectors tie exactly.
 
 Two exact reductions of the shuffle for large corpora:
 
@@ -22,6 +27,7 @@ Two exact reductions of the shuffle for large corpora:
   corpus. A first top-k over a Bernoulli sample gives one threshold per query;
   the main pass admits only candidates at or above it, so the shuffle carries
   about ``k / fraction`` rows per query instead of ``k`` per task and query.
+  Scores being exact, the threshold is a true bound and loses no row.
   On by default when ``Q x k`` is large.
 * tree reduction (``reduce_buckets``): candidates are first reduced per
   (query, hash bucket of the id), then per query, so no single task merges the
@@ -36,6 +42,7 @@ that larger is always better.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.vectors import list_column_to_matrix, normalize_rows
+from rankweave.session import written
 
 METRICS = ("ip", "cosine", "l2")
 
@@ -107,43 +115,46 @@ class _TopK:
         return q, s, ids
 
 
-def _batch_candidates(scores: np.ndarray, k: int):
-    """Rows that can be in the top-k of each column: all rows scoring at least
-    the column's k-th best (ties included, so the exact tie-break happens later)."""
-    n = scores.shape[0]
-    if n <= k:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-        return rows, cols
-    kth = np.partition(scores, n - k, axis=0)[n - k]
-    rows, cols = np.nonzero(scores >= kth[None, :])
-    return rows, cols
-
-
-def _scores(vecs: np.ndarray, qmat: np.ndarray, qsq: np.ndarray, metric: str) -> np.ndarray:
-    s = vecs @ qmat.T
-    if metric == "l2":
-        vsq = np.einsum("ij,ij->i", vecs, vecs)
-        s = -(vsq[:, None] - 2.0 * s + qsq[None, :])
-    return s
-
-
 def _prepare_queries(qmat: np.ndarray, metric: str):
     if metric == "cosine":
         qmat = normalize_rows(qmat)
-    return qmat, np.einsum("ij,ij->i", qmat, qmat)
+    return qmat, (qmat * qmat).sum(axis=1)
+
+
+def _exact(vecs: np.ndarray, qmat: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of (row, query) pairs in double precision, each summed on its own."""
+    out = np.empty(len(rows))
+    step = max(1, SCORE_CELLS // max(1, vecs.shape[1]))
+    for i in range(0, len(rows), step):
+        v, q = vecs[rows[i:i + step]], qmat[cols[i:i + step]]
+        out[i:i + step] = -((v - q) ** 2).sum(axis=1) if metric == "l2" else (v * q).sum(axis=1)
+    return out
 
 
 def _score_block(ids: np.ndarray, vecs: np.ndarray, qmat: np.ndarray, qsq: np.ndarray, metric: str,
-                 k: int, state: _TopK) -> None:
-    vecs = vecs.astype(qmat.dtype, copy=False)
+                 k: int, state: _TopK, compute_dtype: str = "float64") -> None:
+    """Admit every row that can be in the top-k of a query, scored exactly."""
     if metric == "cosine":
         vecs = normalize_rows(vecs)
-    nq = qmat.shape[0]
-    step = max(1, SCORE_CELLS // max(1, len(ids)))
-    for q0 in range(0, nq, step):
-        s = _scores(vecs, qmat[q0:q0 + step], qsq[q0:q0 + step], metric)
-        rows, cols = _batch_candidates(s, k)
-        state.add(cols.astype(np.int64) + q0, s[rows, cols].astype(np.float64), ids[rows])
+    vsq = (vecs * vecs).sum(axis=1)
+    fast_v, fast_q = vecs.astype(compute_dtype, copy=False), qmat.astype(compute_dtype, copy=False)
+    # bound of the rounding error of a score, for each query
+    unit = 4 * (vecs.shape[1] + 16) * float(np.finfo(compute_dtype).eps)
+    most = float(vsq.max(initial=0.0))
+    margin = unit * ((most + qsq) if metric == "l2" else np.sqrt(most * qsq))
+    n = len(ids)
+    step = max(1, SCORE_CELLS // max(1, n))
+    for q0 in range(0, qmat.shape[0], step):
+        span = slice(q0, q0 + step)
+        s = fast_v @ fast_q[span].T
+        if metric == "l2":
+            s = 2 * s - vsq.astype(compute_dtype)[:, None] - qsq[span].astype(compute_dtype)[None, :]
+        least = state.thr[span] - margin[span]
+        if n > k:
+            least = np.maximum(least, np.partition(s, n - k, axis=0)[n - k] - 2 * margin[span])
+        rows, cols = np.nonzero(s >= least[None, :])
+        cols = cols.astype(np.int64) + q0
+        state.add(cols, _exact(vecs, qmat, rows, cols, metric), ids[rows])
 
 
 def _emit(qids: np.ndarray, state: _TopK, id_name: str):
@@ -181,73 +192,62 @@ def _default_buckets(spark) -> int:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
           query_id: str = "query_id", query_vec: str = "embedding",
           corpus_id: str = "doc_id", corpus_vec: str = "embedding",
-          strategy: str = "auto", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-          max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = 50_000,
-          query_block_rows: int = 2_000, prune_fraction: float | str | None = "auto",
+          max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+          max_broadcast_bytes: int = MAX_BROADCAST_BYTES, prune_fraction: float | str | None = "auto",
           reduce_buckets: int | None = None, seed: int = 17, compute_dtype: str = "float64") -> DataFrame:
     """Top-k corpus rows per query: ``(query_id, <corpus_id>, rank INT, score DOUBLE)``.
 
-    ``compute_dtype="float32"`` scores in single precision (half the memory
-    traffic, about twice the matrix throughput); the default float64 gives
-    scores equal to a double-precision SQL evaluation up to summation order.
+    ``compute_dtype="float32"`` finds candidates in single precision (half the
+    memory traffic); scores are double precision either way. Rows without an id
+    or a vector take no part; repeated query ids count as one query.
     """
     _check(k, metric)
     if compute_dtype not in ("float64", "float32"):
         raise ValueError("compute_dtype must be float64 or float32")
-    buckets = _default_buckets(corpus.sparkSession) if reduce_buckets is None else max(1, reduce_buckets)
-    if strategy not in ("auto", "broadcast", "blocks"):
-        raise ValueError(f"unknown strategy {strategy!r}")
     spark = corpus.sparkSession
-    # rows without an id or a vector cannot be ranked: they are not candidates
+    buckets = _default_buckets(spark) if reduce_buckets is None else max(1, reduce_buckets)
     corpus_sel = (corpus.select(F.col(corpus_id).cast("string").alias(corpus_id), F.col(corpus_vec).alias("_vec"))
                   .where(F.col("_vec").isNotNull() & F.col(corpus_id).isNotNull()))
-    if strategy in ("auto", "broadcast"):
-        max_rows = max_broadcast_rows
-        if k * max_rows > MAX_STATE_CANDIDATES:
-            max_rows = max(1, MAX_STATE_CANDIDATES // k)
-        table = (queries.select(F.col(query_id).cast("string").alias("q"), F.col(query_vec).alias("v"))
-                 .where(F.col("v").isNotNull()).limit(max_rows + 1).toArrow())
-        fits = table.num_rows <= max_rows
-        if fits and table.num_rows:
-            qmat = list_column_to_matrix(table.column("v"))
-            fits = qmat.nbytes <= max_broadcast_bytes
-        if not fits and strategy == "broadcast":
-            raise ValueError(f"query side exceeds the broadcast bound ({max_rows} rows / {max_broadcast_bytes} bytes)")
-        if fits:
-            if table.num_rows == 0:
-                return _final_rank(spark.createDataFrame([], f"query_id string, {corpus_id} string, score double"),
-                                   k, corpus_id)
-            fraction = prune_fraction
-            if fraction == "auto":
-                fraction = AUTO_PRUNE_FRACTION if table.num_rows * k >= AUTO_PRUNE_CANDIDATES else None
-            floor = None
-            qmat = qmat.astype(compute_dtype)
-            if fraction:
-                floor = _sample_thresholds(spark, table, qmat, corpus_sel, k, metric, corpus_id, float(fraction), seed)
-            return _broadcast_top_k(spark, table, qmat, corpus_sel, k, metric, corpus_id, floor, buckets)
-    return _block_top_k(queries.select(F.col(query_id).cast("string").alias("query_id"), F.col(query_vec).alias("_qvec"))
-                        .where(F.col("_qvec").isNotNull()),
-                        corpus_sel, k, metric, corpus_id, block_rows, query_block_rows, buckets, compute_dtype)
+    q = (queries.select(F.col(query_id).cast("string").alias("q"), F.col(query_vec).alias("v"))
+         .where(F.col("q").isNotNull() & F.col("v").isNotNull()).groupBy("q").agg(F.min("v").alias("v")))
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    if not size["n"]:
+        return _final_rank(spark.createDataFrame([], f"query_id string, {corpus_id} string, score double"), k, corpus_id)
+    fits = max(1, min(max_broadcast_rows, max_broadcast_bytes // (8 * max(1, size["d"])), MAX_STATE_CANDIDATES // k))
+    # blocks are dealt by hash: a fifth more of them keeps each within the bound
+    blocks = 1 if size["n"] <= fits else math.ceil(1.2 * size["n"] / fits)
+    fraction = prune_fraction
+    if fraction == "auto":
+        fraction = AUTO_PRUNE_FRACTION if size["n"] * k >= AUTO_PRUNE_CANDIDATES else None
+    parts = []
+    for b in range(blocks):
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        table = own.toArrow()
+        if not table.num_rows:
+            continue
+        qmat = list_column_to_matrix(table.column("v"))
+        floor = (_sample_thresholds(spark, table, qmat, corpus_sel, k, metric, corpus_id, float(fraction), seed,
+                                    compute_dtype) if fraction else None)
+        found = _broadcast_top_k(spark, table, qmat, corpus_sel, k, metric, corpus_id, floor, buckets, compute_dtype)
+        parts.append(found if blocks == 1 else written(found, "topk"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _sample_thresholds(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataFrame, k: int, metric: str,
-                       corpus_id: str, fraction: float, seed: int) -> np.ndarray:
+                       corpus_id: str, fraction: float, seed: int, compute_dtype: str) -> np.ndarray:
     """Per query, the k-th best score over a Bernoulli sample of the corpus
     (-inf when the sample holds fewer than k rows): a lower bound of the k-th
     best score over the whole corpus, whatever rows the sample holds."""
     sample = _broadcast_top_k(spark, table, qmat, corpus_sel.sample(fraction=fraction, seed=seed), k, metric,
-                              corpus_id, None, 1)
+                              corpus_id, None, 1, compute_dtype)
     kth = sample.where(F.col("rank") == k).select("query_id", "score").toArrow()
     by_q = dict(zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist()))
-    floor = np.array([by_q.get(q, -np.inf) for q in table.column("q").to_pylist()], dtype=np.float64)
-    # the same row may score a few ulps differently in another batch position:
-    # lower the bound by a relative margin (admits a few more candidates only)
-    margin = np.abs(floor) * (1e-5 if qmat.dtype == np.float32 else 1e-12) + 1e-12
-    return np.where(np.isfinite(floor), floor - margin, floor)
+    return np.array([by_q.get(q, -np.inf) for q in table.column("q").to_pylist()], dtype=np.float64)
 
 
 def _broadcast_top_k(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataFrame, k: int, metric: str,
-                     corpus_id: str, floor: np.ndarray | None = None, buckets: int = 1) -> DataFrame:
+                     corpus_id: str, floor: np.ndarray | None = None, buckets: int = 1,
+                     compute_dtype: str = "float64") -> DataFrame:
     qids = np.asarray(table.column("q").to_pylist(), dtype=object)
     qmat, qsq = _prepare_queries(qmat, metric)
     bc = spark.sparkContext.broadcast((qids, qmat, qsq, floor))
@@ -262,45 +262,8 @@ def _broadcast_top_k(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataF
             vecs = list_column_to_matrix(b.column(1))
             if vecs.shape[1] != qmat_.shape[1]:
                 raise ValueError(f"corpus dimension {vecs.shape[1]} != query dimension {qmat_.shape[1]}")
-            _score_block(ids, vecs, qmat_, qsq_, metric, k, state)
+            _score_block(ids, vecs, qmat_, qsq_, metric, k, state, compute_dtype)
         yield from _emit(qids_, state, corpus_id)
 
     cands = corpus_sel.mapInArrow(score_partition, f"query_id string, {corpus_id} string, score double")
     return _final_rank(cands, k, corpus_id, buckets)
-
-
-def _block_top_k(queries: DataFrame, corpus_sel: DataFrame, k: int, metric: str, corpus_id: str,
-                 block_rows: int, query_block_rows: int, buckets: int = 1,
-                 compute_dtype: str = "float64") -> DataFrame:
-    """Distributed fallback: cogroup (query block, corpus block) pairs.
-
-    Each corpus row is copied once per query block and each query row once
-    per corpus block; a group holds about ``block_rows`` corpus rows and
-    ``query_block_rows`` queries, so no group grows with the data.
-    """
-    n_q = queries.count()
-    n_c = corpus_sel.count()
-    n_qb = max(1, math.ceil(n_q / query_block_rows))
-    n_cb = max(1, math.ceil(n_c / block_rows))
-    q = (queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb)))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
-    c = (corpus_sel.withColumn("_cb", F.pmod(F.xxhash64(corpus_id), F.lit(n_cb)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
-
-    def score_group(cpdf, qpdf):
-        import pandas as pd
-        if len(cpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object), corpus_id: pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype="float64")})
-        qids = qpdf["query_id"].to_numpy(dtype=object)
-        qmat, qsq = _prepare_queries(np.stack(qpdf["_qvec"].to_numpy()).astype(compute_dtype), metric)
-        ids = cpdf[corpus_id].to_numpy(dtype=object)
-        vecs = np.stack(cpdf["_vec"].to_numpy()).astype(compute_dtype)
-        state = _TopK(k, len(qids))
-        _score_block(ids, vecs, qmat, qsq, metric, k, state)
-        qi, s, ii = state.reduce()
-        return pd.DataFrame({"query_id": qids[qi], corpus_id: ii, "score": s})
-
-    cands = c.groupBy("_qb", "_cb").cogroup(q.groupBy("_qb", "_cb")).applyInPandas(
-        score_group, f"query_id string, {corpus_id} string, score double")
-    return _final_rank(cands, k, corpus_id, buckets)

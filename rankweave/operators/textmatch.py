@@ -2,127 +2,76 @@
 pattern text occurs in the document text.
 
 A non-equi ``contains`` join would be a nested loop over documents x patterns.
-Instead, the pattern set is compiled into one Aho-Corasick automaton and each
-document is scanned once in a ``mapInArrow`` task; every occurrence of every
-pattern is reported, so the result equals ``contains(doc, pattern)``.
-
-The pattern set is broadcast only after its row count and byte size are
-checked. Beyond the bound, patterns are cut into blocks of bounded size and
-documents into hash blocks; each (pattern block, document block) pair is one
-cogroup with its own automaton.
+Instead every pattern is anchored at a gram that a text holding the pattern must
+hold too, texts are exploded into their distinct grams, both sides meet in an
+equi-join that Spark plans by its own statistics, and the pairs found are
+verified with ``contains``:
+
+* a pattern with inner words (words bounded by single spaces on both sides
+  inside the pattern) is anchored at its longest run of up to ``WORDS`` of them;
+* a shorter pattern is anchored at its first ``CHARS`` characters;
+* an empty pattern is contained in every non-null text.
+
+Only the kinds of grams that some pattern needs are made. All work is done by
+column expressions and shuffles; no pattern set passes through the driver.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PATTERN_ROWS = 200_000
-MAX_PATTERN_BYTES = 64 << 20
-
-_ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
-
-# automaton by pattern-set token, built once per task (the package is
-# serialised by value, so this table travels with the task function)
-_AUTOMATA: dict[str, tuple] = {}
-
-
-def _automaton(texts, keys):
-    """(automaton, plain list, keys of empty patterns). An empty pattern is
-    contained in every non-null text; null patterns match nothing."""
-    empty = [k for t, k in zip(texts, keys) if t == ""]
-    try:
-        import ahocorasick
-    except ImportError:  # pragma: no cover - plain scan fallback
-        return None, [(t, k) for t, k in zip(texts, keys) if t], empty
-    a = ahocorasick.Automaton()
-    grouped: dict[str, list] = {}
-    for t, k in zip(texts, keys):
-        if t is None or t == "":
-            continue
-        grouped.setdefault(t, []).append(k)
-    for t, ks in grouped.items():
-        a.add_word(t, ks)
-    if len(a):
-        a.make_automaton()
-    return a, None, empty
+WORDS = 3
+CHARS = 8
+MAX_EMPTY_PATTERNS = 10_000
 
 
-def _matches(auto, plain, empty, text):
-    """Distinct pattern keys occurring in ``text``."""
-    if text is None:
-        return set()
-    found = set(empty)
-    if auto is None:
-        return found | {k for t, k in plain if t in text}
-    if not len(auto):
-        return found
-    for _, ks in auto.iter(text):
-        found.update(ks)
-    return found
+def _grams(tokens, n: int, sep: str):
+    """All runs of n tokens, joined."""
+    last = F.size(tokens) - n
+    return F.when(last < 0, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                    lambda i: F.array_join(F.slice(tokens, i + 1, n), sep)))
 
 
 def contains_join(docs: DataFrame, patterns: DataFrame, *, doc_key: str, doc_text: str, pat_key: str,
-                  pat_text: str, max_pattern_rows: int = MAX_PATTERN_ROWS,
-                  max_pattern_bytes: int = MAX_PATTERN_BYTES, doc_block_rows: int = 100_000) -> DataFrame:
+                  pat_text: str) -> DataFrame:
     """Rows ``(doc_key, pat_key)`` for every document containing the pattern
     text, as SQL ``contains``: an empty pattern is contained in every non-null
     document, a null pattern or document matches nothing.
     """
-    spark = docs.sparkSession
-    key_type = dict(patterns.dtypes)[pat_key]
-    doc_key_type = dict(docs.dtypes)[doc_key]
-    out_schema = f"{doc_key} {doc_key_type}, {pat_key} {key_type}"
-    pat_arrow = _ARROW_TYPES[key_type]
-    pats = patterns.select(F.col(pat_key).alias("k"), F.col(pat_text).alias("t"))
-    tbl = pats.limit(max_pattern_rows + 1).toArrow()
-    small = tbl.num_rows <= max_pattern_rows and sum(len(t or "") for t in tbl.column("t").to_pylist()) * 4 \
-        <= max_pattern_bytes
-    d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_t"))
-    if small:
-        bc = spark.sparkContext.broadcast((tbl.column("t").to_pylist(), tbl.column("k").to_pylist()))
-        bc_id = uuid.uuid4().hex
-
-        def scan(batches):
-            if bc_id not in _AUTOMATA:
-                _AUTOMATA.clear()
-                _AUTOMATA[bc_id] = _automaton(*bc.value)
-            auto, plain, empty = _AUTOMATA[bc_id]
-            for b in batches:
-                dk, pk = [], []
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for m in _matches(auto, plain, empty, text):
-                        dk.append(key)
-                        pk.append(m)
-                yield pa.record_batch([pa.array(dk, b.schema.field(0).type), pa.array(pk, pat_arrow)],
-                                      names=[doc_key, pat_key])
-
-        return d.mapInArrow(scan, out_schema)
-
-    n_p = patterns.count()
-    n_d = docs.count()
-    n_pb = max(1, math.ceil(n_p / max_pattern_rows))
-    n_db = max(1, math.ceil(n_d / doc_block_rows))
-    p2 = (pats.withColumn("_pb", F.pmod(F.xxhash64("k"), F.lit(n_pb)))
-          .withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_db - 1)))))
-    d2 = (d.withColumn("_db", F.pmod(F.xxhash64("_d"), F.lit(n_db)))
-          .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(n_pb - 1)))))
-
-    def group(dpdf, ppdf):
-        import pandas as pd
-        if len(dpdf) == 0 or len(ppdf) == 0:
-            return pd.DataFrame({doc_key: pd.Series([], dtype=dpdf["_d"].dtype),
-                                 pat_key: pd.Series([], dtype=ppdf["k"].dtype)})
-        auto, plain, empty = _automaton(ppdf["t"].tolist(), ppdf["k"].tolist())
-        dk, pk = [], []
-        for key, text in zip(dpdf["_d"].tolist(), dpdf["_t"].tolist()):
-            for m in _matches(auto, plain, empty, text):
-                dk.append(key)
-                pk.append(m)
-        return pd.DataFrame({doc_key: dk, pat_key: pk})
-
-    return d2.groupBy("_pb", "_db").cogroup(p2.groupBy("_pb", "_db")).applyInPandas(group, out_schema)
+    d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_t")).where(F.col("_t").isNotNull())
+    p = patterns.select(F.col(pat_key).alias("_p"), F.col(pat_text).alias("_s")).where(F.col("_s").isNotNull())
+    words = F.split("_s", " ", -1)
+    p = p.distinct().withColumn("_in", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    p = p.withColumns({"_kind": F.when(F.size("_in") > 0, "words").when(F.char_length("_s") > 0, "chars")
+                       .otherwise("empty"),
+                       "_n": F.when(F.size("_in") > 0, F.least(F.size("_in"), F.lit(WORDS)))
+                       .otherwise(F.least(F.char_length("_s"), F.lit(CHARS)))})
+    found = []
+    for kind, n in sorted(tuple(r) for r in p.select("_kind", "_n").distinct().collect()):  # WORDS + CHARS + 1 at most
+        own = p.where((F.col("_kind") == kind) & (F.col("_n") == n))
+        if kind == "empty":
+            keys = [r["_p"] for r in own.select("_p").limit(MAX_EMPTY_PATTERNS + 1).collect()]
+            if len(keys) > MAX_EMPTY_PATTERNS:
+                raise ValueError(f"over {MAX_EMPTY_PATTERNS} empty patterns")
+            kind_of_key = patterns.schema[pat_key].dataType
+            found.append(d.select("_d", F.explode(F.array(*[F.lit(k).cast(kind_of_key) for k in keys])).alias("_p")))
+            continue
+        if kind == "words":
+            best = F.array_max(F.transform(_grams(F.col("_in"), n, " "),
+                                           lambda g: F.struct(F.char_length(g).alias("n"), g.alias("gram"))))
+            anchored = own.select("_p", "_s", best["gram"].alias("_gram"))
+            grams = _grams(F.split("_t", " ", -1), n, " ")
+        else:
+            anchored = own.select("_p", "_s", F.substring("_s", 1, n).alias("_gram"))
+            grams = _grams(F.split("_t", "", -1), n, "")
+        held = d.select("_d", F.explode(F.array_distinct(grams)).alias("_gram"))
+        pairs = held.join(anchored, "_gram").select(F.col("_d").alias("_k"), "_p", "_s").distinct()
+        found.append(d.join(pairs, F.col("_d").eqNullSafe(F.col("_k")) & F.col("_t").contains(F.col("_s")))
+                     .select("_d", "_p"))
+    if not found:
+        found = [d.select("_d", F.lit(None).cast(patterns.schema[pat_key].dataType).alias("_p")).limit(0)]
+    return reduce(DataFrame.unionByName, found).select(F.col("_d").alias(doc_key), F.col("_p").alias(pat_key))

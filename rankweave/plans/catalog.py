@@ -102,11 +102,10 @@ def q_l2_normalize(s, d):
     return exploded(pooling.l2_normalize(_sum_pooled(s, d)), "doc_id", "norm_embedding")
 
 
-def _topk(metric, strategy="auto"):
+def _topk(metric, **bounds):
     def q(s, d):
         run = search.top_k(fx.vec_queries(s, d), _sum_pooled(s, d), K_DOCS, metric, corpus_id="doc_id",
-                           corpus_vec="doc_embedding", strategy=strategy,
-                           **({"block_rows": 64, "query_block_rows": 4} if strategy == "blocks" else {}))
+                           corpus_vec="doc_embedding", **bounds)
         return ranked(run)
     return q
 
@@ -362,7 +361,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topk_ip": _topk("ip"),
         "topk_l2": _topk("l2"),
         "topk_cosine": _topk("cosine"),
-        "topk_ip_blocks": _topk("ip", "blocks"),
+        "topk_ip_blocks": _topk("ip", max_broadcast_rows=4),
         "topk_passages": q_topk_passages,
         "rerank_max": q_rerank_max,
         "rerank_sum": _rerank("sum"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "rankweave") -> SparkSession:
@@ -47,3 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this job on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankweave-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The frame written as Parquet below the shared checkpoint folder and read
+    again: the lineage ends there, and a lost executor costs nothing written."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

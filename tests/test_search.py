@@ -46,7 +46,7 @@ def test_matches_brute_force(spark, metric):
     c = spark.createDataFrame(cs, "doc_id string, embedding array<double>").repartition(7)
     got = _rows(search.top_k(q, c, 10, metric))
     assert got == _brute(qs, cs, 10, metric)
-    blocks = _rows(search.top_k(q, c, 10, metric, strategy="blocks", block_rows=40, query_block_rows=2))
+    blocks = _rows(search.top_k(q, c, 10, metric, max_broadcast_rows=2))
     assert blocks == got
 
 
@@ -69,16 +69,48 @@ def test_partition_count_does_not_change_result(spark):
     assert a == b
 
 
-def test_broadcast_bound_falls_back_to_blocks(spark):
-    vp = fx.vec_passages(spark, SF)
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_query_blocks_give_the_same_rows_over_many_partitions(spark, metric):
+    vp = fx.vec_passages(spark, SF).repartition(9)
     q = fx.vec_queries(spark, SF)
-    a = _rows(search.top_k(q, vp, 7, corpus_id="passage_id", corpus_vec="passage_embedding"), "passage_id")
-    b = _rows(search.top_k(q, vp, 7, corpus_id="passage_id", corpus_vec="passage_embedding", max_broadcast_rows=3,
-                           query_block_rows=3, block_rows=100), "passage_id")
-    assert a == b
-    with pytest.raises(ValueError):
-        search.top_k(q, vp, 7, corpus_id="passage_id", corpus_vec="passage_embedding", strategy="broadcast",
-                     max_broadcast_rows=3)
+    kw = dict(corpus_id="passage_id", corpus_vec="passage_embedding")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a = _rows(search.top_k(q, vp, 7, metric, **kw), "passage_id")
+        assert len(a) == 70
+        assert _rows(search.top_k(q, vp, 7, metric, max_broadcast_rows=3, **kw), "passage_id") == a
+        assert _rows(search.top_k(q, vp, 7, metric, max_broadcast_bytes=1000, **kw), "passage_id") == a
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+@pytest.mark.parametrize("dtype", ["float64", "float32"])
+def test_equal_vectors_tie_by_id_whatever_the_partitions(spark, metric, dtype):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=33)
+    cs = [(f"d{i:04d}", v.tolist()) for i in range(997)] + [(f"x{i}", rng.normal(size=33).tolist()) for i in range(50)]
+    qs = [(f"q{i}", (v + 0.01 * rng.normal(size=33)).tolist()) for i in range(12)]
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>")
+    c = spark.createDataFrame(cs, "doc_id string, embedding array<double>")
+    for parts, prune in ((1, None), (7, 0.3), (50, None)):
+        got = search.top_k(q, c.repartition(parts), 20, metric, compute_dtype=dtype, prune_fraction=prune).collect()
+        for i in range(12):
+            assert sorted((r.rank, r.doc_id) for r in got if r.query_id == f"q{i}") == [
+                (j + 1, f"d{j:04d}") for j in range(20)]
+
+
+@pytest.mark.parametrize("dtype", ["float64", "float32"])
+def test_near_copies_under_l2(spark, dtype):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64) * 100
+    cs = [(f"d{i:04d}", (base + 1e-4 * rng.normal(size=64)).tolist()) for i in range(2000)]
+    qs = [(f"q{i}", (base + 1e-4 * rng.normal(size=64)).tolist()) for i in range(8)]
+    got = search.top_k(spark.createDataFrame(qs, "query_id string, embedding array<double>"),
+                       spark.createDataFrame(cs, "doc_id string, embedding array<double>").repartition(6), 10, "l2",
+                       compute_dtype=dtype)
+    expect = [(a, b, r) for a, b, r, _ in _brute(qs, cs, 10, "l2")]
+    assert sorted((r.query_id, r.doc_id, r.rank) for r in got.collect()) == expect
 
 
 def test_plan_shape(spark):

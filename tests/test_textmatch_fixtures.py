@@ -1,3 +1,5 @@
+import random
+
 from rankweave.operators.textmatch import contains_join
 from rankweave.sources import fixtures as fx
 from tests.conftest import SF, SF01
@@ -13,8 +15,6 @@ def test_contains_join_brute_force(spark):
     kw = dict(doc_key="doc_id", doc_text="text", pat_key="item_id", pat_text="text")
     got = sorted((r.doc_id, r.item_id) for r in contains_join(docs, pats, **kw).collect())
     assert got == expected
-    fallback = contains_join(docs, pats, max_pattern_rows=2, doc_block_rows=2, **kw)
-    assert sorted((r.doc_id, r.item_id) for r in fallback.collect()) == expected
 
 
 def test_empty_and_null_patterns_follow_contains(spark):
@@ -23,8 +23,24 @@ def test_empty_and_null_patterns_follow_contains(spark):
     kw = dict(doc_key="doc_id", doc_text="text", pat_key="item_id", pat_text="text")
     expected = [(1, 10), (1, 12), (2, 10)]
     assert sorted((r.doc_id, r.item_id) for r in contains_join(docs, pats, **kw).collect()) == expected
-    fb = contains_join(docs, pats, max_pattern_rows=1, doc_block_rows=1, **kw)
-    assert sorted((r.doc_id, r.item_id) for r in fb.collect()) == expected
+
+
+def test_contains_join_random_patterns_over_many_partitions(spark):
+    rng = random.Random(4)
+    vocab = ["a", "ab", "abc", "", "É😀", "x\ny", "longerword", "b"]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(30)))) for i in range(60)] + [(3, "a b"), (None, "ab a")]
+    pats = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 7)))) for i in range(120)]
+    pats += [(200 + i, d[1][k:k + n]) for i, (d, k, n) in enumerate(
+        (rng.choice(docs), rng.randrange(20), rng.randrange(1, 40)) for _ in range(80))] + [(7, pats[8][1])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = contains_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5),
+                            spark.createDataFrame(pats, "item_id long, text string").repartition(3),
+                            doc_key="doc_id", doc_text="text", pat_key="item_id", pat_text="text").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    expected = [(d, p) for d, t in docs for p, s in dict.fromkeys(pats) if s in t]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
 
 
 def test_fixture_sizes(spark):
