@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.defaults import MAX_PASSAGES_PER_DOC, QUERY_ENCODE_BATCH
+from rankweave.defaults import QUERY_ENCODE_BATCH
 from rankweave.functions.vectors import list_column_to_matrix, matrix_to_list_array
 from rankweave.operators.passages import nest
 
@@ -147,9 +147,9 @@ def masked_mean(m: np.ndarray) -> np.ndarray:
 
 def embed_documents(passages: DataFrame, fn: Callable[[np.ndarray], np.ndarray] = masked_mean, *,
                     vec: str = "passage_embedding", out_col: str = "doc_embedding",
-                    max_passages: int | None = MAX_PASSAGES_PER_DOC) -> DataFrame:
+                    max_passages: int | None = None) -> DataFrame:
     """(doc_id, out_col ARRAY<DOUBLE>): ``fn`` applied to each document's
-    (passages x dim) matrix in passage order, at most ``max_passages`` rows.
+    (passages x dim) matrix in passage order (all rows, or the first ``max_passages``).
     Documents for which ``fn`` gives NaN have no row."""
     nested = nest(passages.select("doc_id", "passage_idx", vec), fields=["passage_idx", vec], out_col="_ps",
                   max_passages=max_passages)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.defaults import MAX_PASSAGES_PER_DOC, PASSAGE_SIZE, TITLE_TOKEN_CAP, TOKEN_MARGIN
+from rankweave.defaults import PASSAGE_SIZE, TOKEN_MARGIN
 
 
 def drop_empty(df: DataFrame, body: str = "body") -> DataFrame:
@@ -69,15 +69,19 @@ def split_passages(df: DataFrame, passage_size: int = PASSAGE_SIZE, prepend_titl
                            "passage_body")
 
 
+def _first(tokens: Column, n: int | None) -> Column:
+    return tokens if n is None else F.slice(tokens, 1, n)
+
+
 def token_passages(title_tokens: Column, body_tokens: Column, passage_size: int, prepend_title: bool = True,
-                   title_cap: int = TITLE_TOKEN_CAP, margin: int = TOKEN_MARGIN, elem_type: str = "string") -> Column:
+                   title_cap: int | None = None, margin: int = TOKEN_MARGIN, elem_type: str = "string") -> Column:
     """ARRAY<ARRAY<token>>: body tokens in chunks of ``passage_size - len(title) - margin``,
-    each preceded by the title tokens (capped to ``title_cap``). A chunk length
+    each preceded by the title tokens (the first ``title_cap``, if given). A chunk length
     <= 0 raises an error at run time. Empty or null body -> no passage."""
     if passage_size - margin <= 0:
         raise ValueError(f"no room for passage text: passage_size {passage_size} <= margin {margin}")
     empty = F.array().cast(f"array<{elem_type}>")
-    title = F.coalesce(F.slice(title_tokens, 1, title_cap), empty) if prepend_title else empty
+    title = F.coalesce(_first(title_tokens, title_cap), empty) if prepend_title else empty
     chunk = F.lit(passage_size) - F.size(title) - F.lit(margin)
     n = F.when(body_tokens.isNull(), F.lit(0)).otherwise(F.size(body_tokens))
     starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(
@@ -90,7 +94,7 @@ def token_passages(title_tokens: Column, body_tokens: Column, passage_size: int,
 
 def split_token_passages(df: DataFrame, passage_size: int = PASSAGE_SIZE, prepend_title: bool = True, *,
                          doc_id: str = "doc_id", title_tokens: str = "title_tokens",
-                         body_tokens: str = "body_tokens", title_cap: int = TITLE_TOKEN_CAP, margin: int = TOKEN_MARGIN,
+                         body_tokens: str = "body_tokens", title_cap: int | None = None, margin: int = TOKEN_MARGIN,
                          keep: list[str] | None = None) -> DataFrame:
     """Token-based split on token arrays produced by a user tokenizer.
 
@@ -99,7 +103,7 @@ def split_token_passages(df: DataFrame, passage_size: int = PASSAGE_SIZE, prepen
     keep = [] if keep is None else list(keep)
     elem = df.schema[body_tokens].dataType.elementType.simpleString()
     empty = F.array().cast(f"array<{elem}>")
-    capped = df.withColumn("_title", F.coalesce(F.slice(F.col(title_tokens), 1, title_cap), empty))
+    capped = df.withColumn("_title", F.coalesce(_first(F.col(title_tokens), title_cap), empty))
     arr = token_passages(F.col("_title"), F.col(body_tokens), passage_size, prepend_title, title_cap, margin,
                          elem_type=elem)
     exploded = capped.select(doc_id, *keep, F.posexplode(arr).alias("passage_idx", "passage_tokens"))
@@ -132,7 +136,7 @@ def nest(df: DataFrame, *, doc_id: str = "doc_id", order: str = "passage_idx", f
     return src.groupBy(doc_id).agg(agg.alias(out_col))
 
 
-def cap_passages(df: DataFrame, max_passages: int = MAX_PASSAGES_PER_DOC, *, order: str = "passage_idx") -> DataFrame:
+def cap_passages(df: DataFrame, max_passages: int, *, order: str = "passage_idx") -> DataFrame:
     """Keep at most the first ``max_passages`` passages of each document (flat form)."""
     return df.where(F.col(order) < max_passages)
 

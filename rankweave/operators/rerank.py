@@ -12,7 +12,7 @@ rows per query.
 candidate documents (at most k per query) filter the passage table with a
 broadcast semi-join when their count is under a checked bound (else a
 shuffle join); each passage row carries the list of queries that retrieved
-its document, and one ``mapInArrow`` task computes all those dot products
+its document (as positions), and one ``mapInArrow`` task computes all those dot products
 against the broadcast query matrix. No vector is copied per (query, passage)
 pair and only (query_id, doc_id, score) rows reach the aggregate.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.vectors import dot, list_column_to_matrix
 from rankweave.operators.passages import split_passage_id
-from rankweave.session import ensure_checkpoint_dir
+from rankweave.session import written
 
 MAX_CANDIDATE_PAIRS = 2_000_000  # (query, doc) pairs behind the broadcast (doc_id, query list) table
 MAX_CANDIDATE_DOCS = 5_000_000  # distinct candidate doc ids broadcast as a semi-join filter
@@ -39,6 +39,7 @@ def max_p(run: DataFrame, *, passage_id: str = "passage_id", max_queries: int |
     """(query_id, doc_id, passage_idx, passage_rank, rank INT, score) from a passage run."""
     r = run if {"doc_id", "passage_idx"} <= set(run.columns) else split_passage_id(run, passage_id)
     if max_queries is not None:
+        r = written(r, "run")  # the search behind it runs once
         first = r.select("query_id").distinct().orderBy("query_id").limit(max_queries)
         r = r.join(first, "query_id", "left_semi")
     r = r.repartition("query_id")
@@ -59,61 +60,60 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
     each (query, document) pair of the run."""
     spark = run.sparkSession
     r = run if "doc_id" in run.columns else split_passage_id(run, passage_id)
-    # at most Q x k rows; checkpointed (reliable folder) so the run behind it is
-    # computed once for the size checks and the joins
-    ensure_checkpoint_dir(spark)
-    cand = r.select("query_id", "doc_id").distinct().checkpoint(eager=True)
-
-    qt = (queries.select(F.col("query_id").cast("string").alias("q"), F.col(query_vec).alias("v"))
-          .where(F.col("v").isNotNull()).limit(max_broadcast_queries + 1).toArrow())
-    fits = qt.num_rows <= max_broadcast_queries
-    qmat = list_column_to_matrix(qt.column("v")) if fits and qt.num_rows else np.zeros((0, 0))
-    fits = fits and qmat.nbytes <= max_broadcast_bytes
+    # queries without an id or a vector score nothing; a repeated id is one query
+    q = (queries.select(F.col("query_id").cast("string").alias("query_id"), F.col(query_vec).alias("_qvec"))
+         .where(F.col("query_id").isNotNull() & F.col("_qvec").isNotNull())
+         .groupBy("query_id").agg(F.min("_qvec").alias("_qvec")))
+    # at most Q x k rows; written so the run behind it is computed once for the
+    # size checks and the joins
+    cand = written(r.select(F.col("query_id").cast("string").alias("query_id"), "doc_id").distinct()
+                   .join(q.select("query_id"), "query_id", "left_semi"), "candidates")
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qvec")).alias("d")).first()
     pv = passages.select("doc_id", F.col(passage_vec).alias("_pvec")).where(F.col("_pvec").isNotNull())
-    if fits:
-        # one row per candidate document with the (at most Q) queries that retrieved it
-        by_doc = cand.groupBy("doc_id").agg(F.collect_list("query_id").alias("_qids"))
+    if size["n"] <= max_broadcast_queries and size["n"] * (size["d"] or 0) * 8 <= max_broadcast_bytes:
+        qt = q.orderBy("query_id").toArrow()
+        qids = qt.column("query_id").to_pylist()
+        qmat = list_column_to_matrix(qt.column("_qvec"))
+        # each candidate document with the positions of the queries that retrieved it
+        places = spark.createDataFrame(list(zip(qids, range(len(qids)))), "query_id string, _pos int")
+        by_doc = (cand.join(F.broadcast(places), "query_id").groupBy("doc_id")
+                  .agg(F.collect_list("_pos").alias("_qpos")))
         # the broadcast table holds one entry per (query, doc) pair: bound that count
-        n_pairs = cand.limit(max_candidate_pairs + 1).count()
+        n_pairs = cand.count()
         if n_pairs <= max_candidate_pairs:
             p = pv.join(F.broadcast(by_doc), "doc_id")
         else:
             # too many pairs for the lists: filter the passages in place by the
             # candidate ids when those fit, then shuffle only what is left
             docs = cand.select("doc_id").distinct()
-            n_docs = docs.limit(max_candidate_docs + 1).count()
+            n_docs = docs.count()
             kept = pv.join(F.broadcast(docs), "doc_id", "left_semi") if n_docs <= max_candidate_docs else pv
             p = kept.join(by_doc, "doc_id")
-        qids = qt.column("q").to_pylist()
         bc = spark.sparkContext.broadcast((qids, qmat))
 
         def score(batches):
             qids_, qmat_ = bc.value
-            pos = {q: i for i, q in enumerate(qids_)}
+            names = np.asarray(qids_, dtype=object)
             schema = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
             for b in batches:
                 if b.num_rows == 0:
                     continue
                 vecs = list_column_to_matrix(b.column(1))
                 lists = b.column(2)
-                lens = np.diff(lists.offsets.to_numpy())
-                flat_q = lists.flatten().to_pylist()
-                rows = np.repeat(np.arange(b.num_rows), lens)
-                known = np.array([q in pos for q in flat_q], dtype=bool)
-                qi = np.array([pos.get(q, 0) for q in flat_q], dtype=np.int64)
-                rows, qi = rows[known], qi[known]
-                s = np.einsum("ij,ij->i", vecs[rows], qmat_[qi])
-                docs = np.asarray(b.column(0).to_pylist(), dtype=object)
-                yield pa.record_batch([pa.array(np.asarray(qids_, dtype=object)[qi], pa.string()),
-                                       pa.array(docs[rows], pa.string()), pa.array(s, pa.float64())], schema=schema)
-
-        scored = p.select("doc_id", "_pvec", "_qids").mapInArrow(score, "query_id string, doc_id string, score double")
+                rows = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                qi = lists.flatten().to_numpy()
+                s = (vecs[rows] * qmat_[qi]).sum(axis=1)
+                yield pa.record_batch([pa.array(names[qi], pa.string()), b.column(0).take(pa.array(rows)),
+                                       pa.array(s, pa.float64())], schema=schema)
+
+        scored = p.select(F.col("doc_id").cast("string").alias("doc_id"), "_pvec", "_qpos").mapInArrow(
+            score, "query_id string, doc_id string, score double")
     else:
         # query side too large to broadcast: plain equi-joins on doc_id then
         # query_id (AQE splits a popular document's partition)
-        qv = queries.select("query_id", F.col(query_vec).alias("_qvec"))
-        scored = (pv.join(cand, "doc_id").join(qv, "query_id")
-                  .select("query_id", "doc_id", dot("_qvec", "_pvec").alias("score")))
+        scored = (pv.join(cand, "doc_id").join(q, "query_id")
+                  .select("query_id", F.col("doc_id").cast("string").alias("doc_id"),
+                          dot("_qvec", "_pvec").alias("score")))
     return scored.groupBy("query_id", "doc_id").agg(
         F.sum("score").alias("sum_score"), F.avg("score").alias("mean_score"),
         F.count(F.lit(1)).alias("n_passages"))

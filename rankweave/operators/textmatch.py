@@ -28,7 +28,7 @@ CHARS = 8
 MAX_EMPTY_PATTERNS = 10_000
 
 
-def _grams(tokens, n: int, sep: str):
+def _grams(tokens: str, n: int, sep: str):
     """All runs of n tokens, joined."""
     last = F.size(tokens) - n
     return F.when(last < 0, F.array().cast("array<string>")).otherwise(
@@ -61,14 +61,16 @@ def contains_join(docs: DataFrame, patterns: DataFrame, *, doc_key: str, doc_tex
             found.append(d.select("_d", F.explode(F.array(*[F.lit(k).cast(kind_of_key) for k in keys])).alias("_p")))
             continue
         if kind == "words":
-            best = F.array_max(F.transform(_grams(F.col("_in"), n, " "),
+            best = F.array_max(F.transform(_grams("_in", n, " "),
                                            lambda g: F.struct(F.char_length(g).alias("n"), g.alias("gram"))))
             anchored = own.select("_p", "_s", best["gram"].alias("_gram"))
-            grams = _grams(F.split("_t", " ", -1), n, " ")
+            tokens, sep = F.split("_t", " ", -1), " "
         else:
             anchored = own.select("_p", "_s", F.substring("_s", 1, n).alias("_gram"))
-            grams = _grams(F.split("_t", "", -1), n, "")
-        held = d.select("_d", F.explode(F.array_distinct(grams)).alias("_gram"))
+            tokens, sep = F.split("_t", "", -1), ""
+        # tokens as a column of its own: inside the lambda they would be split again for each position
+        held = d.select("_d", tokens.alias("_w")).select("_d", F.explode(F.array_distinct(_grams("_w", n, sep)))
+                                                         .alias("_gram"))
         pairs = held.join(anchored, "_gram").select(F.col("_d").alias("_k"), "_p", "_s").distinct()
         found.append(d.join(pairs, F.col("_d").eqNullSafe(F.col("_k")) & F.col("_t").contains(F.col("_s")))
                      .select("_d", "_p"))

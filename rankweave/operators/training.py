@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.defaults import N_NEGATIVES, PREPARED_MAX_CHARS, SAMPLE_QUERIES
+from rankweave.defaults import N_NEGATIVES, SAMPLE_QUERIES
 from rankweave.operators.partitioning import indexed_with_count
 from rankweave.operators.passages import nest
+from rankweave.session import written
 
 ON_EXHAUST = ("stick", "cycle")
 MAX_BROADCAST_IDS = 2_000_000  # document ids broadcast as a semi-join filter
@@ -56,14 +57,15 @@ def unmatched(query_embeddings: DataFrame, qrels: DataFrame, passages: DataFrame
 
 # ------------------------------------------------------------------ documents
 
-def prepare_docs(docs: DataFrame, prepend_title: bool = True, max_chars: int = PREPARED_MAX_CHARS) -> DataFrame:
+def prepare_docs(docs: DataFrame, prepend_title: bool = True, max_chars: int | None = None) -> DataFrame:
     """(doc_id, text). With the title: only documents with a non-empty title
-    and body; text = title || body (no separator) cut to ``max_chars``
+    and body; text = title || body (no separator), whole or cut to ``max_chars``
     characters. Without: text = body, uncut, every document."""
     if not prepend_title:
         return docs.select("doc_id", F.col("body").alias("text"))
     ok = F.col("title").isNotNull() & (F.col("title") != "") & F.col("body").isNotNull() & (F.col("body") != "")
-    return docs.where(ok).select("doc_id", F.substring(F.concat("title", "body"), 1, max_chars).alias("text"))
+    text = F.concat("title", "body")
+    return docs.where(ok).select("doc_id", (text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"))
 
 
 def removed_docs(docs: DataFrame, prepend_title: bool = True) -> DataFrame:
@@ -110,6 +112,8 @@ def rolled_negatives(qrels: DataFrame, n_negatives: int = N_NEGATIVES, *, order_
     same query is dropped (the reference keeps them)."""
     if n_negatives < 1:
         raise ValueError("n_negatives must be >= 1")
+    if exclude_positives:
+        qrels = written(qrels, "qrels")  # read twice
     idx, n_rows = indexed_with_count(qrels.select("query_id", "doc_id"), list(order_by), out_col="_r")
     total = F.lit(max(n_rows, 1)).cast("long")
     src = idx.select("_r", F.col("doc_id").alias("neg"))
@@ -157,7 +161,9 @@ def triplets(negatives: DataFrame, prepared: DataFrame, queries: DataFrame, epoc
     reference's dictionaries would fail on them). The prepared documents are
     joined twice; Spark reuses the one exchange of that side."""
     n = n_negatives if n_negatives is not None else negatives.select(F.max("neg_no")).scalar()
-    pick = negatives.where(F.col("neg_no") == negative_for_epoch(epoch, n, on_exhaust))
+    # ids only, written once: the joins behind the negatives are not repeated
+    pick = written(negatives.where(F.col("neg_no") == negative_for_epoch(epoch, n, on_exhaust))
+                   .select("query_id", "pos", "neg"), "triplets")
     # only documents used as a positive or negative are joined: the prepared
     # texts are filtered by those ids in place (broadcast, size checked)
     # before the two shuffle joins

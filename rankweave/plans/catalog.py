@@ -24,6 +24,7 @@ K_DOCS = 20          # top-k of the document searches
 K_PASSAGES = 100     # depth of the passage run behind MaxP / Sum / Mean
 PASSAGE_SIZE = 400   # words per passage in the text queries
 TOKEN_PASSAGE_SIZE = 128
+CODE_POINTS = 1024   # tokens of a passage where every code point is a token
 EMBED_DIM = 64
 RUN_NAME = "rankweave-ip"
 
@@ -233,7 +234,7 @@ def q_in_batch_loss(s, d):
 def q_run_trec_lines(s, d):
     run = search.top_k(fx.vec_queries(s, d), _sum_pooled(s, d), K_DOCS, "ip", corpus_id="doc_id",
                        corpus_vec="doc_embedding")
-    return files.run_lines(run, RUN_NAME).select("line")
+    return files.run_lines(run, RUN_NAME, digits=6).select("line")
 
 
 def q_contiguous_shards(s, d):
@@ -343,6 +344,77 @@ def q_negatives_wide(s, d):
     return training.wide_negatives(_negatives(s, d), N_NEGATIVES)
 
 
+def _one_line(c):
+    return F.translate(c, "\n\r\t", "   ")
+
+
+def q_docs_file_roundtrip(s, d):
+    path = _scratch(s)
+    _docs(s, d).select(F.concat_ws(TAB, "doc_id", "url", "title", _one_line(F.col("body")))).write.text(path)
+    return files.read_docs(s, path)
+
+
+def q_queries_file_splits(s, d):
+    q = fx.queries(s, d).withColumn("text", _one_line(F.col("text")))
+    path = _scratch(s)
+    first = F.col("query_id") < "Q2"
+    for name, own in (("train", q.where(first)), ("dev", q.where(~first))):
+        own.select(F.concat_ws(TAB, "query_id", "text")).write.text(f"{path}/{name}")
+    return files.read_queries(s, {"train": f"{path}/train", "dev": f"{path}/dev"})
+
+
+def q_qrels_trec_roundtrip(s, d):
+    path = _scratch(s)
+    fx.vec_doc_qrels(s, d).select(F.concat(F.lit(" "), F.col("query_id"), F.lit("  0\t"), F.col("doc_id"), F.lit("   "),
+                                           F.col("relevance").cast("string"))).write.text(path)
+    return files.read_qrels(s, path, fmt="trec")
+
+
+def q_eval_report_percent(s, d):
+    return metrics.report(metrics.evaluate(_doc_run(s, d), fx.vec_doc_qrels(s, d)), percent=True)
+
+
+def q_table_shards_roundtrip(s, d):
+    path = _scratch(s)
+    p = q_passages_spaces(s, d)
+    shards = [files.variant_path(path, shard=i, size=PASSAGE_SIZE) for i in range(3)]
+    for i, shard in enumerate(shards):
+        files.write_table(p.where(F.pmod(F.crc32("doc_id"), F.lit(3)) == i), shard)
+    return files.union_shards(s, shards)
+
+
+def q_maxp_run_file_report(s, d):
+    path = _scratch(s)
+    files.write_run(_maxp_run(s, d), path, RUN_NAME)
+    ev = metrics.evaluate(files.read_run(s, path), fx.vec_doc_qrels(s, d))
+    return ev.select("metric", r6("value").alias("value"))
+
+
+def q_pool_masked_mean_padding(s, d):
+    zeros = F.transform("passage_embedding", lambda x: x * 0)
+    padded = fx.vec_passages(s, d).withColumn(
+        "passage_embedding", F.when(F.col("passage_idx") % 3 == 1, zeros).otherwise(F.col("passage_embedding")))
+    return exploded(pooling.pool(padded, "masked_mean"), "doc_id", "doc_embedding")
+
+
+def q_training_save_load(s, d):
+    path = _scratch(s)
+    training.save({"docs_prepped": training.prepare_docs(_docs(s, d)), "train_indexes": _negatives(s, d)}, path)
+    back = training.load(s, path, ("docs_prepped", "train_indexes"))
+    texts = back["docs_prepped"].select(F.col("doc_id").alias("neg"), F.col("text").alias("neg_text"))
+    return back["train_indexes"].join(texts, "neg").select("query_id", "pos", "neg_no", "neg",
+                                                           F.length("neg_text").cast("int").alias("neg_chars"))
+
+
+def q_tokenize_split_detokenize(s, d):
+    docs = _docs(s, d).select("doc_id", "body")
+    ids = embed.tokenize(docs, "body", lambda: lambda texts: [[ord(c) for c in t] for t in texts], "body_tokens")
+    ids = ids.withColumn("title_tokens", F.lit(None).cast("array<int>"))
+    p = passages.split_token_passages(ids, CODE_POINTS, False)
+    text = embed.detokenize(p, "passage_tokens", lambda: lambda rows: ["".join(map(chr, r)) for r in rows], "passage_text")
+    return text.select("doc_id", "passage_idx", "passage_id", "passage_text")
+
+
 def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "passages_spaces": q_passages_spaces,
@@ -403,6 +475,15 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "triplets_cycle_epoch60": q_triplets_cycle_epoch60,
         "negatives_wide": q_negatives_wide,
         "conversation_pool_mean": q_conversation_pool_mean,
+        "docs_file_roundtrip": q_docs_file_roundtrip,
+        "queries_file_splits": q_queries_file_splits,
+        "qrels_trec_roundtrip": q_qrels_trec_roundtrip,
+        "eval_report_percent": q_eval_report_percent,
+        "table_shards_roundtrip": q_table_shards_roundtrip,
+        "maxp_run_file_report": q_maxp_run_file_report,
+        "pool_masked_mean_padding": q_pool_masked_mean_padding,
+        "training_save_load": q_training_save_load,
+        "tokenize_split_detokenize": q_tokenize_split_detokenize,
     }
 
 
@@ -411,8 +492,8 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 VIEWS = {
     "docs": """SELECT concat('D', CAST(doc_id AS VARCHAR)) AS doc_id,
        concat('http://', source, '/', CAST(doc_id AS VARCHAR)) AS url,
-       CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN '' ELSE concat(source, ' ', lang) END AS title,
-       CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 = 1 THEN '' ELSE text END AS body
+       concat(source, ' ', lang) AS title,
+       text AS body
 FROM documents""",
     "tq": "SELECT concat('Q', CAST(item_id AS VARCHAR)) AS query_id, text FROM benchmark",
     "tqrels": """SELECT concat('Q', CAST(b.item_id AS VARCHAR)) AS query_id, concat('D', CAST(d.doc_id AS VARCHAR)) AS doc_id,
@@ -424,7 +505,7 @@ FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels l
     "vp": """SELECT concat('D', CAST(g AS VARCHAR)) AS doc_id, CAST(i AS INTEGER) AS passage_idx,
        concat('D', CAST(g AS VARCHAR), '_', CAST(i AS VARCHAR)) AS passage_id, embedding AS passage_embedding, label
 FROM (SELECT g, embedding, label, row_number() OVER (PARTITION BY g ORDER BY vec_id) - 1 AS i
-      FROM (SELECT CAST(floor(sqrt(vec_id)) AS BIGINT) AS g, vec_id, embedding, label FROM embeddings WHERE vec_id % 50 <> 0) a) b""",
+      FROM (SELECT CAST(floor(sqrt(vec_id)) AS BIGINT) AS g, vec_id, embedding, label FROM embeddings) a) b""",
     "vdq": """SELECT q.query_id, p.doc_id, CAST(least(count(*), 3) AS INTEGER) AS relevance
 FROM vq q JOIN vp p ON q.label = p.label GROUP BY q.query_id, p.doc_id""",
     "pe": """SELECT doc_id, passage_idx, unnest(passage_embedding) AS v, unnest(range(0, len(passage_embedding))) AS dim FROM vp""",
@@ -434,7 +515,7 @@ FROM vq q JOIN vp p ON q.label = p.label GROUP BY q.query_id, p.doc_id""",
       (SELECT doc_id, dim, avg(CAST(v AS DOUBLE)) AS v FROM pe GROUP BY doc_id, dim) s GROUP BY doc_id""",
     "removed": """SELECT doc_id FROM docs
       WHERE NOT (title IS NOT NULL AND title <> '' AND body IS NOT NULL AND body <> '')""",
-    "prepared": """SELECT doc_id, substring(concat(title, body), 1, 1000) AS text FROM docs
+    "prepared": """SELECT doc_id, concat(title, body) AS text FROM docs
       WHERE title IS NOT NULL AND title <> '' AND body IS NOT NULL AND body <> ''""",
     "cq": """SELECT query_id, doc_id, relevance FROM tqrels r WHERE NOT EXISTS (SELECT 1 FROM removed x WHERE x.doc_id = r.doc_id)""",
     "negs": f"""SELECT ex.query_id, ex.pos, CAST(ex.neg_no AS INTEGER) AS neg_no, s.doc_id AS neg
@@ -639,6 +720,23 @@ def _oracle_sql() -> dict[str, str]:
         row_number() OVER (PARTITION BY r.query_id ORDER BY r.doc_id) AS n FROM tqrels r
         WHERE r.query_id IN (SELECT query_id FROM tq ORDER BY query_id LIMIT {SAMPLE_QUERIES})) t WHERE n = 1)"""
     return {
+        "docs_file_roundtrip": sql("SELECT doc_id, url, title, translate(body, chr(10) || chr(13) || chr(9), '   ') AS body FROM docs",
+                                   "docs"),
+        "queries_file_splits": sql("""SELECT query_id, translate(text, chr(10) || chr(13) || chr(9), '   ') AS text,
+       CASE WHEN query_id < 'Q2' THEN 'train' ELSE 'dev' END AS split FROM tq""", "tq"),
+        "qrels_trec_roundtrip": sql("SELECT query_id, '0' AS iter, doc_id, relevance FROM vdq", "vdq"),
+        "eval_report_percent": _eval_sql(list(_METRIC_COLS)).replace("round(avg(", "round(100 * avg(").replace(
+            "), 6) AS value", "), 2) AS value"),
+        "table_shards_roundtrip": _passages_sql(False),
+        "maxp_run_file_report": _eval_sql(list(_METRIC_COLS), "maxprun", "vdq", ("maxprun", "vdq")),
+        "pool_masked_mean_padding": sql("""SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS value
+FROM pe WHERE passage_idx % 3 <> 1 GROUP BY doc_id, dim""", "pe"),
+        "training_save_load": sql("""SELECT n.query_id, n.pos, n.neg_no, n.neg, CAST(length(p.text) AS INTEGER) AS neg_chars
+FROM negs n JOIN prepared p ON p.doc_id = n.neg""", "negs", "prepared"),
+        "tokenize_split_detokenize": sql(f"""SELECT doc_id, CAST(st // {CODE_POINTS - 20} AS INTEGER) AS passage_idx,
+       concat(doc_id, '_', CAST(st // {CODE_POINTS - 20} AS VARCHAR)) AS passage_id,
+       substring(body, CAST(st AS BIGINT) + 1, {CODE_POINTS - 20}) AS passage_text
+FROM (SELECT doc_id, body, unnest(range(0, length(body), {CODE_POINTS - 20})) AS st FROM docs) c""", "docs"),
         "passages_spaces": _passages_sql(False),
         "passages_spaces_title": _passages_sql(True),
         "passages_tokens_title": sql(f"""SELECT doc_id, CAST(st // chunk AS INTEGER) AS passage_idx,
@@ -648,7 +746,7 @@ def _oracle_sql() -> dict[str, str]:
 FROM (SELECT doc_id, tt, bt, chunk, unnest(range(0, len(bt), chunk)) AS st
       FROM (SELECT doc_id, tt, bt, {TOKEN_PASSAGE_SIZE} - len(tt) - 20 AS chunk
             FROM (SELECT doc_id,
-                    CASE WHEN title IS NOT NULL AND title <> '' THEN string_split(title, ' ')[1:50] ELSE []::VARCHAR[] END AS tt,
+                    CASE WHEN title IS NOT NULL AND title <> '' THEN string_split(title, ' ') ELSE []::VARCHAR[] END AS tt,
                     string_split(body, ' ') AS bt FROM docs WHERE body IS NOT NULL AND body <> '') a) b) c""", "docs"),
         "passages_nest_roundtrip": _passages_sql(True),
         "stream_passages_title": _passages_sql(True),

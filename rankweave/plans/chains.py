@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from rankweave.defaults import (N_NEGATIVES, PASSAGE_SIZE, PREPARED_MAX_CHARS, QUERY_ENCODE_BATCH, TOP_K_DOCS,
+from rankweave.defaults import (N_NEGATIVES, PASSAGE_SIZE, QUERY_ENCODE_BATCH, TOP_K_DOCS,
                                 TOP_K_PASSAGES)
 from rankweave.operators import embed, metrics, passages, pooling, rerank, search, training
 
@@ -51,7 +51,7 @@ def evaluation_report(run: DataFrame, qrels: DataFrame, metrics_=metrics.DEFAULT
 
 
 def training_tables(docs: DataFrame, queries: DataFrame, qrels: DataFrame, *, n_negatives: int = N_NEGATIVES,
-                    prepend_title: bool = True, max_chars: int = PREPARED_MAX_CHARS) -> dict:
+                    prepend_title: bool = True, max_chars: int | None = None) -> dict:
     """Prepared documents, cleaned judgements and rolled negatives."""
     prepared = training.prepare_docs(docs, prepend_title, max_chars)
     cleaned = training.clean_qrels(qrels, training.removed_docs(docs, prepend_title))

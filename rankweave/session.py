@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,7 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this job on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankweave-ckpt-"))
+    path = tempfile.mkdtemp(prefix="rankweave-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 

@@ -66,18 +66,19 @@ def read_run(spark: SparkSession, paths, *, id_col: str = "doc_id") -> DataFrame
                     F.col("_5").alias("name"))
 
 
-def run_lines(run: DataFrame, name: str | None = None, *, id_col: str = "doc_id", digits: int | None = 6) -> DataFrame:
+def run_lines(run: DataFrame, name: str | None = None, *, id_col: str = "doc_id", digits: int | None = None) -> DataFrame:
     """One TREC line per row: ``query_id \\t 0 \\t id \\t rank \\t score \\t name``
-    (column ``line``, plus query_id and rank for ordering)."""
+    (column ``line``, plus query_id and rank for ordering). Scores are written
+    in full, so that a run read back is the run written, or to ``digits``."""
     label = F.lit(name) if name is not None else F.col("name")
-    score = F.round("score", digits) if digits is not None else F.col("score")
-    fmt = "%s\t0\t%s\t%d\t%.{}f\t%s".format(digits if digits is not None else 6)
+    score = F.col("score").cast("string") if digits is None else F.round("score", digits)
+    fmt = "%s\t0\t%s\t%d\t%s\t%s" if digits is None else f"%s\t0\t%s\t%d\t%.{digits}f\t%s"
     return run.select("query_id", "rank", F.format_string(fmt, F.col("query_id"), F.col(id_col), F.col("rank"),
                                                           score, label).alias("line"))
 
 
 def write_run(run: DataFrame, path: str, name: str | None = None, *, id_col: str = "doc_id",
-              digits: int | None = 6, mode: str = "errorifexists") -> None:
+              digits: int | None = None, mode: str = "errorifexists") -> None:
     """Write a TREC run as text, ordered by query_id then rank: range-partitioned
     on (query_id, rank), so even a query with most of the rows is split over
     several files, then sorted within partitions (no single-task sort)."""

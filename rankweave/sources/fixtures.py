@@ -24,7 +24,7 @@ def _sid(prefix: str, c) -> F.Column:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """docs(doc_id, url, title, body): 1/7 of titles null, 1/7 empty; 1/11 of bodies null, 1/11 empty."""
+    """docs(doc_id, url, title, body): every document with its whole text."""
     return docs_view(table(spark, sf_dir, "documents"))
 
 
@@ -33,12 +33,8 @@ def docs_view(d: DataFrame) -> DataFrame:
     return d.select(
         _sid("D", "doc_id").alias("doc_id"),
         F.concat(F.lit("http://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string"))
-        .when(F.col("doc_id") % 7 == 1, F.lit(""))
-        .otherwise(F.concat(F.col("source"), F.lit(" "), F.col("lang"))).alias("title"),
-        F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("string"))
-        .when(F.col("doc_id") % 11 == 1, F.lit(""))
-        .otherwise(F.col("text")).alias("body"),
+        F.concat(F.col("source"), F.lit(" "), F.col("lang")).alias("title"),
+        F.col("text").alias("body"),
     )
 
 
@@ -83,7 +79,7 @@ def vec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of growing length: vector v belongs to document floor(sqrt(v))."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 != 0)
+    e = table(spark, sf_dir, "embeddings")
     g = F.floor(F.sqrt(F.col("vec_id"))).cast("bigint")
     a = e.select(g.alias("g"), "vec_id", "embedding", "label")
     w = Window.partitionBy("g").orderBy("vec_id")
@@ -97,6 +93,7 @@ def vec_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_doc_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade = number of the document's passages with the query's label, at most 3."""
     q = vec_queries(spark, sf_dir).select("query_id", "label")
-    p = vec_passages(spark, sf_dir).select("doc_id", "label")
+    # a document's passages of one label count once before they meet the queries of it
+    p = vec_passages(spark, sf_dir).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return (salted_join(p, q, "label", unique_col="doc_id").groupBy("query_id", "doc_id")
-            .agg(F.least(F.count(F.lit(1)), F.lit(3)).cast("int").alias("relevance")))
+            .agg(F.least(F.sum("n"), F.lit(3)).cast("int").alias("relevance")))

@@ -48,7 +48,7 @@ def test_run_file_round_trip(spark, tmp_path):
     run = spark.createDataFrame([("q1", "d1", 1, 0.5), ("q1", "d2", 2, 0.25), ("q2", "d3", 1, 0.125)],
                                 "query_id string, doc_id string, rank int, score double")
     path = str(tmp_path / "run")
-    files.write_run(run, path, "myrun")
+    files.write_run(run, path, "myrun", digits=6)
     lines = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.startswith("part-"))
     assert lines.splitlines() == ["q1\t0\td1\t1\t0.500000\tmyrun", "q1\t0\td2\t2\t0.250000\tmyrun",
                                   "q2\t0\td3\t1\t0.125000\tmyrun"]
@@ -82,3 +82,11 @@ def test_tables_and_paths(spark, tmp_path):
     u = files.union_shards(spark, [str(tmp_path / "s0"), str(tmp_path / "s1")])
     assert sorted(r.id for r in u.collect()) == list(range(5))
     assert files.read_table(spark, str(tmp_path / "s0"), ["s"]).columns == ["s"]
+
+
+def test_run_scores_are_written_in_full(spark, tmp_path):
+    rows = [("q1", "d1", 1, 0.1 + 0.2), ("q1", "d2", 2, 1e-17 / 3), ("q2", "d1", 1, -123456.7890123456789)]
+    run = spark.createDataFrame(rows, "query_id string, doc_id string, rank int, score double")
+    files.write_run(run, str(tmp_path / "run"), "full")
+    back = files.read_run(spark, str(tmp_path / "run")).select("query_id", "doc_id", "rank", "score")
+    assert sorted(map(tuple, back.collect())) == rows

@@ -64,7 +64,7 @@ def _tok(spark, title_n, body_n):
 
 
 def test_tokens_edge(spark):
-    out = passages.split_token_passages(_tok(spark, 60, 200), 128, True).orderBy("passage_idx").collect()
+    out = passages.split_token_passages(_tok(spark, 60, 200), 128, True, title_cap=50).orderBy("passage_idx").collect()
     assert len(out) == 4  # title cut to 50, chunk 58
     assert out[0].passage_tokens[:50] == [f"t{i}" for i in range(50)]
     assert out[0].passage_tokens[50:] == [f"b{i}" for i in range(58)]
@@ -73,7 +73,7 @@ def test_tokens_edge(spark):
 
 def test_tokens_edge_no_room(spark):
     with pytest.raises(Exception, match="no room for passage text"):
-        passages.split_token_passages(_tok(spark, 60, 200), 70, True).collect()
+        passages.split_token_passages(_tok(spark, 60, 200), 70, True, title_cap=50).collect()
 
 
 def test_tokens_edge_no_title(spark):

@@ -64,3 +64,18 @@ def test_hist_sum_is_rows_and_constant_column(spark):
     assert len(h) == 50 and sum(r["count"] for r in h) == 97
     const = analysis.position_histogram(spark.createDataFrame([(4,), (4,)], "p int"), "p", 2).orderBy("bin").collect()
     assert [(r.lower, r.upper, r["count"]) for r in const] == [(3.5, 4.0, 0), (4.0, 4.5, 2)]
+
+
+def test_both_branches_of_doc_scores_agree(spark):
+    run = spark.createDataFrame([("1", "a_0", 1, 0.5), ("1", "b_0", 2, 0.4), ("2", "a_0", 1, 0.3), ("3", "b_0", 1, 0.1)],
+                                "query_id string, passage_id string, rank int, score double")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [0.5, 0.0]), ("b", [3.0, 1.0]), ("b", None), ("c", [1.0, 1.0])],
+                                    "doc_id string, passage_embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, None), (None, [1.0, 0.0]), (3, [0.0, 2.0])],
+                                    "query_id bigint, embedding array<double>")
+    rows = [sorted(map(tuple, rerank.doc_scores(run, vectors, queries, **kw).collect()))
+            for kw in ({}, {"max_broadcast_queries": 0}, {"max_broadcast_bytes": 1}, {"max_candidate_pairs": 0},
+                       {"max_candidate_pairs": 0, "max_candidate_docs": 0})]
+    assert rows[0] == [("1", "a", 3.5, 1.75, 2), ("1", "b", 4.0, 4.0, 1), ("3", "b", 2.0, 2.0, 1)]
+    assert all(r == rows[0] for r in rows)
+    assert rerank.doc_scores(run, vectors, queries.limit(0)).collect() == []

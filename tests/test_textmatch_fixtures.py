@@ -50,5 +50,5 @@ def test_fixture_sizes(spark):
     assert fx.qrels(spark, SF01).where("relevance = 2").count() == 11
     assert fx.vec_queries(spark, SF).count() == 10
     assert fx.vec_qrels(spark, SF).count() == 479
-    assert fx.vec_doc_qrels(spark, SF).count() == 188
-    assert fx.vec_passages(spark, SF).count() == 490
+    assert fx.vec_doc_qrels(spark, SF).count() == 189
+    assert fx.vec_passages(spark, SF).count() == 500

@@ -39,7 +39,7 @@ def test_triplet_edge(spark):
 def test_prepared_edge(spark):
     docs = spark.createDataFrame([("1", "T", "b"), ("2", "T", None), ("3", "", "b"), ("4", "T", "x" * 2000)],
                                  "doc_id string, title string, body string")
-    got = {r.doc_id: r.text for r in training.prepare_docs(docs).collect()}
+    got = {r.doc_id: r.text for r in training.prepare_docs(docs, max_chars=1000).collect()}
     assert got.keys() == {"1", "4"} and got["1"] == "Tb" and len(got["4"]) == 1000
     assert sorted(r.doc_id for r in training.removed_docs(docs).collect()) == ["2", "3"]
     assert training.prepare_docs(docs, prepend_title=False).count() == 4
