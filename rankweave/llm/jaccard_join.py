@@ -12,8 +12,8 @@ equal sets are one class, and classes are joined:
   shingles first: it is by the counts of a fixed-size sketch over all documents
   (``SKETCH`` slots), then by digest, so what many documents repeat opens no
   bucket for them.
-* In a bucket the first set is compared with all others, which joins the groups
-  of copies in linear work. Only buckets that then still hold more than one
+* In a bucket the first set of about each size is compared with the others of
+  it, which joins the groups of copies in linear work. Only buckets that then still hold more than one
   component go on: their points are packed into an R-tree (boxes hold the
   coordinates' maxima and the least size), every point is searched in it, and
   only pairs of different components whose bound reaches the needed overlap
@@ -30,6 +30,7 @@ read (``first_of_each`` keeps them).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
+from .url_cascade import encode_bits, passes
 
 U = np.uint64
 CACHE_WORDS = 1_000_000
 SKETCH = 1 << 17      # slots of the sketch of shingle counts
 LEAF = 16             # points of a leaf, and leaves of a box above
 TREE_POINTS = 2048    # points of a bucket that meet in one task
-MAX_FILTER_BITS = 1 << 24
+MAX_FILTER_BITS = 1 << 22
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,15 +99,31 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray
     return shingles[order[:n - -(-percent * n // 100) + 1]]
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    """Group counts: a power of two of groups, about a quarter of the set's size."""
+def groups_of(n: int) -> int:
+    """A power of two, about a quarter of a set's size."""
     groups = 16
-    while groups * 4 < len(shingles) and groups < 4096:
+    while groups * 4 < n and groups < 4096:
         groups *= 2
+    return groups
+
+
+def point(shingles: np.ndarray) -> np.ndarray:
+    """Group counts."""
+    groups = groups_of(len(shingles))
     # other bits than the sketch's slots take
     return np.bincount(((shingles >> U(40)) % U(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point in as few bytes a count as its largest count allows."""
+    most = p.max(initial=0)
+    return p.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // groups_of(n)}").astype(np.int32)
+
+
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
     """The point over fewer groups (groups are remainders)."""
     return p.reshape(-1, groups).sum(axis=0) if len(p) > groups else p
@@ -141,10 +159,10 @@ def _counts(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text or "", hashes, words)
-                total += np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                sets = [shingle_set(t or "", hashes, words) for t in whole.column(0).slice(at, 1000).to_pylist()]
+                total += np.bincount((np.concatenate(sets) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         slots = np.flatnonzero(total)
         for at in range(0, len(slots), 10_000):
             part = slots[at:at + 10_000]
@@ -173,14 +191,14 @@ def _documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     n.append(len(s))
                     node.append(digest(s) if len(s) else None)
                     keys.append(prefix(s, shared.value, percent).view(np.int64))
-                    points.append(point(s) if len(keys[-1]) else np.empty(0, np.int32))
+                    points.append(packed(point(s)) if len(keys[-1]) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                     _lists(keys, np.int64), _lists(points, np.int32)],
+                     _lists(keys, np.int64), pa.array(points, pa.binary())],
                     names=["doc_id", "n_shingles", "node", "keys", "point"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>, point array<int>")
+        run, f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>, point binary")
 
 
 def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
@@ -190,39 +208,30 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, shingles of the wanted nodes (and perhaps of a few more). The texts
-    are read again and a bitmap of the wanted digests, of at most
-    ``MAX_FILTER_BITS``, keeps most others from being shuffled."""
-    bits = 1 << 16
-    while bits < 16 * wanted.count() and bits < MAX_FILTER_BITS:
-        bits *= 2
-    place = F.col("node").bitwiseAND(F.lit(bits - 1).cast("long"))
-    found = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast((node & {bits - 1}L) % 64 as int)))").alias("v")).collect()  # <= bits / 64
-    table = np.zeros(bits // 64, np.int64)
-    for r in found:
-        table[r["w"]] = r["v"]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    """node, shingles of the wanted nodes (and of a few more); wanted: node,
+    least. The texts are read again; a bitmap of the classes' first doc_ids, of
+    at most ``MAX_FILTER_BITS``, spares most others (it only spares fewer when
+    more are wanted)."""
+    ids = wanted.where("least is not null").select(F.col("least").alias("key")).distinct()
+    bits = min(MAX_FILTER_BITS, 64 * (ids.count() // 4 + 1))
+    known = encode_bits(ids, 0, bits, 2)
+    own = docs.where(F.col("doc_id").isNull() | passes(F.col("doc_id"), 0, known)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = shared.value, WordHashes()
-        for batch in batches:
-            found = {}
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text or "", hashes, words)
-                if len(s):
-                    d = digest(s)
-                    if (int(table[(d & (bits - 1)) >> 6]) >> (d & 63)) & 1:
-                        found[d] = s.view(np.int64)
-            nodes = list(found)
-            for at in range(0, len(nodes), 500):
-                part = nodes[at:at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()),
-                                                  _lists([found[x] for x in part], np.int64)],
-                                                 names=["node", "shingles"])
-
-    found = docs.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+        hashes = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                found = {}
+                for text in whole.column(0).slice(at, 500).to_pylist():
+                    s = shingle_set(text or "", hashes, words)
+                    if len(s):
+                        found[digest(s)] = s.view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.int64()), _lists(list(found.values()), np.int64)],
+                    names=["node", "shingles"])
+
+    return own.mapInArrow(run, "node bigint, shingles array<bigint>").groupBy("node").agg(
+        F.first("shingles").alias("shingles"))
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -232,13 +241,14 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(n) for n in ("na", "nb", "pa", "pb")}
+            c = {n: batch.column(n).to_pylist() for n in ("na", "nb", "pa", "pb")}
             keep = []
             for i in range(batch.num_rows):
-                p, q = (np.asarray(c[n][i].values) for n in ("pa", "pb"))
+                na, nb = c["na"][i], c["nb"][i]
+                p, q = unpacked(c["pa"][i], na), unpacked(c["pb"][i], nb)
                 groups = min(len(p), len(q))
                 bound = int(np.minimum(fold(p, groups), fold(q, groups)).sum())
-                keep.append((100 + percent) * bound >= percent * (c["na"][i].as_py() + c["nb"][i].as_py()))
+                keep.append((100 + percent) * bound >= percent * (na + nb))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(
@@ -248,7 +258,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by bound and then by their whole sets."""
     pairs = written(_bounded(pairs, classes, percent), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        classes.select("node", "least"), "node")
     sets = _sets(docs, written(wanted, "wanted"), words)
     both = (pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
             .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b"))
@@ -259,18 +270,21 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
 
 
 def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components that some bucket's R-tree lets through."""
+    """a, b: pairs of different components that some bucket's R-tree lets through;
+    of the buckets a pair shares only that of the least key returns it."""
     blocks = F.ceil(F.col("n") / TREE_POINTS)
-    home = F.pmod(F.xxhash64("node"), blocks)
-    m = members.select("key", "node", "root", home.alias("home"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"))
-    m = m.select("key", "node", "root", F.least("home", "x").alias("i"), F.greatest("home", "x").alias("j"))
-    m = m.join(classes.select("node", "n_shingles", "point"), "node")
+    own = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a prefix at most
+    m = members.select("key", "node", "root", F.pmod(F.xxhash64("node"), blocks).alias("home"),
+                       F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("x"))
+    m = m.select("key", "node", "root", "home", F.least("home", "x").alias("i"), F.greatest("home", "x").alias("j"))
+    m = m.join(own.join(classes.select("node", "n_shingles", "point"), "node"), "node")
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        sizes, roots = t["n_shingles"].to_numpy(), t["root"].to_numpy()
-        nodes = t["node"].to_numpy()
-        points = [np.asarray(x.values) for x in t["point"]]
+        sizes, roots, homes = (t[c].to_numpy() for c in ("n_shingles", "root", "home"))
+        nodes, key, crossed = t["node"].to_numpy(), t["key"][0].as_py(), t["i"][0].as_py() != t["j"][0].as_py()
+        points = [unpacked(p, n) for p, n in zip(t["point"].to_pylist(), sizes.tolist())]
+        lower = [{x for x in keys if x < key} for keys in t["keys"].to_pylist()]
         groups = min(map(len, points))
         matrix = np.array([fold(p, groups) for p in points])
         tree = CountTree(matrix, sizes)
@@ -278,9 +292,14 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
         for k in range(len(nodes)):
             near = tree.search(matrix[k], int(sizes[k]), percent)
             near = near[(nodes[near] > nodes[k]) & (roots[near] != roots[k])]
-            a.append(np.full(len(near), nodes[k]))
-            b.append(nodes[near])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            if crossed:  # sets of one block meet where it meets itself
+                near = near[homes[near] != homes[k]]
+            mine = lower[k]
+            for x in near.tolist():
+                if mine.isdisjoint(lower[x]):
+                    a.append(nodes[k])
+                    b.append(nodes[x])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -296,8 +315,8 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
         if held is not None and held.num_rows:
             yield pairs_of(held)
 
-    return m.select("key", "i", "j", "node", "root", "n_shingles", "point").mapInArrow(
-        run, "a bigint, b bigint").distinct()
+    return m.select("key", "i", "j", "home", "node", "root", "n_shingles", "keys", "point").mapInArrow(
+        run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -307,19 +326,21 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     classes = written(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"),
         F.first("point").alias("point")), "classes")
-    by_key = Window.partitionBy("key")
-    buckets = classes.select("node", F.explode("keys").alias("key")).withColumns({
-        "first": F.min("node").over(by_key), "last": F.max("node").over(by_key),
-        "n": F.count(F.lit(1)).over(by_key)}).where("first < last").drop("last")
-    buckets = written(buckets, "buckets")
+    points = classes.select("node", "least", "n_shingles", "point")
+    # of a bucket's sets of about one size the first is compared with all others
+    by_key, by_size = Window.partitionBy("key"), Window.partitionBy("key", "size")
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent))
+    buckets = classes.select("node", "n_shingles", size.alias("size"), F.explode("keys").alias("key")).withColumns({
+        "n": F.count(F.lit(1)).over(by_key), "first": F.min("node").over(by_size),
+        "m": F.count(F.lit(1)).over(by_size)}).where("n > 1")
+    buckets = written(buckets.select("key", "node", "n", "m", "first"), "buckets")
     star = buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    points = classes.select("node", "n_shingles", "point")
     links = _links(star, docs, points, words, percent)
     roots = components(links)
-    # buckets of two are done; others are, if all their sets have met by now
-    left = buckets.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # buckets go on if not all their sets have met by now; of two of one size they have
+    left = buckets.where("n > 2 or m < 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = left.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)})
-    left = left.where("low < high").select("key", "node", "root", "n")
+    left = written(left.where("low < high").select("key", "node", "root", "n"), "left")
     more = written(_tree_pairs(left, points, percent).join(star, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         roots = components(links.unionByName(_links(more, docs, points, words, percent)))
