@@ -44,7 +44,9 @@ from .url_cascade import encode_bits, passes
 
 U = np.uint64
 CACHE_WORDS = 1_000_000
-SKETCH = 1 << 17      # slots of the sketch of shingle counts
+SKETCH = 1 << 20      # slots of the sketch of shingle counts
+CHUNK = 4_000_000     # shingles counted together
+OFTEN = 3             # documents of a chunk that make a shingle count
 LEAF = 16             # points of a leaf, and leaves of a box above
 TREE_POINTS = 2048    # points of a bucket that meet in one task
 MAX_FILTER_BITS = 1 << 22
@@ -155,23 +157,39 @@ class CountTree:
 
 
 def _counts(docs: DataFrame, words: int) -> np.ndarray:
-    """The sketch: for each slot the number of (document, shingle) that fall in it."""
+    """The sketch of how often shingles are: every task counts its documents'
+    shingles chunk by chunk, and those that ``OFTEN`` documents of a chunk share
+    add their count to their slot. What stays under that everywhere counts 0;
+    any counts give a valid order, these only keep frequent shingles from the
+    prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(SKETCH, np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                sets = [shingle_set(t or "", hashes, words) for t in whole.column(0).slice(at, 1000).to_pylist()]
-                total += np.bincount((np.concatenate(sets) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        held, n = [], 0
+
+        def add() -> None:
+            shingles, counts = np.unique(np.concatenate([np.empty(0, U), *held]), return_counts=True)
+            often = counts >= OFTEN
+            np.add.at(total, (shingles[often] & U(SKETCH - 1)).astype(np.int64), counts[often])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for text in batch.column(0).slice(at, 500).to_pylist():
+                    held.append(shingle_set(text or "", hashes, words))
+                    n += len(held[-1])
+                    if n >= CHUNK:
+                        add()
+                        held, n = [], 0
+        add()
         slots = np.flatnonzero(total)
         for at in range(0, len(slots), 10_000):
             part = slots[at:at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
 
     found = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = found.toArrow()  # at most a row for each slot
     counts = np.zeros(SKETCH, np.int64)
-    for r in found.collect():  # at most a row for each slot
-        counts[r["slot"]] = r["n"]
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
     return counts
 
 
@@ -280,25 +298,35 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
     m = m.join(own.join(classes.select("node", "n_shingles", "point"), "node"), "node")
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        sizes, roots, homes = (t[c].to_numpy() for c in ("n_shingles", "root", "home"))
-        nodes, key, crossed = t["node"].to_numpy(), t["key"][0].as_py(), t["i"][0].as_py() != t["j"][0].as_py()
-        points = [unpacked(p, n) for p, n in zip(t["point"].to_pylist(), sizes.tolist())]
-        lower = [{x for x in keys if x < key} for keys in t["keys"].to_pylist()]
-        groups = min(map(len, points))
-        matrix = np.array([fold(p, groups) for p in points])
+    def near_pairs(matrix: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(matrix) <= LEAF:  # a tree of one leaf
+            bound = np.minimum(matrix[:, None], matrix[None]).sum(axis=2)
+            return np.nonzero((100 + percent) * bound >= percent * (sizes[:, None] + sizes[None]))
         tree = CountTree(matrix, sizes)
+        found = [tree.search(q, int(n), percent) for q, n in zip(matrix, sizes)]
+        return np.repeat(np.arange(len(found)), list(map(len, found))), np.concatenate(found)
+
+    def pairs_in(t: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        c = {n: t[n].to_numpy() for n in ("key", "i", "j", "home", "node", "root", "n_shingles")}
+        sizes, nodes, roots, homes = c["n_shingles"], c["node"], c["root"], c["home"]
+        points, keys = t["point"].to_pylist(), t["keys"].to_pylist()
         a, b = [], []
-        for k in range(len(nodes)):
-            near = tree.search(matrix[k], int(sizes[k]), percent)
-            near = near[(nodes[near] > nodes[k]) & (roots[near] != roots[k])]
-            if crossed:  # sets of one block meet where it meets itself
-                near = near[homes[near] != homes[k]]
-            mine = lower[k]
-            for x in near.tolist():
-                if mine.isdisjoint(lower[x]):
+        for x, y in zip(edges, edges[1:]):
+            if y - x < 2:
+                continue
+            n = sizes[x:y]
+            groups = groups_of(int(n.min()))
+            matrix = np.array([fold(unpacked(p, k), groups) for p, k in zip(points[x:y], n.tolist())])
+            one, two = near_pairs(matrix, n)
+            one, two = one + x, two + x
+            keep = (nodes[one] < nodes[two]) & (roots[one] != roots[two])
+            if c["i"][x] != c["j"][x]:  # sets of one block meet where it meets itself
+                keep &= homes[one] != homes[two]
+            key = c["key"][x]
+            for k, m in zip(one[keep].tolist(), two[keep].tolist()):
+                if min(set(keys[k]).intersection(keys[m])) == key:
                     a.append(nodes[k])
-                    b.append(nodes[x])
+                    b.append(nodes[m])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,13 +335,11 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]) if held is not None else t
             names = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist()]
-            for x, y in zip(edges, edges[1:]):
-                yield pairs_of(t.slice(x, y - x))
-            held = t.slice(edges[-1])
+            edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()]
+            held = t.slice(edges[-1])  # the last bucket may go on
+            yield pairs_in(t, edges)
         if held is not None and held.num_rows:
-            yield pairs_of(held)
+            yield pairs_in(held, [0, held.num_rows])
 
     return m.select("key", "i", "j", "home", "node", "root", "n_shingles", "keys", "point").mapInArrow(
         run, "a bigint, b bigint")
@@ -332,8 +358,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent))
     buckets = classes.select("node", "n_shingles", size.alias("size"), F.explode("keys").alias("key")).withColumns({
         "n": F.count(F.lit(1)).over(by_key), "first": F.min("node").over(by_size),
-        "m": F.count(F.lit(1)).over(by_size)}).where("n > 1")
-    buckets = written(buckets.select("key", "node", "n", "m", "first"), "buckets")
+        "m": F.count(F.lit(1)).over(by_size)})
+    # of sets that link all between them in size are near in size too: a set
+    # far from the next smaller and the next larger one of its bucket has no link there
+    order = Window.partitionBy("key").orderBy("n_shingles", "node")
+    near_smaller = F.lag("n_shingles").over(order) * 100 >= F.col("n_shingles") * percent
+    near_larger = F.col("n_shingles") * 100 >= F.lead("n_shingles").over(order) * percent
+    buckets = buckets.withColumn("near", F.coalesce(near_smaller, F.lit(False)) | F.coalesce(near_larger, F.lit(False)))
+    buckets = written(buckets.where("near").select("key", "node", "n", "m", "first"), "buckets")
     star = buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(star, docs, points, words, percent)
     roots = components(links)
