@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_UNITS = 1_000_000   # encoded units kept by a worker
-CACHE_IDS = 8_000_000     # and their ids
-BATCH_CHARS = 32_000_000  # characters whose new units are merged together
+CACHE_UNITS = 250_000     # encoded units kept by a worker
+CACHE_IDS = 4_000_000     # and their ids
+BATCH_CHARS = 8_000_000   # characters whose new units are merged together
 
 
 class RankBits:
@@ -300,7 +300,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if "encoder" not in state:
             state["encoder"] = Encoder(Vocabulary.of(state["vocabulary"]), state["pattern"])
         encoder = state["encoder"]
-        for batch in batches:
+        for batch in (whole.slice(at, 2500) for whole in batches for at in range(0, whole.num_rows, 2500)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n, a, b, kept = [], [], [], []
             for ids in encoder.encode(texts):

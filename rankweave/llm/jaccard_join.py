@@ -43,9 +43,9 @@ from .components import components
 from .url_cascade import encode_bits, passes
 
 U = np.uint64
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 SKETCH = 1 << 20      # slots of the sketch of shingle counts
-CHUNK = 4_000_000     # shingles counted together
+CHUNK = 2_000_000     # shingles counted together
 OFTEN = 3             # documents of a chunk that make a shingle count
 LEAF = 16             # points of a leaf, and leaves of a box above
 TREE_POINTS = 2048    # points of a bucket that meet in one task

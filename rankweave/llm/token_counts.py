@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 UNKNOWN_PENALTY = 10.0
 
 

@@ -45,7 +45,7 @@ PIECE, OVERLAP = 40, 12       # characters of a piece of a very long word
 SENTENCE = 40                 # words, where no sentence ends before
 SHORT, LONG = 4, 9            # characters of a landmark
 COVER = 3                     # landmarks wanted in each toxic training document
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 ENDS = (".", "!", "?", "…", "。")
 JUNK = re.compile(r"[\W_]+")
 
