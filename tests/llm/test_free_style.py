@@ -262,6 +262,43 @@ def test_permutation_index_recall_and_order(spark):
     assert permutation_index.search(vectors.limit(0), queries.limit(0)).collect() == []
 
 
+def test_ties_at_the_candidate_cut_go_to_the_smaller_ids(spark):
+    r = np.random.default_rng(8)
+    n, d = 3000, 16
+    x = r.normal(size=(n, d))
+    copies = r.permutation(n)[:n // 3]  # a third of the rows is one vector
+    x[copies] = r.normal(size=d)
+    ids = r.permutation(100_000)[:n]
+    beside = sorted(copies[:10].tolist()) + sorted(set(range(60)) - set(copies.tolist()))
+    near = [(200_000 + j, (x[copies[0]] + r.normal(size=d) * 0.02).tolist()) for j in range(5)]  # beside the copies
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows + near, "vec_id bigint, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([rows[k] for k in beside] + near, "vec_id bigint, v array<double>")
+    by = {}
+    for q in permutation_index.search(df, asked, 10).collect():
+        by.setdefault(q.query_id, []).append((q.rank, q.vec_id))
+    every, names = np.vstack((x, [v for _, v in near])), np.concatenate((ids, [i for i, _ in near]))
+    hit = 0
+    for i, v in [rows[k] for k in beside] + near:
+        far = np.sqrt(((every - v) ** 2).sum(axis=1))
+        far[names == i] = np.inf
+        true = names[np.lexsort((names, far))[:10]].tolist()
+        found = [x for _, x in sorted(by[i])]
+        hit += len(set(true) & set(found))
+        if i in set(ids[copies].tolist()) or i >= 200_000:
+            assert found == true
+    assert hit / (10 * len(by)) >= 0.9
+
+
+def test_every_length_of_vectors_is_searched(spark):
+    rows = [(2 * n + j, [1.0] * n if j else [2.0] + [1.0] * (n - 1)) for n in range(1, 81) for j in range(2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<double>").coalesce(2)
+    got = permutation_index.search(df, df, 3).collect()
+    assert sorted((q.query_id, q.vec_id, q.score) for q in got) == sorted((i, i ^ 1, 1.0) for i, _ in rows)
+    blocks = list(permutation_index.blocks_of([(n, 1) for n in range(20)] + [(30, 9)], 4))
+    assert blocks == [(k, k + 3, 1, 0) for k in range(0, 20, 4)] + [(30, 30, 3, part) for part in range(3)]
+
+
 def test_footrule_by_definition():
     order = np.array([rng.sample(range(12), 5) for _ in range(50)])
     files = permutation_index.Postings(order, 12)
