@@ -34,7 +34,8 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, pieces=token_counts.unigram(docs))
 
 
 def op6_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

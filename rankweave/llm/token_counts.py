@@ -8,6 +8,12 @@ longest piece) stays unless a later one is strictly better, a character without
 a piece of its own costs the least score minus 10, and such characters become
 their UTF-8 bytes.
 
+The dealt vocabulary file is a BPE model: its scores are merge ranks, no log
+probabilities, and no unigram file is given. So ``unigram`` makes one: the
+file's pieces (without control, unknown and byte pieces, which stand for no text),
+with the log share of each among all pieces of the file's own segmentation of
+the corpus (one more than counted, so that pieces not seen stay possible).
+
 A space becomes the mark U+2581, a mark is put before the text, and the text is
 cut before each mark, as that library's ``Metaspace`` does; counts of what
 stands between marks are cached (``CACHE_WORDS`` at most, kept by a worker from
@@ -19,25 +25,43 @@ all kept; empty table, empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter as Tally
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
 
 MARK = "▁"
 CACHE_WORDS = 250_000
 UNKNOWN_PENALTY = 10.0
 
 
+def model_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def words_of(text: str) -> list[str]:
+    """What stands after each mark (without the mark), the one put before the text included."""
+    if not text:
+        return []
+    parts = text.replace(" ", MARK).split(MARK)
+    if not parts[0]:
+        del parts[0]
+    return parts
+
+
 def vocabulary(model_path: str | None = None) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file, in order of id."""
+    """Pieces and scores of a sentencepiece model file, in order of id. Those of a
+    BPE model are merge ranks; ``unigram`` has log probabilities."""
     import sentencepiece
 
-    if model_path is None:
-        import public_tokenizers
-
-        model_path = public_tokenizers.path("piece_bpe_32k.model")
-    model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    model = sentencepiece.SentencePieceProcessor(model_file=model_path or model_file())
     return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size())]
 
 
@@ -90,18 +114,56 @@ class Counter(dict):
             tokens[end] = tokens[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
 
     def tokens(self, text: str) -> int:
-        if not text:
-            return 0
-        parts = text.replace(" ", MARK).split(MARK)
-        if not parts[0]:
-            del parts[0]
-        return sum(map(self.__getitem__, parts))
+        return sum(map(self.__getitem__, words_of(text)))
+
+
+def unigram(docs: DataFrame, text_col: str = "text", model_path: str | None = None) -> list[tuple[str, float]]:
+    """Pieces of a sentencepiece model file with the log of their share in the
+    model's segmentation of all texts. The driver gets a count for each piece."""
+    import sentencepiece
+
+    with open(model_path or model_file(), "rb") as f:
+        proto = f.read()
+    model = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    shared = docs.sparkSession.sparkContext.broadcast(proto)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        counts, words = np.zeros(own.get_piece_size(), np.int64), Tally()
+
+        def add() -> None:
+            said = list(words)
+            for i in range(0, len(said), 10_000):
+                some = said[i:i + 10_000]
+                ids = [own.encode(w) if w else [own.piece_to_id(MARK)] for w in some]
+                times = np.repeat([words[w] for w in some], list(map(len, ids)))
+                np.add.at(counts, np.concatenate(ids).astype(np.int64), times)
+            words.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(words_of(text or ""))
+                if len(words) > CACHE_WORDS:
+                    add()
+        add()
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
+
+    found = docs.select(text_col).mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    table = written(found, "pieces").toArrow()  # at most a row for each piece
+    fit = [i for i in range(model.get_piece_size())
+           if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    counts = np.zeros(model.get_piece_size(), np.int64)
+    counts[table["id"].to_numpy()] = table["n"].to_numpy()
+    scores = np.log(counts[fit] + 1.0) - np.log(counts[fit].sum() + len(fit))
+    return list(zip(map(model.id_to_piece, fit), scores.tolist()))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 model_path: str | None = None) -> DataFrame:
-    """id and n_tokens of every row. The vocabulary file is read on the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast({"pieces": vocabulary(model_path)})
+                 model_path: str | None = None, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
+    """id and n_tokens of every row, by the given pieces and scores or else by those
+    of the vocabulary file, which is read on the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast({"pieces": pieces or vocabulary(model_path)})
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 
 import pytest
 
-from rankweave.llm import bpe, token_counts
+from rankweave.llm import bpe, queries, token_counts
 
 TEXTS = ["", " ", "  ", "a", "don't I'LL 'S", "a" * 3000, " " * 500 + "x", "abab" * 400, "x\n\n  y \t z ", "日本語テキスト😀😀",
          " \x1c\x85 　x\n", "<|endoftext|>", "éééñ" * 300, "one two  three\nfour", "\x1c a", "a ", " a", "tab\tq"]
@@ -119,3 +120,23 @@ def test_ties_of_scores():
     for _ in range(300):
         text = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 12)))
         assert own.tokens(text) == len(tokenizer.encode(text).ids), text
+
+
+def test_query_counts_by_log_probabilities(spark):
+    sentencepiece, tokenizers = pytest.importorskip("sentencepiece"), pytest.importorskip("tokenizers")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pieces = token_counts.unigram(docs.repartition(3))
+    assert sum(math.exp(s) for _, s in pieces) == pytest.approx(1) and not {"<s>", "<unk>", "<0x0A>"} & {p for p, _ in pieces}
+    got = {r.doc_id: r.n_tokens for r in queries.op5_count_viterbi(spark, "/root/testdata/sf0.001").collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_file())
+    own = {i: len(model.encode(t)) for i, t in texts.items()}
+    assert abs(sum(got.values()) / sum(own.values()) - 1) < 0.03  # merge ranks taken as scores: 14 % more
+    tokenizer = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", -1e3), *pieces], unk_id=0))
+    tokenizer.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    known = set("".join(p for p, _ in pieces))
+    plain = [i for i, t in texts.items() if set(t.replace(" ", token_counts.MARK)) <= known]
+    print("tokens", sum(got.values()), "of the file's own", sum(own.values()), "equal", sum(got[i] == own[i] for i in own))
+    assert plain and all(got[i] == len(tokenizer.encode(texts[i]).ids) for i in plain)
+    none = token_counts.unigram(spark.createDataFrame([(None,), ("",)], "text string"))
+    assert len(none) == len(pieces) and len({s for _, s in none}) == 1
