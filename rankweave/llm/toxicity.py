@@ -12,7 +12,10 @@ the ones that cover most of them, and frequent ordinary words. A sentence's
 features are its kernels with the landmarks times the inverse root of the
 landmarks' own kernel matrix, and a squared-hinge SVM is trained on sentences:
 all sentences of clean documents, and of each toxic document the sentence that
-looks most toxic, chosen anew in each of a few rounds. As features are sums over
+looks most toxic, chosen anew in each of a few rounds. As the squares cost an
+insult with an inserted letter three quarters of its kernel, every toxic document
+is trained on once more with a letter inserted into each toxic landmark in it, and
+clean sentences weigh ``CLEAN`` times, as the line then runs close to them. As features are sums over
 words, the decision of a sentence is a sum of one number for each word, which is
 computed once for each distinct word. A document scores as its most toxic
 sentence, put through a logistic curve fitted on the training documents.
@@ -34,6 +37,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ ORDER, DECAY = 4, 0.5
 PIECE, OVERLAP = 40, 12       # characters of a piece of a very long word
 SENTENCE = 40                 # words, where no sentence ends before
 SHORT, LONG = 4, 9            # characters of a landmark
+CLEAN = 16                    # weight of all clean sentences against all toxic ones
 COVER = 3                     # landmarks wanted in each toxic training document
 CACHE_WORDS = 250_000
 ENDS = (".", "!", "?", "…", "。")
@@ -252,6 +257,21 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, landmarks: int, ordina
     return list(dict.fromkeys(chosen))
 
 
+def with_inserted(text: str, marks: list[str]) -> str:
+    """The text with a letter inserted into the first of each mark in each word;
+    place and letter are by a digest."""
+    out = []
+    for n, word in enumerate(text.lower().split()):
+        for mark in marks:
+            at = word.find(mark)
+            if at >= 0:
+                by = crc32(f"{n} {word} {mark}".encode("utf-8", "surrogatepass"))
+                at += 1 + by % (len(mark) - 1)
+                word = word[:at] + chr(ord("a") + (by >> 8) % 26) + word[at:]
+        out.append(word)
+    return " ".join(out)
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM in the primal, by Newton steps on the active rows."""
     a = np.hstack([x, np.ones((len(x), 1))])
@@ -276,6 +296,10 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 28, ordinary: in
         odds = np.clip(toxic.mean() if n else 0.0, 1e-9, 1 - 1e-9)
         return Model((), np.zeros(0, np.float32), 0.0, 0.0, float(np.log(odds / (1 - odds))))
     marks = choose_landmarks(texts, toxic, landmarks, ordinary)
+    bad = marks[:max(1, len(marks) - ordinary)]
+    more = [v for t, y in zip(texts, toxic) if y and (v := with_inserted(t, bad)) != " ".join(t.lower().split())]
+    texts, toxic = [*texts, *more], np.concatenate((toxic, np.ones(len(more), bool)))
+    n = len(toxic)
     own = kernel(marks, marks).astype(np.float64)
     value, vector = np.linalg.eigh(own)
     root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])  # to Nystroem features
@@ -289,12 +313,12 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 28, ordinary: in
     clean = np.flatnonzero(~toxic[owner])
     w, b = np.zeros(rows.shape[1]), 0.0
     # first guess: the kernels with the toxic landmarks, each by its own size
-    guess = (np.concatenate(sentences) / np.diag(own))[:, :max(1, len(marks) - ordinary)].sum(axis=1)
+    guess = (np.concatenate(sentences) / np.diag(own))[:, :len(bad)].sum(axis=1)
     for _ in range(rounds):
         top = np.array([first[k] + np.argmax(guess[first[k]:first[k + 1]]) for k in np.flatnonzero(toxic)])
         x = np.concatenate((rows[top], rows[clean]))
         y = np.concatenate((np.ones(len(top)), -np.ones(len(clean))))
-        cost = np.concatenate((np.full(len(top), 1 / len(top)), np.full(len(clean), 1 / len(clean))))
+        cost = np.concatenate((np.full(len(top), 1 / len(top)), np.full(len(clean), CLEAN / len(clean))))
         w, b = train_svm(x, y, cost * len(x), ridge=1e-3)
         guess = rows @ w + b
     best = np.maximum.reduceat(guess, first[:-1])

@@ -78,6 +78,27 @@ def test_toxicity_held_out(spark):
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(r.doc_id) for r in got if not r.predicted)
 
 
+def test_toxic_documents_of_inserted_letters():
+    rows = corpus(1200)
+    model = toxicity.train([t for _, t, _, _ in rows[:1000]], np.array([y for _, _, y, _ in rows[:1000]]) == 1)
+    def inserted(word):
+        k = rng.randrange(1, len(word))
+        return word[:k] + rng.choice(string.ascii_lowercase) + word[k:]
+    bad = ["idiot", "moron", "worthless", "pathetic", "stupid"]
+    clean = [t for _, t, y, _ in rows[1000:] if not y]
+    said = []
+    for t in clean:
+        words = t.split()
+        at = rng.randrange(len(words))
+        words.insert(at, inserted(rng.choice(bad)))
+        said.append(" ".join(words))
+    reader = toxicity.Reader(model.measure)
+    scores = [np.array([model.score(s) for s in reader.sentences(texts)]) for texts in (said, clean)]
+    print("inserted", (scores[0] >= 0.5).mean(), "clean", (scores[1] >= 0.5).mean())
+    assert (scores[0] >= 0.5).mean() >= 0.65 and (scores[1] >= 0.5).mean() <= 0.03
+    assert toxicity.with_inserted("An idiot", ["idiot"]) != "an idiot" and toxicity.with_inserted("", ["idiot"]) == ""
+
+
 def test_toxicity_without_labels_of_both_classes(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
