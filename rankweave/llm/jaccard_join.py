@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_or_empty, written
 from .components import components
 from .url_cascade import encode_bits, passes
 
@@ -385,8 +385,21 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that name their component: one of each, as long as its
-    doc_id is one row's; rows without doc_id stay."""
-    found = jaccard_components(docs, words, percent)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_rw_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_rw_id"), "left_anti")
+    """One row of docs of each component: that of the smallest doc_id, then of the
+    smallest digest of the text, rows without doc_id last; of rows that repeat both
+    any one. Rows with an empty set all stay."""
+    text = text_or_empty()
+    key1, key2 = F.xxhash64("doc_id", text), F.xxhash64(text, F.lit(1))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), key2.alias("key2"),
+                     key1.alias("key1"))
+    found = jaccard_components(docs.select(order.alias("doc_id"), "text"), words, percent)
+    own, name = F.col("doc_id"), F.col("component_id")
+    first = (own["key1"] == name["key1"]) & (own["key2"] == name["key2"])
+    marks = found.where("n_shingles > 0").groupBy(own["key1"].alias("_rw_key1"), own["key2"].alias("_rw_key2")).agg(
+        F.bool_or(first).alias("_rw_first"), F.count(F.lit(1)).alias("_rw_rows"))
+    marks = written(marks.where("not _rw_first or _rw_rows > 1").drop("_rw_rows"), "marks")
+    keys = ["_rw_key1", "_rw_key2"]
+    keyed = docs.withColumns({"_rw_key1": key1, "_rw_key2": key2})
+    single = keyed.join(marks, keys, "left_anti")
+    repeated = keyed.join(marks.where("_rw_first"), keys, "left_semi").dropDuplicates(keys)
+    return single.unionByName(repeated).drop(*keys)

@@ -189,6 +189,19 @@ def test_jaccard_nulls_and_empty(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_first_of_each_keeps_one_row_of_each_text(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, c, 5), (None, c, 6), (None, "v w x y z", 7),
+            (None, "v w x y z", 8), (9, None, 9), (9, None, 10), (None, "", 11)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3)
+    kept = jaccard_join.first_of_each(df)
+    assert kept.columns == df.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(map(repr, [r[:2] for r in got])) == sorted(map(repr, [
+        (3, a), (5, b), (7, c), (None, "v w x y z"), (9, None), (9, None), (None, "")]))
+    assert set(got) <= set(rows)
+
+
 def test_tree_search_loses_nothing():
     r = np.random.default_rng(1)
     points = r.poisson(1.0, (500, 16)).astype(np.int32)
