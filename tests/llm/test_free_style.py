@@ -232,6 +232,12 @@ def test_lines_of_markup():
     assert page_text.lines_of("") == [] and page_text.lines_of("a<script>x") == [(0, "a")]
 
 
+def test_classes_that_only_mention_junk():
+    page = "<body><div class='layout has-sidebar'><p>one</p><main class='no-sidebar'><article class='post share-enabled ad'><p>two"
+    assert page_text.lines_of(page) == [(0, "one"), (2, "two")]
+    assert page_text.lines_of("<div class='site-menu'>m</div><div class='with_ads'>x</div>") == [(0, "x")]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     def length(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
