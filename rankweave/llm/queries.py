@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, decontaminate, jaccard_join, page_text, permutation_index, shards
-from . import token_counts, toxicity, url_cascade
+from . import bpe, chat_windows, decontaminate, jaccard_join, lexical, page_text, permutation_index, setsketch, shards
+from . import token_counts, toxicity, url_cascade, walsh_codes
 from .common import table
 
 
@@ -61,10 +61,23 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_toxicity, op3_page_differencing, op4_chat_windows, op5_count_viterbi, op6_jaccard_tree,
-        op7_permutation_index, op8_byte_shards, op9_decontaminate, op10_url_cascade)}
+        op7_permutation_index, op8_byte_shards, op9_decontaminate, op10_url_cascade, op11_walsh_codes, op12_setsketch,
+        op13_lexical_search)}
 
 
 OP9_SQL = r"""
@@ -118,5 +131,94 @@ FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND p.host = fit.host AND p.path
 """
 
 
+
+
+def op11_sql() -> str:
+    """Seven assignments and six updates, one after another."""
+    parts = ["""k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""", """p AS MATERIALIZED (
+  SELECT r, j, v[j * (len(v) // 8) + 1:(j + 1) * (len(v) // 8)] AS x FROM k, range(8) AS t(j)
+)""", "b0 AS MATERIALIZED (SELECT j, r - 1 AS e, x FROM p WHERE r <= 16)"]
+    for i in range(7):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, p.j, min(16 * list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + e) AS m
+  FROM p JOIN b{i} AS b ON p.j = b.j GROUP BY r, p.j
+)""")
+        if i < 6:
+            parts.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.j, b.e, coalesce(n.x, b.x) AS x FROM b{i} AS b LEFT JOIN (
+    SELECT j, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS x FROM (
+      SELECT a.j, a.m % 16 AS e, i, sum(x[i]) AS s, count(*) AS c
+      FROM a{i} AS a JOIN (SELECT r, j, x, unnest(range(1, len(x) + 1)) AS i FROM p) AS p ON a.r = p.r AND a.j = p.j
+      GROUP BY a.j, a.m % 16, i)
+    GROUP BY j, e) AS n ON b.j = n.j AND b.e = n.e
+)""")
+    return "WITH " + ", ".join(parts) + """, coded AS (
+  SELECT r, string_agg(printf('%02x', m % 16), '' ORDER BY j) AS code, CAST(sum(m // 16) AS BIGINT) AS error
+  FROM a6 GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j, e, i)) AS codebooks_sha256
+  FROM (SELECT j, e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS c FROM b6)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN coded USING (r), books
+"""
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT rid, w[k:least(k + 1, len(w))] AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid
+), link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.rid <> y.rid
+                    GROUP BY x.rid, y.rid)
+  JOIN n AS na ON a = na.rid JOIN n AS nb ON b = nb.rid
+  WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), reach AS (
+  SELECT rid AS a, rid AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN d ON reach.b = d.rid GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN least USING (rid) LEFT JOIN n USING (rid)
+"""
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), c AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0
+), tf AS MATERIALIZED (
+  SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) SEMI JOIN i USING (t) GROUP BY rid, t
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, c GROUP BY t, n_docs
+), impact AS (
+  SELECT rid, t, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * CAST(10 + (90 * len(d.w) * n_docs) // n_terms AS BIGINT)))
+         AS s
+  FROM tf JOIN d USING (rid) JOIN weight USING (t), c
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM i JOIN impact USING (t) JOIN d USING (rid)
+  GROUP BY item_id, rid, doc_id HAVING sum(s) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL, "op10_url_cascade": OP10_SQL}
+    return {"op9_decontaminate": OP9_SQL, "op10_url_cascade": OP10_SQL, "op11_walsh_codes": op11_sql(),
+            "op12_setsketch": OP12_SQL, "op13_lexical_search": OP13_SQL}
