@@ -176,7 +176,7 @@ def fit(rows: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6) ->
             run, "part bigint, entry bigint, pos bigint, high bigint, low bigint, n bigint").groupBy(
             "part", "entry", "pos").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("n").alias("n"))
         new = [e.copy() for e in books.entries]
-        for r in sums.toLocalIterator():  # one row for each component of the codebooks
+        for r in sums.collect():  # one row for each component of the codebooks
             new[r["part"]][r["entry"], r["pos"]] = ((r["high"] << LIMB) + r["low"]) // r["n"]
         books = Codebooks(new)
         shared.destroy()
