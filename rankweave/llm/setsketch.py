@@ -9,8 +9,9 @@ union (sketches merge), and equal registers are as likely as the sets are alike.
 * ``BANDS`` bands of ``ROWS`` registers are the buckets: of sets at the threshold
   of 0.8 fewer than one pair in a million shares none.
 * Every class of a bucket is compared with the bucket's first one, so groups of
-  copies join in linear work. Buckets that still hold more than one component meet
-  again block by block, and pairs of different components are compared there.
+  copies join in linear work. Of buckets that still hold more than one component the
+  whole sets meet, block by block, and pairs of different components are compared
+  there; only links that join components come out, never the pairs.
 * A pair is judged by its registers jointly: how many are larger, smaller and
   equal has a likelihood for each Jaccard similarity, given both sizes. Pairs whose
   likelihood at the threshold lies more than ``SIGMAS`` standard deviations under
@@ -46,6 +47,7 @@ OFFSET = 40        # registers of small sets stay above 0
 MOST = 255         # one byte each
 SIGMAS = 6
 BLOCK = 2048       # classes of a bucket that meet in one task
+SHINGLES = 1 << 20  # and all their shingles, about
 MAX_WANTED = 250_000  # doc_ids (8 to 16 bytes each) that are broadcast to pick texts
 STEP = 512         # shingles hashed at once
 
@@ -194,41 +196,52 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
                    .select("a", "b"), "links")
 
 
-def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb: likely pairs of different components that share a bucket of
-    left (key, node, root, n), each once: from the first band they share."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    m = left.select("key", "node", "root", F.pmod(F.xxhash64("node"), blocks).alias("home"),
-                    F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("x"))
+def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between different components in the buckets of left (key, node,
+    root, blocks); sets: node, n_shingles, sketch, shingles. A pair is compared in the
+    first band it shares, and a block returns no more links than join its components."""
+    last = F.col("blocks") - 1
+    m = left.select("key", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("home"),
+                    F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("x"))
     m = m.select("key", "node", "root", "home", F.least("home", "x").alias("i"), F.greatest("home", "x").alias("j"))
-    m = m.join(classes.select("node", "n_shingles", "sketch"), "node")
-    m = m.select("key", "i", "j", "home", "node", "root", "n_shingles", "sketch").repartition(
+    m = m.join(sets, "node").select("key", "i", "j", "home", "node", "root", "n_shingles", "sketch", "shingles").repartition(
         "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs_in(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, root, home, n = (t[c].to_numpy() for c in ("node", "root", "home", "n_shingles"))
+    def common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        flat = np.concatenate(others)
+        at = np.searchsorted(own, flat)
+        at[at == len(own)] = 0
+        return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+    def links_in(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, root, home, n = (t[c].to_numpy().copy() for c in ("node", "root", "home", "n_shingles"))
+        lists = t["shingles"].combine_chunks()
+        ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(U)
+        held = [flat[x:y] for x, y in zip(ends, ends[1:])]
         registers = _registers(t["sketch"])
         bands = np.ascontiguousarray(registers).reshape(len(node), BANDS, ROWS)
         band = t["key"][0].as_py() & 63
-        across = t["i"][0].as_py() != t["j"][0].as_py()
+        apart = t["i"][0].as_py() != t["j"][0].as_py()
+        a, b = [], []
         for x in range(len(node) - 1):
             y = np.arange(x + 1, len(node))
             y = y[root[y] != root[x]]
-            if across:  # classes of one block meet where it meets itself
+            if apart:  # classes of one block meet where it meets itself
                 y = y[home[y] != home[x]]
-            y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            if not len(y):
-                continue
-            shared = (bands[y, :band] == bands[x, :band]).all(axis=2).any(axis=1) if band else np.zeros(len(y), bool)
-            y = y[~shared]
-            y = y[likely(np.broadcast_to(registers[x], (len(y), REGISTERS)), registers[y],
-                         np.full(len(y), n[x]), n[y], percent)]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            if band and len(y):
+                y = y[~(bands[y, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
             if len(y):
-                first = node[x] < node[y]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(first, node[x], node[y])), pa.array(np.where(first, node[y], node[x])),
-                     pa.array(np.where(first, n[x], n[y])), pa.array(np.where(first, n[y], n[x]))],
-                    names=["a", "b", "na", "nb"])
+                y = y[likely(np.broadcast_to(registers[x], (len(y), REGISTERS)), registers[y],
+                             np.full(len(y), n[x]), n[y], percent)]
+            if len(y):
+                shared = common(held[x], [held[k] for k in y])
+                for k in y[100 * shared >= percent * (n[x] + n[y] - shared)]:
+                    if root[k] != root[x]:
+                        a.append(node[x])
+                        b.append(node[k])
+                        root[root == root[k]] = root[x]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -238,12 +251,12 @@ def _across(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             names = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
             edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()]
             for x, y in zip(edges, edges[1:]):
-                yield from pairs_in(t.slice(x, y - x))
+                yield from links_in(t.slice(x, y - x))
             held = t.slice(edges[-1])  # the last bucket may go on
         if held is not None and held.num_rows:
-            yield from pairs_in(held)
+            yield from links_in(held)
 
-    return m.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+    return m.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -268,13 +281,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     roots = components(links)
     # buckets of two have met; others go on where more than one component is left
     left = members.where("n > 2").join(roots, "node", "left").select(
-        "key", "node", "n", F.coalesce("root", "node").alias("root"))
-    left = written(left, "left")
-    several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    more = written(_across(left.join(several.select("key"), "key"), classes, percent).join(
-        star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    left = written(left.join(classes.select("node", "n_shingles"), "node"), "left")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / SHINGLES)).alias("blocks")
+    several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks)
+    left = written(left.join(several.where("low < high").select("key", "blocks"), "key"), "left")
+    wanted = written(left.select("node").distinct().join(classes.select("node", "least"), "node"), "wanted")
+    sets = classes.select("node", "n_shingles", "sketch").join(_sets(docs, wanted, words), "node")
+    more = written(_across(left, sets, percent), "links")
     if not more.isEmpty():
-        roots = components(links.unionByName(_links(more, docs, classes, words, percent)))
+        roots = components(links.unionByName(more))
     named = classes.select("node", "least").join(roots, "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
