@@ -95,46 +95,65 @@ def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder],
     return src.mapInArrow(run, out_schema)
 
 
-def map_column(df: DataFrame, in_col: str, fn_factory: Callable[[], Callable[[list], list]], out_col: str,
-               out_type: str, *, batch_size: int = 256, drop_input: bool = False) -> DataFrame:
-    """Host a user batch function (list of values -> list of values, same
-    length) as a ``mapInArrow`` column: ``fn_factory()`` runs once per task.
-    Used for tokenizers (text -> ids) and detokenizers (ids -> text)."""
+def map_columns(df: DataFrame, in_cols: list[str], fn_factory: Callable[..., Callable], out_col: str, out_type: str, *,
+                batch_size: int = 256, drop_inputs: bool = False, fn_kwargs: dict | None = None,
+                arrow: bool = False) -> DataFrame:
+    """Host a user batch function of one or more columns as a ``mapInArrow`` column.
+
+    ``fn_factory()`` runs once per task and returns the function; it is called with one
+    list of at most ``batch_size`` values for each of ``in_cols`` and with ``fn_kwargs`` by
+    name, and returns as many values. With ``arrow`` it gets and returns Arrow arrays
+    (of whatever size Spark's batches have), so no value becomes a Python object on the way."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
-    keep = [f for f in df.schema.fields if not (drop_input and f.name == in_col)]
+    keep = [f for f in df.schema.fields if not (drop_inputs and f.name in in_cols)]
     out_field = T.StructField(out_col, T.DataType.fromDDL(out_type), True)
     out_schema = T.StructType([f for f in keep if f.name != out_col] + [out_field])
     names = [f.name for f in out_schema.fields[:-1]]
-    src = df.select(*names, *([] if in_col in names else [in_col]))
+    src = df.select(*names, *[c for c in dict.fromkeys(in_cols) if c not in names])
+    kwargs = dict(fn_kwargs or {})
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
         fn = fn_factory()
         a_type = to_arrow_type(out_field.dataType)
         for b in batches:
-            values = b.column(in_col).to_pylist()
-            out = []
-            for i in range(0, len(values), batch_size):
-                part = list(fn(values[i:i + batch_size]))
-                if len(part) != len(values[i:i + batch_size]):
-                    raise ValueError("the function must return one value per input")
-                out.extend(part)
-            cols = [b.column(n) for n in names] + [pa.array(out, a_type)]
-            yield pa.RecordBatch.from_arrays(cols, names=names + [out_col])
+            values = [b.column(c) if arrow else b.column(c).to_pylist() for c in in_cols]
+            if arrow:
+                out = fn(*values, **kwargs)
+                out = out if out.type == a_type else out.cast(a_type)
+            else:
+                out = []
+                for i in range(0, b.num_rows, batch_size):
+                    out.extend(fn(*(v[i:i + batch_size] for v in values), **kwargs))
+                    if len(out) != min(b.num_rows, i + batch_size):
+                        raise ValueError("the function must return one value per input")
+                out = pa.array(out, a_type)
+            if len(out) != b.num_rows:
+                raise ValueError("the function must return one value per input")
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [out], names=names + [out_col])
 
     return src.mapInArrow(run, out_schema)
 
 
+def map_column(df: DataFrame, in_col: str, fn_factory: Callable[[], Callable], out_col: str, out_type: str, *,
+               batch_size: int = 256, drop_input: bool = False, arrow: bool = False) -> DataFrame:
+    """``map_columns`` of a single column. Used for tokenizers (text -> ids) and
+    detokenizers (ids -> text)."""
+    return map_columns(df, [in_col], fn_factory, out_col, out_type, batch_size=batch_size, drop_inputs=drop_input,
+                       arrow=arrow)
+
+
 def tokenize(df: DataFrame, text_col: str, tokenizer_factory, out_col: str, *, id_type: str = "int",
-             batch_size: int = 256) -> DataFrame:
+             batch_size: int = 256, arrow: bool = False) -> DataFrame:
     """Token ids of a text column from a user tokenizer (list of str -> list of id lists)."""
-    return map_column(df, text_col, tokenizer_factory, out_col, f"array<{id_type}>", batch_size=batch_size)
+    return map_column(df, text_col, tokenizer_factory, out_col, f"array<{id_type}>", batch_size=batch_size, arrow=arrow)
 
 
-def detokenize(df: DataFrame, ids_col: str, decoder_factory, out_col: str, *, batch_size: int = 256) -> DataFrame:
+def detokenize(df: DataFrame, ids_col: str, decoder_factory, out_col: str, *, batch_size: int = 256,
+               arrow: bool = False) -> DataFrame:
     """Text from token ids with a user decoder (list of id lists -> list of str)."""
-    return map_column(df, ids_col, decoder_factory, out_col, "string", batch_size=batch_size)
+    return map_column(df, ids_col, decoder_factory, out_col, "string", batch_size=batch_size, arrow=arrow)
 
 
 def masked_mean(m: np.ndarray) -> np.ndarray:

@@ -69,8 +69,7 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
     # checkpoint folder) so a derived judgement table is not recomputed
     ensure_checkpoint_dir(run.sparkSession)
     q = q.checkpoint(eager=True)
-    n_judged = q.limit(max_broadcast_judgements + 1).count()
-    side = F.broadcast(q) if n_judged <= max_broadcast_judgements else q
+    side = F.broadcast(q) if q.count() <= max_broadcast_judgements else q
     j = ranked.join(side, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     is_rel = F.col("rel") >= 1
     hits_w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -30,24 +30,33 @@ def indexed_with_count(df: DataFrame, order_by: list[str] | str, *, out_col: str
     ``zipWithIndex`` gathers) give each partition's offset, which is joined back
     as a small broadcast table.
     """
+    ordered, parts = ordered_parts(df, order_by, checkpoint=checkpoint)
+    spark = df.sparkSession
+    off = spark.createDataFrame([(pid, start) for pid, start, _ in parts] or [(0, 0)], "_pid long, _off long")
+    out = (ordered.join(F.broadcast(off), "_pid")
+           .withColumn(out_col, F.col("_off") + F.col("_pos")).drop("_pid", "_off", "_pos"))
+    return out, sum(n for _, _, n in parts)
+
+
+def ordered_parts(df: DataFrame, order_by: list[str] | str, *, checkpoint: bool = True
+                  ) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The frame in ``order_by`` order with its partition ``_pid`` and the place
+    ``_pos`` in it, and (partition, global place of its first row, rows) of each
+    partition with rows. Partitions follow one another in the order, and a
+    partition's rows are in order inside it."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     ordered = df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         ordered = ordered.checkpoint(eager=True)
-    part = F.shiftrightunsigned(F.col("_mid"), 33)
-    counts = sorted((r[0], r[1]) for r in ordered.groupBy(part.alias("_pid")).agg(F.count(F.lit(1))).collect())
-    offsets, total = [], 0
+    ordered = ordered.withColumns({"_pid": F.shiftrightunsigned(F.col("_mid"), 33),
+                                   "_pos": F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))}).drop("_mid")
+    counts = sorted((r[0], r[1]) for r in ordered.groupBy("_pid").agg(F.count(F.lit(1))).collect())
+    parts, total = [], 0
     for pid, n in counts:
-        offsets.append((pid, total))
+        parts.append((pid, total, n))
         total += n
-    spark = df.sparkSession
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid long, _off long")
-    out = (ordered.withColumn("_pid", part)
-           .join(F.broadcast(off), "_pid")
-           .withColumn(out_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-           .drop("_pid", "_off", "_mid"))
-    return out, total
+    return ordered, parts
 
 
 def dense_index(df: DataFrame, order_by: list[str] | str, *, out_col: str = "row_idx",

@@ -15,6 +15,11 @@ shuffle join); each passage row carries the list of queries that retrieved
 its document (as positions), and one ``mapInArrow`` task computes all those dot products
 against the broadcast query matrix. No vector is copied per (query, passage)
 pair and only (query_id, doc_id, score) rows reach the aggregate.
+
+Queries beyond the broadcast bounds are scored in buckets of documents
+(``_bucketed``): a bucket gets each query vector it needs once, as a dictionary,
+then its (query, document) pairs, then its passages, and the products are made
+inside it.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.vectors import dot, list_column_to_matrix
+from rankweave.functions.vectors import list_column_to_matrix
 from rankweave.operators.passages import split_passage_id
 from rankweave.session import written
 
@@ -32,6 +37,9 @@ MAX_CANDIDATE_PAIRS = 2_000_000  # (query, doc) pairs behind the broadcast (doc_
 MAX_CANDIDATE_DOCS = 5_000_000  # distinct candidate doc ids broadcast as a semi-join filter
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
+BUCKET_PAIRS = 20_000  # (query, doc) pairs of a bucket, about; bounds its query dictionary
+PRODUCTS = 20_000  # products made at once, about
+PASSAGE_PARTS = 4  # parts of a bucket's passages, which each get the dictionary
 AGGREGATIONS = ("sum", "mean")
 
 
@@ -55,7 +63,7 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
                query_vec: str = "embedding", passage_id: str = "passage_id",
                max_candidate_pairs: int = MAX_CANDIDATE_PAIRS, max_candidate_docs: int = MAX_CANDIDATE_DOCS,
                max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+               max_broadcast_bytes: int = MAX_BROADCAST_BYTES, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """(query_id, doc_id, sum_score, mean_score, n_passages) over all passages of
     each (query, document) pair of the run."""
     spark = run.sparkSession
@@ -109,16 +117,95 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
         scored = p.select(F.col("doc_id").cast("string").alias("doc_id"), "_pvec", "_qpos").mapInArrow(
             score, "query_id string, doc_id string, score double")
     else:
-        # query side too large to broadcast: plain equi-joins on doc_id then
-        # query_id (AQE splits a popular document's partition)
-        scored = (pv.join(cand, "doc_id").join(q, "query_id")
-                  .select("query_id", F.col("doc_id").cast("string").alias("doc_id"),
-                          dot("_qvec", "_pvec").alias("score")))
+        scored = _bucketed(pv, cand, q, bucket_pairs, max_candidate_docs)
     return scored.groupBy("query_id", "doc_id").agg(
         F.sum("score").alias("sum_score"), F.avg("score").alias("mean_score"),
         F.count(F.lit(1)).alias("n_passages"))
 
 
+def _bucketed(pv: DataFrame, cand: DataFrame, q: DataFrame, bucket_pairs: int, max_candidate_docs: int) -> DataFrame:
+    """(query_id, doc_id, score) of every passage (doc_id, _pvec) of the pairs cand
+    (query_id, doc_id, written) with their queries (query_id, _qvec).
+
+    A cell is a bucket of documents, as many as give each about ``bucket_pairs`` pairs; a
+    document with more pairs than that is spread over parts of its queries, and its
+    passages go to each of them. A cell's passages are split once more by a hash of the
+    vector, so a document that holds much of the corpus is not one task. Cells get the
+    query vectors once each, the pairs and the passages in one exchange; a task reads
+    them in that order and holds the dictionary and the pairs of one cell only."""
+    n_docs = written(cand.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "candidate_docs")
+    size = n_docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("_n"), F.lit(0)).alias("pairs")).first()
+    buckets = max(1, -(-size["pairs"] // bucket_pairs))
+    if size["docs"] <= max_candidate_docs:  # passages of no candidate stay where they are
+        pv = pv.join(F.broadcast(n_docs.select("doc_id")), "doc_id", "left_semi")
+    # fewer documents than pairs / bucket_pairs have parts
+    several = n_docs.where(F.col("_n") > bucket_pairs).select("doc_id", F.ceil(F.col("_n") / bucket_pairs).alias("_parts"))
+    if buckets <= max(MAX_CANDIDATE_DOCS, 1):
+        several = F.broadcast(several)
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    splits = F.array(*[F.lit(i) for i in range(PASSAGE_PARTS)])
+    doc, query, vec = (F.col(c) for c in ("doc_id", "query_id", "_vec"))
+    cand = cand.join(several, "doc_id", "left").select(
+        "doc_id", "query_id", bucket.alias("_bucket"), F.pmod(F.xxhash64("query_id", F.lit(7)), parts).alias("_part"))
+    pairs = cand.select("_bucket", "_part", F.explode(splits).alias("_split"), doc.cast("string").alias("doc_id"), query)
+    asked = cand.select("_bucket", "_part", "query_id").distinct().join(q, "query_id")
+    asked = asked.select("_bucket", "_part", F.explode(splits).alias("_split"), "query_id",
+                         F.col("_qvec").cast("array<double>").alias("_vec"))
+    held = pv.join(several, "doc_id", "left").select(
+        bucket.alias("_bucket"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part"),
+        F.pmod(F.xxhash64("_pvec"), F.lit(PASSAGE_PARTS)).cast("int").alias("_split"),
+        doc.cast("string").alias("doc_id"), F.col("_pvec").cast("array<double>").alias("_vec"))
+    none = F.lit(None)
+    cells = (asked.select("_bucket", "_part", "_split", F.lit(0).alias("_kind"), none.cast("string").alias("doc_id"),
+                          query, vec)
+             .unionByName(pairs.select("_bucket", "_part", "_split", F.lit(1).alias("_kind"), doc, query,
+                                       none.cast("array<double>").alias("_vec")))
+             .unionByName(held.select("_bucket", "_part", "_split", F.lit(2).alias("_kind"), doc,
+                                      none.cast("string").alias("query_id"), vec)))
+    cells = cells.repartition("_bucket", "_part", "_split").sortWithinPartitions("_bucket", "_part", "_split", "_kind")
+    schema = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
+
+    def score(batches):
+        cell, at, ids, vecs, wanted, matrix = None, {}, [], [], {}, None
+        for b in batches:
+            kinds = np.stack([b.column(i).to_numpy() for i in range(4)])
+            cuts = [0, *(np.flatnonzero((kinds[:, 1:] != kinds[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if cell != tuple(kinds[:3, x]):
+                    cell, at, ids, vecs, wanted, matrix = tuple(kinds[:3, x]), {}, [], [], {}, None
+                run = b.slice(x, y - x)
+                if kinds[3, x] == 0:
+                    vecs.append(list_column_to_matrix(run.column(6)))
+                    ids += run.column(5).to_pylist()
+                elif kinds[3, x] == 1:
+                    at = at or {i: k for k, i in enumerate(ids)}
+                    for d, i in zip(run.column(4).to_pylist(), run.column(5).to_pylist()):
+                        wanted.setdefault(d, []).append(at[i])
+                elif wanted:
+                    matrix = np.concatenate(vecs) if matrix is None else matrix
+                    vectors, docs = list_column_to_matrix(run.column(6)), run.column(4).to_pylist()
+                    for rows, qi in products([wanted.get(d, ()) for d in docs]):
+                        s = (vectors[rows] * matrix[qi]).sum(axis=1)
+                        yield pa.record_batch([pa.array([ids[k] for k in qi], pa.string()),
+                                               run.column(4).take(pa.array(rows)), pa.array(s)], schema=schema)
+
+    def products(wanted):
+        """(rows, queries) of all products, some passages at a time."""
+        rows, queries = [], []
+        for i, own in enumerate(wanted):
+            rows += [i] * len(own)
+            queries += own
+            if len(rows) >= PRODUCTS or i == len(wanted) - 1 and rows:
+                yield np.array(rows), np.array(queries)
+                rows, queries = [], []
+
+    return cells.select("_bucket", "_part", "_split", "_kind", "doc_id", "query_id", "_vec").mapInArrow(
+        score, "query_id string, doc_id string, score double")
+
+
 def score_aggregate(run: DataFrame, passages: DataFrame, queries: DataFrame, how: str = "sum", **kw) -> DataFrame:
     """Document run (query_id, doc_id, rank INT, score) ranked by the sum or the
     mean of the query's scores over all passages of each retrieved document."""

@@ -10,10 +10,12 @@ The corpus is never shuffled or sorted; the shuffle carries at most
 ``k x Q`` candidate rows per task. The query matrix is collected once with a
 row and byte bound checked before it is broadcast.
 
-A query side beyond the bound is cut into blocks that fit it: each block goes
-the same way over the corpus in place, and its result is written to the shared
-checkpoint folder before the next block starts. The corpus is never copied or
-shuffled, and the rows are those of the single broadcast.
+A query side beyond the bound makes a grid instead, in one job: both sides are
+written once to the shared checkpoint folder as packs (one row is a block of
+vectors), every pack of queries meets every pack of the corpus, tasks read their
+packs from there, and a task keeps k rows for each query it has seen. Nothing of
+the query side passes through the driver, and neither lineage runs twice. The
+rows are those of the single broadcast.
 
 Scores are exact: the matrix product only admits candidates, with a margin
 that bounds its rounding error (that of the expanded L2 distance included);
@@ -41,15 +43,13 @@ that larger is always better.
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.vectors import list_column_to_matrix, normalize_rows
+from rankweave.operators.packs import pack, rows_of_pack, unpack_matrix
 from rankweave.session import written
 
 METRICS = ("ip", "cosine", "l2")
@@ -59,6 +59,8 @@ MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
 MAX_STATE_CANDIDATES = 20_000_000  # k x Q kept per task
 SCORE_CELLS = 4_000_000  # batch rows x query chunk scored at once
+PACK_QUERIES = 4096  # queries of a pack, at most
+PACK_ROWS = 8192  # corpus rows of a pack, at most
 AUTO_PRUNE_CANDIDATES = 1_000_000  # Q x k from which the sample threshold pass is on
 AUTO_PRUNE_FRACTION = 0.01
 
@@ -131,7 +133,7 @@ def _exact(vecs: np.ndarray, qmat: np.ndarray, rows: np.ndarray, cols: np.ndarra
     return out
 
 
-def _score_block(ids: np.ndarray, vecs: np.ndarray, qmat: np.ndarray, qsq: np.ndarray, metric: str,
+def _score_block(ids: pa.Array, vecs: np.ndarray, qmat: np.ndarray, qsq: np.ndarray, metric: str,
                  k: int, state: _TopK, compute_dtype: str = "float64") -> None:
     """Admit every row that can be in the top-k of a query, scored exactly."""
     if metric == "cosine":
@@ -154,7 +156,10 @@ def _score_block(ids: np.ndarray, vecs: np.ndarray, qmat: np.ndarray, qsq: np.nd
             least = np.maximum(least, np.partition(s, n - k, axis=0)[n - k] - 2 * margin[span])
         rows, cols = np.nonzero(s >= least[None, :])
         cols = cols.astype(np.int64) + q0
-        state.add(cols, _exact(vecs, qmat, rows, cols, metric), ids[rows])
+        if len(rows):  # only admitted ids become Python strings
+            hit, at = np.unique(rows, return_inverse=True)
+            names = np.asarray(ids.take(pa.array(hit)).to_pylist(), dtype=object)
+            state.add(cols, _exact(vecs, qmat, rows, cols, metric), names[at])
 
 
 def _emit(qids: np.ndarray, state: _TopK, id_name: str):
@@ -214,23 +219,68 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     if not size["n"]:
         return _final_rank(spark.createDataFrame([], f"query_id string, {corpus_id} string, score double"), k, corpus_id)
     fits = max(1, min(max_broadcast_rows, max_broadcast_bytes // (8 * max(1, size["d"])), MAX_STATE_CANDIDATES // k))
-    # blocks are dealt by hash: a fifth more of them keeps each within the bound
-    blocks = 1 if size["n"] <= fits else math.ceil(1.2 * size["n"] / fits)
+    if size["n"] > fits:
+        return _grid_top_k(q, corpus_sel, k, metric, corpus_id, size["d"], min(fits, PACK_QUERIES), buckets,
+                           compute_dtype)
     fraction = prune_fraction
     if fraction == "auto":
         fraction = AUTO_PRUNE_FRACTION if size["n"] * k >= AUTO_PRUNE_CANDIDATES else None
-    parts = []
-    for b in range(blocks):
-        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        table = own.toArrow()
-        if not table.num_rows:
-            continue
-        qmat = list_column_to_matrix(table.column("v"))
-        floor = (_sample_thresholds(spark, table, qmat, corpus_sel, k, metric, corpus_id, float(fraction), seed,
-                                    compute_dtype) if fraction else None)
-        found = _broadcast_top_k(spark, table, qmat, corpus_sel, k, metric, corpus_id, floor, buckets, compute_dtype)
-        parts.append(found if blocks == 1 else written(found, "topk"))
-    return reduce(DataFrame.unionByName, parts)
+    table = q.toArrow()
+    qmat = list_column_to_matrix(table.column("v"))
+    floor = (_sample_thresholds(spark, table, qmat, corpus_sel, k, metric, corpus_id, float(fraction), seed,
+                                compute_dtype) if fraction else None)
+    return _broadcast_top_k(spark, table, qmat, corpus_sel, k, metric, corpus_id, floor, buckets, compute_dtype)
+
+
+class PackedQueries:
+    """Packs of queries a task has met, each with its running top-k; the lists
+    are handed on early when they hold ``MAX_STATE_CANDIDATES``."""
+
+    def __init__(self, k: int, metric: str, id_name: str, compute_dtype: str = "float64"):
+        self.k, self.metric, self.id_name, self.compute_dtype = k, metric, id_name, compute_dtype
+        self.met: dict = {}
+
+    def of(self, key, data):
+        if key not in self.met:
+            t, qmat = unpack_matrix(data)
+            floor = t.column("floor").to_numpy() if "floor" in t.column_names else None
+            self.met[key] = (np.asarray(t.column(0).to_pylist(), dtype=object), *_prepare_queries(qmat, self.metric),
+                             _TopK(self.k, t.num_rows, floor))
+        return self.met[key]
+
+    def score(self, key, queries, corpus) -> None:
+        _, qmat, qsq, state = self.of(key, queries)
+        rows, vecs = unpack_matrix(corpus)
+        if vecs.shape[1] != qmat.shape[1]:
+            raise ValueError(f"corpus dimension {vecs.shape[1]} != query dimension {qmat.shape[1]}")
+        _score_block(rows.column(0).chunk(0), vecs, qmat, qsq, self.metric, self.k, state, self.compute_dtype)
+
+    def emit(self, least: int = 0):
+        if sum(state.size for *_, state in self.met.values()) >= least:
+            for qids, _, _, state in self.met.values():
+                yield from _emit(qids, state, self.id_name)
+            self.met = {}
+
+
+def _grid_top_k(q: DataFrame, corpus_sel: DataFrame, k: int, metric: str, corpus_id: str, dim: int, rows: int,
+                buckets: int, compute_dtype: str) -> DataFrame:
+    """Every pack of queries against every pack of the corpus, in one job."""
+    asked = written(pack(q.select("q", "v"), rows_of_pack(dim, rows)), "queries")
+    stored = written(pack(corpus_sel, rows_of_pack(dim, PACK_ROWS)), "corpus")
+    # blocks of a stated query set against blocks of the corpus, not rows against rows
+    grid = stored.select(F.col("data").alias("corpus")).crossJoin(asked.select("first", F.col("data").alias("queries")))
+
+    def score_cells(batches):
+        packs = PackedQueries(k, metric, corpus_id, compute_dtype)
+        for b in batches:
+            for i in range(b.num_rows):
+                packs.score(b.column(1)[i].as_py(), b.column(2)[i].as_buffer(), b.column(0)[i].as_buffer())
+                yield from packs.emit(MAX_STATE_CANDIDATES)
+        yield from packs.emit()
+
+    cands = grid.select("corpus", "first", "queries").mapInArrow(
+        score_cells, f"query_id string, {corpus_id} string, score double")
+    return _final_rank(cands, k, corpus_id, buckets)
 
 
 def _sample_thresholds(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataFrame, k: int, metric: str,
@@ -258,11 +308,10 @@ def _broadcast_top_k(spark, table: pa.Table, qmat: np.ndarray, corpus_sel: DataF
         for b in batches:
             if b.num_rows == 0:
                 continue
-            ids = np.asarray(b.column(0).to_pylist(), dtype=object)
             vecs = list_column_to_matrix(b.column(1))
             if vecs.shape[1] != qmat_.shape[1]:
                 raise ValueError(f"corpus dimension {vecs.shape[1]} != query dimension {qmat_.shape[1]}")
-            _score_block(ids, vecs, qmat_, qsq_, metric, k, state, compute_dtype)
+            _score_block(b.column(0), vecs, qmat_, qsq_, metric, k, state, compute_dtype)
         yield from _emit(qids_, state, corpus_id)
 
     cands = corpus_sel.mapInArrow(score_partition, f"query_id string, {corpus_id} string, score double")

@@ -1,24 +1,29 @@
 """Training tables: (query vector, passage vectors) pairs, prepared document
 texts, cleaned judgements, rolled negatives, triplets and the small sample.
 
-All of them are joins, windows and aggregates. Positions ("row r", "the n-th
-negative is the document r-n rows back, wrapping round") use
-``partitioning.dense_index`` and an equi-join on the position, never a
-single-partition window.
+All of them are joins, windows and aggregates, but the rolled negatives ("the
+n-th negative is the document n rows back, wrapping round"): there the rows are
+range-partitioned in their order once, every partition gets the last n rows
+before its first one (a halo), and one pass over each partition makes the
+negatives in place. No position is joined, no row is exploded before it is read.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.defaults import N_NEGATIVES, SAMPLE_QUERIES
-from rankweave.operators.partitioning import indexed_with_count
+from rankweave.operators.partitioning import ordered_parts
 from rankweave.operators.passages import nest
 from rankweave.session import written
 
 ON_EXHAUST = ("stick", "cycle")
 MAX_BROADCAST_IDS = 2_000_000  # document ids broadcast as a semi-join filter
+MAX_HALO_ROWS = 1_000_000  # halo rows (partitions x negatives) that are broadcast; more are shuffled to their partition
+NEGATIVE_ROWS = 100_000  # rows of an output batch
 
 
 # ------------------------------------------------------------------ pairs
@@ -104,7 +109,7 @@ def sample_corpus(queries: DataFrame, qrels: DataFrame, docs: DataFrame, n: int
 # ------------------------------------------------------------------ negatives
 
 def rolled_negatives(qrels: DataFrame, n_negatives: int = N_NEGATIVES, *, order_by=("query_id", "doc_id"),
-                     exclude_positives: bool = False) -> DataFrame:
+                     exclude_positives: bool = False, max_halo_rows: int = MAX_HALO_ROWS) -> DataFrame:
     """Long form (query_id, pos, neg_no INT, neg): with the judgement rows in
     ``order_by`` order, row r's i-th negative is the document of row (r - i) mod N.
 
@@ -114,20 +119,102 @@ def rolled_negatives(qrels: DataFrame, n_negatives: int = N_NEGATIVES, *, order_
         raise ValueError("n_negatives must be >= 1")
     if exclude_positives:
         qrels = written(qrels, "qrels")  # read twice
-    idx, n_rows = indexed_with_count(qrels.select("query_id", "doc_id"), list(order_by), out_col="_r")
-    total = F.lit(max(n_rows, 1)).cast("long")
-    src = idx.select("_r", F.col("doc_id").alias("neg"))
-    rows = idx.select("_r", "query_id", F.col("doc_id").alias("pos"),
-                      F.explode(F.sequence(F.lit(1), F.lit(n_negatives))).alias("neg_no"))
-    rows = rows.withColumn("_src", F.pmod(F.col("_r") - F.col("neg_no"), total))
-    out = rows.join(src.withColumnRenamed("_r", "_src"), "_src").select(
-        "query_id", "pos", F.col("neg_no").cast("int").alias("neg_no"), "neg")
+    out = _rolled(qrels.select("query_id", "doc_id"), n_negatives, list(order_by), max_halo_rows)
     if exclude_positives:
         rel = qrels.select("query_id", F.col("doc_id").alias("neg"))
         out = out.join(rel, ["query_id", "neg"], "left_anti")
     return out
 
 
+def halo_sources(parts: list[tuple[int, int, int]], n: int) -> dict[int, list[tuple[int, int]]]:
+    """For each partition the (partition, place) of the n rows before its first
+    one, the nearest last, going round from the first row to the last."""
+    out = {}
+    for k, (pid, _, _) in enumerate(parts):
+        held: list[tuple[int, int]] = []
+        j = k
+        while len(held) < n:
+            j = (j - 1) % len(parts)
+            p, _, size = parts[j]
+            held += [(p, i) for i in range(size - 1, max(-1, size - 1 - (n - len(held))), -1)]
+        out[pid] = held[::-1]
+    return out
+
+
+def _rolled(rows: DataFrame, n: int, order_by: list[str], max_halo_rows: int) -> DataFrame:
+    """(query_id, pos, neg_no, neg): rows (query_id, doc_id) in order, each with the n documents before it."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")}
+    schema = f"query_id {kinds['query_id']}, pos {kinds['doc_id']}, neg_no int, neg {kinds['doc_id']}"
+    ordered, parts = ordered_parts(rows, order_by)
+    spark = rows.sparkSession
+    if not parts:
+        return spark.createDataFrame([], schema)
+    numbers = np.arange(1, n + 1)
+
+    def negatives(before: pa.Array, query: pa.Array, doc: pa.Array):
+        whole = pa.concat_arrays([before, doc])
+        step = max(1, NEGATIVE_ROWS // n)
+        for at in range(0, len(doc), step):
+            m = min(step, len(doc) - at)
+            own = np.repeat(np.arange(at, at + m), n)
+            yield pa.RecordBatch.from_arrays(
+                [query.take(pa.array(own)), doc.take(pa.array(own)), pa.array(np.tile(numbers, m), pa.int32()),
+                 whole.take(pa.array(n + own - np.tile(numbers, m)))], names=["query_id", "pos", "neg_no", "neg"])
+
+    # the last rows of every partition are all that any halo holds
+    last = spark.createDataFrame([(pid, max(0, size - n)) for pid, _, size in parts], "_pid long, _from long")
+    ends = ordered.join(F.broadcast(last), "_pid").where("_pos >= _from").select("_pid", "_pos", "doc_id")
+    if len(parts) * n <= max_halo_rows:
+        held = ends.toArrow()
+        at = {key: i for i, key in enumerate(zip(held["_pid"].to_pylist(), held["_pos"].to_pylist()))}
+        ids = held["doc_id"].combine_chunks()
+        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+        bc = spark.sparkContext.broadcast((ids, {pid: [at[s] for s in sources]
+                                                 for pid, sources in halo_sources(parts, n).items()}))
+
+        def in_place(batches):
+            before = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if before is None:
+                    ids, sources = bc.value
+                    before = ids.take(pa.array(sources[b.column(2)[0].as_py()]))
+                yield from negatives(before, b.column(0), b.column(1))
+                before = pa.concat_arrays([before, b.column(1)]).slice(b.num_rows)
+
+        return ordered.select("query_id", "doc_id", "_pid").mapInArrow(in_place, schema)
+
+    # more halo rows than a broadcast should hold: the rows and the halos meet in one
+    # exchange by partition, halo rows first (their places are negative)
+    sources = [(pid, i - n, p, pos) for pid, held in halo_sources(parts, n).items() for i, (p, pos) in enumerate(held)]
+    wanted = spark.createDataFrame(sources, "_to long, _place long, _pid long, _pos long")
+    halo = ends.join(wanted, ["_pid", "_pos"]).select(
+        F.col("_to").alias("_pid"), F.col("_place").alias("_pos"), F.lit(None).cast(kinds["query_id"]).alias("query_id"),
+        "doc_id")
+    both = ordered.select("_pid", "_pos", "query_id", "doc_id").unionByName(halo)
+    both = both.repartition(len(parts), "_pid").sortWithinPartitions("_pid", "_pos")
+
+    def after_halo(batches):
+        before = current = None
+        for b in batches:
+            pid, pos = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(pid[1:] != pid[:-1]) + 1).tolist(), len(pid)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if pid[x] != current:
+                    current, before = pid[x], b.column(3).slice(0, 0)
+                ahead = int((pos[x:y] < 0).sum())
+                before = pa.concat_arrays([before, b.column(3).slice(x, ahead)])
+                query, doc = b.column(2).slice(x + ahead, y - x - ahead), b.column(3).slice(x + ahead, y - x - ahead)
+                if len(doc):
+                    yield from negatives(before, query, doc)
+                    before = pa.concat_arrays([before, doc]).slice(len(doc))
+
+    return both.mapInArrow(after_halo, schema)
+
+
 def wide_negatives(negatives: DataFrame, n_negatives: int) -> DataFrame:
     """Wide form of the rolled negatives: (query_id, pos, neg_1 .. neg_n), one
     row per judgement. A pivot with the values given, so no job is run to find
@@ -167,9 +254,9 @@ def triplets(negatives: DataFrame, prepared: DataFrame, queries: DataFrame, epoc
     # only documents used as a positive or negative are joined: the prepared
     # texts are filtered by those ids in place (broadcast, size checked)
     # before the two shuffle joins
-    used = pick.select(F.col("pos").alias("doc_id")).union(pick.select(F.col("neg").alias("doc_id"))).distinct()
-    n_used = used.limit(max_broadcast_ids + 1).count()
-    if n_used <= max_broadcast_ids:
+    used = written(pick.select(F.col("pos").alias("doc_id")).union(pick.select(F.col("neg").alias("doc_id"))).distinct(),
+                   "used")
+    if used.count() <= max_broadcast_ids:
         prepared = prepared.join(F.broadcast(used), "doc_id", "left_semi")
     qt = queries.select("query_id", F.col("text").alias("query_text"))
     pt = prepared.select(F.col("doc_id").alias("pos"), F.col("text").alias("pos_text"))

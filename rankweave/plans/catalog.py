@@ -8,19 +8,26 @@ exploded to (id, dim, value) rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.defaults import FIRST_POSITIONS, HISTOGRAM_BINS, LOSS_BATCH, N_NEGATIVES, SAMPLE_QUERIES
-from rankweave.operators import (analysis, embed, metrics, partitioning, passages, pooling, rerank, search,
+from rankweave.operators import (analysis, block_index, embed, metrics, partitioning, passages, pooling, rerank, search,
                                  training)
 from rankweave.sources import files
 from rankweave.sources import fixtures as fx
 
 TAB = "\t"
 K_DOCS = 20          # top-k of the document searches
+K_VECTORS = 10       # top-k over all vectors
+K_DEEP = 1000        # depth of the run behind R@1000
+DEEP_PASSAGE_SIZE = 50  # words per passage of that run
 K_PASSAGES = 100     # depth of the passage run behind MaxP / Sum / Mean
 PASSAGE_SIZE = 400   # words per passage in the text queries
 TOKEN_PASSAGE_SIZE = 128
@@ -111,6 +118,22 @@ def _topk(metric, **bounds):
     return q
 
 
+def _vector_topk(metric, **bounds):
+    """The search over every vector as a document."""
+    def q(s, d):
+        return ranked(search.top_k(fx.vec_queries(s, d), fx.vec_docs(s, d), K_VECTORS, metric, **bounds))
+    return q
+
+
+def q_topk_index(s, d):
+    """One block index over every vector, searched by each metric."""
+    path, queries = _scratch(s), fx.vec_queries(s, d)
+    block_index.build(fx.vec_docs(s, d), path)
+    runs = [ranked(block_index.search(s, path, queries, K_VECTORS, m)).withColumn("metric", F.lit(m))
+            for m in search.METRICS]
+    return reduce(DataFrame.unionByName, runs)
+
+
 def _passage_run(s, d, k):
     return search.top_k(fx.vec_queries(s, d), fx.vec_passages(s, d), k, "ip", corpus_id="passage_id",
                         corpus_vec="passage_embedding")
@@ -132,6 +155,12 @@ def _rerank(how):
     return q
 
 
+def q_rerank_sum_buckets(s, d):
+    run = rerank.score_aggregate(_passage_run(s, d, K_PASSAGES), fx.vec_passages(s, d), fx.vec_queries(s, d), "sum",
+                                 max_broadcast_queries=0, max_candidate_pairs=0, max_candidate_docs=0, bucket_pairs=25)
+    return ranked(run)
+
+
 def _histogram(bins, first=None):
     def q(s, d):
         mp = rerank.max_p(_passage_run(s, d, K_PASSAGES))
@@ -198,6 +227,19 @@ def q_clean_qrels(s, d):
     return _clean_qrels(s, d).select("query_id", "doc_id", "relevance")
 
 
+def q_clean_qrels_untitled(s, d):
+    removed = training.removed_docs(fx.untitled_docs(s, d))
+    return training.clean_qrels(fx.qrels(s, d), removed).select("query_id", "doc_id", "relevance")
+
+
+def q_prepared_docs_untitled(s, d):
+    return training.prepare_docs(fx.untitled_docs(s, d))
+
+
+def q_prepared_docs_body_only(s, d):
+    return training.prepare_docs(fx.untitled_docs(s, d), prepend_title=False)
+
+
 def q_sample_corpus_docs(s, d):
     _, kd, _ = training.sample_corpus(fx.queries(s, d), fx.qrels(s, d), _docs(s, d), SAMPLE_QUERIES)
     return kd.select("doc_id", "url", "title", "body")
@@ -271,6 +313,19 @@ def q_eval_text_maxp_report(s, d):
     return ev.select("metric", r6("value").alias("value"))
 
 
+def q_eval_text_recall1000(s, d):
+    """R@1000 of a run 1,000 deep over short passages, every passage of a judged
+    document being relevant: there are more passages than that, so some are missed."""
+    p = passages.split_passages(passages.drop_empty(_docs(s, d)), DEEP_PASSAGE_SIZE, False, keep=[])
+    judged = fx.qrels(s, d).join(p.select("doc_id", "passage_id"), "doc_id").select(
+        "query_id", F.col("passage_id").alias("doc_id"), "relevance")
+    vecs = embed.embed(p, "passage_body", lambda: embed.hashed_encoder(EMBED_DIM), out_col="passage_embedding",
+                       dim=EMBED_DIM, partitions=s.sparkContext.defaultParallelism)
+    run = search.top_k(_text_query_vecs(s, d), vecs, K_DEEP, "ip", corpus_id="passage_id", corpus_vec="passage_embedding")
+    ev = metrics.evaluate(run.withColumnRenamed("passage_id", "doc_id"), judged, ["R@1000"])
+    return ev.select("metric", r6("value").alias("value"))
+
+
 def q_stream_passages_title(s, d):
     from rankweave.streaming.passages import run_available_now, stream_passages
     path = f"{d.rstrip('/')}/documents.parquet"
@@ -406,12 +461,29 @@ def q_training_save_load(s, d):
                                                            F.length("neg_text").cast("int").alias("neg_chars"))
 
 
+def _code_points():
+    """A batch tokenizer whose tokens are code points: Arrow strings to Arrow lists of ids."""
+    def encode(texts: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy()
+        ids = np.frombuffer("".join(t or "" for t in texts.to_pylist()).encode("utf-32-le"), np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids))
+    return encode
+
+
+def _from_code_points():
+    def decode(rows: pa.Array) -> pa.Array:
+        ends = np.asarray(rows.offsets)
+        text = np.asarray(rows.values)[ends[0]:ends[-1]].astype("<i4").tobytes().decode("utf-32-le")
+        return pa.array([text[a:b] for a, b in zip(ends - ends[0], ends[1:] - ends[0])], pa.string())
+    return decode
+
+
 def q_tokenize_split_detokenize(s, d):
     docs = _docs(s, d).select("doc_id", "body")
-    ids = embed.tokenize(docs, "body", lambda: lambda texts: [[ord(c) for c in t] for t in texts], "body_tokens")
+    ids = embed.tokenize(docs, "body", _code_points, "body_tokens", arrow=True)
     ids = ids.withColumn("title_tokens", F.lit(None).cast("array<int>"))
     p = passages.split_token_passages(ids, CODE_POINTS, False)
-    text = embed.detokenize(p, "passage_tokens", lambda: lambda rows: ["".join(map(chr, r)) for r in rows], "passage_text")
+    text = embed.detokenize(p, "passage_tokens", _from_code_points, "passage_text", arrow=True)
     return text.select("doc_id", "passage_idx", "passage_id", "passage_text")
 
 
@@ -433,11 +505,17 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topk_ip": _topk("ip"),
         "topk_l2": _topk("l2"),
         "topk_cosine": _topk("cosine"),
-        "topk_ip_blocks": _topk("ip", max_broadcast_rows=4),
+        "topk_ip_blocks": _topk("ip", max_broadcast_rows=1),
+        "topk_vectors_ip": _vector_topk("ip"),
+        "topk_vectors_l2": _vector_topk("l2"),
+        "topk_vectors_cosine": _vector_topk("cosine"),
+        "topk_vectors_grid": _vector_topk("ip", max_broadcast_rows=1),
+        "topk_index": q_topk_index,
         "topk_passages": q_topk_passages,
         "rerank_max": q_rerank_max,
         "rerank_sum": _rerank("sum"),
         "rerank_mean": _rerank("mean"),
+        "rerank_sum_buckets": q_rerank_sum_buckets,
         "position_histogram_50": _histogram(HISTOGRAM_BINS),
         "position_histogram_first10": _histogram(FIRST_POSITIONS, first=FIRST_POSITIONS),
         "eval_rr10": _eval(["RR@10"]),
@@ -452,6 +530,9 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "training_unmatched": q_training_unmatched,
         "prepared_docs": q_prepared_docs,
         "clean_qrels": q_clean_qrels,
+        "clean_qrels_untitled": q_clean_qrels_untitled,
+        "prepared_docs_untitled": q_prepared_docs_untitled,
+        "prepared_docs_body_only": q_prepared_docs_body_only,
         "sample_corpus_docs": q_sample_corpus_docs,
         "sample_corpus_qrels": q_sample_corpus_qrels,
         "rolled_negatives": q_rolled_negatives,
@@ -464,6 +545,7 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "embed_hashed_queries": q_embed_hashed_queries,
         "topk_text_passages": q_topk_text_passages,
         "eval_text_maxp_report": q_eval_text_maxp_report,
+        "eval_text_recall1000": q_eval_text_recall1000,
         "stream_passages_title": q_stream_passages_title,
         "run_file_roundtrip": q_run_file_roundtrip,
         "qrels_file_roundtrip": q_qrels_file_roundtrip,
@@ -500,8 +582,12 @@ FROM documents""",
        CAST(1 + coalesce(l.quality, 0) AS INTEGER) AS relevance
 FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "vq": "SELECT concat('V', CAST(vec_id AS VARCHAR)) AS query_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0",
-    "vd": "SELECT concat('D', CAST(vec_id AS VARCHAR)) AS doc_id, embedding, label FROM embeddings WHERE vec_id % 50 <> 0",
-    "vqr": "SELECT q.query_id, d.doc_id, 1 AS relevance FROM vq q JOIN vd d ON q.label = d.label",
+    "vd": "SELECT concat('D', CAST(vec_id AS VARCHAR)) AS doc_id, embedding, label FROM embeddings",
+    "vqr": """SELECT q.query_id, d.doc_id, 1 AS relevance FROM vq q JOIN vd d ON q.label = d.label
+WHERE substring(q.query_id, 2) <> substring(d.doc_id, 2)""",
+    "udocs": """SELECT doc_id, body, CASE WHEN title LIKE '% de' THEN NULL WHEN title LIKE '% fr' THEN '' ELSE title END AS title
+FROM docs""",
+    "uremoved": "SELECT doc_id FROM udocs WHERE NOT (title IS NOT NULL AND title <> '' AND body IS NOT NULL AND body <> '')",
     "vp": """SELECT concat('D', CAST(g AS VARCHAR)) AS doc_id, CAST(i AS INTEGER) AS passage_idx,
        concat('D', CAST(g AS VARCHAR), '_', CAST(i AS VARCHAR)) AS passage_id, embedding AS passage_embedding, label
 FROM (SELECT g, embedding, label, row_number() OVER (PARTITION BY g ORDER BY vec_id) - 1 AS i
@@ -584,6 +670,7 @@ WHERE rk <= 10""",
 }
 
 DEPS = {
+    "udocs": ["docs"], "uremoved": ["udocs"],
     "vqr": ["vq", "vd"], "vdq": ["vq", "vp"], "pe": ["vp"], "sumpool": ["pe"], "meanpool": ["pe"],
     "removed": ["docs"], "prepared": ["docs"], "cq": ["tqrels", "removed"], "negs": ["cq"],
     "prun": ["vq", "vp"], "maxp": ["prun"], "cand_scores": ["prun", "vp", "vq"], "docrun": ["vq", "meanpool"],
@@ -643,6 +730,39 @@ FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id O
 WHERE rk <= {K_DOCS}""", "vq", "sumpool")
 
 
+def _vector_topk_sql(metric: str) -> str:
+    a, b = "CAST(q.embedding AS DOUBLE[])", "CAST(p.embedding AS DOUBLE[])"
+    score = {"ip": f"list_dot_product({a}, {b})", "cosine": f"list_cosine_similarity({a}, {b})",
+             "l2": f"-list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"}[metric]
+    return sql(f"""SELECT query_id, doc_id, CAST(rk AS INTEGER) AS rank, round(score, 6) AS score
+FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk
+      FROM (SELECT q.query_id, p.doc_id, {score} AS score FROM vq q CROSS JOIN vd p) s) t
+WHERE rk <= {K_VECTORS}""", "vq", "vd")
+
+
+def _text_recall_sql() -> str:
+    """The deep passage run and its document run, from the token counts of short passages."""
+    base = sql("SELECT 1", "docs", "tqd", "tqrels")
+    with_clause = base[: base.rindex("\nSELECT 1")]
+    bucket = f"CAST(('0x' || left(md5(t), 8))::BIGINT % {EMBED_DIM} AS INTEGER)"
+    return f"""{with_clause},
+sp AS (SELECT doc_id, concat(doc_id, '_', CAST(st // {DEEP_PASSAGE_SIZE} AS VARCHAR)) AS passage_id, toks[st + 1 : st + {DEEP_PASSAGE_SIZE}] AS own
+  FROM (SELECT doc_id, toks, unnest(range(0, len(toks), {DEEP_PASSAGE_SIZE})) AS st
+        FROM (SELECT doc_id, string_split(body, ' ') AS toks FROM docs WHERE body IS NOT NULL AND body <> '') d) s),
+sb AS (SELECT passage_id, {bucket} AS dim, count(*) AS c FROM (SELECT passage_id, unnest(own) AS t FROM sp) x GROUP BY ALL),
+sv AS (SELECT sb.passage_id, sb.dim, CAST(CAST(sb.c / n.nrm AS FLOAT) AS DOUBLE) AS value
+  FROM sb JOIN (SELECT passage_id, sqrt(sum(c * c)) AS nrm FROM sb GROUP BY passage_id) n USING (passage_id)),
+sd AS (SELECT p.passage_id, list(coalesce(v.value, CAST(0 AS DOUBLE)) ORDER BY g.dim) AS emb
+  FROM sp p CROSS JOIN (SELECT CAST(range AS INTEGER) AS dim FROM range({EMBED_DIM})) g
+  LEFT JOIN sv v ON v.passage_id = p.passage_id AND v.dim = g.dim GROUP BY p.passage_id),
+srun AS (SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rk
+  FROM (SELECT q.query_id, p.passage_id, list_dot_product(q.emb, p.emb) AS score FROM tqd q CROSS JOIN sd p) u),
+srun2 AS (SELECT query_id, passage_id AS doc_id, score FROM srun WHERE rk <= {K_DEEP}),
+sqrels AS (SELECT r.query_id, sp.passage_id AS doc_id, r.relevance FROM tqrels r JOIN sp ON sp.doc_id = r.doc_id),
+{_per_query_sql('srun2', 'sqrels')}
+SELECT 'R@1000' AS metric, round(avg(recall_1000), 6) AS value FROM pq"""
+
+
 def _hist_sql(bins: int, first: int | None) -> str:
     where = f"WHERE passage_idx < {first}" if first is not None else ""
     return sql(f"""SELECT g.bin, round(b.lo + g.bin * ((b.hi - b.lo) / {bins}.0), 6) AS lower,
@@ -801,12 +921,18 @@ JOIN (SELECT doc_id, sqrt(sum(v * v)) AS nrm FROM (SELECT doc_id, dim, sum(CAST(
         "topk_l2": _topk_sql("l2"),
         "topk_cosine": _topk_sql("cosine"),
         "topk_ip_blocks": _topk_sql("ip"),
+        "topk_vectors_grid": _vector_topk_sql("ip"),
+        **{f"topk_vectors_{m}": _vector_topk_sql(m) for m in search.METRICS},
+        "topk_index": "\nUNION ALL\n".join(f"SELECT *, '{m}' AS metric FROM ({_vector_topk_sql(m)})" for m in search.METRICS),
         "topk_passages": sql(f"""SELECT query_id, passage_id, CAST(prank AS INTEGER) AS rank, round(score, 6) AS score
 FROM prun WHERE prank <= {K_DOCS}""", "prun"),
         "rerank_max": sql("SELECT query_id, doc_id, passage_idx, passage_rank, rank, round(score, 6) AS score FROM maxp",
                           "maxp"),
         "rerank_sum": sql("""SELECT query_id, doc_id,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY sum_score DESC, doc_id) AS INTEGER) AS rank,
+       round(sum_score, 6) AS score FROM cand_scores""", "cand_scores"),
+        "rerank_sum_buckets": sql("""SELECT query_id, doc_id,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY sum_score DESC, doc_id) AS INTEGER) AS rank,
        round(sum_score, 6) AS score FROM cand_scores""", "cand_scores"),
         "rerank_mean": sql("""SELECT query_id, doc_id,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY mean_score DESC, doc_id) AS INTEGER) AS rank,
@@ -834,6 +960,11 @@ JOIN (SELECT doc_id, count(DISTINCT passage_idx) AS n_passages,
   SELECT 1 FROM tqrels r JOIN docs d ON d.doc_id = r.doc_id
   WHERE r.query_id = q.query_id AND r.relevance >= 1 AND d.body IS NOT NULL AND d.body <> '')""", "tq", "tqrels", "docs"),
         "prepared_docs": sql("SELECT doc_id, text FROM prepared", "prepared"),
+        "clean_qrels_untitled": sql("""SELECT query_id, doc_id, relevance FROM tqrels
+WHERE doc_id NOT IN (SELECT doc_id FROM uremoved)""", "tqrels", "uremoved"),
+        "prepared_docs_untitled": sql("""SELECT doc_id, concat(title, body) AS text FROM udocs
+WHERE doc_id NOT IN (SELECT doc_id FROM uremoved)""", "udocs", "uremoved"),
+        "prepared_docs_body_only": sql("SELECT doc_id, body AS text FROM udocs", "udocs"),
         "clean_qrels": sql("SELECT query_id, doc_id, relevance FROM cq", "cq"),
         "sample_corpus_docs": sql(f"SELECT doc_id, url, title, body FROM docs WHERE doc_id IN {first_docs}",
                                   "docs", "tq", "tqrels"),
@@ -864,6 +995,7 @@ GROUP BY ix.doc_id""", "docs"),
         "embed_hashed_queries": sql("SELECT query_id, dim, round(value, 6) AS value FROM tqv WHERE value <> 0", "tqv"),
         "topk_text_passages": sql("""SELECT query_id, passage_id, CAST(rk AS INTEGER) AS rank, round(score, 6) AS score
 FROM tprun""", "tprun"),
+        "eval_text_recall1000": _text_recall_sql(),
         "eval_text_maxp_report": _eval_sql(
             list(_METRIC_COLS), "tmaxp", "tqrels", ("tprun", "tqrels")).replace(
             "\nrr AS (", """

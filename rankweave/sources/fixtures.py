@@ -38,6 +38,14 @@ def docs_view(d: DataFrame) -> DataFrame:
     )
 
 
+def untitled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The docs view with titles that are missing or empty in two of the languages,
+    so that preparing the documents with their titles removes those."""
+    lang = F.element_at(F.split("title", " "), -1)
+    title = F.when(lang == "de", F.lit(None).cast("string")).when(lang == "fr", F.lit("")).otherwise(F.col("title"))
+    return docs(spark, sf_dir).withColumn("title", title)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """queries(query_id, text)."""
     return table(spark, sf_dir, "benchmark").select(_sid("Q", "item_id").alias("query_id"), "text")
@@ -61,20 +69,21 @@ def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") % 50 != 0).select(_sid("D", "vec_id").alias("doc_id"), "embedding", "label")
+    """Every vector as a document; a query's own one is left out where pairs are made."""
+    return table(spark, sf_dir, "embeddings").select(_sid("D", "vec_id").alias("doc_id"), "embedding", "label")
 
 
 def vec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the query's label is relevant (grade 1).
+    """Every other document with the query's label is relevant (grade 1).
 
     A label holds about a tenth of all rows, so the join on label is salted:
     the document side is split by a hash of doc_id, the query side copied per salt.
     """
     q = vec_queries(spark, sf_dir).select("query_id", "label")
     d = vec_docs(spark, sf_dir).select("doc_id", "label")
-    return salted_join(d, q, "label", unique_col="doc_id").select("query_id", "doc_id",
-                                                                  F.lit(1).alias("relevance"))
+    own = F.substring("query_id", 2, 20) == F.substring("doc_id", 2, 20)
+    return salted_join(d, q, "label", unique_col="doc_id").where(~own).select("query_id", "doc_id",
+                                                                              F.lit(1).alias("relevance"))
 
 
 def vec_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

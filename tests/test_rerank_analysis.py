@@ -79,3 +79,26 @@ def test_both_branches_of_doc_scores_agree(spark):
     assert rows[0] == [("1", "a", 3.5, 1.75, 2), ("1", "b", 4.0, 4.0, 1), ("3", "b", 2.0, 2.0, 1)]
     assert all(r == rows[0] for r in rows)
     assert rerank.doc_scores(run, vectors, queries.limit(0)).collect() == []
+
+
+def test_buckets_of_documents_give_the_same_scores(spark):
+    """Queries beyond the broadcast bounds: buckets, parts of a document's queries, splits of its passages."""
+    vp, vq = fx.vec_passages(spark, SF), fx.vec_queries(spark, SF)
+    run = search.top_k(vq, vp, 30, corpus_id="passage_id", corpus_vec="passage_embedding")
+    base = {(r.query_id, r.doc_id): r for r in rerank.doc_scores(run, vp, vq).collect()}
+    for kw in (dict(bucket_pairs=1), dict(bucket_pairs=3, max_candidate_docs=0), dict(bucket_pairs=10_000)):
+        got = {(r.query_id, r.doc_id): r for r in rerank.doc_scores(run, vp, vq, max_broadcast_queries=0, **kw).collect()}
+        assert got.keys() == base.keys()
+        for key, r in got.items():
+            assert r.n_passages == base[key].n_passages
+            assert math.isclose(r.sum_score, base[key].sum_score, abs_tol=1e-9)
+
+
+def test_buckets_move_no_vector_for_each_pair(spark):
+    vp, vq = fx.vec_passages(spark, SF), fx.vec_queries(spark, SF)
+    run = search.top_k(vq, vp, 30, corpus_id="passage_id", corpus_vec="passage_embedding")
+    df = rerank.doc_scores(run, vp, vq, max_broadcast_queries=0, max_candidate_docs=0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_pvec" in line and "_qvec" in line]
+    assert not joins and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert rerank.doc_scores(run.limit(0), vp, vq, max_broadcast_queries=0).collect() == []

@@ -180,3 +180,48 @@ def test_auto_pruning_trigger(spark, monkeypatch):
     monkeypatch.setattr(search, "AUTO_PRUNE_CANDIDATES", 1)
     monkeypatch.setattr(search, "AUTO_PRUNE_FRACTION", 0.1)
     assert _rows(search.top_k(q, c, 8)) == base == _brute(qs, cs, 8, "ip")
+
+
+def test_grid_reads_each_side_once(spark):
+    """More query blocks than one: the corpus lineage runs once, whatever their number."""
+    rng = np.random.default_rng(9)
+    n = 400
+    c = spark.createDataFrame([(f"d{i:03d}", rng.normal(size=5).tolist()) for i in range(n)],
+                              "doc_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(f"q{i:02d}", rng.normal(size=5).tolist()) for i in range(24)],
+                              "query_id string, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    base = _rows(search.top_k(q, c, 6))
+    got = _rows(search.top_k(q, c.mapInArrow(count, c.schema), 6, max_broadcast_rows=2))
+    assert got == base and seen.value == n
+
+
+def test_grid_of_small_packs_and_early_lists(spark, monkeypatch):
+    monkeypatch.setattr(search, "PACK_ROWS", 16)
+    monkeypatch.setattr(search, "MAX_STATE_CANDIDATES", 60)
+    vp, q = fx.vec_passages(spark, SF).repartition(5), fx.vec_queries(spark, SF)
+    kw = dict(corpus_id="passage_id", corpus_vec="passage_embedding")
+    got = _rows(search.top_k(q, vp, 9, "cosine", max_broadcast_rows=3, reduce_buckets=3, **kw), "passage_id")
+    monkeypatch.undo()
+    assert got == _rows(search.top_k(q, vp, 9, "cosine", **kw), "passage_id")
+
+
+def test_packs_keep_rows_and_blocks(spark):
+    from rankweave.operators.packs import pack, unpack
+    df = spark.createDataFrame([(f"r{i}", [float(i)], i // 7) for i in range(100)], "id string, vec array<double>, block int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        plain = pack(df.select("id", "vec").coalesce(1), 30).collect()
+        by = pack(df.repartition(3, "block").sortWithinPartitions("block"), 5, by="block").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [p.n for p in plain] == [30, 30, 30, 10]
+    assert [i for p in plain for i in unpack(p.data)["id"].to_pylist()] == [f"r{i}" for i in range(100)]
+    got = sorted((p.block, i) for p in by for i in unpack(p.data)["id"].to_pylist())
+    assert got == sorted((i // 7, f"r{i}") for i in range(100)) and max(p.n for p in by) == 5 and len(by) == 29

@@ -43,12 +43,41 @@ def test_contains_join_random_patterns_over_many_partitions(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
 
 
+def test_patterns_in_blocks_and_no_text_leaves_its_row(spark):
+    rng = random.Random(8)
+    vocab = ["a", "ab", "abc", "", "word", "more"]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(20)))) for i in range(80)]
+    pats = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 6)))) for i in range(150)]
+    kw = dict(doc_key="doc_id", doc_text="text", pat_key="item_id", pat_text="text")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    p = spark.createDataFrame(pats, "item_id long, text string")
+    expected = sorted((i, k) for i, t in docs for k, s in pats if s in t)
+    for bounds in ({}, dict(max_patterns=20), dict(max_bytes=100)):
+        assert sorted((r.doc_id, r.item_id) for r in contains_join(d, p, **kw, **bounds).collect()) == expected
+    plan = contains_join(d.where("doc_id >= 0"), p, **kw)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("Exchange RoundRobinPartitioning")
+
+
+def test_no_patterns_and_string_keys(spark):
+    d = spark.createDataFrame([("x", "abc")], "doc_id string, text string")
+    p = spark.createDataFrame([("p", "b"), ("q", "")], "item_id string, text string")
+    kw = dict(doc_key="doc_id", doc_text="text", pat_key="item_id", pat_text="text")
+    assert contains_join(d, p.limit(0), **kw).collect() == []
+    assert sorted(map(tuple, contains_join(d, p, **kw).collect())) == [("x", "p"), ("x", "q")]
+
+
+def test_untitled_documents_are_removed(spark):
+    from rankweave.operators import training
+    assert 0 < training.removed_docs(fx.untitled_docs(spark, SF01)).count() < 1000
+
+
 def test_fixture_sizes(spark):
     # measured sizes from FIXTURES.md
     assert fx.docs(spark, SF01).count() == 1000
     assert fx.qrels(spark, SF01).count() == 26
     assert fx.qrels(spark, SF01).where("relevance = 2").count() == 11
     assert fx.vec_queries(spark, SF).count() == 10
-    assert fx.vec_qrels(spark, SF).count() == 479
+    assert fx.vec_qrels(spark, SF).count() == fx.vec_queries(spark, SF).join(
+        fx.vec_docs(spark, SF), "label").count() - 10
     assert fx.vec_doc_qrels(spark, SF).count() == 189
     assert fx.vec_passages(spark, SF).count() == 500

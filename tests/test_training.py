@@ -91,3 +91,40 @@ def test_wide_negatives(spark):
     assert wide.columns == ["query_id", "pos", "neg_1", "neg_2"]
     got = {r.pos: (r.neg_1, r.neg_2) for r in wide.collect()}
     assert got == {"a": ("c", "b"), "b": ("a", "c"), "c": ("b", "a")}
+
+
+def _rolled_plainly(rows, n):
+    rows = sorted(rows)
+    return sorted((q, d, i, rows[(r - i) % len(rows)][1]) for r, (q, d) in enumerate(rows) for i in range(1, n + 1))
+
+
+@pytest.mark.parametrize("rows, n", [(1, 3), (2, 5), (7, 50), (100, 3), (100, 40), (100, 250)])
+def test_halo_gives_the_rolled_rows(spark, rows, n):
+    """Halos over several partitions, larger than a partition, and larger than the table."""
+    data = [(f"q{i % 13:02d}", f"d{i:03d}") for i in range(rows)]
+    q = spark.createDataFrame([(*r, 1) for r in data], QR).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        for bound in (1_000_000, 0):
+            got = training.rolled_negatives(q, n, max_halo_rows=bound)
+            assert sorted(map(tuple, got.collect())) == _rolled_plainly(data, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_halo_in_place_has_no_exchange_after_the_order(spark):
+    data = [(f"q{i % 13:02d}", f"d{i:03d}", 1) for i in range(50)]
+    q = spark.createDataFrame(data, QR)
+    plan = training.rolled_negatives(q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    apart = training.rolled_negatives(q, 5, max_halo_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert apart.count("REPARTITION_BY_NUM") == 1  # the rows and their halos meet once
+    assert training.rolled_negatives(q.limit(0), 5).collect() == []
+
+
+def test_halo_keeps_missing_documents_and_repeated_rows(spark):
+    data = [("a", None, 1), ("a", "x", 1), ("a", "x", 1), (None, "y", 1)]
+    got = training.rolled_negatives(spark.createDataFrame(data, QR), 2).collect()
+    assert len(got) == 8 and sum(r.neg is None for r in got) == 2 and sum(r.pos is None for r in got) == 2
