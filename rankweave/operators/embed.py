@@ -62,9 +62,14 @@ def hashed_encoder(dim: int = 64, cache_size: int = 1 << 20) -> Encoder:
 
 def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder], *, out_col: str = "embedding",
           batch_size: int = QUERY_ENCODE_BATCH, dim: int | None = None, drop_text: bool = True,
-          partitions: int | None = None) -> DataFrame:
+          partitions: int | None = None, by_length: bool = False, profile=None) -> DataFrame:
     """Add ``out_col`` (ARRAY<FLOAT>) = encoder(text) to every row.
 
+    ``by_length`` makes the encoder's batches of texts of about one length (each of
+    Spark's batches is sorted by length, encoded, and put back in its order), so an
+    encoder that pads to the longest text of a call pads little. ``profile`` is a
+    ``ResourceProfile`` for the stage that encodes, such as a GPU for each task.
+
     ``partitions`` spreads the rows round-robin over that many tasks before
     encoding (one shuffle of the text), for inputs whose splits are fewer or
     more uneven than the encoder workers; Spark sorts before a round-robin
@@ -82,6 +87,10 @@ def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder],
         encode = encoder_factory()
         for b in batches:
             texts = b.column(text_col).to_pylist()
+            order = None
+            if by_length:
+                order = np.argsort([len(t) if t is not None else 0 for t in texts], kind="stable")
+                texts = [texts[i] for i in order]
             parts = [np.asarray(encode(texts[i:i + batch_size]), dtype=np.float32)
                      for i in range(0, len(texts), batch_size)]
             m = np.concatenate(parts) if parts else np.zeros((0, dim or 0), np.float32)
@@ -89,10 +98,14 @@ def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder],
                 raise ValueError(f"encoder returned {m.shape[0]} vectors for {len(texts)} texts")
             if dim is not None and len(texts) and m.shape[1] != dim:
                 raise ValueError(f"encoder returned dimension {m.shape[1]}, expected {dim}")
+            if order is not None:
+                back = np.empty_like(m)
+                back[order] = m
+                m = back
             cols = [b.column(n) for n in names] + [matrix_to_list_array(m, pa.float32())]
             yield pa.RecordBatch.from_arrays(cols, names=names + [out_col])
 
-    return src.mapInArrow(run, out_schema)
+    return src.mapInArrow(run, out_schema, profile=profile)
 
 
 def map_columns(df: DataFrame, in_cols: list[str], fn_factory: Callable[..., Callable], out_col: str, out_type: str, *,

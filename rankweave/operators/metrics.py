@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.defaults import METRICS, PERCENT_DIGITS, REPORT_DIGITS
-from rankweave.session import ensure_checkpoint_dir
+from rankweave.session import ensure_checkpoint_dir, written
 
 DEFAULT_METRICS = METRICS
 MAX_BROADCAST_JUDGEMENTS = 2_000_000  # (query, doc, grade) rows broadcast into the run join
@@ -41,25 +41,31 @@ def column_name(name: str) -> str:
     return {"RR": "rr", "nDCG": "ndcg", "R": "recall", "AP": "ap"}[fam] + f"_{k}"
 
 
-def rank_run(run: DataFrame, *, query_id: str = "query_id", doc_id: str = "doc_id", order_by: str = "score") -> DataFrame:
-    """(query_id, doc_id, rank INT) with ranks recomputed per query."""
+def rank_run(run: DataFrame, *, query_id: str = "query_id", doc_id: str = "doc_id", order_by: str = "score",
+             by: list[str] | tuple = ()) -> DataFrame:
+    """([by,] query_id, doc_id, rank INT) with ranks recomputed per query (and run)."""
     if order_by == "score":
         order = [F.col("score").desc(), F.col(doc_id).desc()]
     elif order_by == "rank":
         order = [F.col("rank").asc(), F.col(doc_id).asc()]
     else:
         raise ValueError("order_by must be 'score' or 'rank'")
-    w = Window.partitionBy(query_id).orderBy(*order)
-    return run.select(F.col(query_id).alias("query_id"), F.col(doc_id).alias("doc_id"),
+    w = Window.partitionBy(*by, query_id).orderBy(*order)
+    return run.select(*by, F.col(query_id).alias("query_id"), F.col(doc_id).alias("doc_id"),
                       F.row_number().over(w).cast("int").alias("rank"))
 
 
 def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, order_by: str = "score",
-              max_broadcast_judgements: int = MAX_BROADCAST_JUDGEMENTS) -> DataFrame:
-    """One row per judged query: (query_id, <metric columns>) as DOUBLE."""
+              max_broadcast_judgements: int = MAX_BROADCAST_JUDGEMENTS, by: list[str] | tuple = ()) -> DataFrame:
+    """One row per judged query: (query_id, <metric columns>) as DOUBLE. With ``by``
+    (such as ``["name"]``) the frame holds several runs, each evaluated on its own:
+    a row per run and judged query, led by the columns of ``by``."""
+    by = list(by)
+    if by:
+        run = written(run, "runs")  # read for the names of the runs, too
     parsed = [(m, *parse_metric(m)) for m in metrics]
     kmax = max(k for _, _, k in parsed)
-    ranked = rank_run(run, order_by=order_by).where(F.col("rank") <= kmax)
+    ranked = rank_run(run, order_by=order_by, by=by).where(F.col("rank") <= kmax)
     # one judgement per (query, doc): the highest grade (partial aggregate)
     q = qrels.groupBy("query_id", "doc_id").agg(F.max(F.col("relevance").cast("int")).alias("rel"))
     # judgements are small next to a corpus: under the checked bound they are
@@ -72,7 +78,7 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
     side = F.broadcast(q) if q.count() <= max_broadcast_judgements else q
     j = ranked.join(side, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     is_rel = F.col("rel") >= 1
-    hits_w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits_w = Window.partitionBy(*by, "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn("_hits", F.sum(is_rel.cast("int")).over(hits_w))
 
     # judgement side: number of relevant docs (plain aggregate) and ideal DCG
@@ -105,10 +111,17 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
             g = F.when(F.col("rel") > 0, F.col("rel")).otherwise(F.lit(0)).cast("double")
             run_aggs.append(F.sum(F.when(inside, g / F.log2(F.col("rank") + 1)).otherwise(F.lit(0.0)))
                             .alias(f"_m_ndcg_{k}"))
-    per_run = j.groupBy("query_id").agg(*run_aggs)
-    both = judged.join(per_run, "query_id", "left")
+    per_run = j.groupBy(*by, "query_id").agg(*run_aggs)
+    if by:  # every run has a row for every judged query
+        runs = run.select(*by).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        judged = judged.crossJoin(F.broadcast(runs))  # the names of the runs, a few rows
+        per_run = per_run.withColumnsRenamed({"query_id": "_q", **{c: f"_by_{c}" for c in by}})
+        both = judged.join(per_run, [F.col("query_id") == F.col("_q"), *same], "left")
+    else:
+        both = judged.join(per_run, "query_id", "left")
     nrel = F.col("_nrel").cast("double")
-    out = [F.col("query_id")]
+    out = [*map(F.col, by), F.col("query_id")]
     for name, fam, k in parsed:
         col = column_name(name)
         if fam == "RR":
@@ -125,13 +138,14 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, orde
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, metrics=DEFAULT_METRICS, *, order_by: str = "score",
-             max_broadcast_judgements: int = MAX_BROADCAST_JUDGEMENTS) -> DataFrame:
-    """Mean of each metric over judged queries: rows (metric STRING, value DOUBLE)."""
-    pq = per_query(run, qrels, metrics, order_by=order_by, max_broadcast_judgements=max_broadcast_judgements)
-    means = pq.agg(*[F.avg(column_name(m)).alias(column_name(m)) for m in metrics])
+             max_broadcast_judgements: int = MAX_BROADCAST_JUDGEMENTS, by: list[str] | tuple = ()) -> DataFrame:
+    """Mean of each metric over judged queries: rows ([by,] metric STRING, value DOUBLE)."""
+    by = list(by)
+    pq = per_query(run, qrels, metrics, order_by=order_by, max_broadcast_judgements=max_broadcast_judgements, by=by)
+    means = (pq.groupBy(*by) if by else pq).agg(*[F.avg(column_name(m)).alias(column_name(m)) for m in metrics])
     stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(column_name(m)), F.lit(0.0))
                                            .alias("value")) for m in metrics]))
-    return means.select(stacked.alias("s")).select("s.metric", "s.value")
+    return means.select(*by, stacked.alias("s")).select(*by, "s.metric", "s.value")
 
 
 def report(evaluation: DataFrame, *, percent: bool = False) -> DataFrame:

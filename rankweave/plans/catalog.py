@@ -452,6 +452,73 @@ def q_pool_masked_mean_padding(s, d):
     return exploded(pooling.pool(padded, "masked_mean"), "doc_id", "doc_embedding")
 
 
+def _clustered_passages(s, d):
+    path = _scratch(s)
+    files.write_table(fx.vec_passages(s, d), path, cluster_by=["doc_id"], sort_by=["doc_id", "passage_idx"], buckets=8)
+    return files.read_clustered(s, path)
+
+
+def q_clustered_pool_mean(s, d):
+    return exploded(pooling.pool(_clustered_passages(s, d), "mean"), "doc_id", "doc_embedding")
+
+
+def q_clustered_pairs(s, d):
+    p = training.pairs(fx.vec_queries(s, d), fx.vec_doc_qrels(s, d), _clustered_passages(s, d))
+    return p.select("query_id", "doc_id", F.size("doc_passage_embeddings").cast("int").alias("n_passages"))
+
+
+def q_variants_read_one(s, d):
+    """Three pooled variants in one dataset; one of them is read back."""
+    path, vp = _scratch(s), fx.vec_passages(s, d)
+    for method in ("mean", "sum", "max"):
+        files.write_variant(pooling.pool(vp, method), path, method=method, size=PASSAGE_SIZE)
+    back = files.read_variants(s, path, "doc_id STRING, doc_embedding ARRAY<DOUBLE>", "method STRING, size INT", method="sum")
+    return exploded(back, "doc_id", "doc_embedding")
+
+
+def q_docs_ingest_dirty(s, d):
+    """The documents as one gzip text with every seventh line cut short: good rows and bad lines."""
+    path = _scratch(s)
+    short = F.substring("doc_id", 2, 20).cast("bigint") % 7 == 0
+    lines = _docs(s, d).select(F.when(short, F.concat_ws(TAB, "doc_id", "url", "title")).otherwise(
+        F.concat_ws(TAB, "doc_id", "url", "title", _one_line(F.col("body")))).alias("value"))
+    lines.write.option("compression", "gzip").text(f"{path}/text")
+    good, bad = files.ingest(s, f"{path}/text", f"{path}/table", partitions=8)
+    return good.select("doc_id", F.lit(True).alias("ok"), F.length("body").cast("int").alias("n_chars")).unionByName(
+        bad.select(F.split_part("text", F.lit(TAB), F.lit(1)).alias("doc_id"), F.lit(False).alias("ok"),
+                   F.lit(None).cast("int").alias("n_chars")))
+
+
+def _leads():
+    def lead(titles, bodies, words, sep):
+        return [f"{t}{sep}{' '.join(b.split(' ')[:words])}" for t, b in zip(titles, bodies)]
+    return lead
+
+
+def q_map_columns_kwargs(s, d):
+    docs = embed.map_columns(_docs(s, d), ["title", "body"], _leads, "lead", "string", drop_inputs=True,
+                             fn_kwargs={"words": 5, "sep": ": "})
+    return docs.select("doc_id", "lead")
+
+
+def q_stream_embed_flatten(s, d):
+    from rankweave.streaming.batches import drain, passage_vectors
+    from rankweave.streaming.passages import stream_passages
+    stream = stream_passages(s, f"{d.rstrip('/')}/documents.parquet", fx.table(s, d, "documents").schema,
+                             passage_size=PASSAGE_SIZE, view=fx.docs_view)
+    out = drain(stream, passage_vectors(lambda: embed.hashed_encoder(EMBED_DIM), dim=EMBED_DIM))
+    vecs = s.read.parquet(out).select("passage_id", F.posexplode("norm_embedding").alias("dim", "value"))
+    return vecs.where("value <> 0").select("passage_id", F.col("dim").cast("int").alias("dim"), r6("value").alias("value"))
+
+
+def q_eval_two_runs(s, d):
+    """Two runs in one frame, evaluated by name."""
+    runs = _doc_run(s, d).select("query_id", "doc_id", "score").withColumn("name", F.lit("pooled")).unionByName(
+        _maxp_run(s, d).select("query_id", "doc_id", "score").withColumn("name", F.lit("maxp")))
+    ev = metrics.evaluate(runs, fx.vec_doc_qrels(s, d), by=["name"])
+    return ev.select("name", "metric", r6("value").alias("value"))
+
+
 def q_training_save_load(s, d):
     path = _scratch(s)
     training.save({"docs_prepped": training.prepare_docs(_docs(s, d)), "train_indexes": _negatives(s, d)}, path)
@@ -565,6 +632,13 @@ def _spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "maxp_run_file_report": q_maxp_run_file_report,
         "pool_masked_mean_padding": q_pool_masked_mean_padding,
         "training_save_load": q_training_save_load,
+        "clustered_pool_mean": q_clustered_pool_mean,
+        "clustered_pairs": q_clustered_pairs,
+        "variants_read_one": q_variants_read_one,
+        "docs_ingest_dirty": q_docs_ingest_dirty,
+        "map_columns_kwargs": q_map_columns_kwargs,
+        "stream_embed_flatten": q_stream_embed_flatten,
+        "eval_two_runs": q_eval_two_runs,
         "tokenize_split_detokenize": q_tokenize_split_detokenize,
     }
 
@@ -857,6 +931,22 @@ FROM negs n JOIN prepared p ON p.doc_id = n.neg""", "negs", "prepared"),
        concat(doc_id, '_', CAST(st // {CODE_POINTS - 20} AS VARCHAR)) AS passage_id,
        substring(body, CAST(st AS BIGINT) + 1, {CODE_POINTS - 20}) AS passage_text
 FROM (SELECT doc_id, body, unnest(range(0, length(body), {CODE_POINTS - 20})) AS st FROM docs) c""", "docs"),
+        "clustered_pool_mean": _pool_sql("mean"),
+        "clustered_pairs": sql("""SELECT r.query_id, r.doc_id, CAST(n.n AS INTEGER) AS n_passages
+FROM (SELECT DISTINCT query_id, doc_id FROM vdq WHERE relevance >= 1) r
+JOIN (SELECT doc_id, count(*) AS n FROM vp GROUP BY doc_id) n ON n.doc_id = r.doc_id""", "vdq", "vp"),
+        "variants_read_one": _pool_sql("sum"),
+        "docs_ingest_dirty": sql("""SELECT doc_id, CAST(substring(doc_id, 2) AS BIGINT) % 7 <> 0 AS ok,
+       CASE WHEN CAST(substring(doc_id, 2) AS BIGINT) % 7 <> 0 THEN CAST(length(body) AS INTEGER) END AS n_chars FROM docs""",
+                                 "docs"),
+        "map_columns_kwargs": sql("""SELECT doc_id, concat(title, ': ', array_to_string(string_split(body, ' ')[1:5], ' ')) AS lead
+FROM docs""", "docs"),
+        "stream_embed_flatten": sql("""SELECT t.passage_id, t.dim, round(t.value / n.nrm, 6) AS value
+FROM tpv t JOIN (SELECT passage_id, sqrt(sum(value * value)) AS nrm FROM tpv GROUP BY passage_id) n USING (passage_id)
+WHERE t.value <> 0""", "tpv"),
+        "eval_two_runs": "\nUNION ALL\n".join(
+            f"SELECT '{name}' AS name, metric, value FROM ({_eval_sql(list(_METRIC_COLS), view, 'vdq', (view, 'vdq'))})"
+            for name, view in (("pooled", "docrun"), ("maxp", "maxprun"))),
         "passages_spaces": _passages_sql(False),
         "passages_spaces_title": _passages_sql(True),
         "passages_tokens_title": sql(f"""SELECT doc_id, CAST(st // chunk AS INTEGER) AS passage_idx,

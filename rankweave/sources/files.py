@@ -2,15 +2,20 @@
 
 All readers take explicit schemas (no inference); text files are read with
 quoting off, so bare quotes in MS MARCO text stay as they are; an empty field
-reads as null.
+reads as null. ``ingest`` is the way for large or dirty files: lines are read
+once, spread (a ``.gz`` comes from one task), and written as splittable Parquet,
+and those that do not fit the schema are kept apart with file and place.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES_SCHEMA = "query_id STRING, text STRING"
 DOCS_SCHEMA = "doc_id STRING, url STRING, title STRING, body STRING"
@@ -36,6 +41,42 @@ def read_docs(spark: SparkSession, paths) -> DataFrame:
     return _tsv(spark, DOCS_SCHEMA, paths)
 
 
+def ingest(spark: SparkSession, paths, out: str, schema: str = DOCS_SCHEMA, *, sep: str = "\t",
+           partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of delimited text files, read in one pass and written below ``out``.
+
+    good: the lines with as many fields as ``schema`` and values that fit their
+    types (an empty field is null). bad: (file, block_start, line, text) of all
+    others; ``line`` counts from 1 in the split of the file that starts at byte
+    ``block_start`` (0 for a file that cannot be split, as a ``.gz``). Both are Parquet
+    of as many files as their size asks for, or ``partitions``."""
+    fields = T.StructType.fromDDL(schema).fields
+    names = ("_file", "_block", "_mid", "_line")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("_line"),
+        F.split("value", _literal(sep), -1).alias("_parts"))
+    raw = [F.nullif(F.get("_parts", F.lit(i)), F.lit("")) for i in range(len(fields))]
+    cast = [r if isinstance(f.dataType, T.StringType) else r.try_cast(f.dataType) for r, f in zip(raw, fields)]
+    fits = reduce(lambda a, b: a & b, [r.isNull() | c.isNotNull() for r, c in zip(raw, cast)],
+                  F.size("_parts") == len(fields))
+    own = lines.select(*[F.when(fits, c).alias(f.name) for c, f in zip(cast, fields)], "_file", "_block", "_mid",
+                       F.when(~fits, F.col("_line")).alias("_line"), (~fits).alias("bad"))
+    spread = own.repartition(partitions) if partitions else own.hint("rebalance")
+    spread.write.partitionBy("bad").parquet(out)
+    read = spark.read.schema(T.StructType([*fields, *own.select(*names, "bad").schema.fields])).parquet(out)
+    # a split's lines follow one another, so its first one tells their places
+    first = read.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"))
+    bad = read.where("bad").join(first, ["_file", "_block"]).select(
+        F.col("_file").alias("file"), F.col("_block").alias("block_start"),
+        (F.col("_mid") - F.col("_first") + 1).alias("line"), F.col("_line").alias("text"))
+    return read.where("not bad").select(*[f.name for f in fields]), bad
+
+
+def _literal(sep: str) -> str:
+    return "\\Q" + sep + "\\E"
+
+
 def _whitespace_fields(spark: SparkSession, paths, n: int) -> DataFrame:
     parts = F.split(F.trim(F.col("value")), r"\s+", -1)
     lines = spark.read.text(paths).where(F.trim(F.col("value")) != "")
@@ -92,11 +133,72 @@ def read_table(spark: SparkSession, path, columns: list[str] | None = None) -> D
     return df.select(*columns) if columns else df
 
 
-def write_table(df: DataFrame, path: str, *, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
+def write_table(df: DataFrame, path: str, *, mode: str = "errorifexists", partition_by: list[str] | None = None,
+                cluster_by: list[str] | None = None, sort_by: list[str] | None = None, buckets: int | None = None) -> None:
+    """Write Parquet, plain, in partition folders, or clustered: ``buckets`` files by
+    the hash of ``cluster_by`` (default: as many as shuffle partitions), sorted by
+    ``sort_by`` inside (default: ``cluster_by``). ``read_clustered`` gives such a
+    table back so that joins and aggregates by ``cluster_by`` need no exchange of it."""
     w = df.write.mode(mode)
+    if not cluster_by:
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        return
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        raise ValueError("a table is partitioned or clustered")
+    spark = df.sparkSession
+    if mode == "errorifexists" and _exists(spark, path):
+        raise ValueError(f"{path} exists")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order, name = list(sort_by or cluster_by), _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # its name in this session; files stay
+    # dealt by the buckets' own hash, so that each bucket is one file
+    (df.repartition(n, *cluster_by).write.mode("overwrite" if mode == "errorifexists" else mode).format("parquet")
+     .bucketBy(n, *cluster_by).sortBy(*order).option("path", path).saveAsTable(name))
+    layout = json.dumps({"buckets": n, "cluster_by": list(cluster_by), "sort_by": order, "schema": df.schema.toDDL()})
+    spark.range(1).select(F.lit(layout).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/_layout")
+
+
+def read_clustered(spark: SparkSession, path: str) -> DataFrame:
+    """A table written with ``cluster_by``, with its layout (from ``_layout`` beside
+    the files, so in any session) known to Spark's planner."""
+    own = json.loads(spark.read.text(f"{path}/_layout").first()["value"])
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    by, order = (", ".join(f"`{c}`" for c in own[k]) for k in ("cluster_by", "sort_by"))
+    spark.sql(f"CREATE TABLE {name} ({own['schema']}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) "
+              f"INTO {own['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return "rankweave_" + hashlib.md5(path.rstrip("/").encode()).hexdigest()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_variant(df: DataFrame, base: str, **params) -> None:
+    """Write df as the variant ``params`` of the dataset at ``base``: one partition
+    (folders ``k=v`` in sorted order) of it. The variant is replaced if it is there,
+    others stay."""
+    if not params or any(v is None for v in params.values()):
+        raise ValueError("a variant needs parameters, none of them null")
+    own = df.withColumns({k: F.lit(v) for k, v in params.items()})
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*sorted(params)).parquet(base)
+
+
+def read_variants(spark: SparkSession, base: str, schema: str, params: str, **selected) -> DataFrame:
+    """All variants below ``base`` as one table with their parameters as columns,
+    or those with the parameters ``selected`` (only their folders are read). The
+    schemas of the rows and of the parameters are given, nothing is inferred."""
+    df = spark.read.schema(f"{schema}, {params}").parquet(base)
+    for k, v in selected.items():
+        df = df.where(F.col(k) == F.lit(v))
+    return df
 
 
 def variant_path(base: str, hive: bool = False, **params) -> str:
