@@ -217,28 +217,43 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -500, 500))))
 
 
+def substrings(word: str) -> set[str]:
+    return {word[i:i + n] for n in range(SHORT, LONG + 1) for i in range(len(word) - n + 1)}
+
+
 def choose_landmarks(texts: list[str], toxic: np.ndarray, landmarks: int, ordinary: int) -> list[str]:
     """Substrings that cover the toxic documents, then frequent words of clean ones."""
-    docs = [{p for t in set(x.lower().split()) for p in pieces(t) if len(p) >= SHORT} for x in texts]
     in_toxic, in_clean = defaultdict(set), defaultdict(int)
-    for k, words in enumerate(docs):
-        for w in words:
+    for k, text in enumerate(texts):
+        for w in {p for t in set(text.lower().split()) for p in pieces(t) if len(p) >= SHORT}:
             if toxic[k]:
                 in_toxic[w].add(k)
             else:
                 in_clean[w] += 1
-    of_toxic, of_clean = defaultdict(set), defaultdict(int)
-    for w, ks in in_toxic.items():
-        for g in {w[i:i + n] for n in range(SHORT, LONG + 1) for i in range(len(w) - n + 1)}:
-            of_toxic[g] |= ks
     least = max(3, int(0.003 * toxic.sum()))
-    of_toxic = {g: ks for g, ks in of_toxic.items() if len(ks) >= least}
+    share = toxic.sum() / max(1, (~toxic).sum())
+    # documents of a substring are held only where bounds of their number let it through:
+    # sums over words in a table of fixed size first, then of the substrings left
+    slots = np.zeros(1 << 22, np.int32)
+    for w, ks in in_toxic.items():
+        slots[[hash(g) & len(slots) - 1 for g in substrings(w)]] += len(ks)
+    most, of_clean = defaultdict(int), defaultdict(int)
+    for w, ks in in_toxic.items():
+        for g in substrings(w):
+            if slots[hash(g) & len(slots) - 1] >= least:
+                most[g] += len(ks)
+    del slots
     for w, c in in_clean.items():
-        for g in {w[i:i + n] for n in range(SHORT, LONG + 1) for i in range(len(w) - n + 1)}:
-            if g in of_toxic:
+        for g in substrings(w):
+            if g in most:
                 of_clean[g] += c
-    share = toxic.sum() / max(1, (~toxic).sum())
-    fit = {g: ks for g, ks in of_toxic.items() if len(ks) >= 5 * share * (of_clean[g] + 0.5)}
+    fit = {g: set() for g, n in most.items() if n >= max(least, 5 * share * (of_clean[g] + 0.5))}
+    del most
+    for w, ks in in_toxic.items():
+        for g in substrings(w):
+            if g in fit:
+                fit[g] |= ks
+    fit = {g: ks for g, ks in fit.items() if len(ks) >= max(least, 5 * share * (of_clean[g] + 0.5))}
     chosen, left = [], set(np.flatnonzero(toxic).tolist())
     times = dict.fromkeys(left, 0)
     while fit and len(chosen) < landmarks:
@@ -272,21 +287,27 @@ def with_inserted(text: str, marks: list[str]) -> str:
     return " ".join(out)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM in the primal, by Newton steps on the active rows."""
-    a = np.hstack([x, np.ones((len(x), 1))])
+def train_svm(a: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Squared-hinge linear SVM in the primal, by Newton steps on the active rows;
+    the last column of a is 1, rows of no cost take no part. Rows are read in
+    blocks, so that they are held once."""
     keep = ridge * np.eye(a.shape[1])
     keep[-1, -1] = 1e-9
     w = np.zeros(a.shape[1])
     for _ in range(30):
-        on = y * (a @ w) < 1
-        b = a[on] * cost[on, None]
-        new = np.linalg.solve(b.T @ a[on] + keep, b.T @ y[on])
+        on = np.flatnonzero((y * (a @ w) < 1) & (cost > 0))
+        left, right = keep.copy(), np.zeros(a.shape[1])
+        for at in range(0, len(on), 10_000):
+            own = on[at:at + 10_000]
+            b = a[own] * cost[own, None]
+            left += b.T @ a[own]
+            right += b.T @ y[own]
+        new = np.linalg.solve(left, right)
         done = np.abs(new - w).max() < 1e-6 * (1 + np.abs(w).max())
         w = new
         if done:
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = 28, ordinary: int = 8, rounds: int = 4) -> Model:
@@ -303,24 +324,34 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 28, ordinary: in
     own = kernel(marks, marks).astype(np.float64)
     value, vector = np.linalg.eigh(own)
     root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])  # to Nystroem features
-    sentences = list(Reader(lambda words: kernel(words, marks).astype(np.float64)).sentences(texts))
-    sentences = [s if len(s) else np.zeros((1, len(marks))) for s in sentences]
-    rows = np.concatenate(sentences) @ root
-    first = np.concatenate(([0], np.cumsum([len(s) for s in sentences])))
-    owner = np.repeat(np.arange(n), [len(s) for s in sentences])
-    scale = np.abs(rows).max() or 1.0
-    rows /= scale
-    clean = np.flatnonzero(~toxic[owner])
-    w, b = np.zeros(rows.shape[1]), 0.0
     # first guess: the kernels with the toxic landmarks, each by its own size
-    guess = (np.concatenate(sentences) / np.diag(own))[:, :len(bad)].sum(axis=1)
+    reader, size = Reader(lambda words: kernel(words, marks).astype(np.float64)), np.diag(own)
+    parts, guess, counts = [], [], []
+    for at in range(0, n, 250):
+        held = [s if len(s) else np.zeros((1, len(marks))) for s in reader.sentences(texts[at:at + 250])]
+        counts += map(len, held)
+        whole = np.concatenate(held)
+        parts.append(np.hstack((whole @ root, np.ones((len(whole), 1)))))
+        guess.append((whole / size)[:, :len(bad)].sum(axis=1))
+    reader.reset()
+    first = np.concatenate(([0], np.cumsum(counts)))
+    owner = np.repeat(np.arange(n), counts)
+    rows, guess, at = np.empty((first[-1], root.shape[1] + 1)), np.concatenate(guess), 0
+    while parts:  # a part goes as soon as its rows are taken over
+        part = parts.pop(0)
+        rows[at:at + len(part)] = part
+        at += len(part)
+    scale = np.abs(rows[:, :-1]).max() or 1.0
+    rows[:, :-1] /= scale
+    y = np.where(toxic[owner], 1.0, -1.0)
+    clean = int((y < 0).sum())
     for _ in range(rounds):
         top = np.array([first[k] + np.argmax(guess[first[k]:first[k + 1]]) for k in np.flatnonzero(toxic)])
-        x = np.concatenate((rows[top], rows[clean]))
-        y = np.concatenate((np.ones(len(top)), -np.ones(len(clean))))
-        cost = np.concatenate((np.full(len(top), 1 / len(top)), np.full(len(clean), CLEAN / len(clean))))
-        w, b = train_svm(x, y, cost * len(x), ridge=1e-3)
-        guess = rows @ w + b
+        cost = np.where(y < 0, CLEAN / clean, 0.0)
+        cost[top] = 1 / len(top)
+        w = train_svm(rows, y, cost * (len(top) + clean), ridge=1e-3)
+        guess = rows @ w
+    w, b = w[:-1], float(w[-1])
     best = np.maximum.reduceat(guess, first[:-1])
     slope, shift = fit_curve(best, toxic)
     return Model(tuple(marks), (root @ w / scale).astype(np.float32), b, slope, shift)
