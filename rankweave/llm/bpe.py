@@ -214,10 +214,12 @@ class Encoder:
             self.new.append(self.prefix + key)
             return n
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, batch_chars: int = BATCH_CHARS,
+                 cache_units: int = CACHE_UNITS):
         import regex
 
         self.v, self.find = vocabulary, regex.compile(pattern).findall
+        self.batch_chars, self.cache_units = batch_chars, cache_units
         self._clear()
 
     def _clear(self) -> None:
@@ -240,10 +242,10 @@ class Encoder:
         """The ids of each text, in order."""
         at = 0
         while at < len(texts):
-            if len(self.units) > CACHE_UNITS or len(self.ids) > CACHE_IDS:
+            if len(self.units) > self.cache_units or len(self.ids) > CACHE_IDS:
                 self._clear()
             seqs, chars = [], 0
-            while at < len(texts) and (not seqs or chars + len(texts[at]) <= BATCH_CHARS):
+            while at < len(texts) and (not seqs or chars + len(texts[at]) <= self.batch_chars):
                 seqs.append(self._cut(texts[at]))
                 chars += len(texts[at])
                 at += 1
@@ -284,10 +286,12 @@ def public_pattern() -> str:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None,
-                     pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+                     pattern: str | None = None, with_ids: bool = False, batch_chars: int = BATCH_CHARS,
+                     cache_units: int = CACHE_UNITS) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids
     themselves (``ids array<int>``). ``ranks``: path of a rank file, read on the
-    driver and sent with the tasks (its size is that of the vocabulary)."""
+    driver and sent with the tasks (its size is that of the vocabulary).
+    ``batch_chars`` and ``cache_units`` bound a worker's memory, not the result."""
     with open(vocabulary_file(ranks or "byte_bpe_50k.tiktoken"), "rb") as f:
         state = {"vocabulary": vars(Vocabulary.read(f.read())), "pattern": pattern or public_pattern()}
     shared = docs.sparkSession.sparkContext.broadcast(state)
@@ -298,7 +302,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shared.value  # kept by the worker from task to task, and the cache with it
         if "encoder" not in state:
-            state["encoder"] = Encoder(Vocabulary.of(state["vocabulary"]), state["pattern"])
+            state["encoder"] = Encoder(Vocabulary.of(state["vocabulary"]), state["pattern"], batch_chars, cache_units)
         encoder = state["encoder"]
         for batch in (whole.slice(at, 2500) for whole in batches for at in range(0, whole.num_rows, 2500)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
