@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet below
 the shared checkpoint folder and read again as the next stage's documents.
+
+Cases: a null text is an empty one, and an empty document is kept by every stage
+(it is not toxic, near nothing and not contaminated); of rows that repeat doc_id
+and text one stays, rows without a doc_id are judged by their text alone; an empty
+table goes through as one; other columns are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token count, digests of the ids and of the decoded bytes, and the ids."""
-    return bpe.encode_documents(docs, with_ids=True)
+    # workers come here with what earlier stages left in them: smaller batches and cache
+    return bpe.encode_documents(docs, with_ids=True, batch_chars=2_000_000, cache_units=100_000)
 
 
 STAGES = [("toxicity", without_toxic), ("jaccard_join", one_of_each), ("decontamination", without_benchmark),
