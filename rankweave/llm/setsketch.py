@@ -49,19 +49,19 @@ SIGMAS = 6
 BLOCK = 2048       # classes of a bucket that meet in one task
 SHINGLES = 1 << 20  # and all their shingles, about
 MAX_WANTED = 250_000  # doc_ids (8 to 16 bytes each) that are broadcast to pick texts
-STEP = 512         # shingles hashed at once
+STEP = 128         # shingles hashed at once
 
-_seeds = np.random.default_rng(20_240_521)
-FACTORS = _seeds.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
-SHIFTS = _seeds.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+FACTORS = np.random.default_rng(20_240_521).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The registers of a set."""
     least = np.full(REGISTERS, (1 << 64) - 1, U)
+    hashes = np.empty((min(STEP, len(shingles)), REGISTERS), U)
     for at in range(0, len(shingles), STEP):
-        part = shingles[at:at + STEP]
-        np.minimum(least, (part[:, None] * FACTORS + SHIFTS).min(axis=0), out=least)
+        part = shingles[at:at + STEP, None]
+        own = np.multiply(part, FACTORS, out=hashes[:len(part)])
+        np.minimum(least, own.min(axis=0), out=least)
     # the least of uniform values, as the least of exponential ones
     h = -np.log1p(-((least >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53)
     return np.clip(np.floor(1 + OFFSET - np.log(h) / math.log(BASE)), 0, MOST).astype(np.uint8)
