@@ -5,7 +5,8 @@ the shared checkpoint folder and read again as the next stage's documents.
 
 Cases: a null text is an empty one, and an empty document is kept by every stage
 (it is not toxic, near nothing and not contaminated); of rows that repeat doc_id
-and text one stays, rows without a doc_id are judged by their text alone; an empty
+and text one stays (those without words all stay), rows without a doc_id are judged by
+their text alone; an empty
 table goes through as one; other columns are carried along up to the last stage.
 """
 
