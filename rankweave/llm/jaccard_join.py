@@ -296,6 +296,8 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
                        F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("x"))
     m = m.select("key", "node", "root", "home", F.least("home", "x").alias("i"), F.greatest("home", "x").alias("j"))
     m = m.join(own.join(classes.select("node", "n_shingles", "point"), "node"), "node")
+    # a pair comes from the least key it shares: only the smaller ones need to be known
+    m = m.withColumn("keys", F.slice("keys", 1, (F.array_position("keys", F.col("key")) - 1).cast("int")))
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def near_pairs(matrix: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,9 +324,8 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
             keep = (nodes[one] < nodes[two]) & (roots[one] != roots[two])
             if c["i"][x] != c["j"][x]:  # sets of one block meet where it meets itself
                 keep &= homes[one] != homes[two]
-            key = c["key"][x]
             for k, m in zip(one[keep].tolist(), two[keep].tolist()):
-                if min(set(keys[k]).intersection(keys[m])) == key:
+                if set(keys[k]).isdisjoint(keys[m]):
                     a.append(nodes[k])
                     b.append(nodes[m])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
