@@ -8,7 +8,7 @@ from rankweave.plans import catalog
 from tests.conftest import SF
 
 TABLES = "documents embeddings benchmark labels pages conversations".split()
-SPARK_TO_DUCKDB = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT"}
+SPARK_TO_DUCKDB = {"boolean": "BOOLEAN", "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT"}
 
 
 @pytest.fixture(scope="module")
