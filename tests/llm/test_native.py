@@ -213,7 +213,7 @@ def test_cascade_is_exact_over_its_universe(spark):
 def test_queries_match_oracle(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = queries.queries()[name](spark, sf)
     rel = con.sql(queries.oracle_sql()[name])
