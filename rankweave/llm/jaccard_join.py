@@ -12,13 +12,17 @@ equal sets are one class, and classes are joined:
   shingles first: it is by the counts of a fixed-size sketch over all documents
   (``SKETCH`` slots), then by digest, so what many documents repeat opens no
   bucket for them.
+* The place of a bucket's shingle in a set's prefix bounds the sizes of the sets it
+  links with there (what precedes the first shared shingle is not shared); sets
+  without a partner by these bounds leave the bucket.
 * In a bucket the first set of about each size is compared with the others of
   it, which joins the groups of copies in linear work. Only buckets that then still hold more than one
   component go on: their points are packed into an R-tree (boxes hold the
   coordinates' maxima and the least size), every point is searched in it, and
-  only pairs of different components whose bound reaches the needed overlap
+  only sets with a partner of another component whose bound reaches the needed overlap
   come out. Large buckets are cut into blocks, and the blocks meet in pairs.
-* Pairs that pass the bound are verified with the whole sets.
+* Of the sets that come out the whole sets meet in the bucket, block by block, and
+  are verified there; only links that join components come out, never the pairs.
 
 Cases: A-Z are lower-cased, words end at ASCII white space; fewer words than a
 shingle has are one; null, empty and wordless texts have an empty set, no
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -49,6 +53,9 @@ CHUNK = 2_000_000     # shingles counted together
 OFTEN = 3             # documents of a chunk that make a shingle count
 LEAF = 16             # points of a leaf, and leaves of a box above
 TREE_POINTS = 2048    # points of a bucket that meet in one task
+BLOCK = 1024          # near sets of a bucket that meet in one task
+SHINGLES = 1 << 20    # and all their shingles, about
+CELLS = 1 << 21       # of an incidence matrix
 MAX_FILTER_BITS = 1 << 22
 
 
@@ -101,6 +108,13 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray
     return shingles[order[:n - -(-percent * n // 100) + 1]]
 
 
+def partner_size(n, place, percent: int):
+    """The largest size of a set that links with one of n shingles, if the first of the
+    shared ones (in the order of the prefixes) has this place among the n; for arrays and columns."""
+    most = (n - place) * (100 + percent) / percent
+    return (F.floor(most) if isinstance(most, Column) else np.floor(most).astype(np.int64)) - n
+
+
 def groups_of(n: int) -> int:
     """A power of two, about a quarter of a set's size."""
     groups = 16
@@ -287,16 +301,37 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
     return written(both.select("a", "b"), "links")
 
 
-def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components that some bucket's R-tree lets through;
-    of the buckets a pair shares only that of the least key returns it."""
-    blocks = F.ceil(F.col("n") / TREE_POINTS)
-    own = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a prefix at most
-    m = members.select("key", "node", "root", F.pmod(F.xxhash64("node"), blocks).alias("home"),
-                       F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("x"))
-    m = m.select("key", "node", "root", "home", F.least("home", "x").alias("i"), F.greatest("home", "x").alias("j"))
+def _blocks(members: DataFrame, blocks) -> DataFrame:
+    """Every row of a bucket (key, node, more columns) in the blocks (i, j) in which it
+    meets the others: its own one (home) with each of the bucket's ``blocks``."""
+    m = members.withColumn("home", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+        "x", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    return m.withColumns({"i": F.least("home", "x"), "j": F.greatest("home", "x")}).drop("x")
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by key, i, j as tables of whole blocks, and where these begin and end."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        names = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
+        edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()]
+        held = t.slice(edges[-1])  # the last block may go on
+        if len(edges) > 1:
+            yield t.slice(0, edges[-1]), edges
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+def _near(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """key, node, root, n_shingles: the sets which the R-tree of a bucket finds near to a set of
+    another component; of the buckets a pair shares only that of its first key finds it.
+    left: key, node, root, place of the key in the prefix, n sets of the bucket."""
+    own = left.groupBy("node").agg(F.expr("transform(sort_array(collect_list(struct(place, key))), x -> x.key)").alias("keys"))
+    m = _blocks(left, F.ceil(F.col("n") / TREE_POINTS)).drop("n")
     m = m.join(own.join(classes.select("node", "n_shingles", "point"), "node"), "node")
-    # a pair comes from the least key it shares: only the smaller ones need to be known
+    # a pair is found by the first key it shares: only the keys before need to be known
     m = m.withColumn("keys", F.slice("keys", 1, (F.array_position("keys", F.col("key")) - 1).cast("int")))
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -308,11 +343,12 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
         found = [tree.search(q, int(n), percent) for q, n in zip(matrix, sizes)]
         return np.repeat(np.arange(len(found)), list(map(len, found))), np.concatenate(found)
 
-    def pairs_in(t: pa.Table, edges: list[int]) -> pa.RecordBatch:
-        c = {n: t[n].to_numpy() for n in ("key", "i", "j", "home", "node", "root", "n_shingles")}
+    def near_in(t: pa.Table, edges: list[int]) -> np.ndarray:
+        c = {n: t[n].to_numpy() for n in ("i", "j", "home", "node", "root", "n_shingles", "place")}
         sizes, nodes, roots, homes = c["n_shingles"], c["node"], c["root"], c["home"]
+        most = partner_size(sizes, c["place"], percent)
         points, keys = t["point"].to_pylist(), t["keys"].to_pylist()
-        a, b = [], []
+        near = np.zeros(len(nodes), bool)
         for x, y in zip(edges, edges[1:]):
             if y - x < 2:
                 continue
@@ -322,28 +358,76 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
             one, two = near_pairs(matrix, n)
             one, two = one + x, two + x
             keep = (nodes[one] < nodes[two]) & (roots[one] != roots[two])
+            keep &= (sizes[one] <= most[two]) & (sizes[two] <= most[one])
             if c["i"][x] != c["j"][x]:  # sets of one block meet where it meets itself
                 keep &= homes[one] != homes[two]
             for k, m in zip(one[keep].tolist(), two[keep].tolist()):
-                if set(keys[k]).isdisjoint(keys[m]):
-                    a.append(nodes[k])
-                    b.append(nodes[m])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if not (near[k] and near[m]) and set(keys[k]).isdisjoint(keys[m]):
+                    near[k] = near[m] = True
+        return near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            names = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-            edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()]
-            held = t.slice(edges[-1])  # the last bucket may go on
-            yield pairs_in(t, edges)
-        if held is not None and held.num_rows:
-            yield pairs_in(held, [0, held.num_rows])
+        for t, edges in _whole_blocks(batches):
+            t = t.combine_chunks()
+            yield from t.select(["key", "node", "root", "n_shingles"]).filter(pa.array(near_in(t, edges))).to_batches()
+
+    return m.select("key", "i", "j", "home", "node", "root", "n_shingles", "place", "keys", "point").mapInArrow(
+        run, "key bigint, node bigint, root bigint, n_shingles bigint").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles any two sets share: the incidence matrix times its transpose,
+    some columns at a time (exact in float32, below 2^24 shingles a set)."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), list(map(len, sets)))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((m, m), np.float32 if max(map(len, sets)) < 1 << 24 else np.float64)
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(max(64, CELLS // m), columns)
+    for at in range(0, columns, width or 1):
+        x, y = np.searchsorted(column, (at, at + width))
+        part = np.zeros((m, width), out.dtype)
+        part[owner[x:y], column[x:y] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _across(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between different components among the near sets (key, node, root,
+    n_shingles) of a bucket, by the whole sets; a block returns no more links than join
+    its components."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / SHINGLES))
+    near = near.drop("n_shingles").join(near.groupBy("key").agg(blocks.alias("blocks")), "key")
+    m = _blocks(near, F.col("blocks")).join(sets, "node").select("key", "i", "j", "home", "node", "root", "shingles")
+
+    def links_in(t: pa.Table) -> Iterator[tuple[int, int]]:
+        node, root, home = (t[c].to_numpy().copy() for c in ("node", "root", "home"))
+        lists = t["shingles"].combine_chunks()
+        ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(U)
+        sets = [flat[x:y] for x, y in zip(ends, ends[1:])]
+        n = np.diff(ends)
+        common = overlaps(sets)
+        apart = t["i"][0].as_py() != t["j"][0].as_py()
+        for x in range(len(node) - 1):
+            linked = (100 + percent) * common[x, x + 1:].astype(np.int64) >= percent * (n[x] + n[x + 1:].astype(np.int64))
+            if apart:
+                linked &= home[x + 1:] != home[x]
+            for k in (np.flatnonzero(linked) + x + 1).tolist():
+                if root[k] != root[x]:
+                    yield int(node[x]), int(node[k])
+                    root[root == root[k]] = root[x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edges in _whole_blocks(batches):
+            links = [link for x, y in zip(edges, edges[1:]) if y - x > 1 for link in links_in(t.slice(x, y - x))]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()),
+                                              pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
-    return m.select("key", "i", "j", "home", "node", "root", "n_shingles", "keys", "point").mapInArrow(
-        run, "a bigint, b bigint")
+    return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -357,29 +441,40 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     # of a bucket's sets of about one size the first is compared with all others
     by_key, by_size = Window.partitionBy("key"), Window.partitionBy("key", "size")
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent))
-    buckets = classes.select("node", "n_shingles", size.alias("size"), F.explode("keys").alias("key")).withColumns({
-        "n": F.count(F.lit(1)).over(by_key), "first": F.min("node").over(by_size),
-        "m": F.count(F.lit(1)).over(by_size)})
-    # of sets that link all between them in size are near in size too: a set
-    # far from the next smaller and the next larger one of its bucket has no link there
+    most = partner_size(F.col("n_shingles"), F.col("place"), percent)
+    buckets = classes.select("node", "n_shingles", size.alias("size"), F.posexplode("keys").alias("place", "key"))
+    buckets = buckets.withColumn("most", most).withColumns({
+        "n": F.count(F.lit(1)).over(by_key), "m": F.count(F.lit(1)).over(by_size),
+        "first": F.min(F.struct(F.expr("most < n_shingles").alias("late"), "node", "n_shingles", "most")).over(by_size)})
+    # a set has no link in this bucket if all smaller ones admit only smaller partners
+    # and the next larger one is larger than it admits
     order = Window.partitionBy("key").orderBy("n_shingles", "node")
-    near_smaller = F.lag("n_shingles").over(order) * 100 >= F.col("n_shingles") * percent
-    near_larger = F.col("n_shingles") * 100 >= F.lead("n_shingles").over(order) * percent
-    buckets = buckets.withColumn("near", F.coalesce(near_smaller, F.lit(False)) | F.coalesce(near_larger, F.lit(False)))
-    buckets = written(buckets.where("near").select("key", "node", "n", "m", "first"), "buckets")
-    star = buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    smaller = F.max("most").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n_shingles")
+    larger = F.lead("n_shingles").over(order) <= F.col("most")
+    buckets = buckets.withColumn("near", F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False)))
+    fits = (F.col("first.n_shingles") <= F.col("most")) & (F.col("n_shingles") <= F.col("first.most"))
+    buckets = written(buckets.where("near").select(
+        "key", "node", "place", "n", "m", F.when(fits & (F.col("node") != F.col("first.node")), F.col("first.node")).alias("first")),
+        "buckets")
+    star = buckets.where("first is not null").select(
+        F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
     links = _links(star, docs, points, words, percent)
     roots = components(links)
     # buckets go on if not all their sets have met by now; of two of one size they have
-    left = buckets.where("n > 2 or m < 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = left.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)})
-    left = written(left.where("low < high").select("key", "node", "root", "n"), "left")
-    more = written(_tree_pairs(left, points, percent).join(star, ["a", "b"], "left_anti"), "pairs")
+    left = buckets.where("n > 2 or m < 2").join(roots, "node", "left").select(
+        "key", "node", "place", "n", F.coalesce("root", "node").alias("root"))
+    several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = written(left.join(several.select("key"), "key"), "left")
+    near = written(_near(left, points, percent), "near")
+    wanted = written(near.select("node").distinct().join(points.select("node", "least"), "node"), "wanted")
+    more = written(_across(near, _sets(docs, wanted, words), percent), "links")
     if not more.isEmpty():
-        roots = components(links.unionByName(_links(more, docs, points, words, percent)))
-    named = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.withColumn("component_id", F.min("least").over(Window.partitionBy("root")))
-    out = rows.select("doc_id", "n_shingles", "node").join(named.select("node", "component_id"), "node", "left")
+        roots = components(links.unionByName(more))
+    named = classes.select("node", "least").join(roots, "node", "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "root").select("node", "component_id")
+    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles",
                       F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
                       .alias("component_id"))

@@ -165,6 +165,8 @@ def components_of(rows, words, percent):
 def test_jaccard_components(spark, monkeypatch, words, percent, points, sketch):
     monkeypatch.setattr(jaccard_join, "TREE_POINTS", points)
     monkeypatch.setattr(jaccard_join, "SKETCH", sketch)
+    monkeypatch.setattr(jaccard_join, "BLOCK", points)
+    monkeypatch.setattr(jaccard_join, "CELLS", 64)
     rows = near_copies()
     coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -214,6 +216,20 @@ def test_tree_search_loses_nothing():
             190 * bound >= 90 * (sizes + sizes[k])).tolist()
 
 
+def test_overlaps_and_partner_sizes():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 200))).astype(np.uint64) for _ in range(40)]
+    got = jaccard_join.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40))
+    assert jaccard_join.overlaps([np.arange(3, dtype=np.uint64), np.arange(5, 9, dtype=np.uint64)])[0, 1] == 0
+    for percent in (60, 80, 90):
+        for n in range(1, 60):
+            most = jaccard_join.partner_size(np.full(n, n), np.arange(n), percent)
+            for place in range(n):  # the sizes m that a link leaves possible, when n - place shingles may be shared
+                sizes = [m for m in range(1, 200) if 100 * (n - place) >= percent * (n + m - (n - place))]
+                assert most[place] == max(sizes, default=most[place]) and (sizes or most[place] < 1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 40)] + [(7, 300), (300, 7), (8, 8)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
