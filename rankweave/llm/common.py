@@ -39,3 +39,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table, once all that was made of it is itself written."""
+    if files := df.inputFiles():
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

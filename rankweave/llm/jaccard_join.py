@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import discard, text_or_empty, written
 from .components import components
 from .url_cascade import encode_bits, passes
 
@@ -437,13 +437,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     classes = written(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"),
         F.first("point").alias("point")), "classes")
+    shingled, rows = rows, written(rows.select("doc_id", "n_shingles", "node"), "rows")
+    discard(shingled)
     points = classes.select("node", "least", "n_shingles", "point")
     # of a bucket's sets of about one size the first is compared with all others
     by_key, by_size = Window.partitionBy("key"), Window.partitionBy("key", "size")
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent))
     most = partner_size(F.col("n_shingles"), F.col("place"), percent)
-    buckets = classes.select("node", "n_shingles", size.alias("size"), F.posexplode("keys").alias("place", "key"))
-    buckets = buckets.withColumn("most", most).withColumns({
+    buckets = classes.select("node", F.col("n_shingles").cast("int"), F.posexplode("keys").alias("place", "key"))
+    buckets = buckets.repartition("key").withColumns({"size": size, "most": most.cast("int")}).withColumns({
         "n": F.count(F.lit(1)).over(by_key), "m": F.count(F.lit(1)).over(by_size),
         "first": F.min(F.struct(F.expr("most < n_shingles").alias("late"), "node", "n_shingles", "most")).over(by_size)})
     # a set has no link in this bucket if all smaller ones admit only smaller partners
@@ -465,6 +467,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         "key", "node", "place", "n", F.coalesce("root", "node").alias("root"))
     several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     left = written(left.join(several.select("key"), "key"), "left")
+    discard(buckets)
     near = written(_near(left, points, percent), "near")
     wanted = written(near.select("node").distinct().join(points.select("node", "least"), "node"), "wanted")
     more = written(_across(near, _sets(docs, wanted, words), percent), "links")
