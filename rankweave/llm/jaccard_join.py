@@ -335,29 +335,41 @@ def _near(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     m = m.withColumn("keys", F.slice("keys", 1, (F.array_position("keys", F.col("key")) - 1).cast("int")))
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def near_pairs(matrix: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(matrix) <= LEAF:  # a tree of one leaf
-            bound = np.minimum(matrix[:, None], matrix[None]).sum(axis=2)
-            return np.nonzero((100 + percent) * bound >= percent * (sizes[:, None] + sizes[None]))
-        tree = CountTree(matrix, sizes)
-        found = [tree.search(q, int(n), percent) for q, n in zip(matrix, sizes)]
-        return np.repeat(np.arange(len(found)), list(map(len, found))), np.concatenate(found)
+    def near_pairs(points: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair at least one way round, at the number of groups of its smaller point."""
+        kinds = np.array([len(p) for p in points])
+        one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for groups in np.unique(kinds).tolist():
+            ask = np.flatnonzero(kinds == groups)
+            at = np.flatnonzero((kinds >= groups) & (percent * sizes <= 100 * sizes[ask].max()))
+            if len(at) < 2:
+                continue
+            matrix = np.array([fold(points[k], groups) for k in at])
+            own, n = matrix[np.searchsorted(at, ask)], sizes[at]
+            if len(at) <= LEAF:  # a tree of one leaf
+                bound = np.minimum(own[:, None], matrix[None]).sum(axis=2)
+                x, y = np.nonzero((100 + percent) * bound >= percent * (sizes[ask][:, None] + n[None]))
+            else:
+                tree = CountTree(matrix, n)
+                found = [tree.search(q, int(size), percent) for q, size in zip(own, sizes[ask])]
+                x, y = np.repeat(np.arange(len(found)), list(map(len, found))), np.concatenate(found)
+            one.append(ask[x])
+            two.append(at[y])
+        return np.concatenate(one), np.concatenate(two)
 
     def near_in(t: pa.Table, edges: list[int]) -> np.ndarray:
-        c = {n: t[n].to_numpy() for n in ("i", "j", "home", "node", "root", "n_shingles", "place")}
-        sizes, nodes, roots, homes = c["n_shingles"], c["node"], c["root"], c["home"]
+        c = {n: t[n].to_numpy() for n in ("i", "j", "home", "root", "n_shingles", "place")}
+        sizes, roots, homes = c["n_shingles"], c["root"], c["home"]
         most = partner_size(sizes, c["place"], percent)
         points, keys = t["point"].to_pylist(), t["keys"].to_pylist()
-        near = np.zeros(len(nodes), bool)
+        near = np.zeros(len(sizes), bool)
         for x, y in zip(edges, edges[1:]):
             if y - x < 2:
                 continue
             n = sizes[x:y]
-            groups = groups_of(int(n.min()))
-            matrix = np.array([fold(unpacked(p, k), groups) for p, k in zip(points[x:y], n.tolist())])
-            one, two = near_pairs(matrix, n)
+            one, two = near_pairs([unpacked(p, k) for p, k in zip(points[x:y], n.tolist())], n)
             one, two = one + x, two + x
-            keep = (nodes[one] < nodes[two]) & (roots[one] != roots[two])
+            keep = roots[one] != roots[two]
             keep &= (sizes[one] <= most[two]) & (sizes[two] <= most[one])
             if c["i"][x] != c["j"][x]:  # sets of one block meet where it meets itself
                 keep &= homes[one] != homes[two]
