@@ -13,8 +13,9 @@ candidate documents (at most k per query) filter the passage table with a
 broadcast semi-join when their count is under a checked bound (else a
 shuffle join); each passage row carries the list of queries that retrieved
 its document (as positions), and one ``mapInArrow`` task computes all those dot products
-against the broadcast query matrix. No vector is copied per (query, passage)
-pair and only (query_id, doc_id, score) rows reach the aggregate.
+against the broadcast query matrix, ``PRODUCTS`` at a time, and sums them over the
+passages of a document that follow one another. No vector is copied per (query,
+passage) pair and only (query_id, doc_id, sum, count) rows reach the aggregate.
 
 Queries beyond the broadcast bounds are scored in buckets of documents
 (``_bucketed``): a bucket gets each query vector it needs once, as a dictionary,
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,26 +103,53 @@ def doc_scores(run: DataFrame, passages: DataFrame, queries: DataFrame, *, passa
 
         def score(batches):
             qids_, qmat_ = bc.value
-            names = np.asarray(qids_, dtype=object)
-            schema = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
+            names = pa.array(qids_, pa.string())
             for b in batches:
                 if b.num_rows == 0:
                     continue
-                vecs = list_column_to_matrix(b.column(1))
-                lists = b.column(2)
-                rows = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-                qi = lists.flatten().to_numpy()
-                s = (vecs[rows] * qmat_[qi]).sum(axis=1)
-                yield pa.record_batch([pa.array(names[qi], pa.string()), b.column(0).take(pa.array(rows)),
-                                       pa.array(s, pa.float64())], schema=schema)
+                vecs, docs, lists = list_column_to_matrix(b.column(1)), b.column(0), b.column(2)
+                cuts = np.flatnonzero(pc.not_equal(docs.slice(1), docs.slice(0, len(docs) - 1)).to_numpy(False)) + 1
+                ends, asked = lists.offsets.to_numpy(), lists.values.to_numpy()
+                held, n = [], 0
+                for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                    qi = asked[ends[x]:ends[x + 1]]  # the same list in every row of a document
+                    held.append((x, y - x, qi, _summed(vecs[x:y], qmat_, qi)))
+                    n += len(qi)
+                    if n >= PRODUCTS:
+                        yield _sums(names, docs, held)
+                        held, n = [], 0
+                if held:
+                    yield _sums(names, docs, held)
 
         scored = p.select(F.col("doc_id").cast("string").alias("doc_id"), "_pvec", "_qpos").mapInArrow(
-            score, "query_id string, doc_id string, score double")
+            score, "query_id string, doc_id string, score double, n bigint")
     else:
-        scored = _bucketed(pv, cand, q, bucket_pairs, max_candidate_docs)
-    return scored.groupBy("query_id", "doc_id").agg(
-        F.sum("score").alias("sum_score"), F.avg("score").alias("mean_score"),
-        F.count(F.lit(1)).alias("n_passages"))
+        scored = _bucketed(pv, cand, q, bucket_pairs, max_candidate_docs).withColumn("n", F.lit(1).cast("bigint"))
+    sums = scored.groupBy("query_id", "doc_id").agg(F.sum("score").alias("sum_score"), F.sum("n").alias("n_passages"))
+    return sums.select("query_id", "doc_id", "sum_score", (F.col("sum_score") / F.col("n_passages")).alias("mean_score"),
+                       "n_passages")
+
+
+def _summed(vecs: np.ndarray, qmat: np.ndarray, qi: np.ndarray) -> np.ndarray:
+    """The scores of the queries at ``qi`` with each row, summed over the rows; each
+    product is made on its own, ``PRODUCTS`` at a time."""
+    out = np.zeros(len(qi))
+    for at in range(0, len(qi), PRODUCTS):
+        own = qmat[qi[at:at + PRODUCTS]]
+        step = max(1, PRODUCTS // max(1, len(own)))
+        for i in range(0, len(vecs), step):
+            out[at:at + PRODUCTS] += (vecs[i:i + step, None, :] * own[None, :, :]).sum(axis=2).sum(axis=0)
+    return out
+
+
+def _sums(names: pa.Array, docs: pa.Array, held: list) -> pa.RecordBatch:
+    """Rows (query_id, doc_id, score, n) of runs of one document's passages, given as
+    (first row, rows, places of the queries, their summed scores)."""
+    sizes = [len(qi) for _, _, qi, _ in held]
+    at, n = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
+    return pa.RecordBatch.from_arrays(
+        [names.take(pa.array(np.concatenate([h[2] for h in held]))), docs.take(pa.array(at)),
+         pa.array(np.concatenate([h[3] for h in held])), pa.array(n)], names=["query_id", "doc_id", "score", "n"])
 
 
 def _bucketed(pv: DataFrame, cand: DataFrame, q: DataFrame, bucket_pairs: int, max_candidate_docs: int) -> DataFrame:

@@ -102,3 +102,36 @@ def test_buckets_move_no_vector_for_each_pair(spark):
     joins = [line for line in plan.splitlines() if "Join" in line and "_pvec" in line and "_qvec" in line]
     assert not joins and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert rerank.doc_scores(run.limit(0), vp, vq, max_broadcast_queries=0).collect() == []
+
+
+def test_scores_of_hot_documents_stay_bounded(spark, monkeypatch):
+    """Every query retrieves every document: products are made some at a time, and
+    only sums of a document's neighbouring passages leave the task."""
+    import tracemalloc
+
+    import numpy as np
+
+    from rankweave.operators import rerank
+    rng = np.random.default_rng(3)
+    vecs, qmat, qi = rng.normal(size=(1500, 16)), rng.normal(size=(1500, 16)), np.arange(1500)[::-1]
+    tracemalloc.start()
+    got = rerank._summed(vecs, qmat, qi)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # all products at once: 288 MB
+    assert np.allclose(got, (qmat[qi] @ vecs.T).sum(axis=1))
+
+    passages = [(f"D{i % 3}", rng.normal(size=4).tolist()) for i in range(40)] + [("D1", [1.0, 0.0, 0.0, 0.0])] * 9
+    asked = [(f"q{i}", rng.normal(size=4).tolist()) for i in range(11)]
+    pv = spark.createDataFrame(passages, "doc_id string, passage_embedding array<double>")
+    vq = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    run = spark.createDataFrame([(q, f"D{i}") for q, _ in asked for i in range(3)], "query_id string, doc_id string")
+    for products in (rerank.PRODUCTS, 5):
+        monkeypatch.setattr(rerank, "PRODUCTS", products)
+        ds = {(r.query_id, r.doc_id): (r.sum_score, r.mean_score, r.n_passages)
+              for r in rerank.doc_scores(run, pv, vq).collect()}
+        assert len(ds) == 33
+        for (q, d), (s, m, n) in ds.items():
+            scores = [float(np.dot(dict(asked)[q], p)) for e, p in passages if e == d]
+            assert n == len(scores) and math.isclose(s, sum(scores), abs_tol=1e-9)
+            assert math.isclose(m, s / n, abs_tol=1e-9)
