@@ -218,8 +218,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", *,
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     if not size["n"]:
         return _final_rank(spark.createDataFrame([], f"query_id string, {corpus_id} string, score double"), k, corpus_id)
-    fits = max(1, min(max_broadcast_rows, max_broadcast_bytes // (8 * max(1, size["d"])), MAX_STATE_CANDIDATES // k))
-    if size["n"] > fits:
+    fits = max(1, min(max_broadcast_bytes // (8 * max(1, size["d"])), MAX_STATE_CANDIDATES // k))
+    if size["n"] > min(fits, max(1, max_broadcast_rows)):
+        # a pack is as large as a task can hold, not as small as the broadcast's bound in rows:
+        # a block of the corpus goes to a task once for each pack of queries
         return _grid_top_k(q, corpus_sel, k, metric, corpus_id, size["d"], min(fits, PACK_QUERIES), buckets,
                            compute_dtype)
     fraction = prune_fraction

@@ -225,3 +225,23 @@ def test_packs_keep_rows_and_blocks(spark):
     assert [i for p in plain for i in unpack(p.data)["id"].to_pylist()] == [f"r{i}" for i in range(100)]
     got = sorted((p.block, i) for p in by for i in unpack(p.data)["id"].to_pylist())
     assert got == sorted((i // 7, f"r{i}") for i in range(100)) and max(p.n for p in by) == 5 and len(by) == 29
+
+
+def test_packs_of_queries_do_not_shrink_with_the_broadcast_bound(spark, monkeypatch):
+    """The grid sends a block of the corpus once for each pack of queries, so a small broadcast
+    bound does not make one pack of each query."""
+    q, c = fx.vec_queries(spark, SF), fx.vec_docs(spark, SF).limit(60)
+    packs, real = {}, search.written
+
+    def count(df, what):
+        out = real(df, what)
+        packs[what] = out.agg({"n": "max"}).first()[0]
+        return out
+
+    want = _rows(search.top_k(q, c, 6))
+    monkeypatch.setattr(search, "written", count)
+    assert _rows(search.top_k(q.coalesce(1), c, 6, max_broadcast_rows=1)) == want
+    assert packs["queries"] > 1
+    monkeypatch.setattr(search, "PACK_QUERIES", 2)
+    assert _rows(search.top_k(q, c, 6, max_broadcast_rows=1)) == want
+    assert packs["queries"] <= 2
