@@ -23,16 +23,15 @@ def stream_passages(spark: SparkSession, path: str, schema, *, passage_size: int
                     view: Callable[[DataFrame], DataFrame] | None = None,
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming (doc_id, passage_idx, passage_id, passage_body) over Parquet
-    documents arriving in the folder ``path`` (or one ``*.parquet`` file);
+    documents arriving in the folder ``path`` (or one ``*.parquet`` table, a file or a folder of files);
     ``view`` maps the raw rows to (doc_id, title, body)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if path.rstrip("/").endswith(".parquet"):
-        # a single table file: watch its folder, keep only that file name
-        folder, name = path.rstrip("/").rsplit("/", 1)
-        reader = reader.option("pathGlobFilter", name)
-        path = folder
+        # one table, a file or a folder of part files: a source whose path is a pattern (here one
+        # that this name alone fits) takes either, where a plain path has to be a folder
+        path = f"{path.rstrip('/')[:-1]}[t]"
     src = reader.parquet(path)
     docs = view(src) if view is not None else src
     return passages.split_passages(passages.drop_empty(docs), passage_size, prepend_title, keep=[])
