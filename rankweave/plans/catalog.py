@@ -192,7 +192,6 @@ def _maxp_run(s, d):
 
 
 def q_training_pairs(s, d):
-    p = training.pairs(fx.vec_queries(s, d), fx.vec_doc_qrels(s, d), fx.vec_passages(s, d))
     dpe = F.col("doc_passage_embeddings")
     zero = F.lit(0.0).cast("double")
     weighted = F.aggregate(F.transform(dpe, lambda v, i: F.aggregate(
@@ -200,8 +199,10 @@ def q_training_pairs(s, d):
         zero, lambda a, b: a + b)
     qsum = F.aggregate(F.transform("query_embedding", lambda x, j: x.cast("double") * (j + 1)), zero,
                        lambda a, b: a + b)
-    return p.select("query_id", "doc_id", F.size(dpe).cast("int").alias("n_passages"),
-                    F.round(weighted, 4).alias("checksum"), r6(qsum).alias("query_checksum"))
+    p = training.pairs(fx.vec_queries(s, d), fx.vec_doc_qrels(s, d), fx.vec_passages(s, d),
+                       query_cols={"query_checksum": r6(qsum)},
+                       doc_cols={"n_passages": F.size(dpe).cast("int"), "checksum": F.round(weighted, 4)})
+    return p.select("query_id", "doc_id", "n_passages", "checksum", "query_checksum")
 
 
 def _text_query_vecs(s, d):
@@ -463,8 +464,8 @@ def q_clustered_pool_mean(s, d):
 
 
 def q_clustered_pairs(s, d):
-    p = training.pairs(fx.vec_queries(s, d), fx.vec_doc_qrels(s, d), _clustered_passages(s, d))
-    return p.select("query_id", "doc_id", F.size("doc_passage_embeddings").cast("int").alias("n_passages"))
+    return training.pairs(fx.vec_queries(s, d), fx.vec_doc_qrels(s, d), _clustered_passages(s, d), query_cols={},
+                          doc_cols={"n_passages": F.size("doc_passage_embeddings").cast("int")})
 
 
 def q_variants_read_one(s, d):

@@ -128,3 +128,25 @@ def test_halo_keeps_missing_documents_and_repeated_rows(spark):
     data = [("a", None, 1), ("a", "x", 1), ("a", "x", 1), (None, "y", 1)]
     got = training.rolled_negatives(spark.createDataFrame(data, QR), 2).collect()
     assert len(got) == 8 and sum(r.neg is None for r in got) == 2 and sum(r.pos is None for r in got) == 2
+
+
+def test_pairs_make_digests_once_for_each_vector(spark):
+    """What is made of a document's vectors is made for the document, not for each of its pairs."""
+    from pyspark.sql import functions as F
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int", useArrow=False)
+    def count(m):
+        made.add(1)
+        return len(m)
+
+    qe = spark.createDataFrame([(f"q{i}", [float(i)]) for i in range(30)], "query_id string, embedding array<float>")
+    qrels = spark.createDataFrame([(f"q{i}", f"d{j}", 1) for i in range(30) for j in range(4)], QR)
+    ps = spark.createDataFrame([(f"d{j}", i, [float(i)]) for j in range(3) for i in range(j + 1)],
+                               "doc_id string, passage_idx int, passage_embedding array<float>")
+    p = training.pairs(qe, qrels, ps, query_cols={"first": F.element_at("query_embedding", 1)},
+                       doc_cols={"n": count("doc_passage_embeddings")})
+    assert p.columns == ["query_id", "doc_id", "first", "n"]
+    got = sorted(tuple(r) for r in p.collect())
+    assert got == sorted((f"q{i}", f"d{j}", float(i), j + 1) for i in range(30) for j in range(3))
+    assert 3 <= made.value <= 6
