@@ -27,6 +27,8 @@ from rankweave.operators.passages import nest
 
 Encoder = Callable[[list], np.ndarray]
 
+PIECE_BYTES = 2 << 20  # of a batch's columns that a hosted function works on at once
+
 # token -> bucket caches of the hashed encoder, per dimension (one per task:
 # the package is serialised by value with the task function)
 _BUCKETS: dict[int, dict[str, int]] = {}
@@ -108,6 +110,16 @@ def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Encoder],
     return src.mapInArrow(run, out_schema, profile=profile)
 
 
+def pieces(b: pa.RecordBatch, most: int = PIECE_BYTES):
+    """The batch in parts of consecutive rows, each of at most ``most`` bytes or one row."""
+    if b.num_rows <= 1 or b.nbytes <= most:
+        yield b
+    else:
+        half = b.num_rows // 2
+        yield from pieces(b.slice(0, half), most)
+        yield from pieces(b.slice(half), most)
+
+
 def map_columns(df: DataFrame, in_cols: list[str], fn_factory: Callable[..., Callable], out_col: str, out_type: str, *,
                 batch_size: int = 256, drop_inputs: bool = False, fn_kwargs: dict | None = None,
                 arrow: bool = False) -> DataFrame:
@@ -116,7 +128,9 @@ def map_columns(df: DataFrame, in_cols: list[str], fn_factory: Callable[..., Cal
     ``fn_factory()`` runs once per task and returns the function; it is called with one
     list of at most ``batch_size`` values for each of ``in_cols`` and with ``fn_kwargs`` by
     name, and returns as many values. With ``arrow`` it gets and returns Arrow arrays
-    (of whatever size Spark's batches have), so no value becomes a Python object on the way."""
+    (of about ``PIECE_BYTES`` at most), so no value becomes a Python object on the way.
+    Spark's batches are worked off in pieces of that size: what a function needs beside its
+    values, several times their size in a tokenizer, does not grow with the batch."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
     keep = [f for f in df.schema.fields if not (drop_inputs and f.name in in_cols)]
@@ -130,7 +144,7 @@ def map_columns(df: DataFrame, in_cols: list[str], fn_factory: Callable[..., Cal
         from pyspark.sql.pandas.types import to_arrow_type
         fn = fn_factory()
         a_type = to_arrow_type(out_field.dataType)
-        for b in batches:
+        for b in (piece for whole in batches for piece in pieces(whole)):
             values = [b.column(c) if arrow else b.column(c).to_pylist() for c in in_cols]
             if arrow:
                 out = fn(*values, **kwargs)

@@ -88,3 +88,19 @@ def test_tokenizer_host_and_token_split(spark):
     out = embed.detokenize(p, "passage_tokens", dec_factory, "passage_text")
     got = sorted((r.doc_id, r.passage_idx, r.passage_text) for r in out.collect())
     assert got == [("A", 0, "T a b"), ("A", 1, "T c d"), ("A", 2, "T e"), ("C", 0, "x y")]
+
+
+def test_hosted_functions_get_a_batch_in_pieces(spark):
+    """A function's own memory, such as a tokenizer's, follows the piece and not Spark's batch."""
+    from rankweave.operators import embed
+
+    def sizes():
+        import pyarrow as pa
+        return lambda texts: pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    docs = spark.range(0, 600, 1, 1).selectExpr("id", "if(id = 7, null, repeat('ab', 10000 + cast(id as int))) as body")
+    seen = embed.map_columns(docs, ["body"], sizes, "seen", "bigint", arrow=True).collect()
+    assert [r.id for r in seen] == list(range(600)) and [len(r.body or "") // 2 for r in seen][6:9] == [10006, 0, 10008]
+    assert max(r.seen for r in seen) <= embed.PIECE_BYTES  # 600 rows: 12 MB
+    long = spark.range(0, 3, 1, 1).selectExpr("id", f"repeat('x', {2 * embed.PIECE_BYTES}) as body")
+    assert embed.map_columns(long, ["body"], sizes, "seen", "bigint", arrow=True, drop_inputs=True).count() == 3
