@@ -18,15 +18,22 @@ an aggregate with partial aggregation; nothing is collected.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.defaults import METRICS, PERCENT_DIGITS, REPORT_DIGITS
+from rankweave.functions.vectors import list_column_to_matrix
 from rankweave.session import ensure_checkpoint_dir, written
 
 DEFAULT_METRICS = METRICS
 MAX_BROADCAST_JUDGEMENTS = 2_000_000  # (query, doc, grade) rows broadcast into the run join
+LOSS_CELL_BYTES = 256 << 20  # vectors of a cell of batches, at most
+MAX_CELL_TASKS = 2000
+LOSS_ROWS = 4096  # rows of the batches whose logits are made at once, about
 
 
 def parse_metric(name: str) -> tuple[str, int]:
@@ -155,8 +162,17 @@ def report(evaluation: DataFrame, *, percent: bool = False) -> DataFrame:
     return evaluation.select("metric", F.round("value", REPORT_DIGITS).alias("value"))
 
 
+def _losses(qm: np.ndarray, dm: np.ndarray) -> np.ndarray:
+    """The loss of each of the batches (batches, rows, dimensions)."""
+    logits = qm.astype(np.float64) @ dm.astype(np.float64).transpose(0, 2, 1)
+    mx = logits.max(axis=2, keepdims=True)
+    lse = mx[..., 0] + np.log(np.exp(logits - mx).sum(axis=2))
+    return (lse - np.diagonal(logits, axis1=1, axis2=2)).mean(axis=1)
+
+
 def in_batch_loss(pairs: DataFrame, *, query_vec: str = "query_embedding", doc_vec: str = "doc_embedding",
-                  batch_col: str = "batch") -> DataFrame:
+                  batch_col: str = "batch", queries: DataFrame | None = None, docs: DataFrame | None = None,
+                  query_no: str = "query_no", doc_no: str = "doc_no", cell_bytes: int = LOSS_CELL_BYTES) -> DataFrame:
     """In-batch contrastive loss per batch: logits = Q . D^T inside the batch,
     cross-entropy with the diagonal (each query's own document) as label, mean
     over the batch. Rows (batch, n, loss).
@@ -164,18 +180,99 @@ def in_batch_loss(pairs: DataFrame, *, query_vec: str = "query_embedding", doc_v
     Each batch is one group of ``applyInPandas`` (batches come from
     ``partitioning.assign_batches`` so their size is bounded); only one row per
     batch leaves the task, the batch x batch logits never become rows.
+
+    With ``queries`` (``query_no``, ``query_vec``) and ``docs`` (``doc_no``, ``doc_vec``)
+    the pairs hold only those numbers (unique in their table) and the batch. Batches that
+    follow one another then make a cell, which gets each vector it needs once instead of
+    once for each pair: as many batches as have vectors of ``cell_bytes`` at most.
     """
-    import numpy as np
+    if queries is not None and docs is not None:
+        return _loss_in_cells(pairs.select(F.col(batch_col).cast("long").alias("batch"), F.col(query_no).alias("_q"),
+                                           F.col(doc_no).alias("_d")),
+                              queries.select(F.col(query_no).alias("_q"), F.col(query_vec).alias("_vec")),
+                              docs.select(F.col(doc_no).alias("_d"), F.col(doc_vec).alias("_vec")), cell_bytes)
     import pandas as pd
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:
-        qm = np.stack(pdf[query_vec].to_numpy()).astype(np.float64)
-        dm = np.stack(pdf[doc_vec].to_numpy()).astype(np.float64)
-        logits = qm @ dm.T
-        mx = logits.max(axis=1, keepdims=True)
-        lse = mx[:, 0] + np.log(np.exp(logits - mx).sum(axis=1))
-        per_row = lse - np.diag(logits)
-        return pd.DataFrame({"batch": [int(pdf[batch_col].iloc[0])], "n": [len(pdf)], "loss": [float(per_row.mean())]})
+        value = _losses(np.stack(pdf[query_vec].to_numpy())[None], np.stack(pdf[doc_vec].to_numpy())[None])
+        return pd.DataFrame({"batch": [int(pdf[batch_col].iloc[0])], "n": [len(pdf)], "loss": [float(value[0])]})
 
     sel = pairs.select(F.col(batch_col).cast("long").alias(batch_col), query_vec, doc_vec)
     return sel.groupBy(batch_col).applyInPandas(loss, "batch long, n long, loss double")
+
+
+def _loss_in_cells(pairs: DataFrame, queries: DataFrame, docs: DataFrame, cell_bytes: int) -> DataFrame:
+    """(batch, n, loss) of pairs (batch, _q, _d) with vectors (_q, _vec) and (_d, _vec): a cell's
+    vectors come first, then its pairs by batch, and a task holds the vectors of one cell."""
+    size = pairs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("batch").alias("batches")).first()
+    kinds = {t.schema["_vec"].dataType.simpleString() for t in (queries, docs)}
+    kind = kinds.pop() if len(kinds) == 1 else "array<double>"
+    wide = (docs.agg(F.max(F.size("_vec"))).first()[0] or 1) * (4 if kind == "array<float>" else 8)
+    # each pair has two vectors of its own, at worst
+    in_cell = cell_bytes // (2 * wide) * size["batches"] // max(1, size["n"])
+    in_cell = max(1, min(in_cell, -(-size["batches"] // (2 * pairs.sparkSession.sparkContext.defaultParallelism))))
+    n_cells = max(1, -(-size["batches"] // in_cell))
+    pairs = pairs.withColumn("_cell", F.floor(F.col("batch") / in_cell).cast("long"))
+    none, vec = F.lit(None).cast("long"), F.col("_vec").cast(kind)
+    cells = [pairs.select("_cell", "_q").distinct().join(queries, "_q").select(
+                 "_cell", F.lit(0).alias("_kind"), none.alias("batch"), "_q", none.alias("_d"), vec.alias("_vec")),
+             pairs.select("_cell", "_d").distinct().join(docs, "_d").select(
+                 "_cell", F.lit(1).alias("_kind"), none.alias("batch"), none.alias("_q"), "_d", vec.alias("_vec")),
+             pairs.select("_cell", F.lit(2).alias("_kind"), "batch", "_q", "_d",
+                          F.lit(None).cast(kind).alias("_vec"))]
+    cells = reduce(DataFrame.unionByName, cells).repartition(min(n_cells, MAX_CELL_TASKS), "_cell")
+    cells = cells.sortWithinPartitions("_cell", "_kind", "batch")
+
+    def matrix(col):
+        return list_column_to_matrix(col, col.type.value_type.to_pandas_dtype())
+
+    def by_number(parts):
+        """The numbers in order and their vectors in that order."""
+        no, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(no)
+        return no[order], m[order]
+
+    def done(rows, vectors):
+        """The losses of whole batches, given as arrays (batch, _q, _d)."""
+        batch, at = rows[0], [np.searchsorted(v[0], r) for v, r in zip(vectors, rows[1:])]
+        ids, first, n = np.unique(batch, return_index=True, return_counts=True)
+        value = np.empty(len(ids))
+        for rows_in in np.unique(n):
+            own = np.flatnonzero(n == rows_in)
+            step = max(1, LOSS_ROWS // int(rows_in))
+            for i in range(0, len(own), step):
+                place = first[own[i:i + step], None] + np.arange(rows_in)
+                value[own[i:i + step]] = _losses(vectors[0][1][at[0][place]], vectors[1][1][at[1][place]])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(value)],
+                                          names=["batch", "n", "loss"])
+
+    def losses(batches):
+        cell, parts, vectors, rest = None, ([], []), None, None
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy() for i in (0, 1)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if keys[0, x] != cell:
+                    if rest is not None:
+                        yield done(rest, vectors)
+                    cell, parts, vectors, rest = keys[0, x], ([], []), None, None
+                run, side = b.slice(x, y - x), int(keys[1, x])
+                if side < 2:
+                    parts[side].append((run.column(3 + side).to_numpy(), matrix(run.column(5))))
+                    continue
+                if vectors is None:
+                    vectors, parts = [by_number(p) for p in parts], ([], [])
+                rows = [run.column(i).to_numpy() for i in (2, 3, 4)]
+                if rest is not None:
+                    rows = [np.concatenate(pair) for pair in zip(rest, rows)]
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last batch may go on
+                if whole:
+                    yield done([r[:whole] for r in rows], vectors)
+                rest = [r[whole:] for r in rows]
+        if rest is not None:
+            yield done(rest, vectors)
+
+    return cells.select("_cell", "_kind", "batch", "_q", "_d", "_vec").mapInArrow(
+        losses, "batch long, n long, loss double")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.session import ensure_checkpoint_dir
+from rankweave.session import ensure_checkpoint_dir, written
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -28,9 +28,10 @@ def indexed_with_count(df: DataFrame, order_by: list[str] | str, *, out_col: str
     high bits) and is checkpointed, so a retried task sees the same rows; the
     per-partition row counts (one number per partition, the same bounded list
     ``zipWithIndex`` gathers) give each partition's offset, which is joined back
-    as a small broadcast table.
+    as a small broadcast table. The checkpoint is Parquet, a few bytes a row for
+    numbers in order.
     """
-    ordered, parts = ordered_parts(df, order_by, checkpoint=checkpoint)
+    ordered, parts = ordered_parts(df, order_by, checkpoint=checkpoint, in_place=False)
     spark = df.sparkSession
     off = spark.createDataFrame([(pid, start) for pid, start, _ in parts] or [(0, 0)], "_pid long, _off long")
     out = (ordered.join(F.broadcast(off), "_pid")
@@ -38,15 +39,18 @@ def indexed_with_count(df: DataFrame, order_by: list[str] | str, *, out_col: str
     return out, sum(n for _, _, n in parts)
 
 
-def ordered_parts(df: DataFrame, order_by: list[str] | str, *, checkpoint: bool = True
+def ordered_parts(df: DataFrame, order_by: list[str] | str, *, checkpoint: bool = True, in_place: bool = True
                   ) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """The frame in ``order_by`` order with its partition ``_pid`` and the place
     ``_pos`` in it, and (partition, global place of its first row, rows) of each
     partition with rows. Partitions follow one another in the order, and a
-    partition's rows are in order inside it."""
+    partition's rows are in order inside it; without ``in_place`` only the columns
+    tell so, not where the rows lie."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     ordered = df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint:
+    if checkpoint and not in_place:
+        ordered = written(ordered, "ordered")
+    elif checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         ordered = ordered.checkpoint(eager=True)
     ordered = ordered.withColumns({"_pid": F.shiftrightunsigned(F.col("_mid"), 33),

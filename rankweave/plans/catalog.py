@@ -33,6 +33,7 @@ PASSAGE_SIZE = 400   # words per passage in the text queries
 TOKEN_PASSAGE_SIZE = 128
 CODE_POINTS = 1024   # tokens of a passage where every code point is a token
 EMBED_DIM = 64
+MAX_BROADCAST_IDS = 2_000_000  # numbered ids that a join broadcasts
 RUN_NAME = "rankweave-ip"
 
 
@@ -266,12 +267,29 @@ def _triplets(epoch):
     return q
 
 
+def _numbered(vecs, id_col):
+    """The vectors with a number of their own in the order of ``id_col`` and the number at
+    which their id begins, and how many there are."""
+    df, n = partitioning.indexed_with_count(vecs, id_col, out_col="no")
+    first = df.groupBy(id_col).agg(F.min("no").alias("first"))
+    return df.join(first, id_col), n
+
+
 def q_in_batch_loss(s, d):
-    q = fx.vec_queries(s, d).select("query_id", F.col("embedding").alias("query_embedding"))
-    dv = fx.vec_docs(s, d).select("doc_id", F.col("embedding").alias("doc_embedding"))
-    pairs = fx.vec_qrels(s, d).join(q, "query_id").join(dv, "doc_id")
-    batched = partitioning.assign_batches(pairs, LOSS_BATCH, ["query_id", "doc_id"])
-    return metrics.in_batch_loss(batched).select("batch", "n", r6("loss").alias("loss"))
+    """The pairs are ordered and batched as numbers; the vectors meet whole batches."""
+    sides = {"query": fx.vec_queries(s, d), "doc": fx.vec_docs(s, d)}
+    pairs, vecs = fx.vec_qrels(s, d), {}
+    for side, df in sides.items():
+        own, n = _numbered(df.select(f"{side}_id", F.col("embedding").alias(f"{side}_embedding")), f"{side}_id")
+        own = own.withColumnsRenamed({"no": f"{side}_no", "first": f"{side}_first"})
+        vecs[side] = own.select(f"{side}_no", f"{side}_embedding")
+        numbers = own.select(f"{side}_id", f"{side}_no", f"{side}_first")
+        pairs = pairs.join(F.broadcast(numbers) if n <= MAX_BROADCAST_IDS else numbers, f"{side}_id")
+    # the order of (query_id, doc_id)
+    order = ["query_first", "doc_first", "query_no", "doc_no"]
+    batched = partitioning.assign_batches(pairs.select(*order), LOSS_BATCH, order)
+    loss = metrics.in_batch_loss(batched, queries=vecs["query"], docs=vecs["doc"])
+    return loss.select("batch", "n", r6("loss").alias("loss"))
 
 
 def q_run_trec_lines(s, d):

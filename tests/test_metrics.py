@@ -89,3 +89,29 @@ def test_join_paths_agree(spark):
     a = {r.metric: r.value for r in metrics.evaluate(run, qrels).collect()}
     b = {r.metric: r.value for r in metrics.evaluate(run, qrels, max_broadcast_judgements=0).collect()}
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a)
+
+
+def test_loss_of_numbered_pairs(spark, monkeypatch):
+    """Pairs that hold numbers give the losses of pairs that hold vectors, whatever the cells
+    and however Spark's batches cut them; an exchange moves a vector once for each cell."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    qs = [(i, rng.normal(size=3).tolist()) for i in range(4)]
+    ds = [(i, rng.normal(size=3).tolist()) for i in range(9)]
+    pairs = [(k // 5, i, j) for k, (i, j) in enumerate((i, j) for i in range(4) for j in range(9) if i != j)]
+    q = spark.createDataFrame(qs, "query_no long, query_embedding array<float>")
+    d = spark.createDataFrame(ds, "doc_no long, doc_embedding array<float>")
+    p = spark.createDataFrame(pairs, "batch long, query_no long, doc_no long").repartition(5)
+    want = {r.batch: (r.n, r.loss) for r in metrics.in_batch_loss(p.join(q, "query_no").join(d, "doc_no")).collect()}
+    assert len(want) == 7 and want[6][0] == 2
+    monkeypatch.setattr(metrics, "LOSS_ROWS", 11)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for cell_bytes, records in ((1 << 20, 10000), (1, 10000), (300, 3), (1 << 20, 4)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+            got = metrics.in_batch_loss(p, queries=q, docs=d, cell_bytes=cell_bytes).collect()
+            assert len(got) == len(want)
+            assert all(r.n == want[r.batch][0] and math.isclose(r.loss, want[r.batch][1], abs_tol=1e-9) for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert metrics.in_batch_loss(p.where("batch < 0"), queries=q, docs=d).collect() == []
