@@ -7,12 +7,13 @@ are deleted: what a site repeats is not the article. A partner that shares four
 fifths of the lines is a copy, not another page, and the other neighbour is
 taken instead.
 
-Differencing alone does not give right results on the given pages (README has
-the figures: menus and adverts there do not follow the host, and articles repeat
-paragraphs), so markup decides where it speaks: scripts, styles, forms, menus,
-footers, side bars, and elements whose class, id or role names such a part are
-no lines at all; if an ``article`` (else ``main``) has lines, they are the text
-and are kept even if shared. Differencing decides for all lines elsewhere.
+Every page is differenced. Differencing alone does not give right results on the
+given pages (README has the figures: menus and adverts there do not follow the
+host, and articles repeat paragraphs), so markup checks it: scripts, styles, forms,
+menus, footers, side bars, and elements whose class, id or role names such a part
+are no lines at all; the lines of an ``article`` (else ``main``) are the text, even
+if shared, unless the page has more unshared text around that element than text in
+it. Differencing decides for all lines elsewhere.
 
 The order is a range partitioning, so a host of any size is spread over many
 tasks; at a cut a page takes its neighbour on the other side.
@@ -171,15 +172,29 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
     return out
 
 
-def differ(lines: list[str], neighbours: list[list[str]]) -> list[str]:
-    """The lines without those shared with the first neighbour that is no copy."""
+def unshared(lines: list[str], neighbours: list[list[str]]) -> list[bool] | None:
+    """Which lines the first neighbour that is no copy does not share; None without such a neighbour."""
     for other in neighbours:
         if not lines or not other:
             continue
         same = shared(lines, other)
         if sum(same) < COPY * len(lines):
-            return [x for x, s in zip(lines, same) if not s]
-    return lines
+            return [not s for s in same]
+    return None
+
+
+def article(lines: list[str], levels: list[int], neighbours: list[list[str]]) -> list[str]:
+    """The lines of the main text: those the page does not share with its neighbour say where
+    it is. The innermost mark (article, then main) holds it unless the lines around the mark
+    have more unshared text than the mark has text; then the next one out does, at last the
+    page. Lines of a mark are kept even if shared, others only if not."""
+    new, best = unshared(lines, neighbours), max(levels, default=0)
+    while best and new:
+        inside = sum(len(x) for x, y in zip(lines, levels) if y >= best)
+        if sum(len(x) for x, y, n in zip(lines, levels, new) if y < best and n) <= inside:
+            break
+        best -= 1
+    return [x for x, y, n in zip(lines, levels, new or [True] * len(lines)) if y >= best and (y or n)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -190,24 +205,16 @@ def extract(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                main, rest = [], []
-                for page in batch.column(4).to_pylist():
-                    lines = lines_of(page or "")
-                    best = max((x for x, _ in lines), default=0)
-                    main.append([x for y, x in lines if y == best] if best else None)
-                    rest.append([x for y, x in lines if y == 0])
-                kept = [batch.column(i) for i in range(4)]
+                found = [lines_of(page or "") for page in batch.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    kept + [pa.array([None if x is None else " ".join(x) for x in main], pa.string()),
-                            pa.array(rest, pa.list_(pa.string()))],
-                    names=["page_id", "url", "host", "path", "main", "lines"])
+                    [*(batch.column(i) for i in range(4)), pa.array([[x for _, x in p] for p in found], pa.list_(pa.string())),
+                     pa.array([[y for y, _ in p] for p in found], pa.list_(pa.int32()))],
+                    names=["page_id", "url", "host", "path", "lines", "levels"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def text(row, neighbours):
-            if row["main"] is not None:
-                return row["main"]
             near = [x["lines"] for x in neighbours if x is not None and x["host"] == row["host"]]
-            return " ".join(differ(row["lines"], near))
+            return " ".join(article(row["lines"], row["levels"], near))
 
         def rows(done):
             said = [t for _, t in done]
@@ -230,8 +237,8 @@ def extract(pages: DataFrame) -> DataFrame:
             yield rows([(now, text(now, (before, None)))])
 
     parsed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                          "html").mapInArrow(parse, f"page_id {kind}, url string, host string, path string, main string, "
-                                                    "lines array<string>")
+                          "html").mapInArrow(parse, f"page_id {kind}, url string, host string, path string, "
+                                                    "lines array<string>, levels array<int>")
     order = ("host", "path", "url", "page_id")
     return parsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         compare, f"page_id {kind}, url string, text string, n_chars bigint")

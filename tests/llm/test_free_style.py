@@ -286,6 +286,20 @@ def test_pages_differ_from_their_neighbours(spark):
     assert page_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
+def test_marked_pages_are_differenced(spark):
+    """An article element that is only a teaser does not replace the page's own text, which
+    differencing finds; one that holds the text does, with the lines it shares."""
+    teaser = "<body><p>Site line</p><main><article><p>Read this too</p></article><p>{0} long own text of the page</p></main>"
+    rows = [(i, f"http://h.com/{i}", teaser.format(f"word{i}")) for i in range(5)]
+    kept = "<body><p>Site {0}</p><article><p>Shared opening line of all of them</p><p>{0} own</p></article>"
+    rows += [(10 + i, f"http://k.com/{i}", kept.format(f"word{i}")) for i in range(5)]
+    rows += [(20, "http://alone.org/", teaser.format("alone"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in page_text.extract(df).collect()}
+    assert got == ({i: f"Read this too word{i} long own text of the page" for i in range(5)}
+                   | {10 + i: f"Shared opening line of all of them word{i} own" for i in range(5)} | {20: "Read this too"})
+
+
 # ---------------------------------------------------------------------- nearest neighbours
 
 def test_permutation_index_recall_and_order(spark):
