@@ -29,9 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import give_back, tidied
+
 CACHE_UNITS = 250_000     # encoded units kept by a worker
 CACHE_IDS = 4_000_000     # and their ids
 BATCH_CHARS = 8_000_000   # characters whose new units are merged together
+LOOKUP = 1 << 16          # pairs looked up together
 
 
 class RankBits:
@@ -97,9 +100,12 @@ class Vocabulary:
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the pair, -1 if it has none."""
-        key = a.astype(np.int64) << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        out = np.empty(len(a), np.int32)
+        for i in range(0, len(a), LOOKUP):
+            key = a[i:i + LOOKUP].astype(np.int64) << 32 | b[i:i + LOOKUP]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[i:i + LOOKUP] = np.where(self.keys[at] == key, self.ranks[at], -1)
+        return out
 
 
 def _leftmost(pos: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -138,7 +144,8 @@ def merge(v: Vocabulary, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray,
         if not len(pos):
             return
         right = after[pos]
-        r = np.where(right < n, v.pair(part[pos], part[right]), -1).astype(np.int32)
+        r = v.pair(part[pos], part[right])
+        r[right >= n] = -1
         rank[pos] = r
         keep = r >= 0
         pos, r = pos[keep], r[keep]
@@ -320,5 +327,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))))
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays(out, names=names)
+            del texts, kept, out
+            give_back()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)

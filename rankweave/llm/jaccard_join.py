@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, text_or_empty, written
+from .common import discard, text_or_empty, tidied, written
 from .components import components
 from .url_cascade import encode_bits, passes
 
@@ -200,7 +200,7 @@ def _counts(docs: DataFrame, words: int) -> np.ndarray:
             part = slots[at:at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
 
-    found = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidied(run), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     table = found.toArrow()  # at most a row for each slot
     counts = np.zeros(SKETCH, np.int64)
     counts[table["slot"].to_numpy()] = table["n"].to_numpy()
@@ -230,7 +230,7 @@ def _documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "node", "keys", "point"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>, point binary")
+        tidied(run), f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>, point binary")
 
 
 def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
@@ -262,7 +262,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     [pa.array(list(found), pa.int64()), _lists(list(found.values()), np.int64)],
                     names=["node", "shingles"])
 
-    return own.mapInArrow(run, "node bigint, shingles array<bigint>").groupBy("node").agg(
+    return own.mapInArrow(tidied(run), "node bigint, shingles array<bigint>").groupBy("node").agg(
         F.first("shingles").alias("shingles"))
 
 
@@ -284,7 +284,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(
-        run, "a bigint, b bigint, na bigint, nb bigint")
+        tidied(run), "a bigint, b bigint, na bigint, nb bigint")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -384,7 +384,7 @@ def _near(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield from t.select(["key", "node", "root", "n_shingles"]).filter(pa.array(near_in(t, edges))).to_batches()
 
     return m.select("key", "i", "j", "home", "node", "root", "n_shingles", "place", "keys", "point").mapInArrow(
-        run, "key bigint, node bigint, root bigint, n_shingles bigint").distinct()
+        tidied(run), "key bigint, node bigint, root bigint, n_shingles bigint").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -439,7 +439,7 @@ def _across(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()),
                                               pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
-    return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:

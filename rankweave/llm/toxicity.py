@@ -44,6 +44,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 ORDER, DECAY = 4, 0.5
 PIECE, OVERLAP = 40, 12       # characters of a piece of a very long word
 SENTENCE = 40                 # words, where no sentence ends before
@@ -418,7 +420,7 @@ def _scored(docs: DataFrame, model: Model, text_at: int, schema: str, emit) -> D
                 texts = [x or "" for x in part.column(text_at).to_pylist()]
                 yield emit(part, np.array([own.score(s) for s in reader.sentences(texts)], np.float64))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,7 +2,11 @@ import base64
 import hashlib
 import math
 import random
+import subprocess
+import sys
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from rankweave.llm import bpe, queries, token_counts
@@ -140,3 +144,45 @@ def test_query_counts_by_log_probabilities(spark):
     assert plain and all(got[i] == len(tokenizer.encode(texts[i]).ids) for i in plain)
     none = token_counts.unigram(spark.createDataFrame([(None,), ("",)], "text string"))
     assert len(none) == len(pieces) and len({s for _, s in none}) == 1
+
+
+def test_merge_looks_pairs_up_in_bounded_memory(vocabulary):
+    words = [" ".join(TEXTS[k % len(TEXTS)] for k in range(i, i + 4)).encode() for i in range(0, 4000)]
+    data, lengths = b"".join(words), np.array([len(w) for w in words])
+    tracemalloc.start()
+    found = vocabulary.pair(np.zeros(len(data), np.int32), np.ones(len(data), np.int32))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * len(data)  # the arguments and the result are 12 of these, a lookup of all at once 50 and more
+    key = 0 << 32 | 1
+    at = np.flatnonzero(vocabulary.keys == key)
+    assert (found == (vocabulary.ranks[at[0]] if len(at) else -1)).all()
+    ids, counts = bpe.merge(vocabulary, data, lengths)
+    assert counts.sum() == len(ids) and bpe.decode(vocabulary, ids) == data
+
+
+def test_a_task_leaves_no_freed_memory_to_its_worker():
+    code = """
+import re
+from rankweave.llm import common
+
+def held():
+    with open("/proc/self/status") as f:
+        return int(re.search(r"RssAnon:\\s+(\\d+)", f.read())[1]) / 1024
+
+def run(batches):
+    for batch in batches:
+        made = [bytes(2000) for _ in range(50_000)]
+        made = made[-1]  # what stays at the end of the heap keeps the rest from going by itself
+        yield batch, held()
+        kept.append(made)
+
+kept = []
+before = held()
+(_, plain), = run(["x"])
+assert plain > before + 50, (before, plain)
+assert [b for b, _ in common.tidied(run)(["x", "y"])] == ["x", "y"]
+assert held() < before + 20, (before, held())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
