@@ -24,15 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from rankweave.defaults import METRICS, PERCENT_DIGITS, REPORT_DIGITS
 from rankweave.functions.vectors import list_column_to_matrix
+from rankweave.operators.packs import pack_numbers, unpack_numbers
 from rankweave.session import ensure_checkpoint_dir, written
 
 DEFAULT_METRICS = METRICS
 MAX_BROADCAST_JUDGEMENTS = 2_000_000  # (query, doc, grade) rows broadcast into the run join
 LOSS_CELL_BYTES = 256 << 20  # vectors of a cell of batches, at most
 MAX_CELL_TASKS = 2000
+CELLS_PER_CORE = 4  # ranges of document numbers
 LOSS_ROWS = 4096  # rows of the batches whose logits are made at once, about
 
 
@@ -163,11 +166,13 @@ def report(evaluation: DataFrame, *, percent: bool = False) -> DataFrame:
 
 
 def _losses(qm: np.ndarray, dm: np.ndarray) -> np.ndarray:
-    """The loss of each of the batches (batches, rows, dimensions)."""
+    """The loss of each of the batches (batches, rows, dimensions); one query (batches, 1,
+    dimensions) stands for equal ones in all rows, which have the same logits."""
     logits = qm.astype(np.float64) @ dm.astype(np.float64).transpose(0, 2, 1)
     mx = logits.max(axis=2, keepdims=True)
     lse = mx[..., 0] + np.log(np.exp(logits - mx).sum(axis=2))
-    return (lse - np.diagonal(logits, axis1=1, axis2=2)).mean(axis=1)
+    own = logits[:, 0] if logits.shape[1] == 1 else np.diagonal(logits, axis1=1, axis2=2)
+    return (lse - own).mean(axis=1)
 
 
 def in_batch_loss(pairs: DataFrame, *, query_vec: str = "query_embedding", doc_vec: str = "doc_embedding",
@@ -182,15 +187,21 @@ def in_batch_loss(pairs: DataFrame, *, query_vec: str = "query_embedding", doc_v
     batch leaves the task, the batch x batch logits never become rows.
 
     With ``queries`` (``query_no``, ``query_vec``) and ``docs`` (``doc_no``, ``doc_vec``)
-    the pairs hold only those numbers (unique in their table) and the batch. Batches that
-    follow one another then make a cell, which gets each vector it needs once instead of
-    once for each pair: as many batches as have vectors of ``cell_bytes`` at most.
+    the pairs hold only those numbers (unique in their table) and the batch, or are a row
+    per batch with ARRAYs of the numbers (``assign_batches`` with ``lists``). A cell is then
+    a range of query numbers against a range of document numbers, whose vectors it gets
+    once; it does the batches whose first pair lies in it, and gets the vectors it lacks
+    for them besides: vectors of ``cell_bytes`` at most.
     """
     if queries is not None and docs is not None:
-        return _loss_in_cells(pairs.select(F.col(batch_col).cast("long").alias("batch"), F.col(query_no).alias("_q"),
-                                           F.col(doc_no).alias("_d")),
-                              queries.select(F.col(query_no).alias("_q"), F.col(query_vec).alias("_vec")),
-                              docs.select(F.col(doc_no).alias("_d"), F.col(doc_vec).alias("_vec")), cell_bytes)
+        own = pairs.select(F.col(batch_col).cast("long").alias("batch"), F.col(query_no).alias("_q"),
+                           F.col(doc_no).alias("_d"))
+        if not isinstance(own.schema["_q"].dataType, ArrayType):
+            own = own.groupBy("batch").agg(F.collect_list(F.struct("_q", "_d")).alias("_p"))
+            own = own.select("batch", F.col("_p._q").alias("_q"), F.col("_p._d").alias("_d"))
+        return _loss_in_cells(own, queries.select(F.col(query_no).cast("long").alias("_no"), F.col(query_vec).alias("_vec")),
+                              docs.select(F.col(doc_no).cast("long").alias("_no"), F.col(doc_vec).alias("_vec")),
+                              cell_bytes)
     import pandas as pd
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,78 +212,150 @@ def in_batch_loss(pairs: DataFrame, *, query_vec: str = "query_embedding", doc_v
     return sel.groupBy(batch_col).applyInPandas(loss, "batch long, n long, loss double")
 
 
-def _loss_in_cells(pairs: DataFrame, queries: DataFrame, docs: DataFrame, cell_bytes: int) -> DataFrame:
-    """(batch, n, loss) of pairs (batch, _q, _d) with vectors (_q, _vec) and (_d, _vec): a cell's
-    vectors come first, then its pairs by batch, and a task holds the vectors of one cell."""
-    size = pairs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("batch").alias("batches")).first()
-    kinds = {t.schema["_vec"].dataType.simpleString() for t in (queries, docs)}
+def _loss_in_cells(lists: DataFrame, queries: DataFrame, docs: DataFrame, cell_bytes: int) -> DataFrame:
+    """(batch, n, loss) of batches (batch, _q ARRAY, _d ARRAY) with vectors (_no, _vec): a cell's
+    vectors come first, then its batches, packed, and a task holds the vectors of one cell."""
+    schema = "batch long, n long, loss double"
+    sides, tasks = (queries, docs), lists.sparkSession.sparkContext.defaultParallelism
+    kinds = {t.schema["_vec"].dataType.simpleString() for t in sides}
     kind = kinds.pop() if len(kinds) == 1 else "array<double>"
-    wide = (docs.agg(F.max(F.size("_vec"))).first()[0] or 1) * (4 if kind == "array<float>" else 8)
-    # each pair has two vectors of its own, at worst
-    in_cell = cell_bytes // (2 * wide) * size["batches"] // max(1, size["n"])
-    in_cell = max(1, min(in_cell, -(-size["batches"] // (2 * pairs.sparkSession.sparkContext.defaultParallelism))))
-    n_cells = max(1, -(-size["batches"] // in_cell))
-    pairs = pairs.withColumn("_cell", F.floor(F.col("batch") / in_cell).cast("long"))
-    none, vec = F.lit(None).cast("long"), F.col("_vec").cast(kind)
-    cells = [pairs.select("_cell", "_q").distinct().join(queries, "_q").select(
-                 "_cell", F.lit(0).alias("_kind"), none.alias("batch"), "_q", none.alias("_d"), vec.alias("_vec")),
-             pairs.select("_cell", "_d").distinct().join(docs, "_d").select(
-                 "_cell", F.lit(1).alias("_kind"), none.alias("batch"), none.alias("_q"), "_d", vec.alias("_vec")),
-             pairs.select("_cell", F.lit(2).alias("_kind"), "batch", "_q", "_d",
-                          F.lit(None).cast(kind).alias("_vec"))]
-    cells = reduce(DataFrame.unionByName, cells).repartition(min(n_cells, MAX_CELL_TASKS), "_cell")
-    cells = cells.sortWithinPartitions("_cell", "_kind", "batch")
-
-    def matrix(col):
-        return list_column_to_matrix(col, col.type.value_type.to_pandas_dtype())
+    of = [t.agg(F.min("_no"), F.max("_no"), F.max(F.size("_vec"))).first() for t in sides]
+    if any(r[0] is None for r in of):
+        return lists.sparkSession.createDataFrame([], schema)
+    wide = max(1, *(r[2] for r in of)) * (4 if kind == "array<float>" else 8)
+    # a quarter of a cell for its queries, a quarter for its documents, half for what they lack
+    low, step = [r[0] for r in of], [max(1, cell_bytes // (4 * wide))] * 2
+    step[1] = min(step[1], -(-(of[1][1] - low[1] + 1) // (CELLS_PER_CORE * tasks)))
+    n_ranges = (of[1][1] - low[1]) // step[1] + 1
+
+    def placed(b: pa.RecordBatch, split: dict[int, int]):
+        """The batches' numbers, sizes, pairs (two columns), their ranges, cells and parts of cells."""
+        batch, rows = b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+        pairs = [b.column(i).flatten().to_numpy() for i in (1, 2)]
+        ranges = [(c - x) // y for c, x, y in zip(pairs, low, step)]
+        first = np.cumsum(rows) - rows
+        cell = ranges[0][first] * n_ranges + ranges[1][first]
+        part = np.zeros(len(cell), np.int64)
+        for c in np.unique(cell).tolist() if split else ():
+            if c in split:
+                part[cell == c] = batch[cell == c] % split[c]
+        return batch, rows, pairs, ranges, first, cell, part
+
+    def needs(split: dict[int, int]):
+        """Rows (_cell, _part, _side, _no, _n): cells (_side 2) and the numbers outside their
+        ranges (0 of queries, 1 of documents), and how many pairs have them."""
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                _, rows, pairs, ranges, first, cell, part = placed(b, split)
+                found = [(cell, part, np.full(len(cell), 2), np.zeros(len(cell), np.int64))]
+                for side in (0, 1):
+                    out = np.flatnonzero(ranges[side] != np.repeat(ranges[side][first], rows))
+                    own = np.searchsorted(first, out, "right") - 1
+                    found.append((cell[own], part[own], np.full(len(out), side), pairs[side][out]))
+                t = pa.table([np.concatenate(c) for c in zip(*found)], names=["_cell", "_part", "_side", "_no"])
+                t = t.append_column("_n", pa.array(np.ones(t.num_rows, np.int64)))
+                keys = ["_cell", "_part", "_side", "_no"]
+                t = t.group_by(keys).aggregate([("_n", "sum")]).rename_columns({"_n_sum": "_n"})
+                yield from t.select([*keys, "_n"]).combine_chunks().to_batches()
+
+        found = lists.mapInArrow(run, "_cell long, _part long, _side long, _no long, _n long")
+        return written(found.groupBy("_cell", "_part", "_side", "_no").agg(F.sum("_n").alias("_n")), "cells")
+
+    needed, split = needs({}), {}
+    # a cell that lacks too many vectors is split by batches, so that half a cell holds them
+    lacks = F.sum(F.when(F.col("_side") < 2, 1).otherwise(0))
+    for r in needed.groupBy("_cell").agg(lacks.alias("few"), F.sum(F.when(F.col("_side") < 2, F.col("_n"))
+                                                                   .otherwise(0)).alias("most")).where(
+            F.col("few") * wide > cell_bytes // 2).collect():
+        split[r["_cell"]] = -(-r["most"] * wide // max(1, cell_bytes // 2))
+    if split:
+        needed = needs(split)
+    cells = needed.where("_side = 2").select(
+        "_cell", "_part", F.expr(f"_cell div {n_ranges}").alias("_r0"), F.expr(f"_cell % {n_ranges}").alias("_r1"))
+    n_cells = cells.count()
+    none = F.lit(None).cast("binary").alias("_pairs")
+    rows = []
+    for side, t in enumerate(sides):
+        t = t.withColumn("_vec", F.col("_vec").cast(kind))
+        ranged = t.withColumn(f"_r{side}", F.expr(f"(_no - {low[side]}) div {step[side]}"))
+        for own in (ranged.join(F.broadcast(cells.select("_cell", "_part", f"_r{side}")), f"_r{side}"),
+                    needed.where(F.col("_side") == side).select("_cell", "_part", "_no").join(t, "_no")):
+            rows.append(own.select("_cell", "_part", F.lit(side).alias("_side"), "_no", "_vec", none))
+
+    def packed(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            batch, rows, pairs, _, first, cell, part = placed(b, split)
+            by = np.lexsort((part, cell))
+            at = np.flatnonzero(np.diff(cell[by], prepend=-1) | np.diff(part[by], prepend=-1))
+            for own in np.split(by, at[1:]):
+                place = np.repeat(first[own] - np.cumsum(rows[own]) + rows[own], rows[own]) + np.arange(rows[own].sum())
+                data = pack_numbers([batch[own], rows[own], *(c[place] for c in pairs)])
+                yield pa.RecordBatch.from_arrays([pa.array([cell[own[0]]]), pa.array([part[own[0]]]),
+                                                  pa.array([data], pa.binary())], names=["_cell", "_part", "_pairs"])
+
+    rows.append(lists.mapInArrow(packed, "_cell long, _part long, _pairs binary").select(
+        "_cell", "_part", F.lit(2).alias("_side"), F.lit(None).cast("long").alias("_no"),
+        F.lit(None).cast(kind).alias("_vec"), "_pairs"))
+    rows = reduce(DataFrame.unionByName, rows).repartition(max(1, min(2 * n_cells, MAX_CELL_TASKS)), "_cell", "_part")
+    rows = rows.sortWithinPartitions("_cell", "_part", "_side")
 
     def by_number(parts):
-        """The numbers in order and their vectors in that order."""
-        no, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        """The numbers in order, where each one's vector is, and the vectors."""
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        no = np.concatenate([p[0] for p in parts])
         order = np.argsort(no)
-        return no[order], m[order]
-
-    def done(rows, vectors):
-        """The losses of whole batches, given as arrays (batch, _q, _d)."""
-        batch, at = rows[0], [np.searchsorted(v[0], r) for v, r in zip(vectors, rows[1:])]
-        ids, first, n = np.unique(batch, return_index=True, return_counts=True)
-        value = np.empty(len(ids))
-        for rows_in in np.unique(n):
-            own = np.flatnonzero(n == rows_in)
-            step = max(1, LOSS_ROWS // int(rows_in))
+        return no[order], order, pa.concat_arrays([p[1] for p in parts])
+
+    def places(held, numbers):
+        """Where the vectors of the numbers are."""
+        at = np.searchsorted(held[0], numbers)
+        if len(held[0]) == 0 or (held[0][np.minimum(at, len(held[0]) - 1)] != numbers).any():
+            raise ValueError("a pair's number is not in its table")
+        return held[1][at]
+
+    def matrix(held, at):
+        return list_column_to_matrix(held[2].take(pa.array(at.ravel())), held[2].type.value_type.to_pandas_dtype()
+                                     ).reshape(*at.shape, -1)
+
+    def done(data, vectors):
+        """The losses of packed batches."""
+        ids, n, *pairs = unpack_numbers(data)
+        at = [places(v, c) for v, c in zip(vectors, pairs)]
+        first, value = np.cumsum(n) - n, np.empty(len(ids))
+        one = np.add.reduceat(np.diff(pairs[0], prepend=pairs[0][:1]) != 0, first)
+        one -= np.diff(pairs[0], prepend=pairs[0][:1])[first] != 0  # the step from the batch before
+        for rows_in, alone in {*zip(n.tolist(), (one == 0).tolist())}:
+            own = np.flatnonzero((n == rows_in) & ((one == 0) == alone))
+            step = max(1, LOSS_ROWS // rows_in)
             for i in range(0, len(own), step):
                 place = first[own[i:i + step], None] + np.arange(rows_in)
-                value[own[i:i + step]] = _losses(vectors[0][1][at[0][place]], vectors[1][1][at[1][place]])
+                value[own[i:i + step]] = _losses(matrix(vectors[0], at[0][place[:, :1] if alone else place]),
+                                                 matrix(vectors[1], at[1][place]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(value)],
                                           names=["batch", "n", "loss"])
 
     def losses(batches):
-        cell, parts, vectors, rest = None, ([], []), None, None
+        cell, parts, vectors = None, ([], []), None
         for b in batches:
-            keys = np.stack([b.column(i).to_numpy() for i in (0, 1)])
+            keys = np.stack([b.column(i).to_numpy() for i in (0, 1, 2)])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
                     continue
-                if keys[0, x] != cell:
-                    if rest is not None:
-                        yield done(rest, vectors)
-                    cell, parts, vectors, rest = keys[0, x], ([], []), None, None
-                run, side = b.slice(x, y - x), int(keys[1, x])
+                if tuple(keys[:2, x]) != cell:
+                    cell, parts, vectors = tuple(keys[:2, x]), ([], []), None
+                run, side = b.slice(x, y - x), int(keys[2, x])
                 if side < 2:
-                    parts[side].append((run.column(3 + side).to_numpy(), matrix(run.column(5))))
+                    parts[side].append((run.column(3).to_numpy(), run.column(4)))
                     continue
                 if vectors is None:
                     vectors, parts = [by_number(p) for p in parts], ([], [])
-                rows = [run.column(i).to_numpy() for i in (2, 3, 4)]
-                if rest is not None:
-                    rows = [np.concatenate(pair) for pair in zip(rest, rows)]
-                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last batch may go on
-                if whole:
-                    yield done([r[:whole] for r in rows], vectors)
-                rest = [r[whole:] for r in rows]
-        if rest is not None:
-            yield done(rest, vectors)
-
-    return cells.select("_cell", "_kind", "batch", "_q", "_d", "_vec").mapInArrow(
-        losses, "batch long, n long, loss double")
+                for data in run.column(5):
+                    yield done(data.as_buffer(), vectors)
+
+    return rows.select("_cell", "_part", "_side", "_no", "_vec", "_pairs").mapInArrow(losses, schema)

@@ -8,16 +8,30 @@ checkpointed to the session's reliable checkpoint folder so that a retried
 task sees the same rows, and each partition's offset comes from the
 per-partition counts (one number per partition, collected like
 ``zipWithIndex`` does).
+
+Rows of nothing but numbers, such as pairs, can be far more than what they are made
+of. ``assign_batches`` with ``lists`` orders them in packs of a byte or two a row and
+gives a row per batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.operators.packs import pack_numbers, unpack_numbers
 from rankweave.session import ensure_checkpoint_dir, written
 
 _LOW_BITS = (1 << 33) - 1
+BOUND_ROWS = 10_000       # rows of a sample that tells where the parts of an order begin
+PART_ROWS = 2_000_000     # rows of numbers that are put in order at once, about
+HELD_ROWS = 1 << 20       # rows of numbers that are cut into parts at once
+PACK_ROWS = 1 << 16       # rows of numbers in a written pack
 
 
 def indexed_with_count(df: DataFrame, order_by: list[str] | str, *, out_col: str = "row_idx",
@@ -113,9 +127,177 @@ def take_shard(df: DataFrame, n_shards: int, index: int, order_by, *, rule: str
         F.col("_shard") == index).drop("_shard")
 
 
-def assign_batches(df: DataFrame, batch_size: int, order_by, *, out_col: str = "batch") -> DataFrame:
-    """Consecutive batches of ``batch_size`` rows in ``order_by`` order (last one shorter)."""
+def assign_batches(df: DataFrame, batch_size: int, order_by, *, out_col: str = "batch",
+                   lists: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """Consecutive batches of ``batch_size`` rows in ``order_by`` order (last one shorter).
+
+    With ``lists``, for rows of whole numbers, a batch is one row (``out_col``, an ARRAY<BIGINT>
+    of its rows' numbers for each column of ``lists``); rows go through the exchange and the
+    scratch folder as packs."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
+    if lists is not None:
+        return _batch_lists(df, batch_size, [order_by] if isinstance(order_by, str) else list(order_by), out_col,
+                            lists, part_rows)
     idx = dense_index(df, order_by, out_col="_r")
     return idx.withColumn(out_col, F.floor(F.col("_r") / batch_size).cast("long")).drop("_r")
+
+
+def _numbers(b: pa.RecordBatch) -> list[np.ndarray]:
+    if any(c.null_count for c in b.columns):
+        raise ValueError("null among the numbers of a batch")
+    return [c.to_numpy() for c in b.columns]
+
+
+def _places_in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """The places of the rows in the order of the columns."""
+    keys: list[np.ndarray] = []
+    spans: list[int] = []
+    for i, c in enumerate(columns):
+        if any(np.array_equal(c, own) for own in columns[:i]):
+            continue  # decides nothing
+        low = c.min(initial=0)
+        span = int(c.max(initial=0)) - int(low) + 1
+        if spans and spans[-1] * span < 1 << 62:  # two columns make one number
+            keys[-1], spans[-1] = keys[-1] * span + (c - low), spans[-1] * span
+        else:
+            keys, spans = [*keys, c - low if span < 1 << 62 else c], [*spans, span]
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
+def _bounds(rows: DataFrame, part_rows: int) -> list[tuple[int, ...]]:
+    """Rows at which the parts of the order begin, but the first, from an even sample."""
+    names = rows.columns
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, most, held, n = np.random.default_rng(TaskContext.get().partitionId()), 1.0, [], 0
+
+        def lowest():
+            u, *columns = map(np.concatenate, zip(*held))
+            own = np.argsort(u)[:BOUND_ROWS]
+            return [u[own], *(c[own] for c in columns)]
+
+        for b in batches:
+            u = rng.random(b.num_rows)
+            own = np.flatnonzero(u < most)
+            if len(own):
+                held.append([u[own], *(c[own] for c in _numbers(b))])
+                n += len(own)
+            if n > 8 * BOUND_ROWS:
+                held = [lowest()]
+                most, n = held[0][0][-1], BOUND_ROWS
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in lowest()], names=["_u", *names])
+
+    found = rows.mapInArrow(sample, "_u double, " + ", ".join(f"`{c}` long" for c in names))
+    found = [tuple(r) for r in found.orderBy("_u").limit(BOUND_ROWS).collect()]
+    # the lowest of n even draws: the last of k is at about k / n
+    n = int(len(found) / max(r[0] for r in found)) if len(found) == BOUND_ROWS else len(found)
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n // part_rows), min(tasks, n // PACK_ROWS), 1)
+    own = sorted(r[1:] for r in found)
+    return sorted({own[i * len(own) // parts] for i in range(1, parts)}) if own else []
+
+
+def _batch_lists(df: DataFrame, batch_size: int, order_by: list[str], out_col: str, lists: list[str],
+                 part_rows: int) -> DataFrame:
+    columns = list(dict.fromkeys([*order_by, *lists]))
+    rows = df.select(*[F.col(c).cast("long").alias(c) for c in columns])
+    kept, n_order = [columns.index(c) for c in lists], len(order_by)
+    bounds = _bounds(rows.select(*order_by), part_rows)
+
+    def cuts(ordered: list[np.ndarray]) -> list[int]:
+        """The first place of each part, and the end."""
+        out = [0]
+        for bound in bounds:
+            low, high = out[-1], len(ordered[0])
+            for c, v in zip(ordered, bound):
+                low, high = (low + int(np.searchsorted(c[low:high], v, side)) for side in ("left", "right"))
+                if low == high:
+                    break
+            out.append(low)
+        return [*out, len(ordered[0])]
+
+    def in_order(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        whole = [np.concatenate(c) for c in zip(*held)]
+        place = _places_in_order(whole[:n_order])
+        return [c[place] for c in whole]
+
+    def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out():
+            ordered = in_order(held)
+            at = cuts(ordered)
+            own = [i for i, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+            packs = [pack_numbers([c[at[i]:at[i + 1]] for c in ordered]) for i in own]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packs, pa.binary())],
+                                              names=["_part", "_data"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(_numbers(b))
+                n += b.num_rows
+            if n >= HELD_ROWS:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def out():
+            ordered = in_order(held)
+            ordered = [ordered[i] for i in kept]
+            for at in range(0, len(ordered[0]), PACK_ROWS):
+                own = [c[at:at + PACK_ROWS] for c in ordered]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(own[0])], pa.int64()),
+                     pa.array([pack_numbers(own)], pa.binary())], names=["_part", "_pos", "_n", "_data"])
+
+        for b in batches:
+            for p, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if p != part and held:
+                    yield from out()
+                    held = []
+                part = p
+                held.append(unpack_numbers(data.as_buffer()))
+        if held:
+            yield from out()
+
+    packs = rows.mapInArrow(in_parts, "_part int, _data binary").repartition(len(bounds) + 1, "_part")
+    packs = written(packs.sortWithinPartitions("_part").mapInArrow(
+        whole_parts, "_part int, _pos long, _n long, _data binary"), "batches")
+    first, total = {}, 0
+    for part, n in sorted(map(tuple, packs.groupBy("_part").agg(F.sum("_n")).collect())):
+        first[part], total = total, total + n
+
+    def cut(whole: bool):
+        """Batches that lie in one pack, or the pieces of the others."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part, pos, n, data in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3)):
+                    start = first[part] + pos
+                    at = np.arange(-(-start // batch_size) * batch_size, start + n, batch_size)
+                    at = np.unique([start, *at, start + n])
+                    no = at[:-1] // batch_size
+                    own = (np.diff(at) == np.minimum(batch_size, total - no * batch_size)) == whole
+                    if not own.any():
+                        continue
+                    values = unpack_numbers(data.as_buffer())
+                    # whole batches follow one another; of pieces there are two at most
+                    for x, y in [(np.flatnonzero(own)[0], np.flatnonzero(own)[-1] + 1)] if whole else [
+                            (i, i + 1) for i in np.flatnonzero(own)]:
+                        ends = at[x:y + 1] - start
+                        offsets = pa.array(ends - ends[0], pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(no[x:y]), pa.array(at[x:y]),
+                             *(pa.ListArray.from_arrays(offsets, pa.array(v[ends[0]:ends[-1]])) for v in values)],
+                            names=[out_col, "_at", *lists])
+
+        return packs.mapInArrow(run, f"`{out_col}` long, _at long, " + ", ".join(f"`{c}` array<long>" for c in lists))
+
+    pieces = cut(False).groupBy(out_col).agg(F.sort_array(F.collect_list(F.struct("_at", *lists))).alias("_p"))
+    return cut(True).drop("_at").unionByName(
+        pieces.select(out_col, *[F.flatten(F.col("_p")[c]).alias(c) for c in lists]))

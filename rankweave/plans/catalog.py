@@ -268,26 +268,25 @@ def _triplets(epoch):
 
 
 def _numbered(vecs, id_col):
-    """The vectors with a number of their own in the order of ``id_col`` and the number at
-    which their id begins, and how many there are."""
+    """The vectors with a number of their own in the order of ``id_col``; the ids with it and
+    the number at which they begin; and how many there are."""
     df, n = partitioning.indexed_with_count(vecs, id_col, out_col="no")
     first = df.groupBy(id_col).agg(F.min("no").alias("first"))
-    return df.join(first, id_col), n
+    return df, df.select(id_col, "no").join(first, id_col), n
 
 
 def q_in_batch_loss(s, d):
-    """The pairs are ordered and batched as numbers; the vectors meet whole batches."""
+    """The pairs are ordered and batched as numbers, a row per batch; the vectors meet whole batches."""
     sides = {"query": fx.vec_queries(s, d), "doc": fx.vec_docs(s, d)}
     pairs, vecs = fx.vec_qrels(s, d), {}
     for side, df in sides.items():
-        own, n = _numbered(df.select(f"{side}_id", F.col("embedding").alias(f"{side}_embedding")), f"{side}_id")
-        own = own.withColumnsRenamed({"no": f"{side}_no", "first": f"{side}_first"})
-        vecs[side] = own.select(f"{side}_no", f"{side}_embedding")
-        numbers = own.select(f"{side}_id", f"{side}_no", f"{side}_first")
+        own, numbers, n = _numbered(df.select(f"{side}_id", F.col("embedding").alias(f"{side}_embedding")), f"{side}_id")
+        vecs[side] = own.select(F.col("no").alias(f"{side}_no"), f"{side}_embedding")
+        numbers = numbers.select(f"{side}_id", F.col("no").alias(f"{side}_no"), F.col("first").alias(f"{side}_first"))
         pairs = pairs.join(F.broadcast(numbers) if n <= MAX_BROADCAST_IDS else numbers, f"{side}_id")
     # the order of (query_id, doc_id)
     order = ["query_first", "doc_first", "query_no", "doc_no"]
-    batched = partitioning.assign_batches(pairs.select(*order), LOSS_BATCH, order)
+    batched = partitioning.assign_batches(pairs.select(*order), LOSS_BATCH, order, lists=["query_no", "doc_no"])
     loss = metrics.in_batch_loss(batched, queries=vecs["query"], docs=vecs["doc"])
     return loss.select("batch", "n", r6("loss").alias("loss"))
 

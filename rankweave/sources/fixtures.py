@@ -79,11 +79,11 @@ def vec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     A label holds about a tenth of all rows, so the join on label is salted:
     the document side is split by a hash of doc_id, the query side copied per salt.
     """
-    q = vec_queries(spark, sf_dir).select("query_id", "label")
-    d = vec_docs(spark, sf_dir).select("doc_id", "label")
-    own = F.substring("query_id", 2, 20) == F.substring("doc_id", 2, 20)
-    return salted_join(d, q, "label", unique_col="doc_id").where(~own).select("query_id", "doc_id",
-                                                                              F.lit(1).alias("relevance"))
+    # made before the join: there are many more pairs than queries and documents
+    q = vec_queries(spark, sf_dir).select("query_id", "label", F.substring("query_id", 2, 20).alias("_q"))
+    d = vec_docs(spark, sf_dir).select("doc_id", "label", F.substring("doc_id", 2, 20).alias("_d"))
+    pairs = salted_join(d, q, "label", unique_col="doc_id", spread=True).where(~(F.col("_q") == F.col("_d")))
+    return pairs.select("query_id", "doc_id", F.lit(1).alias("relevance"))
 
 
 def vec_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

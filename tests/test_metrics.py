@@ -115,3 +115,70 @@ def test_loss_of_numbered_pairs(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert metrics.in_batch_loss(p.where("batch < 0"), queries=q, docs=d).collect() == []
+
+
+def _losses_by_hand(q, d, batches):
+    import numpy as np
+    out = {}
+    for no, rows in batches.items():
+        logits = np.array([q[i] for i, _ in rows]) @ np.array([d[j] for _, j in rows]).T
+        mx = logits.max(axis=1, keepdims=True)
+        lse = mx[:, 0] + np.log(np.exp(logits - mx).sum(axis=1))
+        out[no] = (len(rows), float((lse - np.diagonal(logits)).mean()))
+    return out
+
+
+def test_loss_of_listed_pairs(spark):
+    """Batches given as lists, of one query, of several, and with rows that come twice, give the
+    same losses whatever the ranges of a cell; a vector that no pair has may be null."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    q, d = rng.normal(size=(6, 4)), rng.normal(size=(40, 4))
+    pairs = sorted((i, int(j)) for i in range(6) for j in rng.integers(0, 40, 30 if i else 90))
+    batches = {k: pairs[k * 16:k * 16 + 16] for k in range(-(-len(pairs) // 16))}
+    batches[99] = [(int(i), int(j)) for i, j in zip(rng.integers(0, 6, 16), rng.integers(0, 40, 16))]
+    want = _losses_by_hand(q, d, batches)
+    lists = spark.createDataFrame([(k, *map(list, zip(*v))) for k, v in batches.items()],
+                                  "batch long, query_no array<long>, doc_no array<long>").repartition(3)
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_no long, query_embedding array<double>")
+    ds = spark.createDataFrame([*((j, v.tolist()) for j, v in enumerate(d)), (40, None), (41, [1.0])],
+                               "doc_no long, doc_embedding array<double>")
+    for cell_bytes in (1 << 20, 2000, 1):
+        got = metrics.in_batch_loss(lists, queries=qs, docs=ds, cell_bytes=cell_bytes).collect()
+        assert len(got) == len(want)
+        assert all(r.n == want[r.batch][0] and math.isclose(r.loss, want[r.batch][1], abs_tol=1e-9) for r in got)
+    bad = ds.where("doc_no <> 3"), ds.selectExpr("doc_no", "if(doc_no = 3, null, doc_embedding) AS doc_embedding")
+    for docs, said in zip(bad, ("not in its table", "null vector")):
+        with pytest.raises(Exception, match=said):
+            metrics.in_batch_loss(lists, queries=qs, docs=docs).collect()
+
+
+def test_loss_query_writes_little(spark, tmp_path):
+    """Pairs take a byte or two of scratch and exchange files, not tens, and a vector goes to a
+    few cells, not to all that have pairs with it; the losses are those of all pairs."""
+    import os
+    import numpy as np
+    from rankweave.plans import catalog
+    from rankweave.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(3)
+    v, labels = rng.normal(size=(6000, 8)).astype(np.float32), rng.integers(0, 4, 6000)
+    spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, labels))],
+                          "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def files():
+        shuffled = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = [shuffled.apply(i).getPath() for i in range(shuffled.size())]
+        kept = ensure_checkpoint_dir(spark).removeprefix("file:")
+        found += [f"{at}/{f}" for at, _, names in os.walk(kept) for f in names]
+        return {f: os.path.getsize(f) for f in found if os.path.exists(f)}
+
+    before = files()
+    got = {r.batch: (r.n, r.loss) for r in catalog.queries()["in_batch_loss"](spark, str(tmp_path)).collect()}
+    size = sum(n for f, n in files().items() if f not in before)
+    pairs = sorted((f"V{i}", f"D{j}") for i in range(0, 6000, 50) for j in np.flatnonzero(labels == labels[i]) if i != j)
+    order = [(int(i[1:]), int(j[1:])) for i, j in pairs]
+    want = _losses_by_hand(v.astype(float), v.astype(float), {k: order[k * 64:k * 64 + 64] for k in range(-(-len(order) // 64))})
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and math.isclose(got[k][1], x, abs_tol=2e-6) for k, (n, x) in want.items())
+    print(f"{size / len(order):.1f} bytes a pair, {len(order)} pairs")
+    assert size < 12 * len(order)

@@ -44,6 +44,35 @@ def test_batches(spark):
     assert sizes == [2, 64, 64]
 
 
+def test_number_packs():
+    import numpy as np
+    from rankweave.operators.packs import pack_numbers, unpack_numbers
+    for columns in ([], [[]], [[5]], [[2**62, -2**62, 7], list(range(9))], [[2**63 - 1, -2**63, 0]], [[0] * 5, [3, -3, 1]]):
+        got = unpack_numbers(pack_numbers([np.array(c, np.int64) for c in columns]))
+        assert [c.tolist() for c in got] == columns
+    assert len(pack_numbers([np.full(10_000, 7), np.arange(10_000) * 9])) < 1000
+
+
+def test_batches_in_lists(spark, monkeypatch):
+    """A row per batch holds what the rows of the batch hold, in order, whatever the parts and
+    packs; rows may come twice, and one leading number may have most rows."""
+    rows = [(i * i % 7 if i % 3 else 4, -(i * 5 % 11), i % 2, i // 2 % 9) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, b long, c int, d long").repartition(3)
+    want = sorted(rows)
+    monkeypatch.setattr(partitioning, "HELD_ROWS", 50)
+    for size, part_rows, pack_rows in ((64, 1 << 20, 1 << 16), (7, 60, 13), (64, 30, 10), (1, 100, 16), (500, 90, 9)):
+        monkeypatch.setattr(partitioning, "PACK_ROWS", pack_rows)
+        got = partitioning.assign_batches(df, size, ["a", "b", "c", "d"], lists=["d", "b", "a"], part_rows=part_rows)
+        assert got.columns == ["batch", "d", "b", "a"]
+        got = {r.batch: (r.d, r.b, r.a) for r in got.collect()}
+        assert len(got) == -(-400 // size)
+        for n, lists in got.items():
+            assert list(zip(*lists)) == [(d, b, a) for a, b, c, d in want[n * size:(n + 1) * size]]
+    assert partitioning.assign_batches(df.where("a < 0"), 7, "a", lists=["a"]).collect() == []
+    with pytest.raises(Exception, match="null among the numbers"):
+        partitioning.assign_batches(df.selectExpr("nullif(a, 4) AS a"), 7, "a", lists=["a"]).collect()
+
+
 def test_run_file_round_trip(spark, tmp_path):
     run = spark.createDataFrame([("q1", "d1", 1, 0.5), ("q1", "d2", 2, 0.25), ("q2", "d3", 1, 0.125)],
                                 "query_id string, doc_id string, rank int, score double")
