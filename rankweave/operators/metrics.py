@@ -35,7 +35,8 @@ DEFAULT_METRICS = METRICS
 MAX_BROADCAST_JUDGEMENTS = 2_000_000  # (query, doc, grade) rows broadcast into the run join
 LOSS_CELL_BYTES = 256 << 20  # vectors of a cell of batches, at most
 MAX_CELL_TASKS = 2000
-CELLS_PER_CORE = 4  # ranges of document numbers
+CELLS_PER_CORE = 2  # ranges of document numbers
+PACK_PAIRS = 1 << 21  # pairs that are dealt to cells and packed at once, about
 LOSS_ROWS = 4096  # rows of the batches whose logits are made at once, about
 
 
@@ -229,17 +230,17 @@ def _loss_in_cells(lists: DataFrame, queries: DataFrame, docs: DataFrame, cell_b
     n_ranges = (of[1][1] - low[1]) // step[1] + 1
 
     def placed(b: pa.RecordBatch, split: dict[int, int]):
-        """The batches' numbers, sizes, pairs (two columns), their ranges, cells and parts of cells."""
+        """The batches' numbers, sizes, pairs (two columns), first pairs' places, cells and parts of cells."""
         batch, rows = b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())
         pairs = [b.column(i).flatten().to_numpy() for i in (1, 2)]
-        ranges = [(c - x) // y for c, x, y in zip(pairs, low, step)]
         first = np.cumsum(rows) - rows
-        cell = ranges[0][first] * n_ranges + ranges[1][first]
+        ranges = [(c[first] - x) // y for c, x, y in zip(pairs, low, step)]
+        cell = ranges[0] * n_ranges + ranges[1]
         part = np.zeros(len(cell), np.int64)
         for c in np.unique(cell).tolist() if split else ():
             if c in split:
                 part[cell == c] = batch[cell == c] % split[c]
-        return batch, rows, pairs, ranges, first, cell, part
+        return batch, rows, pairs, first, cell, part
 
     def needs(split: dict[int, int]):
         """Rows (_cell, _part, _side, _no, _n): cells (_side 2) and the numbers outside their
@@ -248,10 +249,11 @@ def _loss_in_cells(lists: DataFrame, queries: DataFrame, docs: DataFrame, cell_b
             for b in batches:
                 if not b.num_rows:
                     continue
-                _, rows, pairs, ranges, first, cell, part = placed(b, split)
+                _, rows, pairs, first, cell, part = placed(b, split)
                 found = [(cell, part, np.full(len(cell), 2), np.zeros(len(cell), np.int64))]
                 for side in (0, 1):
-                    out = np.flatnonzero(ranges[side] != np.repeat(ranges[side][first], rows))
+                    own = (pairs[side] - low[side]) // step[side]
+                    out = np.flatnonzero(own != np.repeat(own[first], rows))
                     own = np.searchsorted(first, out, "right") - 1
                     found.append((cell[own], part[own], np.full(len(out), side), pairs[side][out]))
                 t = pa.table([np.concatenate(c) for c in zip(*found)], names=["_cell", "_part", "_side", "_no"])
@@ -285,11 +287,13 @@ def _loss_in_cells(lists: DataFrame, queries: DataFrame, docs: DataFrame, cell_b
             rows.append(own.select("_cell", "_part", F.lit(side).alias("_side"), "_no", "_vec", none))
 
     def packed(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            batch, rows, pairs, _, first, cell, part = placed(b, split)
-            by = np.lexsort((part, cell))
+        held, n = [], 0
+
+        def out():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            batch, rows, pairs, first, cell, part = placed(whole, split)
+            by = np.lexsort((batch, part, cell))
             at = np.flatnonzero(np.diff(cell[by], prepend=-1) | np.diff(part[by], prepend=-1))
             for own in np.split(by, at[1:]):
                 place = np.repeat(first[own] - np.cumsum(rows[own]) + rows[own], rows[own]) + np.arange(rows[own].sum())
@@ -297,6 +301,16 @@ def _loss_in_cells(lists: DataFrame, queries: DataFrame, docs: DataFrame, cell_b
                 yield pa.RecordBatch.from_arrays([pa.array([cell[own[0]]]), pa.array([part[own[0]]]),
                                                   pa.array([data], pa.binary())], names=["_cell", "_part", "_pairs"])
 
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += len(b.column(1).flatten())
+            if n >= PACK_PAIRS:
+                yield from out()
+                n = 0
+        if held:
+            yield from out()
+
     rows.append(lists.mapInArrow(packed, "_cell long, _part long, _pairs binary").select(
         "_cell", "_part", F.lit(2).alias("_side"), F.lit(None).cast("long").alias("_no"),
         F.lit(None).cast(kind).alias("_vec"), "_pairs"))

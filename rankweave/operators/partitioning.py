@@ -29,9 +29,11 @@ from rankweave.session import ensure_checkpoint_dir, written
 
 _LOW_BITS = (1 << 33) - 1
 BOUND_ROWS = 10_000       # rows of a sample that tells where the parts of an order begin
-PART_ROWS = 2_000_000     # rows of numbers that are put in order at once, about
+PART_ROWS = 1 << 21       # rows of numbers that are put in order at once, about
+LEAST_PART_ROWS = 1 << 16  # but more parts than cores need have more than so many
 HELD_ROWS = 1 << 20       # rows of numbers that are cut into parts at once
-PACK_ROWS = 1 << 16       # rows of numbers in a written pack
+PACK_ROWS = 1 << 21       # rows of numbers in a written pack, at most
+BATCH_ROWS = 1 << 16      # rows of the lists that leave a task at once, about
 
 
 def indexed_with_count(df: DataFrame, order_by: list[str] | str, *, out_col: str = "row_idx",
@@ -194,7 +196,7 @@ def _bounds(rows: DataFrame, part_rows: int) -> list[tuple[int, ...]]:
     # the lowest of n even draws: the last of k is at about k / n
     n = int(len(found) / max(r[0] for r in found)) if len(found) == BOUND_ROWS else len(found)
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n // part_rows), min(tasks, n // PACK_ROWS), 1)
+    parts = max(-(-n // part_rows), min(tasks, n // LEAST_PART_ROWS), 1)
     own = sorted(r[1:] for r in found)
     return sorted({own[i * len(own) // parts] for i in range(1, parts)}) if own else []
 
@@ -218,16 +220,22 @@ def _batch_lists(df: DataFrame, batch_size: int, order_by: list[str], out_col: s
             out.append(low)
         return [*out, len(ordered[0])]
 
-    def in_order(held: list[list[np.ndarray]]) -> list[np.ndarray]:
-        whole = [np.concatenate(c) for c in zip(*held)]
+    def in_order(held: list[list[np.ndarray]], own: list[int]) -> list[np.ndarray]:
+        """The columns ``own`` of the rows, in order; the rows are held no longer."""
+        whole = []
+        for i in range(len(columns)):
+            whole.append(np.concatenate([h[i] for h in held]))
+            for h in held:
+                h[i] = None
+        held.clear()
         place = _places_in_order(whole[:n_order])
-        return [c[place] for c in whole]
+        return [whole[i][place] for i in own]
 
     def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def out():
-            ordered = in_order(held)
+            ordered = in_order(held, range(len(columns)))
             at = cuts(ordered)
             own = [i for i, (x, y) in enumerate(zip(at, at[1:])) if x < y]
             packs = [pack_numbers([c[at[i]:at[i + 1]] for c in ordered]) for i in own]
@@ -240,7 +248,7 @@ def _batch_lists(df: DataFrame, batch_size: int, order_by: list[str], out_col: s
                 n += b.num_rows
             if n >= HELD_ROWS:
                 yield out()
-                held, n = [], 0
+                n = 0
         if held:
             yield out()
 
@@ -248,8 +256,7 @@ def _batch_lists(df: DataFrame, batch_size: int, order_by: list[str], out_col: s
         part, held = None, []
 
         def out():
-            ordered = in_order(held)
-            ordered = [ordered[i] for i in kept]
+            ordered = in_order(held, kept)
             for at in range(0, len(ordered[0]), PACK_ROWS):
                 own = [c[at:at + PACK_ROWS] for c in ordered]
                 yield pa.RecordBatch.from_arrays(
@@ -260,7 +267,6 @@ def _batch_lists(df: DataFrame, batch_size: int, order_by: list[str], out_col: s
             for p, data in zip(b.column(0).to_pylist(), b.column(1)):
                 if p != part and held:
                     yield from out()
-                    held = []
                 part = p
                 held.append(unpack_numbers(data.as_buffer()))
         if held:
@@ -287,8 +293,10 @@ def _batch_lists(df: DataFrame, batch_size: int, order_by: list[str], out_col: s
                         continue
                     values = unpack_numbers(data.as_buffer())
                     # whole batches follow one another; of pieces there are two at most
-                    for x, y in [(np.flatnonzero(own)[0], np.flatnonzero(own)[-1] + 1)] if whole else [
-                            (i, i + 1) for i in np.flatnonzero(own)]:
+                    own = np.flatnonzero(own)
+                    some = max(1, BATCH_ROWS // batch_size) if whole else 1
+                    for x, y in [(i, min(i + some, own[-1] + 1)) for i in (
+                            range(own[0], own[-1] + 1, some) if whole else own)]:
                         ends = at[x:y + 1] - start
                         offsets = pa.array(ends - ends[0], pa.int32())
                         yield pa.RecordBatch.from_arrays(
