@@ -95,7 +95,10 @@ def pack_numbers(columns: list[np.ndarray]) -> bytes:
     for c in columns:
         c = np.ascontiguousarray(c, np.int64)
         step = np.diff(c, prepend=c[:1])
-        step = ((step << 1) ^ (step >> 63)).view(np.uint64)  # small numbers for small steps down, too
+        down = step >> 63
+        step <<= 1
+        step ^= down  # small numbers for small steps down, too
+        step = step.view(np.uint64)
         width = (int(step.max(initial=0)).bit_length() + 7) // 8
         head += [len(c), int(c[0]) if len(c) else 0, width]
         body += [(step >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(width)]
@@ -113,7 +116,15 @@ def unpack_numbers(data: bytes) -> list[np.ndarray]:
     for rows, first, width in head:
         step = np.zeros(rows, np.uint64)
         for i in range(width):
-            step |= np.frombuffer(body, np.uint8, rows, at).astype(np.uint64) << np.uint64(8 * i)
+            plane = np.frombuffer(body, np.uint8, rows, at).astype(np.uint64)
+            plane <<= np.uint64(8 * i)
+            step |= plane
             at += rows
-        out.append(np.cumsum((step >> np.uint64(1)).view(np.int64) ^ -(step & np.uint64(1)).view(np.int64)) + first)
+        down = (step & np.uint64(1)).view(np.int64)
+        step >>= np.uint64(1)
+        step = step.view(np.int64)
+        step ^= np.negative(down, out=down)
+        np.cumsum(step, out=step)
+        step += first
+        out.append(step)
     return out
